@@ -3,6 +3,12 @@
 from __future__ import annotations
 
 from tessera.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from tessera.llm.secret_scan import op10_secret_scan
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup}
-SQL = {"op4_exact_dedup": OP4_SQL}
+QUERIES = {
+    "op4_exact_dedup": op4_exact_dedup,
+    "op10_secret_scan": op10_secret_scan,
+}
+SQL = {
+    "op4_exact_dedup": OP4_SQL,
+}
