@@ -23,12 +23,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from tessera.llm._common import shared_dir, squeezed, text_or_empty
+from tessera.llm._common import shared_dir, squeezed, stored, text_or_empty
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # many small stores: no disk reserved ahead for each one's logs
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
@@ -96,12 +98,13 @@ def exact_groups(spark: SparkSession, path: str, checkpoint: str | None = None)
         F.lit(True).alias("kept"), _bare(F.col("digest")).alias("text_sha256"), F.col("best.file").alias("file"), F.col("best.row").alias("row"),
     )
     hit = state.filter("n > 1").select("digest")
-    # Full bytes on hits. Grouping by the text itself needs its own exchange, so the
-    # join before it may be split where a digest is hot, and equal rows of a task are
-    # merged before they move.
-    rows = _rows(spark.read.parquet(path))
-    texts = rows.join(hit, "digest", "left_semi").groupBy("norm").agg(F.first("digest").alias("digest"), F.count("*").alias("size"), F.min("place").alias("best"))
-    texts = texts.groupBy("digest").agg(F.count("*").alias("texts"), F.collect_list(F.struct("size", "best", F.col("norm"))).alias("all"))
+    # The texts move once, to their digests; those that are hit are written, and all
+    # that follows reads no other. Grouping by the text itself compares full bytes; it
+    # has an exchange of its own, so that equal rows of a task merge before they move
+    # and a hot digest may be split in the joins before and after.
+    rows = stored(_rows(spark.read.parquet(path)).join(hit, "digest", "left_semi"), "dedup-hits")
+    texts = rows.groupBy("norm").agg(F.first("digest").alias("digest"), F.count("*").alias("size"), F.min("place").alias("best"))
+    texts = texts.groupBy("digest").agg(F.count("*").alias("texts"), F.collect_list(F.struct("size", "best", "norm")).alias("all"))
     one = texts.filter("texts = 1").select("digest", F.col("all")[0]["size"].alias("size"), F.col("all")[0]["best"].alias("best"))
     many = texts.filter("texts > 1").select("digest", F.inline("all"))
     found = rows.select("digest", "place").join(one, "digest").select("digest", "place", "size", "best")
