@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from tessera.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from tessera.llm.secret_scan import op10_secret_scan
+from tessera.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_secret_scan": op10_secret_scan,
 }
 SQL = {
