@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from tessera.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from tessera.llm.repetition import OP1_SQL, op1_suffix_repetition
 from tessera.llm.secret_scan import op10_secret_scan
 from tessera.llm.toxicity import op9_toxicity
 
 QUERIES = {
+    "op1_suffix_repetition": op1_suffix_repetition,
     "op4_exact_dedup": op4_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_secret_scan": op10_secret_scan,
 }
 SQL = {
+    "op1_suffix_repetition": OP1_SQL,
     "op4_exact_dedup": OP4_SQL,
 }
