@@ -61,7 +61,7 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, cells: i
     ``order`` over ``cells`` cells, ranked inside each cell by ``order``, and moved up
     by the number of rows in the cells before. Only the counts of cells (at most
     ``cells`` a key) meet in one task; ``order`` must tell rows apart for the rank to
-    be deterministic.
+    be deterministic. Keys must not be null.
     """
     cell, start = "__cell", "__start"
     dealt = df.withColumn(cell, F.pmod(F.xxhash64(*order), F.lit(cells)).cast("int"))
@@ -69,5 +69,5 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, cells: i
     before = Window.partitionBy(*keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(cell).alias("__c"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(start))
     numbered = dealt.withColumn(name, F.row_number().over(Window.partitionBy(*keys, cell).orderBy(*order)) - 1)
-    on = [numbered[k].eqNullSafe(starts[f"__k{i}"]) for i, k in enumerate(keys)] + [numbered[cell] == starts["__c"]]
+    on = [numbered[k] == starts[f"__k{i}"] for i, k in enumerate(keys)] + [numbered[cell] == starts["__c"]]
     return numbered.join(starts, on).withColumn(name, (F.col(name) + F.col(start)).cast("long")).select(*df.columns, name)

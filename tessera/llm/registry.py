@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 from tessera.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from tessera.llm.license_scan import OP7_SQL, op7_license_digest
+from tessera.llm.packing import op5_length_buckets
 from tessera.llm.repetition import OP1_SQL, op1_suffix_repetition
 from tessera.llm.secret_scan import op10_secret_scan
+from tessera.llm.sharding import op8_bin_packing
 from tessera.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_suffix_repetition": op1_suffix_repetition,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_length_buckets": op5_length_buckets,
+    "op7_license_digest": op7_license_digest,
+    "op8_bin_packing": op8_bin_packing,
     "op9_toxicity": op9_toxicity,
     "op10_secret_scan": op10_secret_scan,
 }
 SQL = {
     "op1_suffix_repetition": OP1_SQL,
     "op4_exact_dedup": OP4_SQL,
+    "op7_license_digest": OP7_SQL,
 }
