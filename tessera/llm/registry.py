@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessera.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from tessera.llm.license_scan import OP7_SQL, op7_license_digest
+from tessera.llm.nbest import op6_piece_nbest
 from tessera.llm.packing import op5_length_buckets
 from tessera.llm.repetition import OP1_SQL, op1_suffix_repetition
 from tessera.llm.secret_scan import op10_secret_scan
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_suffix_repetition": op1_suffix_repetition,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_length_buckets": op5_length_buckets,
+    "op6_piece_nbest": op6_piece_nbest,
     "op7_license_digest": op7_license_digest,
     "op8_bin_packing": op8_bin_packing,
     "op9_toxicity": op9_toxicity,
