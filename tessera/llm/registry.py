@@ -10,9 +10,11 @@ from tessera.llm.repetition import OP1_SQL, op1_suffix_repetition
 from tessera.llm.secret_scan import op10_secret_scan
 from tessera.llm.sharding import op8_bin_packing
 from tessera.llm.toxicity import op9_toxicity
+from tessera.llm.weak_pii import op2_weak_pii
 
 QUERIES = {
     "op1_suffix_repetition": op1_suffix_repetition,
+    "op2_weak_pii": op2_weak_pii,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_length_buckets": op5_length_buckets,
     "op6_piece_nbest": op6_piece_nbest,
