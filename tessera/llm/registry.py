@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.chosen_path import op3_chosen_path
 from tessera.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from tessera.llm.license_scan import OP7_SQL, op7_license_digest
 from tessera.llm.nbest import op6_piece_nbest
@@ -15,6 +16,7 @@ from tessera.llm.weak_pii import op2_weak_pii
 QUERIES = {
     "op1_suffix_repetition": op1_suffix_repetition,
     "op2_weak_pii": op2_weak_pii,
+    "op3_chosen_path": op3_chosen_path,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_length_buckets": op5_length_buckets,
     "op6_piece_nbest": op6_piece_nbest,
