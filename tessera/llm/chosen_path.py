@@ -32,7 +32,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +48,13 @@ WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.9999
 #: Picks that similar sets share on average; buckets up to LIMIT are small.
-SAMPLED, LIMIT, BLOCK, DEPTH = 2.0, 256, 256, 6
+SAMPLED, LIMIT, BLOCK, DEPTH = 2.0, 512, 512, 6
 #: Mean similarity from which a large bucket is one family.
 ALIKE = 0.4
 BITS = 128
+#: Bytes of a hashed shingle: two of the some thousand tokens of a pair of sets are taken
+#: for one with a probability of about one in a million.
+TOKEN_BYTES = 5
 
 _MIX1, _MIX2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -84,7 +89,7 @@ class Shingler:
         key = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
         if not words:
             return key, np.zeros(0, np.uint64)
-        if len(self.hashes) > 1_000_000:
+        if len(self.hashes) > 250_000:
             self.hashes.clear()
         known = self.hashes
         try:
@@ -98,7 +103,18 @@ class Shingler:
         total = np.zeros(len(words) - n + 1, np.uint64)
         for k in range(n):
             total += h[k : len(words) - n + 1 + k] * _PLACES[k]
-        return key, np.unique(mix(total + np.uint64(n)))
+        return key, np.unique(mix(total + np.uint64(n)) >> np.uint64(64 - 8 * TOKEN_BYTES))
+
+
+def packed(tokens: np.ndarray) -> bytes:
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES].tobytes()
+
+
+def unpacked(data: bytes | memoryview) -> np.ndarray:
+    few = np.frombuffer(data, np.uint8).reshape(-1, TOKEN_BYTES)
+    out = np.zeros((len(few), 8), np.uint8)
+    out[:, :TOKEN_BYTES] = few
+    return out.view("<u8").ravel().astype(np.uint64)
 
 
 def sketch(tokens: np.ndarray) -> tuple[int, int]:
@@ -143,15 +159,33 @@ def signed(docs: DataFrame, runs: int, similarity: float) -> DataFrame:
 
 
 def token_sets(docs: DataFrame) -> DataFrame:
-    """key and tokens (sorted) of each row's text."""
+    """key and packed tokens, in rising order, of each row's text."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
         for b in batches:
-            keys, tokens = zip(*map(shingle, b.column(0).to_pylist()), strict=True) if b.num_rows else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([np.sort(t.view(np.int64)) for t in tokens], pa.list_(pa.int64()))], names=["key", "tokens"])
-
-    return docs.select("text").mapInArrow(sets, "key binary, tokens array<long>")
+            keys, tokens = [], []
+            for t in b.column(0).to_pylist():
+                key, found = shingle(t)
+                if len(found):
+                    keys.append(key)
+                    tokens.append(packed(found))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(tokens, pa.binary())], names=["key", "tokens"])
+
+    return docs.select("text").mapInArrow(sets, "key binary, tokens binary")
+
+
+@contextmanager
+def sets_by_key(docs: DataFrame) -> Iterator[DataFrame]:
+    """The token set of each different text, as a table bucketed by key: sets move once,
+    and later joins on their keys bring only the other side to them."""
+    spark, name = docs.sparkSession, f"tessera_sets_{uuid.uuid4().hex}"
+    sets = token_sets(docs).groupBy("key").agg(F.first("tokens").alias("tokens"))
+    sets.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def lead_on(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -161,13 +195,13 @@ def lead_on(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         for b in batches:
             keys, paths = [], []
             for key, path, tokens in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                found = picks(path.values.to_numpy().view(np.uint64), tokens.values.to_numpy().view(np.uint64), similarity).view(np.int64)
+                found = picks(path.values.to_numpy().view(np.uint64), unpacked(tokens.as_buffer()), similarity).view(np.int64)
                 keys += [key] * len(found)
                 paths.append(found)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(paths) if paths else [], pa.int64()), pa.array(keys, pa.binary())], names=["path", "key"])
 
     by_key = rows.groupBy("key").agg(F.collect_list("path").alias("paths"))
-    return by_key.join(sets, "key").select("key", "paths", "tokens").mapInArrow(split, "path long, key binary")
+    return sets.join(by_key.hint("shuffle_hash"), "key").select("key", "paths", "tokens").mapInArrow(split, "path long, key binary")
 
 
 def buckets(rows: DataFrame, signs: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
@@ -305,7 +339,7 @@ def verified(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 if not len(part):
                     continue
                 members, at = np.unique(np.r_[a[part], b[part]], return_inverse=True)
-                tokens = [t["tokens"][int(r)].values.to_numpy() for r in members]
+                tokens = [unpacked(t["tokens"][int(r)].as_buffer()) for r in members]
                 common = common_tokens(tokens, at[: len(part)], at[len(part) :])
                 x, y = a[part], b[part]
                 ok = common >= similarity * (n[x] + n[y] - common) - 1e-9
@@ -321,42 +355,41 @@ def verified(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 [pa.array([keys[r] for r in linked], pa.binary()), pa.array(links[linked]), pa.array([keys[root(int(r))] for r in linked], pa.binary())], names=["key", "links", "root"]
             )
 
-    full = rows.join(sets, "key").select("path", "i", "j", "block", "key", "n", "s0", "s1", "leaves", "tokens")
+    full = sets.join(rows.hint("shuffle_hash"), "key").select("path", "i", "j", "block", "key", "n", "s0", "s1", "leaves", "tokens")
     return full.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(verify, "key binary, links long, root binary")
 
 
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """One row for each row of ``docs``: doc_id; copy_id, the least id with equal words;
-    class_id, the least id of all that links connect; n_links, its text's links to
-    different texts."""
-    signs = stored(signed(docs, runs_for(recall), similarity), "join-signs")
-    # of equal texts one takes part; equal rows merge before they move
-    texts = stored(signs.groupBy("key").agg(F.min("doc_id").alias("copy_id"), F.first(F.struct("n", "s0", "s1", "paths")).alias("x")).select("key", "copy_id", "x.*"), "join-texts")
-    rows = texts.filter("n > 0").select(F.explode("paths").alias("path"), "key")
+def _links(rows: DataFrame, texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, links, root) of all blocks, from the first paths (path, key)."""
     leaf, deep = buckets(rows, texts, last=False)
-    leaves = [leaf]
-    # whole sets of the texts that share a path with another, and of no others
-    shared = leaf.select("key").union(deep.select("key")).distinct()
-    ids = shared.join(texts, "key").select(F.col("copy_id").alias("doc_id"))
-    sets = stored(token_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")).groupBy("key").agg(F.first("tokens").alias("tokens")), "join-sets")
+    every = leaf
     for depth in range(2, DEPTH + 1):
         if deep.isEmpty():
             break
         leaf, deep = buckets(stored(lead_on(deep, sets, similarity), "path-next"), texts, last=depth == DEPTH)
-        leaves.append(leaf)
-    every = leaves[0]
-    for x in leaves[1:]:
-        every = every.union(x)
+        every = every.union(leaf)
     by_key = every.groupBy("key").agg(F.collect_list(F.struct("path", "blocks")).alias("found"))
     at = by_key.join(texts.select("key", "n", "s0", "s1"), "key").select("*", F.col("found.path").alias("leaves"), F.explode("found").alias("f"))
     block = F.pmod(F.xxhash64("key"), F.col("f.blocks")).cast("int")
     dealt = at.select(F.col("f.path").alias("path"), block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("f.blocks") - 1)).alias("other"), "key", "n", "s0", "s1", "leaves")
     dealt = dealt.select("path", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "n", "s0", "s1", "leaves")
     partners = stored(with_partners(dealt, similarity), "join-partners")
-    links = stored(verified(partners, sets, similarity), "join-links")
+    return stored(verified(partners, sets, similarity), "join-links")
+
+
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """One row for each row of ``docs``: doc_id; copy_id, the least id with equal words;
+    class_id, the least id of all that links connect; n_links, its text's links to
+    different texts."""
+    signs = stored(signed(docs, runs_for(recall), similarity), "join-signs")
+    # of equal texts one takes part; equal rows merge before they move
+    texts = stored(signs.groupBy("key").agg(F.min("doc_id").alias("copy_id"), F.first(F.struct("n", "s0", "s1", "paths")).alias("x")).select("key", "copy_id", "x.*"), "join-texts")
+    rows = texts.filter("n > 0").select(F.explode("paths").alias("path"), "key")
+    with sets_by_key(docs) as sets:
+        links = _links(rows, texts, sets, similarity)
     roots = components(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
     named = roots.join(texts.select(F.col("key").alias("node"), "copy_id"), "node")
-    least = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
+    least = stored(named.groupBy("root").agg(F.min("copy_id").alias("class_id")), "join-least")
     counted = links.groupBy("key").agg(F.sum("links").alias("n_links"))
     linked = stored(named.join(least, "root").select(F.col("node").alias("key"), "class_id").join(counted, "key"), "join-classes")
     found = texts.select("key", "copy_id").join(linked, "key", "left")
