@@ -56,11 +56,11 @@ class Ranking:
 class Budget:
     """Shares of a packet's tokens that each category may use in the capped pass."""
 
-    code: float = 0.45
+    code: float = 0.50
     structural: float = 0.20
     memory: float = 0.15
     event: float = 0.10
-    state: float = 0.10
+    state: float = 0.05
 
 
 @dataclass(frozen=True)
