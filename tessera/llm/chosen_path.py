@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import documents, stored
+from tessera.llm._common import documents, sliced, stored
 from tessera.llm.components import components
 
 WORDS = 5
@@ -145,7 +145,7 @@ def signed(docs: DataFrame, runs: int, similarity: float) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             for t in b.column(1).to_pylist():
                 key, tokens = shingle(t)
@@ -163,7 +163,7 @@ def token_sets(docs: DataFrame) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
-        for b in batches:
+        for b in sliced(batches):
             keys, tokens = [], []
             for t in b.column(0).to_pylist():
                 key, found = shingle(t)
@@ -192,7 +192,7 @@ def lead_on(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(path, key) of the next step, from (path, key) rows in buckets that are split."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             keys, paths = [], []
             for key, path, tokens in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 found = picks(path.values.to_numpy().view(np.uint64), unpacked(tokens.as_buffer()), similarity).view(np.int64)

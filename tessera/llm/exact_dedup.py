@@ -31,6 +31,9 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # many small stores: no disk reserved ahead for each one's logs
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # and one bound for the native memory of all stores of an executor
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
 
 

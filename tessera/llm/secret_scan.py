@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import documents
+from tessera.llm._common import documents, sliced
 
 ALL = frozenset(range(256))
 TAIL = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
@@ -366,7 +366,7 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = compiled.value
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
-        for b in batches:
+        for b in sliced(batches):
             found = [[{"start": x, "end": y, "kind": k} for x, y, k in s.spans(t)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], names=["key", "spans"])
 
@@ -386,7 +386,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = compiled.value
         at = names.index("text")
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(at).to_pylist()
             for i, t in enumerate(texts):
                 if t and (found := s.spans(t)):

@@ -24,12 +24,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import documents
+from tessera.llm._common import documents, sliced
 
 BITS = 18
 ORDERS = (3, 4, 5)
@@ -122,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 2000) -> Mod
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.zeros(1 << BITS, np.int64)
-        for b in batches:
+        for b in sliced(batches):
             grams = [features(t, last) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(grams, pa.list_(pa.int32()))], names=["doc_id", "toxic", "grams"])
 
@@ -140,11 +139,11 @@ def scored(docs: DataFrame, model: Model, name: str = "score", text: str = "text
     """``docs`` with a column ``name``: the probability that a text is toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         last = np.zeros(1 << BITS, np.int64)
         for batch in texts:
-            yield pd.Series([shared.value.score(t, last) for t in batch], dtype="float64")
+            yield pa.array([shared.value.score(t.as_py(), last) for t in batch], pa.float64())
 
     return docs.withColumn(name, score(F.col(text)))
 
