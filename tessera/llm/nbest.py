@@ -19,8 +19,8 @@ they are. Characters without a piece become byte pieces, at a score under all ot
 Pieces that join several spaces are left out, which keeps the lattice divisible.
 
 Edge cases: a null or empty text has one segmentation, without pieces; texts with fewer
-than N segmentations give all they have; equal scores are ordered by position, then by
-ids, so results don't depend on partitions; whole texts of any length are encoded; a
+than N segmentations give all they have; equal scores come in a fixed order, so results
+don't depend on partitions; whole texts of any length are encoded; a
 text that holds the mark itself (U+2581) decodes to a space there, and ``round_trip``
 says so; repeated rows give equal results.
 """
@@ -107,27 +107,25 @@ class Pieces:
         best = [0.0] + [-np.inf] * len(segment)
         for j in range(1, len(segment) + 1):
             best[j] = max((best[i] + s for i, _, s in ends[j]), default=-np.inf)
-        # (-(score behind the node + best before it), order, node, score behind, path behind)
+        # (-(score behind the node + best before it), node, order, score behind, path behind):
+        # of equal sums, rounded so that they are equal, the one nearest to the start comes
+        # first, so that ties are walked to their end and not all opened
         order = count()
-        agenda = [(-best[-1], next(order), len(segment), 0.0, None)]
+        agenda = [(round(-best[-1], 6), len(segment), next(order), 0.0, None)]
         found: list[tuple[float, tuple[int, ...]]] = []
-        while agenda:
-            f, _, node, behind, path = heapq.heappop(agenda)
-            if len(found) >= n and -f < found[n - 1][0] - 1e-9:
-                break  # equal scores are all taken, to be ordered by their ids
+        while agenda and len(found) < n:
+            _, node, _, behind, path = heapq.heappop(agenda)
             if node == 0:
                 ids: list[int] = []
                 while path:
                     ids += path[0]
                     path = path[1]
                 found.append((behind, tuple(ids)))
-                if len(found) >= 64 * n:
-                    break  # enough of a tie: its first paths in the agenda's fixed order
                 continue
             for i, piece, s in ends[node]:
                 if best[i] > -np.inf:
-                    heapq.heappush(agenda, (-(behind + s + best[i]), next(order), i, behind + s, (piece, path)))
-        return sorted(found, key=lambda x: (-round(x[0], 9), x[1]))[:n]
+                    heapq.heappush(agenda, (round(-(behind + s + best[i]), 6), i, next(order), behind + s, (piece, path)))
+        return sorted(found, key=lambda x: (-round(x[0], 6), x[1]))
 
 
 class Segmenter:
