@@ -60,7 +60,8 @@ AGAINST = ("version", "order", "invoice", "isbn", "sku", "part no", "build", "ch
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    # the chains of digits that have 14 of them or more; others would only be dropped
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "local_phone": r"(?<![0-9+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -74,26 +75,48 @@ VOTES = ("shape", "check", "gazetteer", "context")
 AGAINST_IT, FOR_IT, NO_VOTE = 0, 1, 2
 #: Features of the span classifier and how many values each has.
 FEATURES = {"kind": len(KINDS), "length": 5, "digits": 4, "left": 3, "right": 3, "check": 3, "gazetteer": 3, "context": 3}
-REACH = 40
+REACH, PART = 40, 256
 
 
 def located(text: Column, kind: str) -> Column:
-    """Array of (start, end, match) of a kind's matches, leftmost and not overlapping."""
+    """Array of (start, end, match, before, after) of a kind's matches, leftmost and not
+    overlapping; ``before`` and ``after`` are the text beside a match, up to the next one.
+
+    Starts are running sums over the matches and the pieces between them, taken within
+    parts of ``PART`` matches and then over the parts: a text with very many matches is
+    not copied for each of them.
+    """
     pattern = PATTERNS[kind]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap")))
-    kept = "array<struct<start:int,end:int,match:string>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kept).alias("out"))
+    pieces = F.split(text, pattern, -1)
+    sides = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), F.slice(pieces, F.lit(2), F.size(found)), lambda gap, then: F.struct(F.length(gap).alias("gap"), F.right(gap, F.lit(REACH)).alias("before"), F.left(then, F.lit(1)).alias("after")))
+    both = F.zip_with(found, sides, lambda m, side: F.struct(m.alias("m"), side.alias("side")))
+    kept = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
+    none = F.array().cast(kept)
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
+        start = acc["at"] + x["side"]["gap"]
         end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["m"].alias("match"))).alias("out"))
+        row = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("match"), x["side"]["before"].alias("before"), x["side"]["after"].alias("after"))
+        return F.struct(end.alias("at"), F.array_append(acc["out"], row).alias("out"))
+
+    def join(acc: Column, part: Column) -> Column:
+        moved = F.transform(part["out"], lambda r: F.struct((r["start"] + acc["at"]).alias("start"), (r["end"] + acc["at"]).alias("end"), r["match"].alias("match"), r["before"].alias("before"), r["after"].alias("after")))
+        return F.struct((acc["at"] + part["at"]).alias("at"), F.array_append(acc["out"], moved).alias("out"))
+
+    def whole(all_: Column) -> Column:
+        def part(c: Column) -> Column:
+            return F.aggregate(F.slice(all_, c * PART + 1, F.lit(PART)), F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / PART).cast("int")), part)
+        return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kept}>").alias("out")), join, lambda acc: F.flatten(acc["out"]))
 
+    # an array of one, so that the matches are found once and not in every part
+    once = F.element_at(F.transform(F.array(both), whole), 1)
     there = F.rlike(text, F.lit(pattern))
     if kind in NEEDED:
         there = F.contains(text, F.lit(NEEDED[kind])) & there
-    return F.when(there, F.aggregate(both, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(kept))
+    return F.when(there, once).otherwise(none)
 
 
 def _digits(match: Column) -> Column:
@@ -162,7 +185,7 @@ def candidates(text: Column) -> Column:
         def judged(m: Column) -> Column:  # called before the next kind
             match, start, end = m["match"], m["start"], m["end"]
             ok, check = _checked(kind, match)
-            before = F.lower(F.substring(text, F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH))))
+            before = F.lower(m["before"])
             shape = _vote(ok) if kind in BASE_KINDS else F.lit(FOR_IT if kind != "name" else NO_VOTE)
             context = _vote(F.rlike(before, F.lit(r"\b(" + "|".join(CUES[kind]) + ")")), F.rlike(before, F.lit(r"\b(" + "|".join(AGAINST) + r")\b")))
             n, digits = F.length(match), F.length(_digits(match))
@@ -171,8 +194,7 @@ def candidates(text: Column) -> Column:
                 shape.alias("shape"), check.alias("check"), _gazetteer(kind, match).alias("gazetteer"), context.alias("context"),
                 F.when(n <= 8, 0).when(n <= 12, 1).when(n <= 16, 2).when(n <= 24, 3).otherwise(4).alias("length"),
                 F.when(digits == 0, 0).when(digits * 2 < n, 1).when(digits < n, 2).otherwise(3).alias("digits"),
-                F.when(start == 0, 0).otherwise(_side(F.substring(text, start, F.lit(1)))).alias("left"),
-                _side(F.substring(text, end + 1, F.lit(1))).alias("right"),
+                _side(F.right(m["before"], F.lit(1))).alias("left"), _side(m["after"]).alias("right"),
             )
 
         out.append(F.transform(located(text, kind), judged))
