@@ -1,0 +1,289 @@
+"""Each operator against a plain version of itself on small inputs."""
+
+from __future__ import annotations
+
+import hashlib
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from llm_helpers import documents_of, near_pairs
+from tessera.llm import chosen_path, exact_dedup, license_scan, nbest, packing, repetition, secret_scan, sharding, toxicity, weak_pii
+from tessera.llm._common import ranked
+
+# --- 1 ------------------------------------------------------------------------------------
+
+
+@given(st.lists(st.lists(st.sampled_from(["a", "bb", "ñ"]), max_size=22), min_size=1, max_size=6))
+@settings(max_examples=80, deadline=None)
+def test_repeats(texts):
+    got = repetition.measure([" ".join(t).encode() for t in texts], 3, 3)
+    for k, ws in enumerate(texts):
+        n = len(ws)
+        best = [max((next((c for c in range(n) if i + c >= n or j + c >= n or ws[i + c] != ws[j + c]), 0) for j in range(n) if i != j), default=0) for i in range(n)]
+        inside = [any(best[i] >= 3 and i <= p < i + best[i] for i in range(n)) for p in range(n)]
+        assert got["n_repeat_words"][k] == sum(inside)
+        assert got["covered_chars"][k] == sum(len(w) for w, x in zip(ws, inside, strict=True) if x)
+        assert got["longest_repeat"][k] == max((b for b in best if b >= 3), default=0)
+
+
+def test_verdict(spark, write):
+    clean = " ".join(f"w{i}" for i in range(60))
+    d = write([clean, " ".join(["one two three four five six seven eight"] * 5), clean + " " + " ".join(f"w{i}" for i in range(16))])
+    assert [r["kept"] for r in repetition.op1_suffix_repetition(spark, d).orderBy("doc_id").collect()] == [True, False, False]
+
+
+# --- 2 ------------------------------------------------------------------------------------
+
+
+def base_spans(t):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m[0])
+        if 14 <= len(d) <= 19 and sum((lambda v: v - 9 if v > 9 else v)(int(c) * (1 + i % 2)) for i, c in enumerate(d[::-1])) % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(out)
+
+
+def test_personal_data(spark, write):
+    rng = random.Random(5)
+    parts = ["a", "b.c", "@", "x-y", ".", "com", " ", "-", "1", "22", "333", "4444", "+", "(", ")", "4111111111111111", "4111-1111 11111111", "ñ", "_", "%", "\n", "12.34.56.78", "Mr. John Smith", "123-45-6789", "😀"]
+    d = write(["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(600)])
+    got = {r["doc_id"]: r for r in weak_pii.op2_weak_pii(spark, d).collect()}
+    for r in documents_of(spark, d).collect():
+        want, g = base_spans(r["text"]), got[r["doc_id"]]
+        assert g["base_sha256"] == hashlib.sha256(",".join(f"{weak_pii.KINDS[k]}:{s}:{e}" for s, k, e in want).encode()).hexdigest(), r["text"]
+        assert {f"{weak_pii.KINDS[k]}:{s}:{e}" for s, k, e in want} <= set(g["spans"].split(","))
+
+
+def test_reliabilities_are_found():
+    """Votes drawn from labelers of known quality give that quality back."""
+    rng = random.Random(1)
+    right, counts = (0.95, 0.8, 0.7, 0.9), {}
+    for _ in range(20_000):
+        y = rng.random() < 0.3
+        votes = tuple(int(y) if rng.random() < q else int(not y) for q in right)
+        counts[0, votes] = counts.get((0, votes), 0) + 1
+    m = weak_pii.estimate(counts)
+    assert m.prior[0] == pytest.approx(0.3, abs=0.02)
+    assert [m.given[1][j][1] for j in range(4)] == pytest.approx(right, abs=0.03)
+
+
+# --- 3 ------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("limits", [(512, 512, 6), (6, 4, 6), (6, 4, 2)])
+def test_near_copies(spark, write, monkeypatch, limits):
+    """Small limits force splitting, blocks, and the last depth."""
+    for name, value in zip(("LIMIT", "BLOCK", "DEPTH"), limits, strict=True):
+        monkeypatch.setattr(chosen_path, name, value)
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(3000)}"
+    family = [word() for _ in range(120)]
+    passage = [word() for _ in range(55)]
+    texts = []
+    for _ in range(40):
+        t = list(family)
+        for _ in range(rng.randrange(4)):
+            t[rng.randrange(len(t))] = word()
+        texts.append(" ".join(t))
+    texts += [" ".join([word() for _ in range(80)] + passage + [word() for _ in range(40)]) for _ in range(40)]
+    texts += ["a b c", "a b c", "a b d", "", "  ", None, *texts[:3]]
+    d = write(texts)
+    got = {r["doc_id"]: (r["class_id"], r["copy_id"], r["n_links"]) for r in chosen_path.op3_chosen_path(spark, d).collect()}
+    assert got == near_pairs(list(enumerate(texts)))
+    kept = [r["doc_id"] for r in chosen_path.one_of_each(documents_of(spark, d)).collect()]
+    assert sorted(kept) == sorted({c for c, _, _ in got.values()})
+
+
+def test_packed_tokens():
+    x = np.sort(np.random.default_rng(0).integers(0, 1 << 40, 1000).astype(np.uint64))
+    assert (chosen_path.unpacked(chosen_path.packed(x)) == x).all()
+
+
+# --- 4 ------------------------------------------------------------------------------------
+
+
+def test_equal_digests_stay_apart(spark, write, monkeypatch):
+    """With a digest that collides, full bytes still tell texts apart."""
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: F.lpad(F.hex(F.length(c)), 64, "0"))
+    d = write(["ab", "a b", "cd", "abc", "c d "])
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(spark, f"{d}/documents.parquet").collect()}
+    assert got == {0: (1, 2, False), 1: (1, 2, True), 2: (4, 2, False), 4: (4, 2, True), 3: (3, 1, True)}
+
+
+def test_state_goes_on(spark, tmp_path):
+    """New files are added to the state of those before."""
+    path, state = f"{tmp_path}/t", f"file://{tmp_path}/state"
+    for part in (["x", "y"], ["x ", "z"]):
+        spark.createDataFrame([(i, t) for i, t in enumerate(part)], "doc_id long, text string").write.mode("append").parquet(path)
+        got = exact_dedup.digest_state(spark, path, state)
+        last = sorted(r["n"] for r in got.collect())
+    assert last == [1, 1, 2]
+
+
+# --- 5 and 8 ------------------------------------------------------------------------------
+
+
+def padding(lengths, counts, bounds):
+    return sum((min(b for b in bounds if b >= x) - x) * n for x, n in zip(lengths, counts, strict=True))
+
+
+@given(st.sets(st.integers(0, 60), min_size=1, max_size=9), st.integers(1, 5), st.randoms())
+@settings(max_examples=80, deadline=None)
+def test_bounds_are_optimal(lengths, k, rng):
+    lengths = sorted(lengths)
+    counts = [rng.randint(1, 9) for _ in lengths]
+    got = packing.optimal_bounds(lengths, counts, k)
+    best = min(padding(lengths, counts, [*c, lengths[-1]]) for c in itertools.combinations(lengths[:-1], min(k, len(lengths)) - 1))
+    assert len(got) <= k and padding(lengths, counts, got) == best
+
+
+def test_batches(spark, sf):
+    rows = packing.op5_length_buckets(spark, sf).toPandas()
+    assert (rows["n_tokens"] <= rows["bound"]).all()
+    groups = rows.groupby(["bucket", "batch"])
+    assert ((groups["bound"].sum() <= packing.BUDGET) | (groups.size() == 1)).all()
+    assert (groups["slot"].max() + 1 == groups.size()).all()
+    for _, b in rows.groupby("bucket"):
+        sizes = b.groupby("batch").size()
+        assert (sizes.iloc[:-1] == sizes.max()).all()
+
+
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=60), st.integers(10, 60), st.integers(1, 6))
+@settings(max_examples=80, deadline=None)
+def test_best_fit(items, capacity, shards):
+    items = sorted(items, reverse=True)
+    bins, want = [], []
+    for s in items:
+        fits = [(r, i) for i, r in enumerate(bins) if r >= s]
+        i = min(fits)[1] if fits else len(bins)
+        if not fits:
+            bins.append(max(capacity, s))
+        bins[i] -= s
+        want.append((s, i))
+    sizes = [(s, items.count(s)) for s in sorted(set(items), reverse=True)]
+    assert sorted((s, b) for s, x, y, b in sharding.best_fit_decreasing(sizes, capacity) for _ in range(x, y)) == sorted(want)
+    plan = sharding.fixed_shards(sizes, shards)
+    assert len({p[3] for p in plan}) <= shards
+    for s, n in sizes:
+        assert sorted(i for t, x, y, _ in plan if t == s for i in range(x, y)) == list(range(n))
+
+
+def test_shards(spark, sf):
+    rows = sharding.op8_bin_packing(spark, sf).toPandas()
+    shards = rows.groupby("shard")
+    assert len(shards) <= 16 and (shards["slot"].max() + 1 == shards.size()).all() and (shards["slot"].nunique() == shards.size()).all()
+    assert rows.groupby(["text_crc32", "size"])["shard"].nunique().max() == 1
+
+
+def test_a_group_over_an_even_share_is_alone():
+    plan = sharding.fixed_shards([(1000, 1), (10, 30), (1, 60)], 4)
+    alone = next(b for s, _, _, b in plan if s == 1000)
+    loads = {}
+    for s, x, y, b in plan:
+        loads[b] = loads.get(b, 0) + s * (y - x)
+    assert loads.pop(alone) == 1000 and max(loads.values()) - min(loads.values()) <= 1
+
+
+def test_ranks_have_no_gaps(spark):
+    df = spark.range(500).selectExpr("id % 3 AS k", "id % 50 AS v", "id")
+    got = ranked(df, ["k"], ["v", "id"], "r", cells=7).toPandas()
+    assert all(sorted(g["r"]) == list(range(len(g))) for _, g in got.groupby("k"))
+
+
+# --- 6 ------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def segmenter():
+    from pathlib import Path
+
+    return nbest.Segmenter(Path(nbest.MODEL).read_bytes())
+
+
+@given(st.lists(st.text("thaoe ñ\n世😀.", max_size=8), min_size=1, max_size=5))
+@settings(max_examples=60, deadline=None)
+def test_segmentations(segmenter, texts):
+    for text, best in zip(texts, segmenter.segment(texts, 4), strict=True):
+        whole = "".join(nbest.MARK + w for w in text.split(" ")) if text else ""
+        ends, paths = segmenter.pieces.edges(whole), [[(0.0, ())]]
+        for j in range(1, len(whole) + 1):
+            paths.append([(a + s, b + ids) for i, ids, s in ends[j] for a, b in paths[i]])
+        assert [x for x, _ in best] == pytest.approx(sorted((a for a, _ in paths[-1]), reverse=True)[:4], abs=1e-5)
+        assert len({tuple(i.tolist()) for _, i in best}) == len(best)
+        assert all(segmenter.decode(i) == text for _, i in best)
+
+
+def test_encoding_round_trip(spark, write):
+    d = write(["hello there", "ñandú 世界 \n x", ""])
+    docs = documents_of(spark, d)
+    best = nbest.encode_nbest(docs, 2).selectExpr("doc_id", "segmentations[0].ids AS ids")
+    assert {r["doc_id"]: r["text"] for r in nbest.decode(best).collect()} == {r["doc_id"]: r["text"] for r in docs.collect()}
+
+
+# --- 7 ------------------------------------------------------------------------------------
+
+
+def test_licences(spark, write):
+    mit = license_scan.LICENSES["MIT"]
+    isc = license_scan.LICENSES["ISC"]
+    d = write([mit.upper(), "Copyright (c) 2020 A\nCopyright (c) 2021 B\n" + mit.replace(", ", " ,\n"), mit + " and more", isc.replace("License", "Licence"), "", None])
+    got = [r["license_id"] for r in license_scan.op7_license_digest(spark, d).orderBy("doc_id").collect()]
+    assert got == ["MIT", "MIT", None, "ISC", None, None]
+
+
+# --- 9 and 10 -----------------------------------------------------------------------------
+
+
+def test_held_out_accuracy(spark, write):
+    rng = random.Random(2)
+    bad = ["dreadful", "rotten", "vile"]
+    texts, labels = [], []
+    for i in range(400):
+        words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(30)]
+        toxic = i % 4 == 0
+        if toxic:
+            words[rng.randrange(30)] = rng.choice(bad)
+        texts.append(" ".join(words))
+        labels.append((i, 1, int(toxic)))
+    out = toxicity.op9_toxicity(spark, write(texts, labels=labels)).collect()
+    held = [r for r in out if r["held_out"]]
+    assert len(held) > 50 and all(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in held)
+
+
+def test_no_labels_score_nothing(spark, write):
+    assert all(r["score"] < 1e-9 for r in toxicity.op9_toxicity(spark, write(["a b c", None])).collect())
+
+
+PARTS = ["password", "passwd", "token", "secret", "api_key", "apikey", "API_KEY", "=", ":", " ", '"', "'", "abc", "deadbeef", "0123456789abcdef", "AKIA", "XYZ123456", "-", "ñ", "é\n", "x", "ghp_", "ſecret"]
+
+
+@pytest.fixture(scope="module")
+def scan():
+    return secret_scan.scanner(secret_scan.RULES)
+
+
+@given(st.lists(st.sampled_from(PARTS), max_size=14))
+@settings(max_examples=400, deadline=None)
+def test_secrets(scan, parts):
+    text = "".join(parts)
+    _, want = secret_scan.base_by_regex(text)
+    assert hashlib.sha256(secret_scan._digested(scan.spans(text), secret_scan.BASE_KINDS).encode()).hexdigest() == want
+
+
+def test_added_kinds_and_redaction(spark, write):
+    pem, forge = "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a1B2" * 9
+    d = write([f"é {pem} x {forge}", "nothing", None])
+    spans = [r["spans"] for r in secret_scan.op10_secret_scan(spark, d).orderBy("doc_id").collect()]
+    assert spans == [f"pem:2:{2 + len(pem)},forge_token:{5 + len(pem)}:{5 + len(pem) + len(forge)}", "", ""]
+    clean = secret_scan.redact(documents_of(spark, d)).orderBy("doc_id").collect()
+    assert [(r["text"], r["n_chars"]) for r in clean] == [("é <pem> x <forge_token>", 23), ("nothing", 7), (None, None)]
