@@ -103,11 +103,11 @@ def exact_groups(spark: SparkSession, path: str, checkpoint: str | None = None)
     hit = state.filter("n > 1").select("digest")
     # The texts move once, to their digests; those that are hit are written, and all
     # that follows reads no other. Grouping by the text itself compares full bytes; it
-    # has an exchange of its own, so that equal rows of a task merge before they move
-    # and a hot digest may be split in the joins before and after.
+    # has an exchange of its own, so that equal rows of a task merge before they move, and
+    # its result is written, so that a hot digest may be split in the joins before and after.
     rows = stored(_rows(spark.read.parquet(path)).join(hit, "digest", "left_semi"), "dedup-hits")
     texts = rows.groupBy("norm").agg(F.first("digest").alias("digest"), F.count("*").alias("size"), F.min("place").alias("best"))
-    texts = texts.groupBy("digest").agg(F.count("*").alias("texts"), F.collect_list(F.struct("size", "best", "norm")).alias("all"))
+    texts = stored(texts.groupBy("digest").agg(F.count("*").alias("texts"), F.collect_list(F.struct("size", "best", "norm")).alias("all")), "dedup-texts")
     one = texts.filter("texts = 1").select("digest", F.col("all")[0]["size"].alias("size"), F.col("all")[0]["best"].alias("best"))
     many = texts.filter("texts > 1").select("digest", F.inline("all"))
     found = rows.select("digest", "place").join(one, "digest").select("digest", "place", "size", "best")
