@@ -73,7 +73,7 @@ def python_symbols(path: str, text: str) -> tuple[list[tuple], list[tuple]]:
                 target = ast.unparse(n.func)
                 if re.fullmatch(r"[\w.]+", target):
                     fact(key, "calls", "qualified", target)
-                    if re.search(r"(?:^|\.)test_\w+$", key):
+                    if re.search(r"(?:^|[.:])test_\w+$", key):
                         fact(key, "tests", "qualified", target)
             walk(n, parents, key, in_class)
 

@@ -41,8 +41,9 @@ def selected(path: Column, include: list[str], exclude: list[str]) -> Column:
 def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, most_bytes: int = MOST_BYTES, glob: str | None = None) -> DataFrame:
     """path (relative), size_bytes, modified_at, content_hash and content of text files.
 
-    Hidden files count, .git does not. Files that are too large, hold a NUL in their first
-    8 KiB or are no UTF-8 are left out; sizes and paths are tested before contents.
+    Files that are too large, hold a NUL in their first 8 KiB or are no UTF-8 are left out;
+    sizes and paths are tested before contents. Spark's file listing passes over names
+    that begin with . or _, so hidden files are not seen.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
@@ -51,7 +52,7 @@ def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclu
     path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), f"^{re.escape(base)}/", "")
     files = reader.load(root).filter(F.col("length") <= most_bytes).withColumn("path", path)
     files = files.filter(~F.rlike("path", F.lit(r"(^|/)\.git(/|$)")) & selected(F.col("path"), include or [], exclude or []))
-    text = (F.instr(F.hex(F.substring("content", 1, PROBE)), "00") == 0) | ~F.rlike(F.hex(F.substring("content", 1, PROBE)), F.lit("^(..)*00"))
+    text = ~F.rlike(F.hex(F.substring("content", 1, PROBE)), F.lit("^(?:(?!00)..)*+00"))
     good = files.filter(text).withColumn("text", F.try_validate_utf8(F.col("content").cast("string"))).filter("text IS NOT NULL")
     return good.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), F.sha2("content", 256).alias("content_hash"), F.col("text").alias("content"))
 
