@@ -38,6 +38,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,11 +79,19 @@ def runs_for(recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - s))
 
 
+class WordHashes(dict):
+    """Hashes of words, each taken once."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Shingler:
     """Turns texts into keys of their words and sets of hashed shingles."""
 
     def __init__(self) -> None:
-        self.hashes: dict[bytes, int] = {}
+        self.hashes = WordHashes()
 
     def __call__(self, text: str | None) -> tuple[bytes, np.ndarray]:
         words = (text or "").encode("utf-8", "surrogatepass").split()  # by space, \t \n \v \f \r
@@ -91,14 +100,7 @@ class Shingler:
             return key, np.zeros(0, np.uint64)
         if len(self.hashes) > 250_000:
             self.hashes.clear()
-        known = self.hashes
-        try:
-            h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-            h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
         n = min(WORDS, len(words))
         total = np.zeros(len(words) - n + 1, np.uint64)
         for k in range(n):
@@ -128,10 +130,11 @@ def sketch(tokens: np.ndarray) -> tuple[int, int]:
 
 def picks(path: np.ndarray, tokens: np.ndarray, similarity: float) -> np.ndarray:
     """The paths that lead on from each of ``path`` by the tokens that are picked there."""
-    limit = SAMPLED / (similarity * max(len(tokens), 1))
+    share = SAMPLED / (similarity * max(len(tokens), 1))
+    limit = np.uint64(min(int(share * 2**64), 2**64 - 1))
     out = []
     for p, seed in zip(path, mix(path + _GOLD), strict=True):
-        chosen = tokens[(mix(tokens ^ seed) >> np.uint64(11)) * 2.0**-53 < limit]
+        chosen = tokens[mix(tokens ^ seed) <= limit]
         out.append(mix(chosen * _MIX1 + p))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
