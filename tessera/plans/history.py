@@ -142,7 +142,7 @@ def scope_fingerprints(spark: SparkSession, d: str) -> DataFrame:
 
 
 def compiler_signatures(spark: SparkSession, d: str) -> DataFrame:
-    p = T.table(spark, d, "part").filter("p_partkey < 2000")
+    p = T.table(spark, d, "part")
     one = F.struct(F.when(F.col("p_partkey") % 3 == 0, "warning").otherwise("error").alias("level"), F.when(F.col("p_partkey") % 5 == 0, "E0308").when(F.col("p_partkey") % 5 == 1, "oops").otherwise("E0425").alias("code"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).alias("expected_type"), F.lit("i32").alias("actual_type"), F.when(F.col("p_partkey") % 7 == 0, "../x.rs").otherwise("src/x.rs").alias("path"))
     rows = p.select(F.col("p_partkey").alias("report_id"), (F.col("p_partkey") % 11).alias("exit_code"), F.struct(F.lit("package").alias("kind"), F.lit("core").alias("value")).alias("subject"), F.array(one).alias("diagnostics"))
     return V.compiler_failure(rows).select("report_id", "status", F.coalesce(F.get(F.map_keys("components"), F.lit(0)), F.lit("")).alias("first_component"))
@@ -267,7 +267,7 @@ SELECT session_id, source_id, pinned, round(current, 6) AS current, row_number()
     "eligibility_issues": f"""WITH {_COUNTS}, i AS (SELECT *, list_filter([CASE WHEN executed = 0 THEN 'empty_test_run' END, CASE WHEN skipped > 0 THEN 'skipped_tests' END, CASE WHEN errored > 0 THEN 'test_execution_errors' END, CASE WHEN run % 10 = 0 THEN 'bail_execution_unsupported' END, CASE WHEN assertion_failed > 1 THEN 'multiple_test_failures' END,
 CASE WHEN NOT ((assertion_failed + errored = 0 AND passed = executed) OR (assertion_failed + errored > 0 AND assertion_failed = 1)) THEN 'unsupported_test_outcome' END], lambda x: x IS NOT NULL) AS l FROM t)
 SELECT run, CASE WHEN len(l) > 0 THEN 'ineligible' WHEN assertion_failed + errored = 0 THEN 'eligible_passed' ELSE 'eligible_failed' END AS status, coalesce(array_to_string(l, ','), '') AS issues FROM i""",
-    "compiler_signatures": """WITH r AS (SELECT p_partkey AS k FROM part WHERE p_partkey < 2000) SELECT k AS report_id, s AS status, CASE WHEN s IN ('exact', 'compatible_only') THEN 'diagnostic_code' ELSE '' END AS first_component FROM (SELECT k, CASE WHEN k % 11 = 0 THEN 'not_a_failure' WHEN k % 3 = 0 THEN 'ambiguous_compiler_diagnostics' WHEN k % 5 = 1 THEN 'missing_structured_diagnostic_code' WHEN k % 7 = 0 THEN 'unsafe_diagnostic_path'
+    "compiler_signatures": """WITH r AS (SELECT p_partkey AS k FROM part) SELECT k AS report_id, s AS status, CASE WHEN s IN ('exact', 'compatible_only') THEN 'diagnostic_code' ELSE '' END AS first_component FROM (SELECT k, CASE WHEN k % 11 = 0 THEN 'not_a_failure' WHEN k % 3 = 0 THEN 'ambiguous_compiler_diagnostics' WHEN k % 5 = 1 THEN 'missing_structured_diagnostic_code' WHEN k % 7 = 0 THEN 'unsafe_diagnostic_path'
 WHEN k % 5 = 0 AND k % 2 <> 0 THEN 'missing_type_distinction' WHEN k % 5 = 0 THEN 'exact' ELSE 'compatible_only' END AS s FROM r)""",
     "lifecycle_fold": f"WITH {_EXP} SELECT id AS experience_id, ['active', 'disputed', 'refuted', 'superseded'][w + 1] AS lifecycle FROM e",
     "experience_score": f"""WITH {_EXP}, x AS (SELECT id FROM e WHERE k = 7 ORDER BY tm DESC, id DESC LIMIT 200), y AS (SELECT id FROM e WHERE p = 7 OR sp = 7 ORDER BY tm DESC, id DESC LIMIT 200)
