@@ -33,7 +33,7 @@ SYMBOLS = "#*$%&|<>"
 #: Words of the windows of the base rule and of the shortest repeat that counts.
 WINDOW = 8
 LEAST_WORDS, BASE_PERCENT = 20, 30
-MAX_COVERED, MAX_REPEAT = 0.25, 100
+MAX_COVERED, MAX_REPEAT = 0.30, 100
 #: Words that are sorted together; a longer text is sorted alone.
 TOGETHER = 200_000
 
