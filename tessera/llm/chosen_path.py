@@ -6,14 +6,15 @@ those with equal words in equal order, are one class and take part once.
 
 Chosen paths: in each run a set picks those of its tokens whose hash, seeded by the run,
 is under ``SAMPLED / (similarity * size)``. A token picked by several sets is a bucket. A
-bucket that is small is brute-forced; in a larger one every set picks tokens again, by
-hashes seeded by the path that led there, and so on. Two sets that are similar enough
-share ``SAMPLED`` picks of a step or more on average, a branching process that survives
-to any depth with a probability s = 1 - exp(-SAMPLED * s); runs are repeated until
-1 - (1 - s) ** runs reaches the target recall. A large bucket whose sets are alike on the
-whole (a family of near copies, which no token divides), or that is still large at the
-last depth, is brute-forced too, in pairs of blocks of ``BLOCK`` sets, so that no task
-holds more than two blocks and no pair is left out.
+bucket that is small is brute-forced; in a larger one every set goes on by one more token,
+that with the least hash, seeded by the path that led there, and so on to ``DEPTH``. Two
+sets that are similar enough share ``SAMPLED`` first picks or more on average, and each
+later step with a probability of ``similarity`` or more; runs are repeated until a pair
+that is always in large buckets still meets at the last depth with the target recall. A
+large bucket whose sets are alike on the whole (a family of near copies, which no token
+divides), or that is still large at the last depth, is brute-forced too, in pairs of
+blocks of ``BLOCK`` sets, so that no task holds more than two blocks and no pair is left
+out.
 
 Brute force has two steps. First only sizes and sketches (128 one-bit minhashes) are
 compared; a true pair falls five standard deviations short of the bound with a
@@ -48,8 +49,8 @@ from tessera.llm.components import components
 WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.9999
-#: Picks that similar sets share on average; buckets up to LIMIT are small.
-SAMPLED, LIMIT, BLOCK, DEPTH = 2.0, 512, 512, 6
+#: First picks that similar sets share on average; buckets up to LIMIT are small.
+SAMPLED, LIMIT, BLOCK, DEPTH = 3.0, 512, 512, 4
 #: Mean similarity from which a large bucket is one family.
 ALIKE = 0.4
 BITS = 128
@@ -72,11 +73,10 @@ _FACTORS = _SEEDS[:BITS] | np.uint64(1)
 _PLACES = _SEEDS[BITS : BITS + WORDS] | np.uint64(1)
 
 
-def runs_for(recall: float) -> int:
-    s = 0.5
-    for _ in range(200):
-        s = 1 - math.exp(-SAMPLED * s)
-    return math.ceil(math.log(1 - recall) / math.log(1 - s))
+def runs_for(recall: float, similarity: float) -> int:
+    """A pair shares a Poisson number of first picks, of which similarity ** (DEPTH - 1)
+    are shared to the end."""
+    return math.ceil(-math.log(1 - recall) / (SAMPLED * similarity ** (DEPTH - 1)))
 
 
 class WordHashes(dict):
@@ -129,7 +129,7 @@ def sketch(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def picks(path: np.ndarray, tokens: np.ndarray, similarity: float) -> np.ndarray:
-    """The paths that lead on from each of ``path`` by the tokens that are picked there."""
+    """The first paths: those of the tokens that each run, a seed in ``path``, picks."""
     share = SAMPLED / (similarity * max(len(tokens), 1))
     limit = np.uint64(min(int(share * 2**64), 2**64 - 1))
     out = []
@@ -139,6 +139,12 @@ def picks(path: np.ndarray, tokens: np.ndarray, similarity: float) -> np.ndarray
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def led_on(path: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Each of ``path`` with one more token, that of the least hash there."""
+    least = [tokens[np.argmin(mix(tokens ^ seed))] for seed in mix(path + _GOLD)]
+    return mix(np.array(least, np.uint64) * _MIX1 + path)
+
+
 SIGNED = "doc_id {}, key binary, n int, s0 long, s1 long, paths array<long>"
 
 
@@ -191,14 +197,14 @@ def sets_by_key(docs: DataFrame) -> Iterator[DataFrame]:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def lead_on(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def lead_on(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """(path, key) of the next step, from (path, key) rows in buckets that are split."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             keys, paths = [], []
             for key, path, tokens in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                found = picks(path.values.to_numpy().view(np.uint64), unpacked(tokens.as_buffer()), similarity).view(np.int64)
+                found = led_on(path.values.to_numpy().view(np.uint64), unpacked(tokens.as_buffer())).view(np.int64)
                 keys += [key] * len(found)
                 paths.append(found)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(paths) if paths else [], pa.int64()), pa.array(keys, pa.binary())], names=["path", "key"])
@@ -369,7 +375,7 @@ def _links(rows: DataFrame, texts: DataFrame, sets: DataFrame, similarity: float
     for depth in range(2, DEPTH + 1):
         if deep.isEmpty():
             break
-        leaf, deep = buckets(stored(lead_on(deep, sets, similarity), "path-next"), texts, last=depth == DEPTH)
+        leaf, deep = buckets(stored(lead_on(deep, sets), "path-next"), texts, last=depth == DEPTH)
         every = every.union(leaf)
     by_key = every.groupBy("key").agg(F.collect_list(F.struct("path", "blocks")).alias("found"))
     at = by_key.join(texts.select("key", "n", "s0", "s1"), "key").select("*", F.col("found.path").alias("leaves"), F.explode("found").alias("f"))
@@ -384,7 +390,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     """One row for each row of ``docs``: doc_id; copy_id, the least id with equal words;
     class_id, the least id of all that links connect; n_links, its text's links to
     different texts."""
-    signs = stored(signed(docs, runs_for(recall), similarity), "join-signs")
+    signs = stored(signed(docs, runs_for(recall, similarity), similarity), "join-signs")
     # of equal texts one takes part; equal rows merge before they move
     texts = stored(signs.groupBy("key").agg(F.min("doc_id").alias("copy_id"), F.first(F.struct("n", "s0", "s1", "paths")).alias("x")).select("key", "copy_id", "x.*"), "join-texts")
     rows = texts.filter("n > 0").select(F.explode("paths").alias("path"), "key")
