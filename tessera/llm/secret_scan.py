@@ -13,6 +13,10 @@ matches from one start are prefixes of each other and end where a run of accepti
 positions ends; this holds for every rule that ends in a repeated class, and for
 rules of fixed length whose match can't be extended.
 
+A rule may have a tail: the automaton finds the header of a private key, and the match
+then runs on through the key to its END line, or, where that is cut off, through the
+lines that are base64.
+
 Edge cases: a null or empty text has no secrets; long texts are read whole, in one
 pass; offsets are code points, end exclusive; repeated rows give repeated results;
 columns of the input other than the text and the id are not touched.
@@ -38,16 +42,30 @@ ALL = frozenset(range(256))
 TAIL = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
 
 
+#: The lines that enclose a private key (RFC 7468, OpenPGP and SSH2 forms).
+_KEY = "([A-Z0-9]+ )*PRIVATE KEY"
+KEY_BEGIN, KEY_END = (f"(-----{x} {_KEY}( BLOCK)?-----|---- {x} {_KEY} ----)" for x in ("BEGIN", "END"))
+#: What ends the search for the END line: itself (``end``), or that something else begins.
+KEY_CLOSED = f"(?P<end>{KEY_END})|---- ?BEGIN "
+#: A key whose END line is cut off: fields, long runs of base64, and short last lines, with
+#: white space (also as escapes) and the marks of quoted, commented and joined lines between.
+_GAP = r"""(?:\\[nrt]|[\s"'`,;>#*\\])"""
+KEY_OPEN = rf"""(?:{_GAP}++[A-Za-z0-9-]+:\x20[^\r\n\\]*+)*+(?:{_GAP}*+[A-Za-z0-9+/=]{{16,}}+)++(?:{_GAP}++[A-Za-z0-9+/=]{{1,15}}+(?=[\x20\t]*+(?:[\r\n\\"'`]|\Z))){{0,2}}"""
+
+
 @dataclass(frozen=True)
 class Rule:
     """kind; the pattern (ASCII, see ``parse``); a regular expression with a group
-    ``v`` for what is measured (default: the whole match) and its least length."""
+    ``v`` for what is measured (default: the whole match) and its least length; regular
+    expressions of the tail: what closes it, and how far it goes if nothing does."""
 
     kind: str
     pattern: str
     least: int = 1
     measured: str | None = None
     ignore_case: bool = False
+    closed: str | None = None
+    open: str | None = None
 
 
 #: The rules whose kinds and limits are fixed, then those that the method adds.
@@ -61,7 +79,7 @@ RULES = (
     Rule("pay_key", r"(sk|rk)_live_[A-Za-z0-9]+", 24),
     Rule("cloud_key", r"AIza[A-Za-z0-9_-]+", 39),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
-    Rule("pem", r"-----BEGIN (RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----", 1),
+    Rule("pem", KEY_BEGIN, 1, closed=KEY_CLOSED, open=KEY_OPEN),
 )
 
 
@@ -282,6 +300,7 @@ class Scanner:
         self.back = [compile_rules([reversed_tree(t)], search=False) for t in trees]
         self.dead = [next((s for s in range(0, a.first, a.width) if all(t == s for t in a.table[s : s + a.width])), None) for a in self.back]
         self.measured = [r.measured and re.compile(r.measured.encode(), re.I * r.ignore_case) for r in rules]
+        self.tails = [r.closed and (re.compile(r.closed.encode()), re.compile(r.open.encode())) for r in rules]
 
     @staticmethod
     def runs(dfa: Automaton, data: bytes, offset: int = 0) -> dict[int, list[list[int]]]:
@@ -330,11 +349,20 @@ class Scanner:
                         again = self.runs(self.alone[k], data[done : z + 1], done).get(0, [])
                         todo = [(x, y) for x, y in again if self.start(k, data, x, done) is not None]
                         continue
-                    done = z + 1
+                    done = self._through(k, data, z + 1)
                     if self._long_enough(k, data[s:done]):
                         kept.append((s, done, k))
         return sorted(kept)
 
+    def _through(self, k: int, data: bytes, end: int) -> int:
+        """Where a match of rule k whose pattern ends at ``end`` ends with its tail."""
+        if not self.tails[k]:
+            return end
+        closed, still_open = self.tails[k]
+        if (m := closed.search(data, end)) and m["end"]:
+            return m.end()
+        return m.end() if (m := still_open.match(data, end)) else end
+
     def _long_enough(self, k: int, match: bytes) -> bool:
         measured = self.measured[k]
         return len(measured.fullmatch(match)["v"] if measured else match) >= self.rules[k].least

@@ -287,3 +287,31 @@ def test_added_kinds_and_redaction(spark, write):
     assert spans == [f"pem:2:{2 + len(pem)},forge_token:{5 + len(pem)}:{5 + len(pem) + len(forge)}", "", ""]
     clean = secret_scan.redact(documents_of(spark, d)).orderBy("doc_id").collect()
     assert [(r["text"], r["n_chars"]) for r in clean] == [("é <pem> x <forge_token>", 23), ("nothing", 7), (None, None)]
+
+
+BODY = ["MIIEpAIBAAKCAQEA" + "aB3+" * 12, "q/7Z" * 16, "Zm9v" * 5 + "YmE="]
+
+
+@pytest.mark.parametrize("label", ["RSA PRIVATE KEY", "PRIVATE KEY", "ENCRYPTED PRIVATE KEY", "OPENSSH PRIVATE KEY", "PGP PRIVATE KEY BLOCK"])
+@pytest.mark.parametrize("newline", ["\n", "\r\n", "\\n", '",\n    "', " ", ""])
+@pytest.mark.parametrize("fields", [[], ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF", ""]])
+@pytest.mark.parametrize("whole", [True, False])
+def test_whole_key(scan, label, newline, fields, whole):
+    if fields and not whole and not newline.endswith("n"):
+        newline = "\n"  # fields without an END line are known by their lines
+    key = newline.join([f"-----BEGIN {label}-----", *fields, *BODY, *([f"-----END {label}-----"] * whole)])
+    found = [x for x in scan.spans(f"é {key}\nthe text goes on") if x[2] == "pem"]
+    assert found == [(2, 2 + len(key), "pem")]
+
+
+def test_each_key_by_itself(scan):
+    begin, end = "-----BEGIN EC PRIVATE KEY-----", "-----END EC PRIVATE KEY-----"
+    cut, whole, ssh = "\n".join([begin, *BODY]), "\n".join([begin, *BODY, end]), "---- BEGIN SSH2 ENCRYPTED PRIVATE KEY ----\nab\n---- END SSH2 ENCRYPTED PRIVATE KEY ----"
+    text = f"{cut}\n-----BEGIN CERTIFICATE-----\nx\n{whole}\nand {ssh} {begin} is a header"
+    assert [text[s:e] for s, e, k in scan.spans(text) if k == "pem"] == [cut, whole, ssh, begin]
+
+
+def test_whole_key_redacted(spark, write):
+    key = "\n".join(["-----BEGIN ENCRYPTED PRIVATE KEY-----", *BODY, "0123456789abcdef" * 4, "-----END ENCRYPTED PRIVATE KEY-----"])
+    d = write([f"a\n{key}\nb", f"secret={key} c"])
+    assert [r["text"] for r in secret_scan.redact(documents_of(spark, d)).orderBy("doc_id").collect()] == ["a\n<pem>\nb", "<assign> c"]
