@@ -1,8 +1,11 @@
-"""Texts of well-known licences, without their copyright lines.
+"""Texts of well-known licences; short ones here, without their copyright lines.
 
-Fixed values: the wording is that of the licences' publishers.
+Fixed values: the wording is that of the licences' publishers. Long texts are whole files
+in ``licenses``, by name; a name with words in brackets is another printing of the same.
 """
 
+from importlib.resources import files
+
 _BSD_TERMS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
 
 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
@@ -76,6 +79,15 @@ You should have received a copy of the GNU General Public License along with thi
 """,
 }
 
+_END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+for _file in sorted((f for f in (files("tessera.llm") / "licenses").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name):
+    _name, _text = _file.name.removesuffix(".txt"), _file.read_text("utf-8")
+    LICENSES[_name] = _text
+    if _END_OF_TERMS in _text:  # the appendix is often left out, sometimes with this line
+        _terms = _text.partition(_END_OF_TERMS)[0]
+        LICENSES[f"{_name} (terms)"] = _terms + _END_OF_TERMS
+        LICENSES[f"{_name} (terms, no end line)"] = _terms
+
 #: Spellings that count as equal: the first is read as the second.
 SPELLINGS = (
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("licencing", "licensing"), ("sublicence", "sublicense"),
