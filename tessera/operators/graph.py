@@ -129,16 +129,20 @@ def impact(edges: DataFrame, nodes: DataFrame, start: DataFrame, max_nodes: int
     return found.join(nodes.select("node_id", "stable_key"), "node_id").orderBy("depth", F.desc("confidence"), "stable_key")
 
 
-def chain_roots(links: DataFrame, old: str, new: str, depth: int = 64) -> DataFrame:
+def chain_roots(links: DataFrame, old: str, new: str) -> DataFrame:
     """(item, root, hops, cyclic) along links old -> new, where each item has one link.
 
-    Pointer jumping: the number of rounds is the logarithm of the longest chain.
+    Pointer jumping: the number of rounds is the logarithm of the longest chain, or of the
+    number of links if there is a circle. Root and hops of cyclic items are those of the
+    last round.
     """
     jump = links.select(F.col(old).alias("item"), F.col(new).alias("root"), F.lit(1).cast("long").alias("hops"))
-    ends = 1
-    while ends < depth:
+    ends, most = 1, links.count()
+    while ends < most:
         then = jump.select(F.col("item").alias("root"), F.col("root").alias("__root"), F.col("hops").alias("__hops"))
-        jump = kept(jump.join(then, "root", "left").select("item", F.coalesce("__root", "root").alias("root"), (F.col("hops") + F.coalesce("__hops", F.lit(0))).alias("hops")), "chain")
+        jump = kept(jump.join(then, "root", "left").select("item", F.coalesce("__root", "root").alias("root"), (F.col("hops") + F.coalesce("__hops", F.lit(0))).alias("hops"), F.col("__root").isNotNull().alias("__on")), "chain")
+        if jump.filter("__on").isEmpty():
+            break
         ends *= 2
     inside = links.select(F.col(old).alias("root")).distinct().withColumn("__in", F.lit(True))
     return jump.join(inside, "root", "left").select("item", "root", "hops", F.col("__in").isNotNull().alias("cyclic"))

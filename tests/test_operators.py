@@ -153,6 +153,23 @@ def test_supersession_needs_trust_and_no_circle(spark):
         memory.supersede(links, m, 3, 1)
 
 
+def test_long_chains(spark):
+    line, ring = [(i, i + 1) for i in range(1, 301)], [(1000 + i, 1000 + (i + 1) % 100) for i in range(100)]
+    tail = [(2000, 2001), (2001, 1000)]
+    got = {r["item"]: r for r in graph.chain_roots(spark.createDataFrame(line + ring + tail, "old long, new long"), "old", "new").collect()}
+    assert len(got) == 402
+    assert all((got[i]["root"], got[i]["hops"], got[i]["cyclic"]) == (301, 301 - i, False) for i, _ in line)
+    assert all(got[i]["cyclic"] for i, _ in ring + tail)
+
+
+def test_supersession_at_the_end_of_a_long_chain(spark):
+    m = spark.createDataFrame([(i, "trusted") for i in range(1, 103)], "memory_id long, trust string")
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, 101)], "superseded long, superseding long")
+    assert memory.supersede(links, m, 101, 102).count() == 101
+    with pytest.raises(ValueError, match="circular"):
+        memory.supersede(links, m, 101, 1)
+
+
 def test_trust_reviews(spark):
     m = spark.createDataFrame([(1, "unreviewed", "imported"), (2, "unreviewed", "human_authorized")], "memory_id long, trust string, origin string")
     r = spark.createDataFrame([(1, "unreviewed", "trusted", 1), (1, "unreviewed", "rejected", 2), (2, "unreviewed", "trusted", 3)], "memory_id long, previous string, trust string, seq long")
