@@ -147,8 +147,45 @@ def test_failure(reports: DataFrame) -> DataFrame:
     return _signed(reports, status, pairs, {"domain": F.lit("test"), "path": F.lit("")})
 
 
+def test_run_failure(runs: DataFrame) -> DataFrame:
+    """Signature of a run (see ``eligibility``, whose ``status`` it has) with one case that
+    failed by assertion; never an exact identity.
+
+    Cases: array of (status, namespace, name, error_class).
+    """
+    failed = F.filter("cases", lambda c: c["status"] == "assertion_failed")
+    one = F.get(failed, F.lit(0))
+    part = lambda x: F.concat(F.octet_length(x).cast("string"), F.lit(":"), x)
+    namespace = F.concat(F.size(one["namespace"]).cast("string"), F.lit(":"), F.array_join(F.transform(one["namespace"], part), ""))
+    eligible = F.coalesce(F.col("status") == "eligible_failed", F.lit(False))
+    status = F.when(~eligible, "ineligible_test_run_failure").when(F.size(failed) != 1, "ambiguous_test_run_failure").otherwise("compatible_only")
+    plain = ("profile_id", "profile_version", "runner_id", "runner_version", "project_root", "import_root", "selection_kind", "selection_value")
+    pairs = {c: F.col(c) for c in plain} | {"case_namespace": namespace, "case_name": one["name"], "error_class": one["error_class"]}
+    return _signed(runs.withColumnRenamed("run_id", "report_id"), status, pairs, {"domain": F.lit("test_run"), "path": F.col("test_file")})
+
+
+def registered_tool_failure(reports: DataFrame, rules: DataFrame) -> DataFrame:
+    """Signature of a generic verifier's failure under its registered rule; never an exact
+    identity.
+
+    Rules: rule_id, rule_version, verifier_id, verifier_version, required_tool,
+    required_operation, allowed_subject_kinds; one row for each verifier and version.
+    """
+    r = reports.join(rules, ["verifier_id", "verifier_version"], "left")
+    same = F.col("tool").eqNullSafe(F.col("required_tool")) & F.col("operation").eqNullSafe(F.col("required_operation"))
+    failed = F.coalesce((F.col("process_outcome") == "exited_nonzero") & (F.col("reported_result") == "failed"), F.lit(False))
+    stable = F.coalesce(F.rlike(F.col("subject.value"), F.lit(r"\A[A-Za-z0-9_.:<>, &-]{1,512}\z")), F.lit(False))
+    allowed = F.coalesce(F.array_contains("allowed_subject_kinds", F.col("subject.kind")), F.lit(False))
+    status = (
+        F.when(~failed, "not_a_failure").when(F.col("rule_id").isNull(), "unregistered_verifier_rule").when(~same, "verifier_rule_mismatch")
+        .when(~stable, "invalid_verification_subject").when(~allowed, "verifier_subject_not_allowed").otherwise("compatible_only")
+    )
+    pairs = {"rule_id": F.col("rule_id"), "rule_version": F.col("rule_version"), "subject_kind": F.col("subject.kind"), "subject_value": F.col("subject.value"), "exit_class": F.lit("nonzero")}
+    return _signed(r, status, pairs, {"domain": F.lit("registered_tool"), "path": F.lit("")})
+
+
 def _signed(reports: DataFrame, status: Column, pairs: dict[str, Column], fields: dict[str, Column]) -> DataFrame:
     entries = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs.items()]), lambda e: e["value"].isNotNull())
     ok = F.col("status").isin("exact", "compatible_only")
-    out = reports.select("*", status.alias("status"), F.map_from_entries(entries).alias("components"))
+    out = reports.select(*[c for c in reports.columns if c != "status"], status.alias("status"), F.map_from_entries(entries).alias("components"))
     return out.withColumn("key", F.when(ok, F.sha2(signature_key(fields, F.col("components")), 256))).withColumn("components", F.when(ok, F.col("components"))).select("report_id", "status", "components", "key")

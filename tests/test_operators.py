@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import Retrieval, Settings
 from tessera.functions import columns as C
-from tessera.operators import context, experience, filters, graph, ingest, memory, retrieval, temporal
+from tessera.operators import context, evidence, experience, filters, graph, ingest, memory, retrieval, temporal
 from tessera.sources import analyzers, captures, embedding, sinks, workspace
 from tessera.streaming import changes
 
@@ -340,3 +340,26 @@ def test_failures_stay_alone(spark):
 
     got = {r["out"]: r["status"] for r in changes.isolated(spark.range(4), work, "out long").collect()}
     assert got == {0: "done", 10: "done", None: "failed", 30: "done"}
+
+
+def test_run_and_tool_failures(spark):
+    case = "array<struct<status:string,namespace:array<string>,name:string,error_class:string>>"
+    names = ("profile_id", "profile_version", "runner_id", "runner_version", "project_root", "import_root", "selection_kind", "selection_value", "test_file")
+    bad, good = ("assertion_failed", ["a", "ñ"], "t", "E"), ("passed", [], "u", None)
+    runs = spark.createDataFrame(
+        [(i, status, cases, *names) for i, status, cases in [(1, "eligible_failed", [good, bad]), (2, "eligible_failed", [bad, bad]), (3, "ineligible", [bad]), (4, "eligible_passed", [good])]],
+        f"run_id long, status string, cases {case}, " + ", ".join(f"{c} string" for c in names),
+    )
+    got = {r["report_id"]: r for r in evidence.test_run_failure(runs).collect()}
+    assert [got[i]["status"] for i in (1, 2, 3, 4)] == ["compatible_only", "ambiguous_test_run_failure", "ineligible_test_run_failure", "ineligible_test_run_failure"]
+    assert got[1]["components"] == {c: c for c in names[:-1]} | {"case_namespace": "2:1:a2:ñ", "case_name": "t", "error_class": "E"}
+    assert got[1]["key"] and got[2]["key"] is None
+
+    rules = spark.createDataFrame([("r", "1", "v", "1", "lint", "check", ["file"])], "rule_id string, rule_version string, verifier_id string, verifier_version string, required_tool string, required_operation string, allowed_subject_kinds array<string>")
+    ok = ("v", "1", "lint", "check", "exited_nonzero", "failed", ("file", "x"))
+    change = lambda i, v: (*ok[:i], v, *ok[i + 1 :])
+    rows = [ok, change(4, "exited_zero"), change(5, "passed"), change(1, "2"), change(2, "fmt"), change(6, ("file", "a/b")), change(6, ("crate", "x"))]
+    reports = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "report_id long, verifier_id string, verifier_version string, tool string, operation string, process_outcome string, reported_result string, subject struct<kind:string,value:string>")
+    out = [r for r in evidence.registered_tool_failure(reports, rules).orderBy("report_id").collect()]
+    assert [r["status"] for r in out] == ["compatible_only", "not_a_failure", "not_a_failure", "unregistered_verifier_rule", "verifier_rule_mismatch", "invalid_verification_subject", "verifier_subject_not_allowed"]
+    assert out[0]["components"] == {"rule_id": "r", "rule_version": "1", "subject_kind": "file", "subject_value": "x", "exit_class": "nonzero"}
