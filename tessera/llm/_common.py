@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 from pyspark.sql.window import Window
 
 #: The white space that all operators of this subpackage know: space and \t \n \v \f \r.
@@ -16,17 +20,25 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Folders that ``stored`` and ``shared_dir`` named in this process, oldest first.
+_named: list[str] = []
+
+
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A fresh folder path that the driver and all executors can see.
 
-    It lies under ``spark.checkpoint.dir``. Only where that setting is absent (a
-    local session in tests) a folder under /tmp/checkpoints is used.
+    It lies under ``spark.checkpoint.dir``. Where that setting is absent a local session,
+    as in tests, uses a folder under /tmp/checkpoints; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file:///tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _named.append(f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}")
+    return _named[-1]
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
@@ -36,6 +48,43 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def on_files(docs: DataFrame, what: str) -> DataFrame:
+    """``docs`` as a plain read of Parquet files, whose rows have places (file and row in
+    it): itself if it is one already, else written and read again."""
+    if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation":
+        with suppress(AnalysisException):  # files of other formats, or no files
+            docs.select(*places(docs).values())
+            return docs
+    return stored(docs, what)
+
+
+def places(docs: DataFrame) -> dict[str, Column]:
+    """The file and the row in it of each row of a plain read of Parquet files."""
+    hidden = docs.metadataColumn("_metadata")
+    return {"__tessera_file": hidden["file_path"], "__tessera_row": hidden["row_index"]}
+
+
+def named_folders() -> int:
+    """How many folders were named so far; a mark for ``cleanup``."""
+    return len(_named)
+
+
+def cleanup(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> None:
+    """Deletes the folders named after the mark ``since``, but not those ``but`` reads.
+
+    No DataFrame that reads them may be used afterwards; files that are gone already do
+    not matter.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    read = but.inputFiles() if but is not None else []
+    for path in _named[since:]:
+        if any(path.rsplit("/", 1)[1] in f for f in read):
+            continue
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        _named.remove(path)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -56,12 +105,21 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Arrow batches in slices, so that a worker holds few texts as Python objects; at the
-    end the worker gives back what Arrow kept."""
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of at most ``rows`` rows and, but for single rows, ``size``
+    bytes of strings, so that a worker holds few texts as Python objects; at the end the
+    worker gives back what Arrow kept."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        wide = np.zeros(b.num_rows, np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+                wide += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(wide), 0
+        while at < b.num_rows:
+            full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+            to = min(max(full, at + 1), at + rows, b.num_rows)
+            yield b.slice(at, to - at)
+            at = to
     pa.default_memory_pool().release_unused()
 
 

@@ -26,16 +26,17 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm._common import SPACE_CHARS, documents
+from tessera.llm._common import SPACE_CHARS, documents, sliced
 
 SYMBOLS = "#*$%&|<>"
-#: Words of the windows of the base rule and of the shortest repeat that counts.
-WINDOW = 8
-LEAST_WORDS, BASE_PERCENT = 20, 30
-MAX_COVERED, MAX_REPEAT = 0.30, 100
-#: Words that are sorted together; a longer text is sorted alone.
-TOGETHER = 200_000
+#: The base rule: words of its windows, least words of a text, percent of repeated words.
+WINDOW, LEAST_WORDS, BASE_PERCENT = 8, 20, 30
+#: The method: words of the shortest repeat that counts, covered share, longest repeat.
+LEAST, MAX_COVERED, MAX_REPEAT = 3, 0.31, 50
+#: Bytes of the texts that are sorted together; a longer text is sorted alone.
+TOGETHER = 1_200_000
 
 
 def doubled_ranks(first: np.ndarray) -> list[np.ndarray]:
@@ -87,7 +88,7 @@ def longest_repeats(ranks: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def measure(texts: list[bytes], least: int = WINDOW, window: int = WINDOW) -> dict[str, np.ndarray]:
+def measure(texts: list[bytes], least: int = LEAST, window: int = WINDOW) -> dict[str, np.ndarray]:
     """Of each text: words, words in repeated windows, covered code points, longest repeat."""
     split = [t.split() for t in texts]  # bytes split at exactly the white space of ``SPACE_CHARS``
     ids: dict[bytes, int] = defaultdict(count().__next__)
@@ -125,66 +126,99 @@ def repetition(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     """key and the measures of each text, as in ``COLUMNS``."""
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, size, start = b.column(1).to_pylist(), 0, 0
-            for end in range(1, len(texts) + 1):
-                size += len(texts[end - 1] or "")
-                if size < 6 * TOGETHER and end < len(texts):
-                    continue
-                part = [t or "" for t in texts[start:end]]
-                found = measure([t.encode("utf-8", "surrogatepass") for t in part])
-                found["n_symbols"] = [sum(map(t.count, SYMBOLS)) for t in part]
-                found["n_dup_lines"] = [len(lines) - len(set(lines)) for t in part for lines in [[x for x in t.split("\n") if x.strip(SPACE_CHARS)]]]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, end - start), *(pa.array(found[c], pa.int64()) for c in COLUMNS)], names=["key", *COLUMNS])
-                size, start = 0, end
+        for b in sliced(batches, 4096, TOGETHER):
+            part = [t or "" for t in b.column(1).to_pylist()]
+            found = measure([t.encode("utf-8", "surrogatepass") for t in part])
+            found["n_symbols"] = [sum(map(t.count, SYMBOLS)) for t in part]
+            found["n_dup_lines"] = [len(lines) - len(set(lines)) for t in part for lines in [[x for x in t.split("\n") if x.strip(SPACE_CHARS)]]]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(found[c], pa.int64()) for c in COLUMNS)], names=["key", *COLUMNS])
 
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     return rows.mapInArrow(measured, f"key {kind}, " + ", ".join(f"{c} long" for c in COLUMNS)).withColumnRenamed("key", key)
 
 
+BASE_FAILED = f"n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {BASE_PERCENT} * n_words"
+
+
 def judged(measures: DataFrame, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """Adds base_failed and kept."""
-    base = f"n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {BASE_PERCENT} * n_words"
     method = f"covered_chars <= {max_covered}D * word_chars AND longest_repeat <= {max_repeat}"
-    return measures.selectExpr("*", f"({base}) AS base_failed", f"(NOT ({base}) AND {method}) AS kept")
+    return measures.selectExpr("*", f"({BASE_FAILED}) AS base_failed", f"(NOT ({BASE_FAILED}) AND {method}) AS kept")
 
 
-def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = judged(repetition(documents(spark, sf_dir)))
-    return found.select("doc_id", *COLUMNS[:5], "base_failed", "kept", "covered_chars")
+def fitted_share(measures: DataFrame, labels: DataFrame, good: float = 0.05, least: int = 5) -> float | None:
+    """The least covered share, in whole percents, above which at most ``good`` of the
+    labelled texts that the base rule keeps are of good quality; there must be ``least`` of
+    them (None: no such share). The driver gets 101 counts, whatever the corpus holds.
+    Null labels are left out; an id's labels all count.
+    """
+    percent = F.ceil(100 * F.col("covered_chars") / F.greatest("word_chars", F.lit(1))).cast("int")
+    known = measures.filter(f"NOT ({BASE_FAILED})").join(labels.filter("quality IS NOT NULL").select("doc_id", "quality"), "doc_id")
+    rows = known.groupBy(percent.alias("percent")).agg(F.count("*").alias("n"), F.sum("quality").alias("fine")).collect()
+    for limit in range(100):
+        above = [r for r in rows if r["percent"] > limit]
+        many = sum(r["n"] for r in above)
+        if many < least:
+            return None
+        if sum(r["fine"] for r in above) <= good * many:
+            return limit / 100
+    return None
 
 
-OP1_SQL = rf"""
+def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = judged(repetition(documents(spark, sf_dir)))
+    return found.select("doc_id", *COLUMNS[:5], "base_failed", "kept", "covered_chars", "longest_repeat")
+
+
+def _sql() -> str:
+    """The same by ranks of all runs of 1, 2, 4, ... words that occur twice, each from those
+    of half its length. A text's longest repeat is found bit by bit, from the highest: ``g``
+    numbers its runs of as many words as are sure, and a run goes on by 2 ** k words
+    if that run is in ``r{k}``."""
+    levels = 24  # runs of up to 2 ** 24 words: more than a text of 2 GB can repeat
+    ranks = ["r0 AS (SELECT * FROM (SELECT doc_id, i, dense_rank() OVER (PARTITION BY doc_id ORDER BY word) AS r, count(*) OVER (PARTITION BY doc_id, word) AS n FROM p) WHERE n > 1)"]
+    lifts = [f"g{levels} AS (SELECT doc_id, i, 0 AS len, 0::BIGINT AS g FROM r0)"]
+    for k in range(1, levels):
+        half = 1 << (k - 1)
+        ranks.append(
+            f"r{k} AS MATERIALIZED (SELECT * FROM (SELECT doc_id, i, dense_rank() OVER (PARTITION BY doc_id ORDER BY a, b) AS r, count(*) OVER (PARTITION BY doc_id, a, b) AS n"
+            f" FROM (SELECT x.doc_id, x.i, x.r AS a, y.r AS b FROM r{k - 1} x JOIN r{k - 1} y ON x.doc_id = y.doc_id AND y.i = x.i + {half})) WHERE n > 1)"
+        )
+    for k in reversed(range(levels)):
+        lifts.append(
+            f"t{k} AS MATERIALIZED (SELECT * FROM (SELECT doc_id, i, len + {1 << k} AS len, dense_rank() OVER (PARTITION BY doc_id ORDER BY a, b) AS g, count(*) OVER (PARTITION BY doc_id, a, b) AS n"
+            f" FROM (SELECT x.doc_id, x.i, x.len, x.g AS a, y.r AS b FROM g{k + 1} x JOIN r{k} y ON x.doc_id = y.doc_id AND y.i = x.i + x.len)) WHERE n > 1)"
+        )
+        lifts.append(f"g{k} AS MATERIALIZED (SELECT doc_id, i, len, g FROM t{k} UNION ALL SELECT * FROM g{k + 1} WHERE doc_id NOT IN (SELECT doc_id FROM t{k}))")
+    return rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM t),
-p AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
-g AS (
-  SELECT doc_id, i, length(ws[i]) AS points,
-         CASE WHEN i + {WINDOW - 1} <= len(ws) THEN array_to_string(ws[i:i + {WINDOW - 1}], ' ') END AS few,
-         CASE WHEN i + {MAX_REPEAT} <= len(ws) THEN md5(array_to_string(ws[i:i + {MAX_REPEAT}], ' ')) END AS long
-  FROM p),
-r AS (
-  SELECT doc_id, i, points,
-         (few IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, few) > 1)::INT AS again,
-         (long IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, long) > 1)::INT AS far
-  FROM g),
-c AS (SELECT *, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS inside FROM r),
-s AS (SELECT doc_id, sum(points * inside) AS covered, sum(inside) AS n_repeat_words, max(far) AS far, sum(points) AS word_chars FROM c GROUP BY doc_id),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^ 	-]+') AS ws FROM t),
+p AS MATERIALIZED (SELECT doc_id, i, ws[i] AS word, length(ws[i]) AS points FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+{", ".join(ranks)},
+{", ".join(lifts)},
+far AS (SELECT doc_id, max(len) AS longest FROM g0 GROUP BY doc_id),
+few AS (SELECT x.doc_id, x.i FROM (SELECT x.doc_id, x.i, count(*) OVER (PARTITION BY x.doc_id, x.r, y.r) AS n FROM r1 x JOIN r1 y ON x.doc_id = y.doc_id AND y.i = x.i + {LEAST - 2}) x WHERE n > 1),
+c AS (
+  SELECT p.*, max((few.i IS NOT NULL)::INT) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN {LEAST - 1} PRECEDING AND CURRENT ROW) AS covered,
+         max((r3.i IS NOT NULL)::INT) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS inside
+  FROM p LEFT JOIN few ON p.doc_id = few.doc_id AND p.i = few.i LEFT JOIN r3 ON p.doc_id = r3.doc_id AND p.i = r3.i),
+s AS (SELECT doc_id, sum(points * covered) AS covered, sum(inside) AS n_repeat_words, sum(points) AS word_chars FROM c GROUP BY doc_id),
 l AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t)
-  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+  WHERE regexp_matches(line, '[^ 	-]') GROUP BY doc_id),
 m AS (
   SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(s.word_chars, 0)::BIGINT AS word_chars,
          (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          coalesce(l.n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(s.n_repeat_words, 0)::BIGINT AS n_repeat_words,
-         coalesce(s.covered, 0)::BIGINT AS covered_chars, coalesce(far, 0) = 1 AS far
-  FROM w LEFT JOIN s USING (doc_id) LEFT JOIN l USING (doc_id))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {BASE_PERCENT} * n_words AS base_failed,
-       NOT (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {BASE_PERCENT} * n_words)
-         AND covered_chars <= {MAX_COVERED} * word_chars AND NOT far AS kept,
-       covered_chars
+         coalesce(s.covered, 0)::BIGINT AS covered_chars, (CASE WHEN longest >= {LEAST} THEN longest ELSE 0 END)::BIGINT AS longest_repeat
+  FROM w LEFT JOIN s USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN far USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {BASE_FAILED} AS base_failed,
+       NOT ({BASE_FAILED}) AND covered_chars <= {MAX_COVERED} * word_chars AND longest_repeat <= {MAX_REPEAT} AS kept,
+       covered_chars, longest_repeat
 FROM m
 """
+
+
+OP1_SQL = _sql()

@@ -34,9 +34,21 @@ def test_repeats(texts):
 
 
 def test_verdict(spark, write):
-    clean = " ".join(f"w{i}" for i in range(60))
-    d = write([clean, " ".join(["one two three four five six seven eight"] * 5), clean + " " + " ".join(f"w{i}" for i in range(16))])
-    assert [r["kept"] for r in repetition.op1_suffix_repetition(spark, d).orderBy("doc_id").collect()] == [True, False, False]
+    clean = " ".join(f"w{i}" for i in range(400))
+    short = " ".join(f"a b c x{i}" for i in range(12))  # no window of eight words occurs twice
+    passage = clean + " " + " ".join(f"w{i}" for i in range(51))  # an eighth of the text
+    d = write([clean, " ".join(["one two three four five six seven eight"] * 5), short, passage, clean + " w1 w2"])
+    got = {r["doc_id"]: (r["base_failed"], r["kept"], r["longest_repeat"]) for r in repetition.op1_suffix_repetition(spark, d).collect()}
+    assert got == {0: (False, True, 0), 1: (True, False, 32), 2: (False, False, 3), 3: (False, False, 51), 4: (False, True, 0)}
+
+
+def test_the_share_is_fitted_to_labels(spark):
+    rows = [(i, 100, 100, 0, i % 50, 1 if i % 50 <= 30 or i == 99 else 0) for i in range(200)]
+    measures = spark.createDataFrame([r[:5] for r in rows], "doc_id long, n_words long, word_chars long, n_repeat_words long, covered_chars long")
+    labels = spark.createDataFrame([(r[0], r[5]) for r in rows] + [(1, None), (None, 1)], "doc_id long, quality int")
+    want = next(x for x in range(100) if (a := [r[5] for r in rows if r[4] > x]) and sum(a) <= 0.05 * len(a))
+    assert repetition.fitted_share(measures, labels) == want / 100
+    assert repetition.fitted_share(measures, labels.limit(0)) is None
 
 
 # --- 2 ------------------------------------------------------------------------------------
@@ -104,6 +116,37 @@ def test_near_copies(spark, write, monkeypatch, limits):
     assert sorted(kept) == sorted({c for c, _, _ in got.values()})
 
 
+ONE_ID = [(1, "A"), (5, "A end"), (5, "B q"), (9, "B"), (5, "C"), (None, "A x"), (None, "D"), (None, "D"), (1, "A")]
+
+
+@pytest.mark.parametrize("as_files", [True, False])
+def test_rows_go_not_ids(spark, write, as_files):
+    """One id under several texts, null ids, several rows of the least id."""
+    base = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "ABCD"}
+    rows = [(i, " ".join([base[t[0]], *t.split()[1:]]), None, None, None) for i, t in ONE_ID]
+    docs = documents_of(spark, write(rows))
+    docs = docs if as_files else docs.coalesce(1)
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in chosen_path.one_of_each(docs).collect())
+    assert kept == sorted([(1, base["A"]), (5, f"{base['B']} q"), (5, base["C"]), (0, base["D"])])
+    classes = chosen_path.near_classes(docs).collect()
+    assert len(classes) == len(rows) and len({r["class_key"] for r in classes}) == 4
+
+
+@given(st.lists(st.sets(st.integers(0, 40), min_size=1), min_size=2, max_size=6), st.booleans())
+@settings(max_examples=60, deadline=None)
+def test_common_tokens(sets, few):
+    """By pairs and by products, in one range and in many."""
+    arrays = [np.sort(chosen_path.mix(np.array(sorted(s), np.uint64)) >> np.uint64(24)) for s in sets]
+    pairs = np.array([(i, j) for i in range(len(sets)) for j in range(i)] * (1 if few else 9))
+    want = [len(sets[i] & sets[j]) for i, j in pairs]
+    old = chosen_path.AT_ONCE
+    try:
+        for chosen_path.AT_ONCE in (old, 3):
+            assert chosen_path.common_tokens([chosen_path.packed(x) for x in arrays], pairs[:, 0], pairs[:, 1]).tolist() == want
+    finally:
+        chosen_path.AT_ONCE = old
+
+
 def test_packed_tokens():
     x = np.sort(np.random.default_rng(0).integers(0, 1 << 40, 1000).astype(np.uint64))
     assert (chosen_path.unpacked(chosen_path.packed(x)) == x).all()
