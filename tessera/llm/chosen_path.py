@@ -26,12 +26,17 @@ so the numbers are exact but for the recall of the search.
 
 Edge cases: null and blank texts are equal to each other and have no links; texts of
 under five words link only if equal; equal rows and repeated ids are members of their
-text's class; a class takes the least id of its members; other columns are not read.
+text's class; a class takes the least id of its members, null if all are null, and where ids
+repeat ``class_key``, the least key of its texts, still tells classes apart; other columns
+are not read. ``one_of_each`` goes by rows, not ids: of each class the row of the least id
+stays (null ids last), of several such rows the first in the files, and no other row of the
+id is touched; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import uuid
 from collections.abc import Iterator
@@ -43,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import documents, sliced, stored
+from tessera.llm._common import cleanup, documents, named_folders, on_files, places, shared_dir, sliced, stored
 from tessera.llm.components import components
 
 WORDS = 5
@@ -57,6 +62,8 @@ BITS = 128
 #: Bytes of a hashed shingle: two of the some thousand tokens of a pair of sets are taken
 #: for one with a probability of about one in a million.
 TOKEN_BYTES = 5
+#: Tokens that are unpacked together to count common ones.
+AT_ONCE = 2_000_000
 
 _MIX1, _MIX2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -145,26 +152,25 @@ def led_on(path: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return mix(np.array(least, np.uint64) * _MIX1 + path)
 
 
-SIGNED = "doc_id {}, key binary, n int, s0 long, s1 long, paths array<long>"
-
-
-def signed(docs: DataFrame, runs: int, similarity: float) -> DataFrame:
-    """For each row: key and size of its set, sketch, and the paths of the first step."""
+def signed(rows: DataFrame, runs: int, similarity: float) -> DataFrame:
+    """For each of ``rows`` (text, then other columns, which stay): key and size of its set,
+    sketch, and the paths of the first step."""
     starts = _SEEDS[1000 : 1000 + runs]
+    kinds = {"key": pa.binary(), "n": pa.int32(), "s0": pa.int64(), "s1": pa.int64(), "paths": pa.list_(pa.int64())}
+    names = [*rows.columns[1:], *kinds]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
         for b in sliced(batches):
-            rows = []
-            for t in b.column(1).to_pylist():
+            found = []
+            for t in b.column(0).to_pylist():
                 key, tokens = shingle(t)
-                rows.append((key, len(tokens), *sketch(tokens), picks(starts, tokens, similarity).view(np.int64)))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "key", "n", "s0", "s1", "paths"])
+                found.append((key, len(tokens), *sketch(tokens), picks(starts, tokens, similarity).view(np.int64)))
+            cols = list(zip(*found, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True))], names=names)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(sign, SIGNED.format(kind))
+    stay = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    return rows.mapInArrow(sign, f"{stay}, key binary, n int, s0 long, s1 long, paths array<long>")
 
 
 def token_sets(docs: DataFrame) -> DataFrame:
@@ -190,7 +196,7 @@ def sets_by_key(docs: DataFrame) -> Iterator[DataFrame]:
     and later joins on their keys bring only the other side to them."""
     spark, name = docs.sparkSession, f"tessera_sets_{uuid.uuid4().hex}"
     sets = token_sets(docs).groupBy("key").agg(F.first("tokens").alias("tokens"))
-    sets.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").saveAsTable(name)
+    sets.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").option("path", shared_dir(spark, "join-sets")).saveAsTable(name)
     try:
         yield spark.table(name)
     finally:
@@ -253,6 +259,8 @@ def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
         kept, rows = t.to_batches(), t.num_rows
     if rows:
         yield pa.Table.from_batches(kept).combine_chunks()
+    del kept
+    pa.default_memory_pool().release_unused()
 
 
 def _starts(t: pa.Table) -> np.ndarray:
@@ -305,23 +313,34 @@ def with_partners(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(search, ROW)
 
 
-def common_tokens(tokens: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Size of the intersections of the sets a[k] and b[k]."""
-    if len(a) < 3 * len(tokens):
-        return np.array([len(x) + len(y) - len(np.unique(np.concatenate([x, y]))) for x, y in ((tokens[i], tokens[j]) for i, j in zip(a, b, strict=True))], np.int64)
-    _, which, many = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
-    kept = many[which] > 1
-    column = np.cumsum(many > 1) - 1
-    row, column = row[kept], column[which[kept]]
-    total = np.zeros((len(tokens), len(tokens)), np.float32)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-        s = slice(*np.searchsorted(column, [low, low + 4096]))
-        x = np.zeros((len(tokens), 4096), np.float32)
-        x[row[s], column[s] - low] = 1
-        total += x @ x.T
+def common_tokens(sets: list[bytes | memoryview], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Size of the intersections of the packed sets a[k] and b[k].
+
+    Many pairs are counted by matrix products over the tokens that several sets have, in
+    ranges of the tokens' last byte, so that some ``AT_ONCE`` tokens are unpacked at a time
+    however long the texts are.
+    """
+    if len(a) < 3 * len(sets):
+        pairs = ((unpacked(sets[i]), unpacked(sets[j])) for i, j in zip(a, b, strict=True))
+        return np.array([len(x) + len(y) - len(np.unique(np.concatenate([x, y]))) for x, y in pairs], np.int64)
+    last = [np.frombuffer(s, np.uint8)[TOKEN_BYTES - 1 :: TOKEN_BYTES] for s in sets]
+    ranges = min(256, 1 + sum(map(len, last)) // AT_ONCE)
+    total = np.zeros((len(sets), len(sets)), np.float64)
+    for low, high in itertools.pairwise(np.linspace(0, 256, ranges + 1).astype(np.int64).tolist()):
+        cut = [np.searchsorted(x, [low, high]) * TOKEN_BYTES for x in last]
+        part = [unpacked(memoryview(s)[i:j]) for s, (i, j) in zip(sets, cut, strict=True)]
+        _, which, many = np.unique(np.concatenate(part), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(part)), [len(x) for x in part])
+        kept = many[which] > 1
+        column = np.cumsum(many > 1) - 1
+        row, column = row[kept], column[which[kept]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            s = slice(*np.searchsorted(column, [at, at + 4096]))
+            x = np.zeros((len(part), 4096), np.float32)
+            x[row[s], column[s] - at] = 1
+            total += x @ x.T
     return total[a, b].astype(np.int64)
 
 
@@ -348,8 +367,8 @@ def verified(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 if not len(part):
                     continue
                 members, at = np.unique(np.r_[a[part], b[part]], return_inverse=True)
-                tokens = [unpacked(t["tokens"][int(r)].as_buffer()) for r in members]
-                common = common_tokens(tokens, at[: len(part)], at[len(part) :])
+                sets = [t["tokens"][int(r)].as_buffer() for r in members]
+                common = common_tokens(sets, at[: len(part)], at[len(part) :])
                 x, y = a[part], b[part]
                 ok = common >= similarity * (n[x] + n[y] - common) - 1e-9
                 np.add.at(links, x[ok], 1)
@@ -386,11 +405,8 @@ def _links(rows: DataFrame, texts: DataFrame, sets: DataFrame, similarity: float
     return stored(verified(partners, sets, similarity), "join-links")
 
 
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """One row for each row of ``docs``: doc_id; copy_id, the least id with equal words;
-    class_id, the least id of all that links connect; n_links, its text's links to
-    different texts."""
-    signs = stored(signed(docs, runs_for(recall, similarity), similarity), "join-signs")
+def _classes(docs: DataFrame, signs: DataFrame, similarity: float) -> DataFrame:
+    """key, copy_id, class_id, class_key and n_links of each different text in ``signs``."""
     # of equal texts one takes part; equal rows merge before they move
     texts = stored(signs.groupBy("key").agg(F.min("doc_id").alias("copy_id"), F.first(F.struct("n", "s0", "s1", "paths")).alias("x")).select("key", "copy_id", "x.*"), "join-texts")
     rows = texts.filter("n > 0").select(F.explode("paths").alias("path"), "key")
@@ -400,16 +416,43 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     named = roots.join(texts.select(F.col("key").alias("node"), "copy_id"), "node")
     least = stored(named.groupBy("root").agg(F.min("copy_id").alias("class_id")), "join-least")
     counted = links.groupBy("key").agg(F.sum("links").alias("n_links"))
-    linked = stored(named.join(least, "root").select(F.col("node").alias("key"), "class_id").join(counted, "key"), "join-classes")
+    linked = stored(named.join(least, "root").select(F.col("node").alias("key"), "class_id", F.col("root").alias("class_key")).join(counted, "key"), "join-classes")
     found = texts.select("key", "copy_id").join(linked, "key", "left")
-    found = stored(found.select("key", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "join-found")
-    return signs.select("doc_id", "key").join(found, "key").select("doc_id", "class_id", "copy_id", "n_links")
+    alone = F.col("class_key").isNull()
+    return stored(
+        found.select("key", "copy_id", F.when(alone, F.col("copy_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_key", "key").alias("class_key"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")),
+        "join-found",
+    )
 
 
-def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document, that of the least id, of each class of near copies."""
-    gone = near_classes(docs, similarity).filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti").select(*docs.columns)
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """One row for each row of ``docs``: doc_id; copy_id, the least id with equal words;
+    class_id and class_key, the least id and key of all that links connect; n_links, its
+    text's links to different texts."""
+    spark, mark = docs.sparkSession, named_folders()
+    signs = stored(signed(docs.select("text", "doc_id"), runs_for(recall, similarity), similarity), "join-signs")
+    found = _classes(docs, signs, similarity)
+    out = stored(signs.select("doc_id", "key").join(found, "key").select("doc_id", "class_id", "copy_id", "n_links", F.lower(F.hex("class_key")).alias("class_key")), "join-rows")
+    cleanup(spark, mark, but=out)
+    return out
+
+
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """``docs`` with one row of each class of near copies: that of the least id, null ids
+    last, then the first by file and row. Which rows go is decided by their places in files
+    alone; so ``docs`` is written first unless it is a plain read of files."""
+    spark = docs.sparkSession
+    docs = on_files(docs, "join-input")
+    mark = named_folders()
+    place, names = places(docs), docs.columns
+    file, row = place
+    signs = stored(signed(docs.select("text", "doc_id", *[c.alias(k) for k, c in place.items()]), runs_for(recall, similarity), similarity), "join-signs")
+    found = _classes(docs, signs, similarity)
+    rows = signs.join(found.select("key", "class_key"), "key").select("class_key", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(file), F.col(row)).alias("at"))
+    stays = rows.groupBy("class_key").agg(F.min("at").alias("first"), F.count("*").alias("many")).filter("many > 1")
+    gone = stored(rows.join(stays, "class_key").filter("at <> first").select(F.col(f"at.{file}").alias(file), F.col(f"at.{row}").alias(row)), "join-gone")
+    cleanup(spark, mark, but=gone)
+    return docs.withColumns(place).join(gone, [file, row], "left_anti").select(*names)
 
 
 def op3_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
