@@ -3,18 +3,21 @@
 The global histogram of lengths decides the buckets: dynamic programming over its
 distinct lengths chooses the ``buckets`` upper bounds that minimise padding, the sum
 over all rows of bound minus length. Inside each bucket rows form batches of
-``budget // bound`` rows (one at least), so that a padded batch stays within the token
-budget; all batches of a bucket but the last are full.
-
-Lengths are counted in words unless a column with other lengths is given. The driver
-gets the histogram only: lengths up to ``EXACT`` one by one, longer ones rounded up to
-13 significant bits, so its rows are bounded at any input size. Cost matrices of this
-kind are Monge, so each layer is solved by divide and conquer in O(n log n). A row's
-place comes from ``ranked``: no bucket has to fit in one task and texts are not moved.
-
-Edge cases: null and blank texts have length 0 and go to the first bucket; a row longer
-than the budget is a batch alone, never cut; fewer distinct lengths than buckets give
-as many buckets as lengths; equal rows get different slots; an empty table gives none.
+``budget // bound`` rows, so that a padded batch stays within the token budget; all
+batches of a bucket but the last are full. The budget bounds what is planned: a longer row
+can share no batch. Such rows have one more bucket, behind the others, where each is a batch
+alone and its own bound, so that nothing is padded there.
+
+Lengths are counted in words unless another expression is given, such as the number of
+pieces of an encoding. The driver gets the histogram up to the budget only, so its rows are
+bounded at any input size, and every length counts exactly. Cost matrices of this kind are
+Monge, so each layer is solved by divide and conquer in O(n log n). A row's place comes
+from ``ranked``: no bucket has to fit in one task and texts are not moved.
+
+Edge cases: null and blank texts have length 0 and go to the first bucket; null lengths
+count as 0; a row longer than the budget is a batch alone, never cut; fewer distinct lengths
+than buckets give as many buckets as lengths; equal rows get different slots; an empty table
+gives none.
 """
 
 from __future__ import annotations
@@ -28,13 +31,6 @@ from tessera.llm._common import documents, n_words, ranked, stored
 BUCKETS = 16
 #: Tokens of a padded batch.
 BUDGET = 16_384
-EXACT = 1 << 13
-
-
-def grid(length: Column) -> Column:
-    """``length`` rounded up to 13 significant bits."""
-    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - 12, F.lit(0))).cast("long")
-    return F.when(length <= EXACT, length).otherwise((F.ceil(length / step) * step).cast("long"))
 
 
 def optimal_bounds(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
@@ -74,27 +70,29 @@ def optimal_bounds(lengths: list[int], counts: list[int], buckets: int) -> list[
     return [int(size[j - 1]), *reversed(bounds)]
 
 
-def length_bounds(sized: DataFrame, length: str, buckets: int = BUCKETS) -> list[int]:
-    """Bounds from the histogram of all rows."""
-    histogram = sized.groupBy(grid(F.col(length)).alias("l")).agg(F.count("*").alias("n")).orderBy("l").collect()
-    return optimal_bounds([r["l"] for r in histogram], [r["n"] for r in histogram], buckets)
+def length_bounds(sized: DataFrame, length: str, buckets: int = BUCKETS, budget: int = BUDGET) -> list[int]:
+    """Bounds from the histogram of all rows within the budget."""
+    histogram = sized.filter(F.col(length) <= budget).groupBy(F.col(length).alias("l")).agg(F.count("*").alias("n")).orderBy("l").collect()
+    return optimal_bounds([r["l"] for r in histogram], [r["n"] for r in histogram], buckets) if histogram else []
 
 
 def packed(sized: DataFrame, length: str, order: list[str], buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """``sized`` with bucket, bound, batch (in the bucket) and slot (in the batch)."""
-    bounds = length_bounds(sized, length, buckets) or [0]
-    which = F.lit(len(bounds) - 1)
-    for k in reversed(range(len(bounds) - 1)):
+    bounds = length_bounds(sized, length, buckets, budget)
+    which, bound = F.lit(len(bounds)), F.col(length).cast("long")
+    for k in reversed(range(len(bounds))):
         which = F.when(F.col(length) <= bounds[k], k).otherwise(which)
-    bound = F.element_at(F.array(*[F.lit(b).cast("long") for b in bounds]), F.col("bucket") + 1)
+        bound = F.when(F.col("bucket") == k, F.lit(bounds[k]).cast("long")).otherwise(bound)
     dealt = ranked(sized.withColumn("bucket", which), ["bucket"], order, "__rank")
     room = F.greatest(F.floor(F.lit(budget) / F.greatest(F.col("bound"), F.lit(1))), F.lit(1)).cast("long")
     return dealt.withColumn("bound", bound).withColumn("batch", F.floor(F.col("__rank") / room).cast("long")).withColumn("slot", (F.col("__rank") % room).cast("long")).drop("__rank")
 
 
-def pack_documents(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
-    """doc_id, n_tokens, bucket, bound, batch, slot of every row of ``docs``."""
-    sized = stored(docs.select("doc_id", n_words(F.col("text")).alias("n_tokens"), F.xxhash64("text").alias("__text")), "pack-lengths")
+def pack_documents(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, length: Column | None = None) -> DataFrame:
+    """doc_id, n_tokens, bucket, bound, batch, slot of every row of ``docs``; ``length``:
+    its number of tokens, by default of words."""
+    tokens = n_words(F.col("text")) if length is None else F.coalesce(length, F.lit(0)).cast("long")
+    sized = stored(docs.select("doc_id", tokens.alias("n_tokens"), F.xxhash64("text").alias("__text")), "pack-lengths")
     return packed(sized, "n_tokens", ["doc_id", "__text"], buckets, budget).drop("__text")
 
 
