@@ -1,10 +1,11 @@
 """Licence scan by canonical digests (operator 7), DataFrame functions only.
 
-A text is brought to a canonical form: lower case; copyright lines removed; every run
-of characters that are neither ASCII letters or digits nor beyond ASCII made one space;
-equivalent spellings made one. The SHA-256 of the form is joined to the digests of known
-licences. The whole text must be the licence: a document that only contains or mentions
-one doesn't match.
+A text is brought to a canonical form: lower case; copyright lines removed, those behind
+comment marks too; every run of characters that are neither letters, marks nor digits of any
+script made one space, so that quotes, dashes, spaces and comment marks of all kinds are
+equal; equivalent spellings made one. The SHA-256 of the form is joined to the digests of known
+licences, with each title that a licence is known to go by and without one. The whole text
+must be the licence: a document that only contains or mentions one doesn't match.
 
 The known licences are a table of a few rows; a larger one is joined by whatever means
 Catalyst picks for its size, as no broadcast is forced. Texts never move: only digests
@@ -21,26 +22,36 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm._common import documents, text_or_empty
-from tessera.llm.license_texts import LICENSES, SPELLINGS
+from tessera.llm.license_texts import AFTER_COPYRIGHT, LICENSES, SPELLINGS, STEMS, TITLED
 
-COPYRIGHT_LINE = r"(^|\n)[\x20\t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
-BETWEEN_WORDS = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
+#: In the wording of a licence the word is no mark of a copyright line, wherever lines break.
+COPYRIGHT_WORD = r"copyright(ed|able|s?[^\p{L}\p{N}]+(?:" + "|".join(AFTER_COPYRIGHT) + r")(?:[^\p{L}\p{N}]|$))"
+COPYRIGHT_LINE = r"(^|\n)[^\p{L}\p{N}\n(©]*(copyright|\(c\)[^\p{L}\p{N}\n]*(copyright|[0-9]{4}|year|yyyy)|©|all[^\p{L}\p{N}\n]+rights[^\p{L}\p{N}\n]+reserved)[^\n]*"
+BETWEEN_WORDS = r"[^\p{L}\p{M}\p{N}]+"
 
 
 def canonical(text: Column) -> Column:
     low = F.lower(text)
-    marked = F.contains(low, F.lit("copyright")) | F.contains(low, F.lit("(c)")) | F.contains(low, F.lit("©")) | F.contains(low, F.lit("all rights reserved"))
-    kept = F.when(marked, F.regexp_replace(low, COPYRIGHT_LINE, "$1")).otherwise(low)
+    marked = F.contains(low, F.lit("copyright")) | F.contains(low, F.lit("(c)")) | F.contains(low, F.lit("©")) | F.contains(low, F.lit("reserved"))
+    kept = F.when(marked, F.regexp_replace(F.regexp_replace(low, COPYRIGHT_WORD, "copy right$1"), COPYRIGHT_LINE, "$1")).otherwise(low)
+    words = F.trim(F.regexp_replace(kept, BETWEEN_WORDS, " "))
+    for a, b in STEMS:
+        words = F.replace(words, F.lit(a), F.lit(b))
     # words stand between two spaces each, so that neighbours can both be replaced
-    words = F.concat(F.lit(" "), F.replace(F.trim(F.regexp_replace(kept, BETWEEN_WORDS, " ")), F.lit(" "), F.lit("  ")), F.lit(" "))
+    words = F.concat(F.lit(" "), F.replace(words, F.lit(" "), F.lit("  ")), F.lit(" "))
     for a, b in SPELLINGS:
         words = F.replace(words, F.lit(f" {a} "), F.lit(f" {b} "))
     return F.trim(F.replace(words, F.lit("  "), F.lit(" ")))
 
 
+def printings(texts: dict[str, str]) -> list[tuple[str, str]]:
+    """(name, text) of each text, by itself and under each of its other titles."""
+    return [*texts.items(), *((name, f"{title}\n\n{body}") for name, (body, titles) in TITLED.items() if name in texts for title in titles)]
+
+
 def known_licenses(spark: SparkSession, texts: dict[str, str] = LICENSES) -> DataFrame:
     """license_id and digest of each canonical form."""
-    rows = spark.createDataFrame(list(texts.items()), "license_id string, text string")
+    rows = spark.createDataFrame(printings(texts), "license_id string, text string")
     return rows.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
@@ -58,14 +69,17 @@ def op7_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_form(text: str) -> str:
-    kept = rf"regexp_replace(lower({text}), '{COPYRIGHT_LINE}', '\1', 'g')"
-    words = f"' ' || replace(trim(regexp_replace({kept}, '{BETWEEN_WORDS}', ' ', 'g')), ' ', '  ') || ' '"
+    kept = rf"regexp_replace(regexp_replace(lower({text}), '{COPYRIGHT_WORD}', 'copy right\1', 'g'), '{COPYRIGHT_LINE}', '\1', 'g')"
+    words = f"trim(regexp_replace({kept}, '{BETWEEN_WORDS}', ' ', 'g'))"
+    for a, b in STEMS:
+        words = f"replace({words}, '{a}', '{b}')"
+    words = f"' ' || replace({words}, ' ', '  ') || ' '"
     for a, b in SPELLINGS:
         words = f"replace({words}, ' {a} ', ' {b} ')"
     return f"sha256(trim(replace({words}, '  ', ' ')))"
 
 
-_ROWS = ", ".join("('{}', '{}')".format(k.replace("'", "''"), v.replace("'", "''")) for k, v in LICENSES.items())
+_ROWS = ", ".join("('{}', '{}')".format(k.replace("'", "''"), v.replace("'", "''")) for k, v in printings(LICENSES))
 OP7_SQL = f"""
 WITH known AS (SELECT {_sql_form("text")} AS digest, min(license_id) AS license_id FROM (VALUES {_ROWS}) AS k(license_id, text) GROUP BY 1),
 d AS (SELECT doc_id, {_sql_form("coalesce(text, '')")} AS digest FROM documents)

@@ -88,11 +88,33 @@ for _file in sorted((f for f in (files("tessera.llm") / "licenses").iterdir() if
         LICENSES[f"{_name} (terms)"] = _terms + _END_OF_TERMS
         LICENSES[f"{_name} (terms, no end line)"] = _terms
 
-#: Spellings that count as equal: the first is read as the second.
+#: Texts without a title, and titles that they are often printed under.
+TITLED = {
+    "MIT": (LICENSES["MIT (untitled)"], ("The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT", "Expat License", "License: MIT")),
+    "MIT-0": (_MIT_GRANT + ".\n\n" + _MIT_END, ("MIT-0", "MIT No Attribution License", "MIT-0 License")),
+    "ISC": (LICENSES["ISC"].partition("\n\n")[2], ("The ISC License", "The ISC License (ISC)", "ISC License (ISC)", "ISC", "License: ISC")),
+    "0BSD": (LICENSES["0BSD"], ("BSD Zero Clause License", "Zero-Clause BSD", "Zero Clause BSD License", "0BSD License", "BSD Zero Clause License (0BSD)")),
+    "BSD-2-Clause": (LICENSES["BSD-2-Clause"], ("BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "BSD-2-Clause", "Simplified BSD License", "FreeBSD License")),
+    "BSD-3-Clause": (LICENSES["BSD-3-Clause"], ("BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "BSD-3-Clause", "BSD License", "New BSD License", "Modified BSD License", "Revised BSD License")),
+    "Unlicense": (LICENSES["Unlicense"], ("The Unlicense", "Unlicense", "The Unlicense (Public Domain)")),
+    "Zlib": (LICENSES["Zlib"], ("zlib License", "The zlib License", "The zlib/libpng License", "zlib/libpng license")),
+}
+
+#: Parts of words that count as equal wherever they stand: the first is read as the second.
+STEMS = (
+    ("licenc", "licens"), ("authoris", "authoriz"), ("organis", "organiz"), ("recognis", "recogniz"), ("utilis", "utiliz"),
+    ("favour", "favor"), ("behaviour", "behavior"), ("acknowledgement", "acknowledgment"), ("judgement", "judgment"),
+)
+
+#: Spellings that count as equal, as whole words: the first is read as the second.
 SPELLINGS = (
-    ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("licencing", "licensing"), ("sublicence", "sublicense"),
-    ("acknowledgement", "acknowledgment"), ("authorisation", "authorization"), ("authorised", "authorized"), ("organisation", "organization"),
-    ("recognise", "recognize"), ("utilise", "utilize"), ("utilisation", "utilization"), ("favour", "favor"), ("behaviour", "behavior"),
-    ("judgement", "judgment"), ("fulfil", "fulfill"), ("programme", "program"), ("artefact", "artifact"), ("noncommercial", "non commercial"),
+    ("fulfil", "fulfill"), ("programme", "program"), ("artefact", "artifact"), ("noncommercial", "non commercial"),
     ("noninfringement", "non infringement"), ("merchantibility", "merchantability"), ("https", "http"), ("copyrights", "copyright"), ("owner", "holder"),
 )
+
+#: Words that follow "copyright" in the wording of a licence, not in a copyright line.
+AFTER_COPYRIGHT = (
+    "and", "act", "claim", "control", "disclaimer", "for", "holder", "holders", "in", "infringement", "interest", "interests", "is", "law", "laws", "licence", "license",
+    "notice", "notices", "on", "or", "owner", "owners", "ownership", "patent", "permission", "permissions", "protection", "related", "rights", "statement", "status", "then", "to",
+    "trademark", "treaty",
+)
