@@ -14,8 +14,8 @@ scores are probabilities. Scoring reads every whole text once and needs no shuff
 Edge cases: null and empty texts have no features and get the intercept's score;
 without labelled rows all scores are 0; with one class only, its (smoothed) share;
 labels that contradict each other for one id count by their majority, ties as toxic;
-labels without a document and null labels are left out; repeated documents get equal
-scores; other columns of the documents are never read.
+labels without a document and null labels are left out; an id with several texts is
+learnt from its least one; repeated documents get equal scores; other columns of the documents are never read.
 """
 
 from __future__ import annotations
@@ -118,6 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 2000) -> Mod
     chosen = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class) for c in (0, 1)]
     # at most 2 * rows_per_class pairs of numbers, whatever the size of the corpus
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    # and as many texts: of an id that repeats, the least one, taken before rows move
+    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.zeros(1 << BITS, np.int64)
