@@ -19,6 +19,8 @@ Columns beside ``doc_id`` and ``text`` are not looked at; an empty table gives n
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -58,6 +60,13 @@ def _bare(digest: Column) -> Column:
     return F.lower(F.hex(digest))
 
 
+def as_pattern(path: str) -> str:
+    """``path`` as a pattern, which a stream takes for one file or a folder of files. As
+    for every reader, a path with one of ``*?[{`` is a pattern already."""
+    path = path.rstrip("/")
+    return path if re.search(r"[*?\[{]", path) else f"{path[:-1]}[{path[-1]}]"
+
+
 def digest_state(spark: SparkSession, path: str, checkpoint: str | None = None) -> DataFrame:
     """Streams the Parquet table at ``path`` into keyed state: digest, n, best place.
 
@@ -69,8 +78,7 @@ def digest_state(spark: SparkSession, path: str, checkpoint: str | None = None)
     try:
         for k, v in STATE_CONF.items():
             spark.conf.set(k, v)
-        # as a pattern, the path may be one file or a folder of files
-        stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+        stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(as_pattern(path))
         seen = _rows(stream).groupBy("digest").agg(F.count("*").alias("n"), F.min("place").alias("best"))
         query = seen.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
