@@ -1,34 +1,37 @@
 """N-best SentencePiece segmentation and decoding (operator 6).
 
-The lattice of a text has a node before and behind each character and an edge for each
-piece that matches. A forward Viterbi pass gives every node the score of its best path
-from the start. These scores are exact heuristics for an A* search that runs backward
-from the end: the agenda pops complete paths in falling order of score, so the first N
-are the N best.
-
-No piece reaches over a white-space mark, so the lattice of a text falls apart at its
-spaces, and the N best paths of the whole are combinations of those of its segments.
-A vectorised forward and backward Viterbi pass over the distinct segments of many texts
-gives each one's best path and the gap to its second best (the best path over an edge
-that the best path does not use). Only the N - 1 places of a text with the smallest
-gaps can differ in its N best paths; these segments are searched by A*.
-
-The model file is a parameter. Where its scores are merge ranks (a BPE vocabulary), log
-probabilities come from the ranks by Zipf's law; scores of a unigram model are taken as
-they are. Characters without a piece become byte pieces, at a score under all others.
-Pieces that join several spaces are left out, which keeps the lattice divisible.
+A text is first normalised as its model says. The lattice of the result has a node before
+and behind each character and an edge for each piece of the vocabulary that matches. A
+forward Viterbi pass gives every node the score of its best path from the start. These
+scores are exact heuristics for an A* search that runs backward from the end: the agenda
+pops complete paths in falling order of score, so the first N are the N best.
+
+If no piece has a white-space mark behind another character, no edge passes over a place
+where a mark follows another character. There the lattice falls apart, a run of marks and
+the word behind it being one segment, and the N best paths of the whole are combinations of
+those of its segments; a text of any other model is one segment. A vectorised forward and
+backward Viterbi pass over the distinct segments of many texts gives each one's best path
+and the gap to its second best (the best path over an edge that the best path does not use).
+Only the N - 1 places of a text with the smallest gaps can differ in its N best paths; these
+segments are searched by A*.
+
+The model file is a parameter. Scores of a unigram model are taken as they are. Where they
+are merge ranks (a BPE vocabulary, whose scores say nothing about sums), log probabilities
+follow from the ranks by the law of Zipf and Mandelbrot, 1 / (rank + ``SHIFT``), so no model
+is trained here. Characters without a piece become byte pieces, at a score under all others.
 
 Edge cases: a null or empty text has one segmentation, without pieces; texts with fewer
 than N segmentations give all they have; equal scores come in a fixed order, so results
-don't depend on partitions; whole texts of any length are encoded; a
-text that holds the mark itself (U+2581) decodes to a space there, and ``round_trip``
-says so; repeated rows give equal results.
+don't depend on partitions; whole texts of any length are encoded; a text that holds the
+mark itself (U+2581), or that the model's normalisation changes, decodes to its normalised
+form, and ``round_trip`` says so; repeated rows give equal results.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,13 +41,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm._common import documents
+from tessera.llm._common import documents, sliced
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 MARK = "▁"
-#: Longer segments are searched alone; code points that are solved together.
-LONG, TOGETHER = 32, 3_000_000
+#: Of the law that turns ranks into probabilities.
+SHIFT = 3000.0
+#: Longer segments are searched alone; bytes of the texts that are solved together; code
+#: points of the segments whose searches a worker remembers.
+LONG, TOGETHER, REMEMBERED = 32, 3_000_000, 2_000_000
+#: What no piece passes over, if none has a mark behind another character.
+SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 class Pieces:
@@ -63,12 +71,13 @@ class Pieces:
                 self.text[i] = bytes([int(piece[3:5], 16)])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.text[i] = piece.replace(MARK, " ").encode()
-                if MARK not in piece[1:]:
-                    scores[piece] = (i, sp.get_score(i))
+                scores[piece] = (i, sp.get_score(i))
+        self.normalised = sp.normalize
+        self.prefixed = sp.normalize("a")[0] == MARK
+        self.divisible = not any(re.search(f"[^{MARK}]{MARK}", p) for p in scores)
         if sorted(-s for _, s in scores.values())[-1] >= len(scores) // 2:  # ranks, not log probabilities
-            ranks = np.arange(size) + 3.0
-            total = np.log((1 / ranks).sum())
-            scores = {p: (i, float(-np.log(3.0 - s) - total)) for p, (i, s) in scores.items()}
+            total = np.log((1 / (np.arange(size) + SHIFT)).sum())
+            scores = {p: (i, float(-np.log(SHIFT - s) - total)) for p, (i, s) in scores.items()}
         self.scores = scores
         self.unknown = min(s for _, s in scores.values()) - 10
         self.longest = max(map(len, scores))
@@ -131,7 +140,19 @@ class Pieces:
 class Segmenter:
     def __init__(self, model: bytes) -> None:
         self.pieces = Pieces(model)
-        self.searched = lru_cache(maxsize=100_000)(self.pieces.search)
+        self.remembered: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
+        self.points = 0
+
+    def searched(self, segment: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """``Pieces.search``; results are remembered for a bounded number of code points."""
+        found = self.remembered.get((segment, n))
+        if found is None:
+            if self.points > REMEMBERED:
+                self.remembered.clear()
+                self.points = 0
+            found = self.remembered[segment, n] = self.pieces.search(segment, n)
+            self.points += len(segment) * (n + 1)
+        return found
 
     def __reduce__(self):
         raise TypeError("each worker makes its own from the model's bytes")
@@ -227,9 +248,10 @@ class Segmenter:
     def segment(self, texts: list[str | None], n: int) -> Iterator[list[tuple[float, np.ndarray]]]:
         """The n best (score, ids) of each text, best first."""
         number: dict[str, int] = defaultdict(count().__next__)
-        split = [t.split(" ") if t else [] for t in texts]
-        which = [np.fromiter((number[x] for x in ws), np.int64, len(ws)) for ws in split]
-        segments = [MARK + x for x in number]
+        normal = [self.pieces.normalised(t) if t else "" for t in texts]
+        split = [SEGMENT.findall(t) if self.pieces.divisible else [t] if t else [] for t in normal]
+        which = [np.fromiter(map(number.__getitem__, ws), np.int64, len(ws)) for ws in split]
+        segments = list(number)
         ids, score, gap = self.solve(segments)
         sizes = np.array([len(x) for x in ids], np.int64)
         starts = np.cumsum(sizes) - sizes
@@ -259,16 +281,16 @@ class Segmenter:
             out = []
             for drop, choice in sums:
                 parts, at = [], 0
-                for x, c, w in zip(places, choice, ways, strict=True):
-                    if c:
-                        parts += [best[at : ends[x] - k[x]], np.array(w[c][1], np.int32)]
-                        at = ends[x]
+                for x, c, w in zip(places, choice, ways, strict=True):  # also where c is 0: of equal paths, the search has its own first
+                    parts += [best[at : ends[x] - k[x]], np.array(w[c][1], np.int32)]
+                    at = ends[x]
                 out.append((whole - drop, np.concatenate([*parts, best[at:]]) if parts else best))
             yield out
 
     def decode(self, ids: np.ndarray) -> str:
-        """The text of a segmentation, without the mark that is put before every text."""
-        return b"".join(map(self.pieces.text.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
+        """The text of a segmentation, without a mark that the model puts before every text."""
+        text = b"".join(map(self.pieces.text.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        return text[1:] if self.pieces.prefixed and text[:1] == " " else text
 
 
 @lru_cache(maxsize=2)
@@ -276,15 +298,6 @@ def _segmenter(model: bytes) -> Segmenter:
     return Segmenter(model)
 
 
-def _parts(texts: list[str | None]) -> Iterator[slice]:
-    size, start = 0, 0
-    for end, t in enumerate(texts, 1):
-        size += len(t or "")
-        if size >= TOGETHER or end == len(texts):
-            yield slice(start, end)
-            size, start = 0, end
-
-
 def _model(spark: SparkSession, path: str):
     """The model's bytes (its size is the vocabulary's, not the corpus's), for the workers."""
     from pathlib import Path
@@ -299,11 +312,9 @@ def encode_nbest(docs: DataFrame, n: int = N_BEST, model: str = MODEL) -> DataFr
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = _segmenter(shared.value)
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for part in _parts(texts):
-                found = [[{"score": x, "ids": ids} for x, ids in best] for best in s.segment(texts[part], n)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(part.start, part.stop - part.start), pa.array(found, kind)], names=["doc_id", "segmentations"])
+        for b in sliced(batches, 8192, TOGETHER):
+            found = [[{"score": x, "ids": ids} for x, ids in best] for best in s.segment(b.column(1).to_pylist(), n)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], names=["doc_id", "segmentations"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(encoded, f"doc_id {key}, segmentations array<struct<score:double,ids:array<int>>>")
@@ -315,7 +326,7 @@ def decode(encoded: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFram
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = _segmenter(shared.value)
-        for b in batches:
+        for b in sliced(batches):
             texts = [None if x is None else s.decode(np.array(x, np.int32)) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
@@ -332,18 +343,13 @@ def op6_piece_nbest(spark: SparkSession, sf_dir: str, n: int = N_BEST, model: st
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = _segmenter(shared.value)
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for part in _parts(texts):
-                rows, same = [], []
-                for t, best in zip(texts[part], s.segment(texts[part], n), strict=True):
-                    rows.append([{"score": round(x, 6), "n_pieces": len(ids), "ids_sha256": hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()} for x, ids in best])
-                    same.append(s.decode(best[0][1]) == (t or ""))
-                pieces = [r[0]["n_pieces"] for r in rows]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(part.start, part.stop - part.start), pa.array(pieces, pa.int64()), pa.array(same, pa.bool_()), pa.array(rows, kind)],
-                    names=["doc_id", "n_pieces", "round_trip", "segmentations"],
-                )
+        for b in sliced(batches, 8192, TOGETHER):
+            texts, rows, same = b.column(1).to_pylist(), [], []
+            for t, best in zip(texts, s.segment(texts, n), strict=True):
+                rows.append([{"score": round(x, 6), "n_pieces": len(ids), "ids_sha256": hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()} for x, ids in best])
+                same.append(s.decode(best[0][1]) == (t or ""))
+            pieces = [r[0]["n_pieces"] for r in rows]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pieces, pa.int64()), pa.array(same, pa.bool_()), pa.array(rows, kind)], names=["doc_id", "n_pieces", "round_trip", "segmentations"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(digested, f"doc_id {key}, n_pieces long, round_trip boolean, segmentations array<struct<score:double,n_pieces:bigint,ids_sha256:string>>")

@@ -283,11 +283,70 @@ def segmenter():
     return nbest.Segmenter(Path(nbest.MODEL).read_bytes())
 
 
+def hand_made(pieces, prefix=True, squeeze=False, seed=0):
+    """The bytes of a unigram model of these pieces, with scores that have no ties, and all
+    bytes; made field by field, not trained."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m, rng = pb.ModelProto(), random.Random(seed)
+    for piece, score, kind in [("<unk>", 0.0, 2), *((p, -rng.uniform(2, 9), 1) for p in pieces), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256))]:
+        m.pieces.add(piece=piece, score=score, type=kind)
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback, m.trainer_spec.vocab_size = 1, True, len(m.pieces)
+    m.normalizer_spec.name, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces = "identity", prefix, squeeze
+    return m.SerializeToString()
+
+
+WORDS_ONLY = ["▁", "▁▁", "▁▁▁", "▁▁a", "a", "b", "c", "ñ", "ab", "abc", "bc", "▁a", "▁ab", "ca", "cab", "aa", "▁c", "bb"]
+
+
+@pytest.mark.parametrize("pieces, prefix, squeeze", [(WORDS_ONLY, True, False), (WORDS_ONLY, False, False), (WORDS_ONLY, True, True), ([*WORDS_ONLY, "a▁", "b▁c", "c▁▁a"], True, False)])
+def test_the_library_finds_the_same(pieces, prefix, squeeze):
+    """Ids and order of the installed library's N best, over the whole vocabulary."""
+    import sentencepiece
+
+    rng = random.Random(4)
+    model = hand_made(pieces, prefix, squeeze)
+    s, sp = nbest.Segmenter(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    texts = ["".join(rng.choices("aabbcc  ñ世", k=rng.randint(1, 14))) for _ in range(400)] + ["a  b", "   ", " a", "abc " * 9]
+    assert s.pieces.divisible == (pieces is WORDS_ONLY)
+    singles = 0
+    for text, best in zip(texts, s.segment(texts, 5), strict=True):
+        want = sp.nbest_encode_as_ids(text, 5) if sp.normalize(text) else [[]]
+        score = {i: x for i, x in s.pieces.scores.values()}
+        # paths of the same pieces in other places are ties, which have no order of their own
+        theirs = [round(sum(score.get(i, 0) for i in ids), 4) for ids in want]
+        ours = [i.tolist() for _, i in best]
+        assert [round(sum(score.get(i, 0) for i in ids), 4) for ids in ours] == theirs, repr(text)
+        for k, x in enumerate(theirs):
+            tied = [j for j, y in enumerate(theirs) if abs(x - y) < 2e-4]
+            assert sorted(ours[j] for j in tied) == sorted(want[j] for j in tied) or len(theirs) - 1 in tied, repr(text)
+            singles += tied == [k]
+        assert s.decode(best[0][1]) == sp.decode(want[0])
+    assert singles > 700
+
+
+def test_no_piece_is_left_out(segmenter):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=nbest.MODEL)
+    assert len(segmenter.pieces.scores) == sum(not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)) for i in range(sp.vocab_size()))
+    (best,) = segmenter.segment(["if x:" + " " * 9 + "y"], 1)
+    assert nbest.MARK * 8 in [sp.id_to_piece(i) for i in best[0][1].tolist()] or nbest.MARK * 9 in [sp.id_to_piece(i) for i in best[0][1].tolist()]
+
+
+def test_what_is_remembered_is_bounded(segmenter, monkeypatch):
+    monkeypatch.setattr(nbest, "REMEMBERED", 500)
+    rng = random.Random(1)
+    for _ in range(40):
+        list(segmenter.segment([" ".join("".join(rng.choices("abcdefgh", k=40)) for _ in range(3))], 3))
+        assert segmenter.points <= 500 + 40 * 8 * 3
+
+
 @given(st.lists(st.text("thaoe ñ\n世😀.", max_size=8), min_size=1, max_size=5))
 @settings(max_examples=60, deadline=None)
 def test_segmentations(segmenter, texts):
     for text, best in zip(texts, segmenter.segment(texts, 4), strict=True):
-        whole = "".join(nbest.MARK + w for w in text.split(" ")) if text else ""
+        whole = nbest.MARK + text.replace(" ", nbest.MARK) if text else ""
         ends, paths = segmenter.pieces.edges(whole), [[(0.0, ())]]
         for j in range(1, len(whole) + 1):
             paths.append([(a + s, b + ids) for i, ids, s in ends[j] for a, b in paths[i]])
