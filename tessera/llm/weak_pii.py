@@ -1,19 +1,30 @@
 """Personal data by weak supervision (operator 2), DataFrame functions only.
 
-Regular expressions propose spans of several kinds. Four labelers vote on each span,
-for, against, or not at all: its exact shape, a checksum or range test, gazetteers
-(mail domains, dialling codes, card issuers, titles and given names), and cue words in
-the text before it. The votes of all spans of all documents are counted by pattern.
-Expectation-maximisation over these counts estimates how each labeler votes on true and
-false spans and how probable each pattern makes a true one. With these probabilities as
-soft labels a logistic span classifier is trained on features that need no labeler
-beside the votes (kind, length, share of digits, neighbours); it decides on spans whose
-kind has no fixed rule. Spans of the four kinds with fixed rules stay whatever it says,
-and what their rules drop only serves as evidence.
-
-The driver gets counts of vote patterns and of feature vectors. Both have a number of
-possible values that is fixed by this module, so their size doesn't grow with the
-corpus. Texts are read once and never shuffled; candidates are written to the shared
+Regular expressions propose spans of several kinds: those of the four kinds with fixed rules
+and, loosely, local phone numbers, national ids, masked mail addresses, account numbers and
+names. Six labelers, each with evidence of its own, vote on each span, for, against, or not
+at all:
+
+- ``shape``: the exact layout that its kind is written in;
+- ``check``: arithmetic on it (check digits, ranges, counts of digits);
+- ``gazetteer``: lists (mail domains, dialling codes, card issuers, account countries, titles
+  and given names; words that begin sentences);
+- ``before`` and ``after``: cue words for and against it, in four languages, on either side;
+- ``nearby``: other personal data beside it.
+
+The votes of all spans of all documents are counted by kind and pattern. Expectation-
+maximisation over these counts estimates how each labeler votes on true and false spans of a
+kind, and how probable each pattern makes a true one; a labeler that doesn't vote says
+nothing. With these probabilities as soft labels a logistic span classifier is trained on
+the votes and on features of the text that no labeler reads (character shape, length, share
+of digits, the characters and words beside the span, hashed). It decides on spans whose kind
+has no fixed rule. Spans of the four kinds with fixed rules stay whatever it says, and what
+their rules drop only serves as evidence. A loose span that overlaps one of them is dropped
+before anything is counted.
+
+The driver gets counts of vote patterns, whose number is fixed by this module, and for the
+classifier at most ``SAMPLE`` different feature vectors with their counts, those whose hashes
+are smallest. Texts are read once and never shuffled; candidates are written to the shared
 folder, where training and labelling read them.
 
 Offsets come from the lengths of the matches and of the pieces between them, so they
@@ -22,7 +33,7 @@ the match before ended, so long texts and runs take linear time.
 
 Edge cases: a null text counts as empty and has no spans; without any candidate no
 model is needed and none is trained; equal rows get equal results; columns beside
-``doc_id`` and ``text`` are not read; an added span that overlaps a base one is dropped.
+``doc_id`` and ``text`` are not read; added spans of different kinds may overlap each other.
 """
 
 from __future__ import annotations
@@ -31,13 +42,14 @@ import math
 from collections import defaultdict
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm._common import documents, stored, text_or_empty
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-ADDED_KINDS = ("local_phone", "national_id", "masked_email", "name")
+ADDED_KINDS = ("local_phone", "national_id", "masked_email", "account", "name")
 KINDS = BASE_KINDS + ADDED_KINDS
 
 #: Gazetteers. Fixed values.
@@ -45,37 +57,66 @@ TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Señor", "Se
 GIVEN_NAMES = ("James", "Mary", "John", "Patricia", "Robert", "Jennifer", "Michael", "Linda", "William", "Elizabeth", "David", "Barbara", "Richard", "Susan", "Joseph", "Jessica", "Thomas", "Sarah", "Charles", "Karen", "Anna", "Peter", "Maria", "José", "Carlos", "Hans", "Jürgen", "Pierre", "Jean", "Sophie")
 TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "io", "co", "info", "biz", "eu", "de", "fr", "es", "it", "uk", "us", "ca", "au", "ch", "at", "nl", "be", "mx", "ar", "br", "jp", "cn", "in")
 DIAL_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91")
-CUES = {
-    "email": ("mail", "contact", "write to", "correo", "courriel"),
-    "ip": ("ip", "host", "server", "address", "login", "from"),
-    "card": ("card", "visa", "credit", "payment", "tarjeta", "carte", "karte"),
-    "phone": ("phone", "call", "tel", "mobile", "fax", "contact", "whatsapp"),
-    "local_phone": ("phone", "call", "tel", "mobile", "fax", "contact", "whatsapp"),
-    "national_id": ("ssn", "social security", "national id", "tax id"),
-    "masked_email": ("mail", "contact", "write to", "correo", "courriel"),
-    "name": ("name", "contact", "dear", "signed", "regards", "written by", "author"),
-}
-AGAINST = ("version", "order", "invoice", "isbn", "sku", "part no", "build", "chapter", "section", "release")
-
+IBAN_COUNTRIES = ("AT", "BE", "BG", "CH", "CY", "CZ", "DE", "DK", "EE", "ES", "FI", "FR", "GB", "GR", "HR", "HU", "IE", "IS", "IT", "LI", "LT", "LU", "LV", "MT", "NL", "NO", "PL", "PT", "RO", "SE", "SI", "SK")
+DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+#: Words, often capitalised, that are no part of a name.
+NO_NAMES = (
+    "The", "This", "That", "These", "Those", "And", "But", "For", "With", "From", "Our", "Your", "His", "Her", "Their", "New", "In", "On", "At", "Of", "To", "As", "An", "It", "If", "When",
+    "Der", "Die", "Das", "Und", "Ein", "Eine", "Nicht", "Wir", "Sie", "Den", "Dem", "Des", "Mit", "Von", "El", "La", "Los", "Las", "Una", "Un", "De", "Del", "Que", "Y", "En", "Por",
+    "Le", "Les", "Une", "Et", "Des", "Du", "Dans", "Sur", "Avec", "Pour", "North", "South", "East", "West", "United", "Street", "Road", "Avenue", "City", "University", "Company", "Group",
+    "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday", "January", "February", "March", "April", "June", "July", "August", "September", "October", "November", "December",
+)
+#: Cue words before a span, and behind it.
+_PHONE = ("phone", "call", "tel", "telephone", "mobile", "cell", "fax", "whatsapp", "reach", "ring", "teléfono", "móvil", "llame", "telefon", "handy", "anruf", "rufen", "téléphone", "portable", "appelez")
+_MAIL = ("mail", "email", "e-mail", "contact", "write to", "reach", "correo", "escriba", "kontakt", "schreiben", "courriel", "écrivez", "contactez")
+BEFORE = {
+    "email": _MAIL,
+    "ip": ("ip", "host", "server", "address", "login", "from", "servidor", "dirección", "adresse", "rechner", "serveur"),
+    "card": ("card", "visa", "mastercard", "credit", "payment", "tarjeta", "carte", "karte", "kreditkarte", "paiement", "pago"),
+    "phone": _PHONE,
+    "local_phone": _PHONE,
+    "national_id": ("ssn", "social security", "national id", "tax id", "dni", "nif", "nie", "identidad", "ausweis", "steuernummer", "sozialversicherung", "sécurité sociale"),
+    "masked_email": _MAIL,
+    "account": ("iban", "account", "bank", "transfer", "cuenta", "banco", "konto", "überweisung", "compte", "banque", "virement"),
+    "name": ("name", "contact", "dear", "signed", "regards", "sincerely", "written by", "author", "by", "nombre", "firmado", "autor", "estimado", "estimada", "atentamente", "liebe", "lieber", "unterzeichnet", "grüßen", "nom", "cher", "chère", "signé", "auteur"),
+}
+AFTER = {
+    "email": ("or", "for details"),
+    "ip": ("port", "connected", "logged"),
+    "card": ("exp", "expires", "expiry", "cvv", "cvc", "valid"),
+    "phone": ("ext", "extension", "mobile", "home", "office"),
+    "local_phone": ("ext", "extension", "mobile", "home", "office"),
+    "national_id": ("issued", "expires", "expedido"),
+    "masked_email": ("or", "for details"),
+    "account": ("bic", "swift"),
+    "name": ("said", "wrote", "writes", "says", "born", "lives", "aged", "dijo", "nació", "vive", "sagte", "schrieb", "geboren", "wohnt", "dit", "écrit", "né", "née", "habite"),
+}
+AGAINST_BEFORE = ("version", "order", "orders", "invoice", "isbn", "issn", "sku", "part", "part no", "item", "model", "serial", "build", "chapter", "section", "release", "page", "pages", "figure", "table", "date", "factura", "pedido", "capítulo", "bestellung", "rechnung", "kapitel", "seite", "commande", "facture", "chapitre", "look", "looked", "arrived", "the", "der", "die", "das", "el", "la", "los", "le", "les")
+AGAINST_AFTER = ("kg", "km", "mm", "cm", "eur", "usd", "euros", "dollars", "units", "items", "pages", "percent", "inc", "ltd", "gmbh", "corp", "street", "avenue", "river", "mountain", "university", "hotel", "museum", "bank")
+
+_WORD_START, _NO_WORD_AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     # the chains of digits that have 14 of them or more; others would only be dropped
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "local_phone": r"(?<![0-9+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])",
-    "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "masked_email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[(\[](?:at|AT)[)\]]\x20?[A-Za-z0-9-]++(?:\x20?[(\[](?:dot|DOT)[)\]]\x20?|\.)[A-Za-z]{2,}+",
-    "name": r"\b(?:(?:" + "|".join(TITLES) + r")\.?\x20|(?=[A-Z])(?:" + "|".join(GIVEN_NAMES) + r")\x20(?=[A-Z]))[A-Z]\p{Ll}++(?:\x20[A-Z]\p{Ll}++)?",
+    "local_phone": r"(?<![\p{L}\p{N}+.,(/-])(?<![0-9]\x20)(?:\([0-9]{2,5}+\)|[0-9]{2,5}+)(?:[\x20./-]{1,2}+[0-9]{2,5}+){1,4}+(?![\p{L}\p{N}]|[.,/-][0-9])",
+    "national_id": r"(?<![\p{L}\p{N}-])(?:[0-9]{3}-?+[0-9]{2}-?+[0-9]{4}|[0-9]{8}-?+[A-Z])(?![\p{L}\p{N}]|-[0-9])",
+    "masked_email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?+[(\[{<]?+\x20?+(?:at|AT|arroba)\x20?+[)\]}>]?+\x20?+[A-Za-z0-9-]++\x20?+[(\[{<]?+\x20?+(?:dot|DOT|punto|punkt|point|\.)\x20?+[)\]}>]?+\x20?+[A-Za-z]{2,}+",
+    "account": _WORD_START + r"[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]{4}){2,7}+(?:\x20?+[A-Z0-9]{1,3}+)?+" + _NO_WORD_AFTER,
+    "name": _WORD_START + r"\p{Lu}\p{Ll}++\.?+(?:\x20\p{Lu}(?:\.|\p{Ll}++)){1,2}+" + _NO_WORD_AFTER,
 }
-#: A substring or class without which a text can't match: cheaper than the pattern.
+#: A substring without which a text can't match: cheaper than the pattern.
 NEEDED = {"email": "@", "phone": "+"}
 
-VOTES = ("shape", "check", "gazetteer", "context")
+VOTES = ("shape", "check", "gazetteer", "before", "after", "nearby")
 AGAINST_IT, FOR_IT, NO_VOTE = 0, 1, 2
-#: Features of the span classifier and how many values each has.
-FEATURES = {"kind": len(KINDS), "length": 5, "digits": 4, "left": 3, "right": 3, "check": 3, "gazetteer": 3, "context": 3}
+#: Features of the span classifier beside the votes, and how many values each has.
+FEATURES = {"kind": len(KINDS), "length": 5, "digits": 4, "left": 3, "right": 3, "form": 32, "word_before": 64, "word_after": 64}
 REACH, PART = 40, 256
+#: Feature vectors that the classifier is trained on at most.
+SAMPLE = 20_000
 
 
 def located(text: Column, kind: str) -> Column:
@@ -89,7 +130,7 @@ def located(text: Column, kind: str) -> Column:
     pattern = PATTERNS[kind]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
-    sides = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), F.slice(pieces, F.lit(2), F.size(found)), lambda gap, then: F.struct(F.length(gap).alias("gap"), F.right(gap, F.lit(REACH)).alias("before"), F.left(then, F.lit(1)).alias("after")))
+    sides = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), F.slice(pieces, F.lit(2), F.size(found)), lambda gap, then: F.struct(F.length(gap).alias("gap"), F.right(gap, F.lit(REACH)).alias("before"), F.left(then, F.lit(REACH)).alias("after")))
     both = F.zip_with(found, sides, lambda m, side: F.struct(m.alias("m"), side.alias("side")))
     kept = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
     none = F.array().cast(kept)
@@ -138,24 +179,62 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
     return F.when(yes, FOR_IT).when(no, AGAINST_IT).otherwise(NO_VOTE)
 
 
-def _checked(kind: str, match: Column) -> tuple[Column, Column]:
-    """Whether the fixed rule of a base kind keeps a match, and the check's vote."""
+#: Layouts that each kind is written in.
+SHAPES = {
+    "email": r"^[A-Za-z0-9]+(?:[._%+-][A-Za-z0-9]+)*@(?:[A-Za-z0-9]+(?:-+[A-Za-z0-9]+)*\.)+[A-Za-z]+$",
+    "ip": r"^(?:0|[1-9][0-9]*)(?:\.(?:0|[1-9][0-9]*)){3}$",
+    "card": r"^(?:[0-9]+|(?:[0-9]{4}\x20){3}[0-9]{1,7}|(?:[0-9]{4}-){3}[0-9]{1,7}|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{4,5})$",
+    "phone": r"^\+[0-9]{1,3}(?:[\x20.-]?\([0-9]{1,4}\))?(?:[\x20.-]?[0-9]{2,5}){2,5}$",
+    "local_phone": r"^(?:\([0-9]{3}\)\x20?[0-9]{3}[.\x20-][0-9]{4}|[0-9]{3}([.\x20-])[0-9]{3}\1[0-9]{4}|\(?0[0-9]{1,4}\)?[\x20/-]{1,2}[0-9]{2,5}(?:[\x20-][0-9]{2,5}){0,3}|[69][0-9]{2}(?:\x20[0-9]{3}){2}|0[0-9](?:[\x20.][0-9]{2}){4})$",
+    "national_id": r"^(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{8}-?[A-Z])$",
+    "masked_email": r"[(\[{<]\x20?(?:at|AT|arroba)\x20?[)\]}>].*[(\[{<]\x20?(?:dot|DOT|punto|punkt|point)\x20?[)\]}>]",
+    "account": r"^[A-Z]{2}[0-9]{2}(?:[0-9A-Z]+|(?:\x20[0-9A-Z]{4})+(?:\x20[0-9A-Z]{1,3})?)$",
+    "name": r"^(?!(\p{L}+)\x20\1)\p{Lu}\p{Ll}{1,11}\.?(?:\x20\p{Lu}(?:\.|\p{Ll}{1,14})){1,2}$",
+}
+
+
+def _fixed_rule(kind: str, match: Column) -> Column:
+    """Whether the fixed rule of a base kind keeps a match."""
     n = F.length(_digits(match))
     if kind == "email":
-        return F.lit(True), _vote(F.rlike(match, F.lit(r"\.[A-Za-z]{2,24}$")))
+        return F.lit(True)
     if kind == "ip":
         # leading zeros don't count; what is left has three digits at most, or is too large
-        ok = F.forall(F.split(match, r"\."), lambda p: F.when(F.length(F.ltrim(p, F.lit("0"))) <= 3, F.right(p, F.lit(3)).cast("int") <= 255).otherwise(False))
-        return ok, _vote(ok & ~F.rlike(match, F.lit(r"(^|\.)0[0-9]")))
+        return F.forall(F.split(match, r"\."), lambda p: F.when(F.length(F.ltrim(p, F.lit("0"))) <= 3, F.right(p, F.lit(3)).cast("int") <= 255).otherwise(False))
     if kind == "card":
-        ok = F.when((n >= 14) & (n <= 19), luhn(_digits(match))).otherwise(False)
-        return ok, _vote(ok)
-    if kind == "phone":
-        ok = (n >= 10) & (n <= 15)
-        return ok, _vote(ok)
+        return F.when((n >= 14) & (n <= 19), luhn(_digits(match))).otherwise(False)
+    return (n >= 10) & (n <= 15) if kind == "phone" else F.lit(False)
+
+
+def mod97(account: Column) -> Column:
+    """Whether the check digits of an account number are right."""
+    plain = F.replace(account, F.lit(" "), F.lit(""))
+    turned = F.concat(F.substr(plain, F.lit(5)), F.left(plain, F.lit(4)))
+
+    def add(rest: Column, i: Column) -> Column:
+        c = F.ascii(F.substring(turned, i, F.lit(1)))
+        return F.when(c >= 65, (rest * 100 + c - 55) % 97).otherwise((rest * 10 + c - 48) % 97)
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add) == 1
+
+
+def _check(kind: str, match: Column, base: Column) -> Column:
+    """Arithmetic: check digits, ranges, counts."""
+    n = F.length(_digits(match))
+    if kind == "email":
+        return _vote((F.length(match) <= 254) & (F.length(F.substring_index(match, "@", 1)) <= 64))
+    if kind in BASE_KINDS:
+        return _vote(base)
+    if kind == "local_phone":
+        date = F.rlike(match, F.lit(r"^(?:0?[1-9]|[12][0-9]|3[01])[./-](?:0?[1-9]|1[0-2])[./-](?:19|20)?[0-9]{2}$|^(?:19|20)[0-9]{2}[./-](?:0?[1-9]|1[0-2])[./-](?:0?[1-9]|[12][0-9]|3[01])$|^(?:1[0-9]|20)[0-9]{2}\x20?[./-]\x20?(?:1[0-9]|20)?[0-9]{2}$"))
+        return _vote(F.lit(False), (n < 9) | (n > 12) | date)  # a right count says little
     if kind == "national_id":
-        return F.lit(False), _vote(~F.rlike(match, F.lit("^(000|666|9)|-00-|-0000$")))
-    return F.lit(False), F.lit(NO_VOTE)
+        letter = F.substring(F.lit(DNI_LETTERS), F.left(match, F.lit(8)).try_cast("int") % 23 + 1, F.lit(1))
+        social = ~F.rlike(match, F.lit("^(?:000|666|9)|^[0-9]{3}-?00|0000$"))
+        return _vote(F.when(F.rlike(match, F.lit("[A-Z]$")), F.right(match, F.lit(1)) == letter).otherwise(social))
+    if kind == "account":
+        return _vote(mod97(match))
+    return F.lit(NO_VOTE)
 
 
 def _gazetteer(kind: str, match: Column) -> Column:
@@ -167,34 +246,71 @@ def _gazetteer(kind: str, match: Column) -> Column:
         return _vote(F.rlike(match, F.lit("^(4|5[1-5]|2[2-7]|3[47]|6011|65|35)")))
     if kind == "phone":
         return _vote(F.regexp_extract(match, r"^\+(1|7|[0-9][0-9]?)", 1).isin(*DIAL_CODES))
+    if kind == "account":
+        return _vote(F.left(match, F.lit(2)).isin(*IBAN_COUNTRIES))
     if kind == "name":
-        return _vote(F.rlike(match, F.lit(r"\b(" + "|".join(GIVEN_NAMES) + r")\b")), F.lit(False))
+        listed = F.rlike(match, F.lit(r"\b(?:" + "|".join(GIVEN_NAMES) + r")\b|^(?:" + "|".join(TITLES) + r")\b"))
+        return _vote(listed, F.rlike(match, F.lit(r"\b(?:" + "|".join(NO_NAMES) + r")\b")))
     return F.lit(NO_VOTE)
 
 
+def _cues(side: Column, words: tuple[str, ...], against: tuple[str, ...], where: str) -> Column:
+    """For it if a word for the kind is within reach; against it if not, and a word against
+    it stands right beside the span."""
+    start, end = (r"(?<![\p{L}])(?:", r")(?![\p{L}])")
+    beside = r"[^\p{L}]{0,4}$" if where == "before" else ""
+    first = "" if where == "before" else r"^[^\p{L}]{0,4}"
+    return _vote(F.rlike(side, F.lit(start + "|".join(words) + end)), F.rlike(side, F.lit(first + start + "|".join(against) + end + beside)))
+
+
 def _side(char: Column) -> Column:
     """0: none or white space, 1: punctuation, 2: a letter or digit."""
     return F.when((char == "") | F.rlike(char, F.lit(r"\s")), 0).when(F.rlike(char, F.lit(r"[\p{L}\p{N}]")), 2).otherwise(1)
 
 
-def candidates(text: Column) -> Column:
-    """Array of all kinds' candidates, with votes and features."""
+def _hashed(text: Column, values: int) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(values)).cast("int")
+
+
+def _form(match: Column) -> Column:
+    """The match with one sign for each run of digits, capitals and other letters."""
+    for run, sign in ((r"\p{Lu}+", "A"), (r"\p{Ll}+", "a"), (r"[0-9]{5,}", "00000"), (r"[0-9]", "0")):
+        match = F.regexp_replace(match, run, sign)
+    return match
+
+
+def labelers(kind: str, match: Column, before: Column, after: Column, base: Column) -> dict[str, Column]:
+    """The vote of each labeler; ``before`` and ``after`` in lower case."""
+    others = r"@[a-z0-9-]+\.|(?:^|[^0-9])\+[0-9]{2}" if kind not in ("email", "masked_email") else r"\+?[0-9][0-9()\x20.-]{7,}[0-9]"
+    return {
+        "shape": _vote(F.rlike(match, F.lit(SHAPES[kind]))),
+        "check": _check(kind, match, base),
+        "gazetteer": _gazetteer(kind, match),
+        "before": _cues(before, BEFORE[kind], AGAINST_BEFORE, "before"),
+        "after": _cues(after, AFTER[kind], AGAINST_AFTER, "after"),
+        "nearby": _vote(F.rlike(before, F.lit(others)) | F.rlike(after, F.lit(others)), F.lit(False)),
+    }
+
+
+def candidates(text: Column, kinds: tuple[str, ...]) -> Column:
+    """Array of the candidates of some kinds, with votes and features."""
     out = []
-    for k, kind in enumerate(KINDS):
+    for kind in kinds:
 
         def judged(m: Column) -> Column:  # called before the next kind
             match, start, end = m["match"], m["start"], m["end"]
-            ok, check = _checked(kind, match)
-            before = F.lower(m["before"])
-            shape = _vote(ok) if kind in BASE_KINDS else F.lit(FOR_IT if kind != "name" else NO_VOTE)
-            context = _vote(F.rlike(before, F.lit(r"\b(" + "|".join(CUES[kind]) + ")")), F.rlike(before, F.lit(r"\b(" + "|".join(AGAINST) + r")\b")))
+            base = _fixed_rule(kind, match)
+            before, after = F.lower(m["before"]), F.lower(m["after"])
             n, digits = F.length(match), F.length(_digits(match))
             return F.struct(
-                F.lit(k).alias("kind"), start.alias("start"), end.alias("end"), ok.alias("base"),
-                shape.alias("shape"), check.alias("check"), _gazetteer(kind, match).alias("gazetteer"), context.alias("context"),
+                F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), end.alias("end"), base.alias("base"),
+                *[v.alias(k) for k, v in labelers(kind, match, before, after, base).items()],
                 F.when(n <= 8, 0).when(n <= 12, 1).when(n <= 16, 2).when(n <= 24, 3).otherwise(4).alias("length"),
                 F.when(digits == 0, 0).when(digits * 2 < n, 1).when(digits < n, 2).otherwise(3).alias("digits"),
-                _side(F.right(m["before"], F.lit(1))).alias("left"), _side(m["after"]).alias("right"),
+                _side(F.right(m["before"], F.lit(1))).alias("left"), _side(F.left(m["after"], F.lit(1))).alias("right"),
+                _hashed(_form(match), FEATURES["form"]).alias("form"),
+                _hashed(F.regexp_extract(before, r"([\p{L}\p{N}]+)[^\p{L}\p{N}]*$", 1), FEATURES["word_before"]).alias("word_before"),
+                _hashed(F.regexp_extract(after, r"^[^\p{L}\p{N}]*([\p{L}\p{N}]+)", 1), FEATURES["word_after"]).alias("word_after"),
             )
 
         out.append(F.transform(located(text, kind), judged))
@@ -203,104 +319,116 @@ def candidates(text: Column) -> Column:
 
 # --- the models, from counts ----------------------------------------------------------
 
+#: Before anything is seen: how probable a true span is, by kind, and how many votes the
+#: belief weighs that a labeler is right four times of five.
+PRIOR = {k: 0.5 if kind in BASE_KINDS else 0.1 if kind == "name" else 0.2 for k, kind in enumerate(KINDS)}
+BELIEF = 20.0
+
 
 @dataclass(frozen=True)
 class Reliability:
-    """prior[kind] of a true span; given[y][labeler][vote]."""
+    """prior[kind] of a true span; given[kind][y][labeler]: how often it votes for a span,
+    true (1) or not (0), if it votes."""
 
     prior: dict[int, float]
-    given: list[list[list[float]]]
+    given: dict[int, list[list[float]]]
 
     def true(self, kind: int, votes: tuple[int, ...]) -> float:
-        p = math.log(self.prior.get(kind, 0.5)), math.log(1 - self.prior.get(kind, 0.5))
-        t, f = p[0], p[1]
+        t, f = math.log(self.prior[kind]), math.log(1 - self.prior[kind])
         for j, v in enumerate(votes):
-            t, f = t + math.log(self.given[1][j][v]), f + math.log(self.given[0][j][v])
+            if v != NO_VOTE:
+                yes, no = self.given[kind][1][j], self.given[kind][0][j]
+                t, f = t + math.log(yes if v == FOR_IT else 1 - yes), f + math.log(no if v == FOR_IT else 1 - no)
         return 1 / (1 + math.exp(min(max(f - t, -60), 60)))
 
 
-def estimate(counts: dict[tuple[int, tuple[int, ...]], int], rounds: int = 60) -> Reliability:
-    """Expectation-maximisation over counts of (kind, votes), from labelers that are right
-    four times of five."""
-    right = [[0.2, 0.5, 0.3], [0.5, 0.2, 0.3]]
-    given = [[[0.55, 0.15, 0.3] for _ in VOTES], [[0.15, 0.55, 0.3] for _ in VOTES]]
-    model = Reliability({k: 0.5 for k, _ in counts}, given)
+def estimate(counts: dict[tuple[int, tuple[int, ...]], int], rounds: int = 100) -> Reliability:
+    """Expectation-maximisation over counts of (kind, votes)."""
+    kinds = {k for k, _ in counts}
+    model = Reliability({k: PRIOR[k] for k in kinds}, {k: [[0.2] * len(VOTES), [0.8] * len(VOTES)] for k in kinds})
     for _ in range(rounds):
-        true, total = defaultdict(float), defaultdict(float)
-        sums = [[[right[y][v] * 2 for v in range(3)] for _ in VOTES] for y in (1, 0)]
+        true = {k: [BELIEF * PRIOR[k], BELIEF] for k in kinds}
+        yes = {k: [[0.2 * BELIEF] * len(VOTES), [0.8 * BELIEF] * len(VOTES)] for k in kinds}
+        cast = {k: [[BELIEF] * len(VOTES), [BELIEF] * len(VOTES)] for k in kinds}
         for (kind, votes), n in counts.items():
             p = model.true(kind, votes)
-            true[kind] += n * p
-            total[kind] += n
+            true[kind][0] += n * p
+            true[kind][1] += n
             for j, v in enumerate(votes):
-                sums[0][j][v] += n * (1 - p)
-                sums[1][j][v] += n * p
-        given = [[[x / sum(row) for x in row] for row in sums[y]] for y in (0, 1)]
-        model = Reliability({k: (true[k] + 1) / (total[k] + 2) for k in total}, given)
+                if v != NO_VOTE:
+                    for y, w in ((0, n * (1 - p)), (1, n * p)):
+                        cast[kind][y][j] += w
+                        yes[kind][y][j] += w * (v == FOR_IT)
+        model = Reliability({k: t / n for k, (t, n) in true.items()}, {k: [[a / b for a, b in zip(yes[k][y], cast[k][y], strict=True)] for y in (0, 1)] for k in kinds})
     return model
 
 
-def classify(rows: list[tuple[tuple[int, ...], float, float]], rounds: int = 200, l2: float = 1.0) -> dict[tuple[str, int], float]:
-    """Logistic regression on one-hot features: (values, weight of true, weight of false)."""
-    names = list(FEATURES)
-    w: dict[tuple[str, int], float] = defaultdict(float)
-    total = sum(t + f for _, t, f in rows)
-    moment: dict[tuple[str, int], float] = defaultdict(float)
+def _slots() -> dict[str, tuple[int, int]]:
+    """Of each feature, where its weights begin and how many there are; a vote has weights
+    for each kind."""
+    out, at = {}, 1
+    for f, size in (FEATURES | {v: 3 * len(KINDS) for v in VOTES}).items():
+        out[f] = at, size
+        at += size
+    return out
+
+
+SLOTS = _slots()
+INPUTS = (*FEATURES, *VOTES)
+
+
+def classify(rows: list[tuple[tuple[int, ...], float, float]], rounds: int = 400, l2: float = 0.5) -> np.ndarray:
+    """Logistic regression on one-hot features: (values as in ``INPUTS``, weight of true,
+    weight of false). Weights begin with the intercept."""
+    at = np.array([[0, *(SLOTS[f][0] + (v if f in FEATURES else 3 * values[0] + v) for f, v in zip(INPUTS, values, strict=True))] for values, _, _ in rows])
+    true, both = np.array([t for _, t, _ in rows]), np.array([t + f for _, t, f in rows])
+    size = 1 + sum(n for _, n in SLOTS.values())
+    w, moment = np.zeros(size), np.zeros(size)
     for _ in range(rounds):
-        g: dict[tuple[str, int], float] = defaultdict(float)
-        for values, t, f in rows:
-            keys = [("bias", 0), *zip(names, values, strict=True)]
-            z = sum(w[k] for k in keys)
-            p = 1 / (1 + math.exp(-min(max(z, -60), 60)))
-            for k in keys:
-                g[k] += (p * (t + f) - t) / total
-        for k in g:
-            step = g[k] + l2 * w[k] / total
-            moment[k] += step * step
-            w[k] -= 0.5 * step / (math.sqrt(moment[k]) + 1e-9)
-    return dict(w)
-
-
-def train(found: DataFrame) -> tuple[Reliability | None, dict[tuple[str, int], float]]:
+        p = 1 / (1 + np.exp(-np.clip(w[at].sum(axis=1), -60, 60)))
+        step = (np.bincount(at.ravel(), np.repeat(p * both - true, at.shape[1]), size) + l2 * w) / both.sum()
+        moment += step * step
+        w -= 0.3 * step / (np.sqrt(moment) + 1e-9)
+    return w
+
+
+def train(found: DataFrame, sample: int = SAMPLE) -> tuple[Reliability | None, np.ndarray | None]:
     """Both models from the candidates of all documents (column ``cands``)."""
-    names = list(dict.fromkeys((*FEATURES, *VOTES)))
-    spans = found.select(F.explode("cands").alias("c")).select("c.*").groupBy(*names).agg(F.count("*").alias("n"))
-    rows = spans.collect()
-    if not rows:
-        return None, {}
-    counts: dict[tuple[int, tuple[int, ...]], int] = defaultdict(int)
-    for r in rows:
-        counts[r["kind"], tuple(r[v] for v in VOTES)] += r["n"]
-    model = estimate(counts)
-    soft: dict[tuple[int, ...], list[float]] = defaultdict(lambda: [0.0, 0.0])
-    for r in rows:
+    spans = found.select(F.explode("cands").alias("c")).select("c.*")
+    by_votes = spans.groupBy("kind", *VOTES).agg(F.count("*").alias("n")).collect()
+    if not by_votes:
+        return None, None
+    model = estimate({(r["kind"], tuple(r[v] for v in VOTES)): r["n"] for r in by_votes})
+    vectors = spans.groupBy(*INPUTS).agg(F.count("*").alias("n")).orderBy(F.xxhash64(*INPUTS), *INPUTS).limit(sample).collect()
+    rows = []
+    for r in vectors:
         p = model.true(r["kind"], tuple(r[v] for v in VOTES))
-        x = soft[tuple(r[f] for f in FEATURES)]
-        x[0] += r["n"] * p
-        x[1] += r["n"] * (1 - p)
-    return model, classify([(k, *x) for k, x in sorted(soft.items())])
+        rows.append((tuple(r[f] for f in INPUTS), r["n"] * p, r["n"] * (1 - p)))
+    return model, classify(rows)
 
 
-def accepted(c: Column, weights: dict[tuple[str, int], float], threshold: float) -> Column:
+def accepted(c: Column, weights: np.ndarray, threshold: float) -> Column:
     """Whether the classifier takes a candidate that no fixed rule keeps."""
-    z = F.lit(weights.get(("bias", 0), 0.0))
-    for f, size in FEATURES.items():
-        z = z + F.array(*[F.lit(weights.get((f, v), 0.0)) for v in range(size)])[c[f]]
+    z = F.lit(float(weights[0]))
+    for f, (at, size) in SLOTS.items():
+        value = c[f] if f in FEATURES else 3 * c["kind"] + c[f]
+        z = z + F.array(*[F.lit(float(x)) for x in weights[at : at + size]])[value]
     return z >= math.log(threshold / (1 - threshold))
 
 
 def personal_spans(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id and spans: array of (start, kind number, end, base), by start, then kind."""
     text = text_or_empty()
-    found = stored(docs.select("doc_id", candidates(text).alias("cands")), "pii-candidates")
+    found = docs.select("doc_id", candidates(text, BASE_KINDS).alias("__known"), candidates(text, ADDED_KINDS).alias("__loose"))
+    found = found.withColumn("__base", F.filter("__known", lambda c: c["base"]))
+    apart = F.filter("__loose", lambda c: ~F.exists("__base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    found = stored(found.select("doc_id", F.concat("__known", apart).alias("cands")), "pii-candidates")
     _, weights = train(found)
-    base = F.filter("cands", lambda c: c["base"])
-    extra = F.filter(
-        F.filter("cands", lambda c: ~c["base"] & (c["kind"] >= len(BASE_KINDS)) & accepted(c, weights, threshold)),
-        lambda c: ~F.exists("__base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])),
-    )
-    slim = lambda a: F.transform(a, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["base"].alias("base")))
-    return found.withColumn("__base", base).select("doc_id", F.array_sort(F.concat(slim(F.col("__base")), slim(extra))).alias("spans"))
+    if weights is None:
+        weights = np.zeros(1 + sum(n for _, n in SLOTS.values()))
+    chosen = F.filter("cands", lambda c: c["base"] | ((c["kind"] >= len(BASE_KINDS)) & accepted(c, weights, threshold)))
+    slim = F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["base"].alias("base")))
+    return found.select("doc_id", F.array_sort(slim).alias("spans"))
 
 
 def op2_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
