@@ -189,7 +189,7 @@ SHAPES = {
     "national_id": r"^(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{8}-?[A-Z])$",
     "masked_email": r"[(\[{<]\x20?(?:at|AT|arroba)\x20?[)\]}>].*[(\[{<]\x20?(?:dot|DOT|punto|punkt|point)\x20?[)\]}>]",
     "account": r"^[A-Z]{2}[0-9]{2}(?:[0-9A-Z]+|(?:\x20[0-9A-Z]{4})+(?:\x20[0-9A-Z]{1,3})?)$",
-    "name": r"^(?!(\p{L}+)\x20\1)\p{Lu}\p{Ll}{1,11}\.?(?:\x20\p{Lu}(?:\.|\p{Ll}{1,14})){1,2}$",
+    "name": r"^(?!(\p{L}+)\x20\1)(?:(?:" + "|".join(TITLES) + r")\.|\p{Lu}\p{Ll}{1,11})(?:\x20\p{Lu}(?:\.|\p{Ll}{1,14})){1,2}$",
 }
 
 
