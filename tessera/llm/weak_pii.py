@@ -23,8 +23,8 @@ their rules drop only serves as evidence. A loose span that overlaps one of them
 before anything is counted.
 
 The driver gets counts of vote patterns, whose number is fixed by this module, and for the
-classifier at most ``SAMPLE`` different feature vectors with their counts, those whose hashes
-are smallest. Texts are read once and never shuffled; candidates are written to the shared
+classifier some ``SAMPLE`` different feature vectors with their counts: all, or beyond that
+number the share of them with the smallest hashes. Texts are read once and never shuffled; candidates are written to the shared
 folder, where training and labelling read them.
 
 Offsets come from the lengths of the matches and of the pieces between them, so they
@@ -115,7 +115,7 @@ AGAINST_IT, FOR_IT, NO_VOTE = 0, 1, 2
 #: Features of the span classifier beside the votes, and how many values each has.
 FEATURES = {"kind": len(KINDS), "length": 5, "digits": 4, "left": 3, "right": 3, "form": 32, "word_before": 64, "word_after": 64}
 REACH, PART = 40, 256
-#: Feature vectors that the classifier is trained on at most.
+#: Different feature vectors that the classifier is trained on, as expected by their hashes.
 SAMPLE = 20_000
 
 
@@ -399,9 +399,12 @@ def train(found: DataFrame, sample: int = SAMPLE) -> tuple[Reliability | None, n
     if not by_votes:
         return None, None
     model = estimate({(r["kind"], tuple(r[v] for v in VOTES)): r["n"] for r in by_votes})
-    vectors = spans.groupBy(*INPUTS).agg(F.count("*").alias("n")).orderBy(F.xxhash64(*INPUTS), *INPUTS).limit(sample).collect()
+    vectors = stored(spans.groupBy(*INPUTS).agg(F.count("*").alias("n")), "pii-vectors")
+    many = vectors.count()
+    if many > sample:  # by hash, so that no task and not the driver has to order them
+        vectors = vectors.filter(F.pmod(F.xxhash64(*INPUTS), F.lit(1 << 40)) < int(sample / many * (1 << 40)))
     rows = []
-    for r in vectors:
+    for r in sorted(vectors.collect()):
         p = model.true(r["kind"], tuple(r[v] for v in VOTES))
         rows.append((tuple(r[f] for f in INPUTS), r["n"] * p, r["n"] * (1 - p)))
     return model, classify(rows)
