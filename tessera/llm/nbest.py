@@ -50,7 +50,7 @@ MARK = "▁"
 SHIFT = 3000.0
 #: Longer segments are searched alone; bytes of the texts that are solved together; code
 #: points of the segments whose searches a worker remembers.
-LONG, TOGETHER, REMEMBERED = 32, 3_000_000, 2_000_000
+LONG, TOGETHER, REMEMBERED = 32, 12_000_000, 2_000_000
 #: What no piece passes over, if none has a mark behind another character.
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -81,23 +81,46 @@ class Pieces:
         self.scores = scores
         self.unknown = min(s for _, s in scores.values()) - 10
         self.longest = max(map(len, scores))
-        # a trie as a sorted array of state * alphabet + character
+        # a trie whose steps, from state * alphabet + character, are in a hash table
         chars = sorted({c for p in scores for c in p})
-        self.of_char = {c: k for k, c in enumerate(chars)}
-        self.codes = np.array([ord(c) for c in chars], np.int64)
+        number = {c: k for k, c in enumerate(chars)}
+        self.alphabet, self.of_code = len(chars), np.full(0x110000, -1, np.int32)
+        self.of_code[[ord(c) for c in chars]] = np.arange(len(chars))
         states: dict[str, int] = {"": 0}
         for p in scores:
             for k in range(1, len(p) + 1):
                 states.setdefault(p[:k], len(states))
-        keys = [(states[p[:-1]] * len(chars) + self.of_char[p[-1]], s) for p, s in states.items() if p]
-        self.keys, self.to = (np.array(x, np.int64) for x in zip(*sorted(keys), strict=True))
+        self.bits = max(8, len(states).bit_length() + 2)
+        self.keys, self.to = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        steps = np.array([(states[p[:-1]] * len(chars) + number[p[-1]], s) for p, s in states.items() if p], np.int64)
+        for (key, to), at in zip(steps.tolist(), self._slot(steps[:, 0]).tolist(), strict=True):
+            while self.keys[at] >= 0:
+                at = (at + 1) % len(self.keys)
+            self.keys[at], self.to[at] = key, to
         self.piece_at, self.score_at = np.full(len(states), -1, np.int32), np.full(len(states), -np.inf)
         for p, (i, s) in scores.items():
             self.piece_at[states[p]], self.score_at[states[p]] = i, s
         self.first = np.zeros(len(chars), np.int64)
         for p, s in states.items():
             if len(p) == 1:
-                self.first[self.of_char[p]] = s
+                self.first[number[p]] = s
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The states that ``char`` leads to; -1: none."""
+        key = state * self.alphabet + char
+        at = self._slot(key)
+        out, open_ = self.to[at], np.flatnonzero((self.keys[at] != key) & (self.keys[at] >= 0))
+        out[self.keys[at] != key] = -1
+        while len(open_):
+            at[open_] = (at[open_] + 1) % len(self.keys)
+            seen = self.keys[at[open_]]
+            hit = open_[seen == key[open_]]
+            out[hit] = self.to[at[hit]]
+            open_ = open_[(seen != key[open_]) & (seen >= 0)]
+        return out
 
     def edges(self, segment: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
         """For each node, the edges that end there: (start, ids, score)."""
@@ -182,8 +205,8 @@ class Segmenter:
         w = len(part)
         size = np.array([len(segments[k]) for k in part])
         code = np.ascontiguousarray(np.array([segments[k] for k in part], f"U{n}").view(np.uint32).reshape(w, n).T).astype(np.int64)
-        char = np.minimum(np.searchsorted(p.codes, code), len(p.codes) - 1)
-        known = p.codes[char] == code
+        char = p.of_code[code]
+        known = char >= 0
         inside = np.arange(n)[:, None] < size
         deep = min(p.longest, n)
         s, piece = np.full((deep, n, w), -np.inf), np.full((deep, n, w), -1, np.int32)
@@ -201,10 +224,9 @@ class Segmenter:
             at, state, then = at[ok], state[ok], then[ok]
             if not len(at):
                 break
-            key = state * len(p.codes) + flat_char[then]
-            where = np.minimum(np.searchsorted(p.keys, key), len(p.keys) - 1)
-            ok = p.keys[where] == key
-            at, state = at[ok], p.to[where[ok]]
+            state = p.step(state, flat_char[then])
+            ok = state >= 0
+            at, state = at[ok], state[ok]
             s.reshape(deep, -1)[length, at], piece.reshape(deep, -1)[length, at] = p.score_at[state], p.piece_at[state]
         # characters without a piece of their own
         bare = inside & (piece[0] < 0)
