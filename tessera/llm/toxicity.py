@@ -89,6 +89,12 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray, l2: float
     pos, neg = summed(toxic) + 1, summed(1 - toxic) + 1
     ratio = np.log(pos / (toxic.sum() + 2)) - np.log(neg / ((1 - toxic).sum() + 2))
     ratio[pos + neg - 2 < least] = 0
+    # what has no ratio, as it is rare or in all rows alike, would only add zeros
+    used = [(ratio[grams] != 0, n) for grams, n in flat]
+    flat = [(grams[u], np.add.reduceat(np.r_[u, False], np.r_[0, np.cumsum(n)[:-1]], dtype=np.int64) * (n > 0)) for (grams, n), (u, _) in zip(flat, used, strict=True)]
+    number = np.cumsum(ratio != 0) - 1  # few features, side by side, are read and summed faster
+    flat, size, all_ratios = [(number[grams].astype(np.int32), n) for grams, n in flat], int((ratio != 0).sum()), ratio
+    ratio = ratio[ratio != 0]
     weight = weight / weight.sum()
     v, b, m1, m2 = np.zeros(size), prior, np.zeros(size), np.zeros(size)
     for step in range(1, steps + 1):
@@ -102,7 +108,9 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray, l2: float
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         v -= 0.02 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6)
         b -= 0.05 * error.sum()
-    return Model((ratio * v).astype(np.float32), float(b))
+    weights = np.zeros(len(all_ratios), np.float32)
+    weights[all_ratios != 0] = ratio * v
+    return Model(weights, float(b))
 
 
 def held_out(key: Column) -> Column:
