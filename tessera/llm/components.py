@@ -15,6 +15,10 @@ def components(edges: DataFrame) -> DataFrame:
     so the rounds needed grow with the logarithm of a component's width. Each round is
     written to the shared folder. A node with very many edges is a hot key of a join
     only, which is split, and of a minimum, which is taken before rows move.
+
+    Edge cases: repeated edges, in either direction, count once; an edge from a node to
+    itself, or with a null end, counts for nothing, so its node is not returned unless
+    another edge has it; no edges give no rows; other columns are not read.
     """
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")), "labels")

@@ -24,7 +24,6 @@ columns of the input other than the text and the id are not touched.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from array import array
 from collections import defaultdict
@@ -453,16 +452,3 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *map(count, BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
-
-
-def base_by_regex(text: str | None) -> tuple[dict[str, int], str]:
-    """The base kinds by Python's regular expressions, for tests."""
-    text = text or ""
-    out = []
-    for m in re.finditer(RULES[0].measured, text, re.I | re.A):
-        if len(m["v"]) >= 8:
-            out.append((m.start(), m.end(), "assign"))
-    out += [(m.start(), m.end(), "access") for m in re.finditer(r"AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 16]
-    out += [(m.start(), m.end(), "hex") for m in re.finditer(r"[0-9a-f]+", text) if m.end() - m.start() >= 32]
-    counts = {k: sum(x[2] == k for x in out) for k in BASE_KINDS}
-    return counts, hashlib.sha256(_digested(out, BASE_KINDS).encode()).hexdigest()
