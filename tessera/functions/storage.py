@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
+    """A fresh folder path under ``spark.checkpoint.dir``. Only a local session, as in tests,
+    may be without that setting; on a cluster it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:  # a local session, as in tests
+    if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file:///tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -103,19 +103,19 @@ def traverse(edges: DataFrame, nodes: DataFrame, start: DataFrame, direction: st
         if depth == 1 and contains_from_files:
             files = nodes.filter("node_type = 'file'").select(F.col("node_id").alias("at"))
             reach = reach.unionByName(frontier.join(files, "at").join(directed(edges, "out", ("contains",)), "at"))
-        order = F.struct("ord", "edge_type", "edge_id")
-        reach = reach.withColumn("order", order).orderBy("order").limit(max_edges - edges_used)
+        # the edges are read once a level; what follows works on ``max_edges`` rows at most
+        reach = kept(reach.withColumn("order", F.struct("ord", "edge_type", "edge_id")).orderBy("order").limit(max_edges - edges_used), "reach")
+        edges_used += reach.count()
         new = reach.join(visited.withColumnRenamed("at", "next"), "next", "left_anti")
         first = new.groupBy("next").agg(F.min_by(F.struct("path", "types", "conf", "edge_type", "confidence", "order"), "order").alias("b"))
-        rows = first.select("next", "b.*").join(exists, "next", "left").select(
+        rows = first.select("next", "b.*").select(
             F.col("next").alias("at"), F.lit(depth).alias("depth"), "order",
             F.concat("path", F.array("next")).alias("path"), F.concat("types", F.array("edge_type")).alias("types"), F.least(F.lit(1.0), F.col("conf") * F.col("confidence")).alias("conf"),
         )
         known = rows.join(exists.withColumnRenamed("next", "at"), "at", "left_semi").orderBy("order").limit(max_nodes - used)
         frontier = kept(known.withColumn("ord", F.row_number().over(Window.orderBy("order")).cast("int")).select("at", "depth", "ord", "path", "types", "conf"), "frontier")
         n = frontier.count()
-        visited = kept(visited.union(rows.select("at")), "visited")
-        edges_used += min(reach.count(), max_edges - edges_used)
+        visited = visited.union(rows.select("at"))
         found = found.unionByName(frontier)
         used += n
         if not n or used >= max_nodes or edges_used >= max_edges:
@@ -172,11 +172,18 @@ def resolve(facts: DataFrame, nodes: DataFrame, aliases: DataFrame | None = None
     """
     f = facts.withColumn("target", F.trim("target")).filter("target <> ''")
     one = simple(F.col("target"))
-    by = lambda column, key, rows, tier: rows.join(nodes.select(F.col(column).alias("__k"), "node_id", F.col("document_id").alias("node_document")), F.col(key) == F.col("__k")).select("fact_id", F.lit(tier).alias("tier"), "node_id", "node_document", "document_id")
+
+    def by(column: str, key: str, rows: DataFrame, tier: int, *also: str) -> DataFrame:
+        """Facts with the number and the least of the nodes of that name: nodes are counted by
+        name first, so a name that very many nodes have is one row of the join."""
+        named = nodes.groupBy(F.col(column).alias(key), *also).agg(F.countDistinct("node_id").alias("n"), F.min("node_id").alias("node_id"))
+        return rows.join(named, [key, *also]).select("fact_id", F.lit(tier).alias("tier"), "n", "node_id")
+
     arms = [
         by("stable_key", "target", f, 0),
         by("qualified_name", "beside", f.filter(one).withColumn("beside", sibling_name(F.col("container"), F.col("target"))), 2),
         by("qualified_name", "target", f, 3),
+        by("name", "target", f.filter(one), 4, "document_id"),  # a name in the fact's own document comes before the same name elsewhere
         by("name", "target", f.filter(one), 5),
     ]
     if aliases is not None:
@@ -184,12 +191,10 @@ def resolve(facts: DataFrame, nodes: DataFrame, aliases: DataFrame | None = None
         at = F.length("alias")
         rest = F.substring(F.col("target"), at + 1, F.length("target"))
         expanded = F.when(F.col("target") == F.col("alias"), F.col("replacement")).when(F.startswith("target", F.col("alias")) & F.rlike(rest, F.lit(r"^(::|\.|/)")), F.concat("replacement", rest))
-        arms.append(by("qualified_name", "expanded", a.withColumn("expanded", expanded).filter("expanded IS NOT NULL"), 1))
-    every = reduce(DataFrame.unionByName, arms)
-    # a name in the fact's own document comes before the same name elsewhere
-    every = every.withColumn("tier", F.when((F.col("tier") == 5) & (F.col("node_document") == F.col("document_id")), 4).otherwise(F.col("tier")))
-    best = every.groupBy("fact_id").agg(F.min("tier").alias("tier"))
-    chosen = every.join(best, ["fact_id", "tier"]).groupBy("fact_id", "tier").agg(F.countDistinct("node_id").alias("n"), F.min("node_id").alias("node_id"))
+        arms.append(by("qualified_name", "expanded", a.select("fact_id", expanded.alias("expanded")).filter("expanded IS NOT NULL").distinct(), 1))
+    # a node has one qualified name, so counts of different expansions add up
+    every = reduce(DataFrame.unionByName, arms).groupBy("fact_id", "tier").agg(F.sum("n").alias("n"), F.min("node_id").alias("node_id"))
+    chosen = every.groupBy("fact_id").agg(F.min(F.struct("tier", "n", "node_id")).alias("b")).select("fact_id", "b.*")
     state = F.when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "ambiguous").otherwise("unresolved")
     basis = reduce(lambda rest, i: F.when(F.col("tier") == i, BASES[i]).otherwise(rest), range(len(BASES)), F.lit(None).cast("string"))
     return facts.select("fact_id").join(chosen, "fact_id", "left").select("fact_id", state.alias("state"), basis.alias("basis"), F.when(F.col("n") == 1, F.col("node_id")).alias("node_id"), F.coalesce("n", F.lit(0)).cast("long").alias("candidates"))

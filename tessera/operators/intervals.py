@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,6 +24,31 @@ def overlaps(nodes: DataFrame, chunks: DataFrame, document: str = "document_id",
     return both.filter(F.col("__cell") == first).drop("__cell")
 
 
+def _level(length: Column) -> Column:
+    """The least power of two that is not under ``length``, as its exponent."""
+    return F.ceil(F.log2(F.greatest(length, F.lit(1)).cast("double"))).cast("int")
+
+
+def _cell(at: Column, level: Column) -> Column:
+    return F.floor(at / F.pow(F.lit(2.0), level)).cast("long")
+
+
+def containing(points: DataFrame, at: Column, ranges: DataFrame, first: Column, last: Column, keys: list[str]) -> DataFrame:
+    """``points`` joined with those ``ranges`` of their keys that begin at ``first`` and end at
+    ``last``, both inside, around ``at`` (whole numbers).
+
+    A range lies in at most two cells of the least power of two that holds it; a point
+    looks into its one cell of each width that its key has ranges of. So points meet ranges
+    about as long as their distance only, and a key is dealt over its cells.
+    """
+    r = ranges.withColumn("__first", first).withColumn("__last", last).withColumn("__level", _level(F.col("__last") - F.col("__first") + 1))
+    r = r.withColumn("__cell", F.explode(F.sequence(_cell(F.col("__first"), F.col("__level")), _cell(F.col("__last"), F.col("__level")))))
+    levels = r.groupBy(*keys).agg(F.collect_set("__level").alias("__levels"))  # 63 at most
+    p = points.withColumn("__at", at).join(levels, keys).withColumn("__level", F.explode("__levels")).withColumn("__cell", _cell(F.col("__at"), F.col("__level")))
+    inside = (F.col("__first") <= F.col("__at")) & (F.col("__at") <= F.col("__last"))
+    return p.join(r, [*keys, "__level", "__cell"]).filter(inside).drop("__at", "__levels", "__level", "__cell", "__first", "__last")
+
+
 def nearest(pairs: DataFrame, most: int = 4) -> DataFrame:
     """Each node's chunks: those that overlap, then by distance of starts, width, start, id."""
     over = (F.col("node_start") < F.col("end")) & (F.col("start") < F.col("node_end"))
@@ -31,11 +56,37 @@ def nearest(pairs: DataFrame, most: int = 4) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
 
 
+def nearest_chunks(nodes: DataFrame, chunks: DataFrame, most: int = 4, document: str = "document_id") -> DataFrame:
+    """``nearest`` of all chunks of each node's document, without pairing them all.
+
+    Beside the chunks that overlap only those can be among the first ``most`` that begin at
+    one of the ``most`` places before or behind the node's start where any chunk begins;
+    of each place the narrowest count. Places are numbered once in each document.
+    """
+    n = nodes.select(document, "node_id", F.col("start").alias("node_start"), F.col("end").alias("node_end"))
+    c = chunks.select(document, "chunk_id", "start", "end")
+    over = overlaps(nodes, chunks, document).select(document, "node_id", "node_start", "node_end", "chunk_id", "start", "end")
+    narrow = F.slice(F.array_sort(F.collect_list(F.struct((F.col("end") - F.col("start")).alias("width"), "chunk_id"))), 1, most).alias("at_place")
+    places = c.groupBy(document, "start").agg(narrow)
+    order = Window.partitionBy(document).orderBy("at", "node_id")
+    both = places.select(document, F.col("start").alias("at"), F.lit(None).cast(n.schema["node_id"].dataType).alias("node_id"), F.lit(None).cast("long").alias("node_end"), "at_place").unionByName(
+        n.select(document, F.col("node_start").alias("at"), "node_id", "node_end", F.lit(None).cast(places.schema["at_place"].dataType).alias("at_place"))
+    )  # nulls first: a place comes before the nodes that begin there
+    numbered = both.withColumn("__n", F.sum(F.col("at_place").isNotNull().cast("long")).over(order))
+    where = numbered.filter("at_place IS NOT NULL").select(document, "__n", F.col("at").alias("start"), "at_place")
+    wanted = numbered.filter("at_place IS NULL").select(document, "node_id", F.col("at").alias("node_start"), "node_end", F.explode(F.sequence(F.col("__n") - most + 1, F.col("__n") + most)).alias("__n"))
+    near = wanted.join(where, [document, "__n"]).select(document, "node_id", "node_start", "node_end", "start", F.inline("at_place"))
+    near = near.select(document, "node_id", "node_start", "node_end", "chunk_id", "start", (F.col("start") + F.col("width")).alias("end"))
+    return nearest(over.unionByName(near).distinct(), most)
+
+
 def smallest_enclosing(chunks: DataFrame, document: str = "document_id") -> DataFrame:
     """(chunk_id, enclosing_id): the narrowest other chunk of the document that holds it."""
+    inner = chunks.select(document, "chunk_id", "start", "end")
     outer = chunks.select(document, F.col("chunk_id").alias("enclosing_id"), F.col("start").alias("s"), F.col("end").alias("e"))
-    inside = (F.col("s") <= F.col("start")) & (F.col("e") >= F.col("end")) & (F.col("e") - F.col("s") > F.col("end") - F.col("start"))
-    return chunks.join(outer, document).filter(inside).groupBy("chunk_id").agg(F.min_by("enclosing_id", F.struct(F.col("e") - F.col("s"), "s", "enclosing_id")).alias("enclosing_id"))
+    wider = (F.col("e") >= F.col("end")) & (F.col("e") - F.col("s") > F.col("end") - F.col("start"))
+    around = containing(inner, F.col("start"), outer, F.col("s"), F.greatest(F.col("e"), F.col("s")), [document]).filter(wider)
+    return around.groupBy("chunk_id").agg(F.min_by("enclosing_id", F.struct(F.col("e") - F.col("s"), "s", "enclosing_id")).alias("enclosing_id"))
 
 
 def covered(segments: DataFrame, *keys: str) -> DataFrame:
@@ -47,9 +98,15 @@ def covered(segments: DataFrame, *keys: str) -> DataFrame:
 
 
 def overlap_ratio(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Common bytes of two sets of ranges (key, source, start, end) over the smaller total."""
-    x = a.select(key, "source", F.col("start").alias("s1"), F.col("end").alias("e1"))
-    y = b.select(key, "source", F.col("start").alias("s2"), F.col("end").alias("e2"))
-    both = x.join(y, [key, "source"]).groupBy(key).agg(F.sum(F.greatest(F.least("e1", "e2") - F.greatest("s1", "s2"), F.lit(0))).alias("common"))
+    """Common bytes of two sets of ranges (key, source, start, end) over the smaller total.
+
+    Two ranges overlap if one begins inside the other; those that begin together count once.
+    """
+    x = a.select(key, "source", F.col("start").alias("s1"), F.col("end").alias("e1")).filter("e1 > s1")
+    y = b.select(key, "source", F.col("start").alias("s2"), F.col("end").alias("e2")).filter("e2 > s2")
+    cols = [key, "s1", "e1", "s2", "e2"]
+    first = containing(x, F.col("s1"), y, F.col("s2"), F.col("e2") - 1, [key, "source"]).select(cols)
+    second = containing(y, F.col("s2"), x, F.col("s1"), F.col("e1") - 1, [key, "source"]).filter("s2 > s1").select(cols)
+    both = first.unionByName(second).groupBy(key).agg(F.sum(F.least("e1", "e2") - F.greatest("s1", "s2")).alias("common"))
     size = lambda df, n: df.groupBy(key).agg(F.sum(F.col("end") - F.col("start")).alias(n))
     return size(a, "n1").join(size(b, "n2"), key).join(both, key, "left").select(key, (F.coalesce("common", F.lit(0)) / F.least("n1", "n2")).alias("ratio"))

@@ -14,18 +14,42 @@ from tessera.functions.columns import decayed, terms
 from tessera.operators.graph import chain_roots
 
 
-def token_overlap(memories: DataFrame, scope: str, key: str = "memory_id", text: str = "content") -> DataFrame:
-    """(older, newer, ratio) of all pairs of a scope with a common token: common tokens,
-    with multiplicity, over the smaller number of tokens. Pairs meet on tokens."""
+def token_overlap(memories: DataFrame, scope: str, key: str = "memory_id", text: str = "content", least: float = 0.0) -> DataFrame:
+    """(older, newer, ratio) of the pairs of a scope with a common token and a ratio of
+    ``least`` or more: common tokens, with multiplicity, over the smaller number of tokens.
+
+    With a ``least`` only few pairs meet: the smaller text of such a pair has one of its
+    rarest tokens, all but ``least`` of them, in common with the other. So each text brings
+    these to the join, the other all of its own, and words that are in most texts rarely
+    bring two together. Without it pairs meet on every token.
+    """
     t = memories.select(scope, key, "created_at", F.explode(terms(text)).alias("term"))
     tf = t.groupBy(scope, key, "created_at", "term").agg(F.count("*").alias("tf"))
     size = tf.groupBy(key).agg(F.sum("tf").alias("n"))
-    a = tf.select(scope, "term", F.col(key).alias("older"), F.col("created_at").alias("t1"), F.col("tf").alias("f1"))
-    b = tf.select(scope, "term", F.col(key).alias("newer"), F.col("created_at").alias("t2"), F.col("tf").alias("f2"))
-    both = a.join(b, [scope, "term"]).filter((F.col("t1") < F.col("t2")) | ((F.col("t1") == F.col("t2")) & (F.col("older") < F.col("newer"))))
-    common = both.groupBy("older", "newer").agg(F.sum(F.least("f1", "f2")).alias("common"))
+    side = lambda df, k, i: df.select(scope, "term", F.col(key).alias(k), F.col("created_at").alias(f"t{i}"), F.col("tf").alias(f"f{i}"))
+    before = (F.col("t1") < F.col("t2")) | ((F.col("t1") == F.col("t2")) & (F.col("older") < F.col("newer")))
+    a, b = side(tf, "older", 1), side(tf, "newer", 2)
+    if least > 0:
+        df = tf.groupBy(scope, "term").agg(F.count("*").alias("df"))
+        sized = tf.join(df, [scope, "term"]).join(size, key)
+        # tokens up to and with this term, rarest first; the term is needed if those before
+        # it leave more than ``least`` of the text behind them
+        w = Window.partitionBy(key).orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+        rare = sized.withColumn("__before", F.coalesce(F.sum("tf").over(w), F.lit(0))).filter(F.col("n") - F.col("__before") >= F.ceil(F.col("n") * least - 1e-9))
+        one = rare.select(scope, "term", F.col(key).alias("x"), F.col("n").alias("nx"))
+        other = tf.join(size, key).select(scope, "term", F.col(key).alias("y"), F.col("n").alias("ny"))
+        met = one.join(other, [scope, "term"]).filter("x <> y AND nx <= ny").select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q")).distinct()
+        words = tf.groupBy(key, "created_at").agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("words"))
+        end = lambda k, i: words.select(F.col(key).alias(k), F.col("words").alias(f"w{i}"), F.col("created_at").alias(f"u{i}"))
+        both = met.join(end("p", 1), "p").join(end("q", 2), "q")
+        first = (F.col("u1") < F.col("u2")) | ((F.col("u1") == F.col("u2")) & (F.col("p") < F.col("q")))
+        common = F.aggregate(F.map_entries("w1"), F.lit(0).cast("long"), lambda s, e: s + F.least(e["value"], F.coalesce(F.col("w2")[e["key"]], F.lit(0))))
+        common = both.select(F.when(first, F.col("p")).otherwise(F.col("q")).alias("older"), F.when(first, F.col("q")).otherwise(F.col("p")).alias("newer"), common.alias("common"))
+    else:
+        common = a.join(b, [scope, "term"]).filter(before).groupBy("older", "newer").agg(F.sum(F.least("f1", "f2")).alias("common"))
     n = lambda k, name: size.select(F.col(key).alias(k), F.col("n").alias(name))
-    return common.join(n("older", "n1"), "older").join(n("newer", "n2"), "newer").select("older", "newer", (F.col("common") / F.least("n1", "n2")).alias("ratio"))
+    found = common.join(n("older", "n1"), "older").join(n("newer", "n2"), "newer").select("older", "newer", (F.col("common") / F.least("n1", "n2")).alias("ratio"))
+    return found.filter(F.col("ratio") >= least - 1e-12) if least > 0 else found
 
 
 def proposals(overlap: DataFrame, sources: DataFrame, trust: DataFrame) -> DataFrame:
@@ -63,19 +87,18 @@ def supersede(links: DataFrame, memories: DataFrame, old: object, new: object) -
 
 def reviewed(memories: DataFrame, reviews: DataFrame) -> DataFrame:
     """Trust after reviews (memory_id, previous, trust, seq): only imported memories, and
-    only a review whose ``previous`` is what the memory has then; in order of seq."""
+    only a review whose ``previous`` is what the memory has then; in order of seq. Only
+    memories with reviews are grouped."""
     kinds = memories.select("memory_id", "trust", "origin")
+    steps = reviews.filter("seq IS NOT NULL").groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct("seq", "previous", F.col("trust").alias("then")))).alias("steps"))
 
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        trust = pdf["trust0"].iloc[0]
-        done = 0
-        for r in pdf.dropna(subset=["seq"]).sort_values("seq").itertuples():
-            if r.origin == "imported" and r.previous == trust:
-                trust, done = r.trust, done + 1
-        return pd.DataFrame({"memory_id": [key[0]], "trust": [trust], "reviews": [done]})
+    def step(now: Column, r: Column) -> Column:
+        changed = F.struct(r["then"].alias("trust"), (now["reviews"] + 1).alias("reviews"))
+        return F.when(r["previous"] == now["trust"], changed).otherwise(now)
 
-    rows = kinds.withColumnRenamed("trust", "trust0").join(reviews, "memory_id", "left")
-    return rows.groupBy("memory_id").applyInPandas(fold, f"memory_id {memories.schema['memory_id'].dataType.simpleString()}, trust string, reviews long")
+    begin = F.struct(F.col("trust").alias("trust"), F.lit(0).cast("long").alias("reviews"))
+    end = F.when((F.col("origin") == "imported") & F.col("steps").isNotNull(), F.aggregate("steps", begin, step)).otherwise(begin)
+    return kinds.join(steps, "memory_id", "left").select("memory_id", end.alias("end")).select("memory_id", "end.trust", "end.reviews")
 
 
 # --- the working set --------------------------------------------------------------------

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from tessera.config import DEFAULTS, Retrieval
 from tessera.functions.columns import cosine, query_terms, terms
+from tessera.sources.lexical_index import PARTS, LexicalIndex, of_terms
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -30,13 +31,6 @@ def semantic_topk(vectors: DataFrame, query: DataFrame, limit: int, key: str = "
     return scored.filter(F.col("score").isNotNull()).orderBy(F.desc("score"), key).limit(clamped(limit))
 
 
-def inverted_index(docs: DataFrame, key: str, *columns: str) -> tuple[DataFrame, DataFrame]:
-    """(key, term, tf) and (key, dl) of the texts in ``columns``."""
-    tokens = docs.select(key, F.concat(*[terms(F.coalesce(F.col(c), F.lit(""))) for c in columns]).alias("tokens"))
-    postings = tokens.select(key, F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    return postings, tokens.select(key, F.size("tokens").cast("long").alias("dl"))
-
-
 def _idf(n: Column, df: Column) -> Column:
     return F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
 
@@ -72,22 +66,42 @@ def lexical_topk(docs: DataFrame, query: str, limit: int, key: str, *columns: st
     return lexical_scores(docs, query, key, *columns).orderBy(F.desc("score"), key).limit(clamped(limit))
 
 
-def lexical_many(docs: DataFrame, queries: DataFrame, limit: int, key: str, column: str) -> DataFrame:
-    """(query_id, key, score, rank) for a table of queries (query_id, text), over an inverted index.
+def indexed_scores(index: LexicalIndex, query: str) -> DataFrame:
+    """``lexical_scores`` from a kept index: only postings of the query's terms are read."""
+    wanted = list(dict.fromkeys(query_terms(query)))
+    df = index.df(wanted) if wanted else {}
+    if not wanted or len(df) < len(wanted):
+        return index.postings().select(F.col("key").alias(index.key), F.lit(0.0).alias("score")).limit(0)
+    idf = F.lit(0.0)
+    for t in wanted:
+        idf = F.when(F.col("term") == t, _idf(F.lit(index.n), F.lit(df[t]))).otherwise(idf)
+    part = idf * _bm25(F.col("tf"), F.col("dl"), F.lit(index.avgdl))
+    hits = of_terms(index.postings(), wanted).groupBy("key").agg(F.sum(part).alias("score"), F.count("*").alias("n")).filter(F.col("n") == len(wanted))
+    return hits.select(F.col("key").alias(index.key), F.greatest("score", F.lit(0.0)).alias("score"))
+
+
+def indexed_topk(index: LexicalIndex, query: str, limit: int) -> DataFrame:
+    return indexed_scores(index, query).orderBy(F.desc("score"), index.key).limit(clamped(limit))
+
+
+def indexed_many(index: LexicalIndex, queries: DataFrame, limit: int) -> DataFrame:
+    """(query_id, key, score, rank) for a table of queries (query_id, text), over a kept index.
 
-    Terms of all queries restrict the index before it is joined; texts must hold all
-    terms of a query.
+    Texts must hold all terms of a query, so those with its rarest term are its candidates,
+    and only they look the other terms up: a word that most texts hold brings none. A query
+    with a term that no text holds has no rows.
     """
-    postings, lengths = inverted_index(docs, key, column)
     wanted = queries.select("query_id", F.array_distinct(terms("text")).alias("t")).select("query_id", F.size("t").alias("n_terms"), F.explode("t").alias("term"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    used = postings.join(wanted.select("term").distinct(), "term", "left_semi")
-    df = used.groupBy("term").agg(F.count("*").alias("df"))
-    hits = used.join(wanted, "term").join(df, "term").join(lengths, key).crossJoin(F.broadcast(stats))
-    part = _idf(F.col("n"), F.col("df")) * _bm25(F.col("tf"), F.col("dl"), F.col("avgdl"))
-    scored = hits.groupBy("query_id", key).agg(F.sum(part).alias("score"), F.count("*").alias("matched"), F.first("n_terms").alias("n_terms")).filter("matched = n_terms")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= clamped(limit)).select("query_id", key, "score", "rank")
+    wanted = wanted.withColumn("part", (F.crc32(F.col("term").cast("binary")) % PARTS).cast("int")).join(index.terms(), ["part", "term"])
+    rarest = wanted.groupBy("query_id").agg(F.min(F.struct("df", "term", "part")).alias("r"), F.count("*").alias("known"), F.first("n_terms").alias("n_terms")).filter("known = n_terms")
+    postings = index.postings()
+    candidates = postings.join(rarest.select("query_id", "r.term", "r.part"), ["part", "term"]).select("query_id", "key")
+    asked = candidates.join(wanted, "query_id")
+    part = _idf(F.lit(index.n), F.col("df")) * _bm25(F.col("tf"), F.col("dl"), F.lit(index.avgdl))
+    scored = postings.join(asked, ["part", "term", "key"]).groupBy("query_id", "key").agg(F.sum(part).alias("score"), F.count("*").alias("matched"), F.first("n_terms").alias("n_terms")).filter("matched = n_terms")
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "key")
+    ranked = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= clamped(limit))
+    return ranked.select("query_id", F.col("key").alias(index.key), "score", "rank")
 
 
 def minmax(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -129,11 +143,12 @@ def reserved(ranked: DataFrame, key: str, limit: int, score: str = "hybrid", evi
     return placed.withColumn("__keep", keep).filter("__keep").drop("__keep", "__rank").orderBy(F.desc(score), key)
 
 
-def hybrid_search(chunks: DataFrame, vectors: DataFrame, query_vector: DataFrame, query: str, limit: int, structural: DataFrame | None = None, w: Retrieval = DEFAULTS.retrieval) -> DataFrame:
-    """Both arms with ``overfetch`` times the limit, fused, with the structural place kept."""
+def hybrid_search(chunks: DataFrame | LexicalIndex, vectors: DataFrame, query_vector: DataFrame, query: str, limit: int, structural: DataFrame | None = None, w: Retrieval = DEFAULTS.retrieval) -> DataFrame:
+    """Both arms with ``overfetch`` times the limit, fused, with the structural place kept.
+    The lexical arm reads a kept index, or tokenises a table without one."""
     wide = clamped(limit * w.overfetch)
     a = semantic_topk(vectors, query_vector, wide)
-    b = lexical_topk(chunks, query, wide, "chunk_id", "content")
+    b = indexed_topk(chunks, query, wide) if isinstance(chunks, LexicalIndex) else lexical_topk(chunks, query, wide, "chunk_id", "content")
     out = fused(a, b, structural, "chunk_id", w)
     if structural is None:
         return out.orderBy(F.desc("hybrid"), "chunk_id").limit(clamped(limit))

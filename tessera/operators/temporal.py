@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.columns import freshness_priority, recency
+from tessera.operators.intervals import containing
 
 
 def sessions(events: DataFrame, gap: str, owner: str = "owner") -> DataFrame:
@@ -31,10 +32,9 @@ def previous_session(sessions: DataFrame, owner: str = "owner") -> DataFrame:
 
 
 def events_in_sessions(events: DataFrame, sessions: DataFrame, now: Column, owner: str = "owner") -> DataFrame:
-    """Events within [started_at, ended_at or now] of their owner's sessions."""
-    s = sessions.select(owner, "session_id", "started_at", F.coalesce("ended_at", now).alias("__end"))
-    inside = (F.col("created_at") >= F.col("started_at")) & (F.col("created_at") <= F.col("__end"))
-    return events.join(s, owner).filter(inside).drop("started_at", "__end")
+    """Events within [started_at, ended_at or now] of their owner's sessions, which may overlap."""
+    s = sessions.select(owner, "session_id", F.unix_micros("started_at").alias("__from"), F.unix_micros(F.coalesce("ended_at", now)).alias("__to")).filter("__to >= __from")
+    return containing(events, F.unix_micros("created_at"), s, F.col("__from"), F.col("__to"), [owner]).drop("__from", "__to")
 
 
 def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:

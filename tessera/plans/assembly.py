@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from tessera.config import DEFAULTS, Settings
 from tessera.functions.columns import path_score
+from tessera.functions.storage import kept
 from tessera.operators import context as K
 from tessera.operators import graph as G
 from tessera.operators import ingest as N
@@ -44,8 +45,9 @@ def structural_retrieval(nodes: DataFrame, edges: DataFrame, chunks: DataFrame,
     named = found.filter("depth = 0").join(nodes.filter(F.lower("name").isin(*[e.lower() for e in exact])).select("node_id"), "node_id", "left_semi")
     scored = named.select("node_id", F.lit(0.0).alias("score"), F.lit(1).alias("most"), F.lit(-1).alias("depth"), "ord").unionByName(found.filter("depth > 0").select("node_id", path_score("edge_types", "confidence", s).alias("score"), F.lit(4).alias("most"), "depth", "ord"))
     placed = nodes.select("node_id", "document_id", F.col("start").alias("node_start"), F.col("end").alias("node_end"))
-    pairs = scored.join(placed, "node_id").join(chunks.select("document_id", "chunk_id", "start", "end"), "document_id")
-    near = I.nearest(pairs, 4).filter(F.col("rank") <= F.col("most"))
+    wanted = scored.join(placed, "node_id")
+    pairs = I.nearest_chunks(wanted.select("document_id", "node_id", F.col("node_start").alias("start"), F.col("node_end").alias("end")), chunks, 4).select("node_id", "chunk_id", "rank")
+    near = pairs.join(scored, "node_id").filter(F.col("rank") <= F.col("most"))
     first = near.orderBy("depth", "ord", "rank").limit(s.candidates)
     return first.groupBy("chunk_id").agg(F.max("score").alias("score"), F.max_by("node_id", "score").alias("node_id"))
 
@@ -64,12 +66,13 @@ def adaptively_segmented(chunks: DataFrame, key: str, ceiling: int, fits: Callab
     are taken) refuses is cut again with half the ceiling, ``attempts`` times at most."""
     done, left = None, chunks
     for _ in range(attempts):
-        cut = N.segmented(left, key, ceiling, overlap)
-        good = fits(cut)
+        # written, so that no round cuts again what those before it cut, or asks the endpoint twice
+        cut = kept(N.segmented(left, key, ceiling, overlap), "segments")
+        good = kept(fits(cut), "segments-taken")
         bad = cut.select(key).distinct().join(good.groupBy(key).agg(F.count("*").alias("__ok")), key, "left").join(cut.groupBy(key).agg(F.count("*").alias("__n")), key).filter(F.coalesce("__ok", F.lit(0)) < F.col("__n")).select(key)
         whole = cut.join(bad, key, "left_anti")
         done = whole if done is None else done.unionByName(whole)
-        left = left.join(bad, key, "left_semi")
+        left = kept(left.join(bad, key, "left_semi"), "segments-left")
         if left.isEmpty():
             return done
         ceiling //= 2

@@ -104,7 +104,7 @@ def vector_violations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def disambiguated_keys(spark: SparkSession, d: str) -> DataFrame:
-    c = T.table(spark, d, "documents").select(F.col("source").alias("document_id"), F.col("doc_id").alias("start"), F.col("lang").alias("stable_key"), F.substring("text", 1, 2).alias("content"))
+    c = T.table(spark, d, "documents").select(F.col("source").alias("document_id"), F.col("doc_id").alias("start"), F.col("lang").alias("stable_key"), F.col("text").alias("content"))
     return N.disambiguated(c).select("start", "stable_key")
 
 
@@ -145,7 +145,7 @@ a AS (SELECT h.*, sum(tokens) OVER (PARTITION BY request ORDER BY id ROWS UNBOUN
     "removed_documents": "SELECT source || '/' || doc_id AS path FROM documents WHERE doc_id % 4 = 0 AND doc_id % 8 <> 0",
     "noop_documents": "SELECT source || '/' || doc_id AS path FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND doc_id % 6 <> 0",
     "vector_violations": "SELECT vec_id AS chunk_id, CASE vec_id % 10 WHEN 0 THEN 'dimension' WHEN 1 THEN 'empty' ELSE 'not_finite' END AS problem FROM embeddings WHERE vec_id % 10 <= 2",
-    "disambiguated_keys": """WITH c AS (SELECT source, doc_id, lang, sha256(left(text, 2))[1:10] AS h FROM documents), n AS (SELECT *, count(*) OVER (PARTITION BY source, lang) AS n, row_number() OVER (PARTITION BY source, lang, h ORDER BY doc_id) AS m FROM c)
+    "disambiguated_keys": """WITH c AS (SELECT source, doc_id, lang, sha256(text)[1:10] AS h FROM documents), n AS (SELECT *, count(*) OVER (PARTITION BY source, lang) AS n, row_number() OVER (PARTITION BY source, lang, h ORDER BY doc_id) AS m FROM c)
 SELECT doc_id AS start, CASE WHEN n = 1 THEN lang ELSE lang || '#' || h || CASE WHEN m > 1 THEN '~' || m ELSE '' END END AS stable_key FROM n""",
     "language_filter_hash": "SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE strlen(text) <= 1048576",
 }

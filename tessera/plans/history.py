@@ -96,7 +96,7 @@ def token_overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def consolidation_proposals(spark: SparkSession, d: str) -> DataFrame:
     m = T.memories(spark, d)
-    overlap = M.token_overlap(m, "conv_id")
+    overlap = M.token_overlap(m, "conv_id", least=0.5)
     sources = overlap.select("older", "newer", F.when((F.col("older") + F.col("newer")) % 2 == 0, 0.9).otherwise(0.1).alias("source_ratio"))
     return M.proposals(overlap, sources, m.select("memory_id", "trust")).select("older", "newer", F.round("ratio", 6).alias("ratio"), "supersede")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import MARKED, PLAIN, terms
 from tessera.operators import retrieval as R
+from tessera.sources import lexical_index as L
 from tessera.sources import tables as T
 
 QUERY = "the of and"
@@ -21,12 +22,21 @@ def semantic_topk(spark: SparkSession, d: str) -> DataFrame:
     return R.semantic_topk(T.vectors(spark, d), _query_vector(spark, d), 10).select("chunk_id", F.round("score", 4).alias("score"))
 
 
+def _index(spark: SparkSession, d: str) -> L.LexicalIndex:
+    return L.of(T.chunks(spark, d), "chunk_id", "content")
+
+
 def lexical_bm25(spark: SparkSession, d: str) -> DataFrame:
-    return R.lexical_topk(T.chunks(spark, d), QUERY, 20, "chunk_id", "content").select("chunk_id", F.round("score", 6).alias("score"))
+    return R.indexed_topk(_index(spark, d), QUERY, 20).select("chunk_id", F.round("score", 6).alias("score"))
 
 
 def lexical_match_and(spark: SparkSession, d: str) -> DataFrame:
-    return R.lexical_scores(T.chunks(spark, d), QUERY, "chunk_id", "content").select("chunk_id")
+    return R.indexed_scores(_index(spark, d), QUERY).select("chunk_id")
+
+
+def lexical_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The same scores from the texts themselves, without an index."""
+    return R.lexical_scores(T.chunks(spark, d), QUERY, "chunk_id", "content").select("chunk_id", F.round("score", 6).alias("score"))
 
 
 def lexical_token_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -34,30 +44,30 @@ def lexical_token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lexical_queries(spark: SparkSession, d: str) -> DataFrame:
-    """Each benchmark item's first words as a query."""
-    q = T.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(terms("text"), 1, 2), " ").alias("text"))
-    return R.lexical_many(T.chunks(spark, d), q, 5, "chunk_id", "content").select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    """Each benchmark item as a query: texts that hold all of its words."""
+    q = T.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return R.indexed_many(_index(spark, d), q, 5).select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def memory_search_rank(spark: SparkSession, d: str) -> DataFrame:
-    return R.lexical_topk(T.memories(spark, d), MEMORY_QUERY, 20, "memory_id", "content").select("memory_id", F.round("score", 6).alias("score"))
+    return R.indexed_topk(L.of(T.memories(spark, d).select("memory_id", "content"), "memory_id", "content"), MEMORY_QUERY, 20).select("memory_id", F.round("score", 6).alias("score"))
 
 
 def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
-    out = R.hybrid_search(T.chunks(spark, d), T.vectors(spark, d), _query_vector(spark, d), QUERY, 8)
+    out = R.hybrid_search(_index(spark, d), T.vectors(spark, d), _query_vector(spark, d), QUERY, 8)
     return out.select("chunk_id", *[F.round(c, 6).alias(c) for c in ("semantic", "lexical", "hybrid")])
 
 
 def hybrid_missing_arm(spark: SparkSession, d: str) -> DataFrame:
     """A query that no text matches: the semantic arm alone, over the whole weight."""
-    out = R.hybrid_search(T.chunks(spark, d), T.vectors(spark, d), _query_vector(spark, d), "zzzz qqqq", 8)
+    out = R.hybrid_search(_index(spark, d), T.vectors(spark, d), _query_vector(spark, d), "zzzz qqqq", 8)
     return out.select("chunk_id", *[F.round(c, 6).alias(c) for c in ("semantic", "lexical", "hybrid")])
 
 
 def hybrid_structural(spark: SparkSession, d: str) -> DataFrame:
     """A structural arm over chunks far down the list: one takes the last place."""
     arm = T.chunks(spark, d).filter("chunk_id % 97 = 13").select("chunk_id", F.lit(0.01).alias("score"))
-    out = R.hybrid_search(T.chunks(spark, d), T.vectors(spark, d), _query_vector(spark, d), QUERY, 8, arm)
+    out = R.hybrid_search(_index(spark, d), T.vectors(spark, d), _query_vector(spark, d), QUERY, 8, arm)
     return out.select("chunk_id", *[F.round(c, 6).alias(c) for c in ("semantic", "lexical", "structural", "hybrid")])
 
 
@@ -107,14 +117,15 @@ f AS (SELECT *, (coalesce(semantic, 0) * 0.55 + coalesce(lexical, 0) * 0.25{extr
 _ROUNDED = "round(semantic, 6) AS semantic, round(lexical, 6) AS lexical, round(hybrid, 6) AS hybrid"
 _ARM = "SELECT doc_id AS chunk_id, 0.01 AS structural FROM documents WHERE doc_id % 97 = 13"
 
-QUERIES = {f.__name__: f for f in (semantic_topk, lexical_bm25, lexical_match_and, lexical_token_counts, lexical_queries, memory_search_rank, hybrid_fusion, hybrid_missing_arm, hybrid_structural, score_minmax, get_item)}
+QUERIES = {f.__name__: f for f in (semantic_topk, lexical_bm25, lexical_scan, lexical_match_and, lexical_token_counts, lexical_queries, memory_search_rank, hybrid_fusion, hybrid_missing_arm, hybrid_structural, score_minmax, get_item)}
 SQL = {
     "semantic_topk": f"WITH {_SEM} SELECT chunk_id, round(score, 4) AS score FROM sem ORDER BY sem.score DESC, chunk_id LIMIT 10",
     "lexical_bm25": f"WITH {_lexical(_DOCS, 'chunk_id', QUERY)} SELECT chunk_id, round(score, 6) AS score FROM lex ORDER BY lex.score DESC, chunk_id LIMIT 20",
+    "lexical_scan": f"WITH {_lexical(_DOCS, 'chunk_id', QUERY)} SELECT chunk_id, round(score, 6) AS score FROM lex",
     "lexical_match_and": f"WITH {_lexical(_DOCS, 'chunk_id', QUERY)} SELECT chunk_id FROM lex",
     "lexical_token_counts": f"SELECT doc_id AS chunk_id, len({_terms('text')})::BIGINT AS tokens FROM documents",
     "lexical_queries": f"""WITH d AS (SELECT doc_id AS chunk_id, {_terms("text")} AS t FROM documents),
-q AS (SELECT item_id AS query_id, list_distinct({_terms("text")}[1:2]) AS t FROM benchmark),
+q AS (SELECT item_id AS query_id, list_distinct({_terms("text")}) AS t FROM benchmark),
 w AS (SELECT query_id, len(t) AS n_terms, unnest(t) AS term FROM q),
 p AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(t) AS term FROM d) GROUP BY ALL),
 l AS (SELECT chunk_id, len(t) AS dl FROM d), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l),

@@ -127,9 +127,7 @@ def interval_overlap_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nearest_chunks(spark: SparkSession, d: str) -> DataFrame:
-    n, c = _spans(spark, d)
-    pairs = n.select("document_id", "node_id", F.col("start").alias("node_start"), F.col("end").alias("node_end")).join(c.select("document_id", "chunk_id", "start", "end"), "document_id")
-    return I.nearest(pairs, 2).select("node_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
+    return I.nearest_chunks(*_spans(spark, d), 2).select("node_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 
 def nearest_enclosing(spark: SparkSession, d: str) -> DataFrame:

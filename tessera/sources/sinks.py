@@ -32,7 +32,8 @@ def manifest(spark: SparkSession, store: str) -> dict:
 
 def publish(spark: SparkSession, store: str, tables: dict[str, DataFrame], expected: int) -> dict:
     """Writes ``tables`` as the next revision; the other tables stay. Raises if the current
-    revision is not ``expected``, before and again after writing."""
+    revision is not ``expected``, before writing, or if another writer publishes that revision
+    first: its manifest is a file of its own, which only one of them can create."""
     now = manifest(spark, store)
     if now["revision"] != expected:
         raise RuntimeError(f"revision is {now['revision']}, not {expected}")
@@ -40,10 +41,14 @@ def publish(spark: SparkSession, store: str, tables: dict[str, DataFrame], expec
     for name, df in tables.items():
         new[name] = f"{store}/{name}/{uuid.uuid4().hex}"
         df.write.parquet(new[name])
-    if manifest(spark, store)["revision"] != expected:
-        raise RuntimeError("another writer published first")
     out = {"revision": expected + 1, "tables": new}
-    spark.createDataFrame([(json.dumps(out),)], "value string").coalesce(1).write.mode("append").text(f"{store}/manifest")
+    fs, p = _fs(spark, f"{store}/manifest/{expected + 1:012}")
+    try:
+        stream = fs.create(p, False)  # fails where the file exists: of two writers one wins
+    except Exception as e:
+        raise RuntimeError("another writer published first") from e
+    stream.writeBytes(json.dumps(out))
+    stream.close()
     return out
 
 
@@ -53,7 +58,9 @@ def read(spark: SparkSession, state: dict, name: str) -> DataFrame:
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], drop: DataFrame | None = None) -> DataFrame:
     """``old`` with the rows of ``new`` in place of those of the same keys, and without the
-    keys in ``drop``."""
+    keys in ``drop``. Of rows of ``new`` with equal keys the greatest by the other columns counts."""
+    others = [c for c in new.columns if c not in keys]
+    new = new.groupBy(*keys).agg(F.max(F.struct(*others)).alias("__row")).select(*keys, "__row.*").select(*new.columns) if others else new.distinct()
     rest = old.join(new.select(*keys).distinct(), keys, "left_anti")
     if drop is not None:
         rest = rest.join(drop.select(*keys).distinct(), keys, "left_anti")
