@@ -195,6 +195,30 @@ def violations(experiences: DataFrame) -> DataFrame:
     return experiences.select("experience_id", F.explode(broken).alias("rule"))
 
 
+ASSESSMENTS = ("confirmed", "disputed", "refuted", "superseded")
+
+
+def assessed(requests: DataFrame, experiences: DataFrame, receipts: DataFrame) -> DataFrame:
+    """``requests`` for assessments (request_key, experience_id, kind, replacement_id, reason,
+    seq) with what becomes of each: applied, replayed, conflict (another content under the
+    same key), invalid, or not_found.
+
+    A supersession, and nothing else, names its replacement: another experience that exists.
+    """
+    from tessera.sources.sinks import delivered
+
+    known = experiences.select("experience_id").distinct()
+    has = known.withColumn("__has", F.lit(True))
+    there = known.select(F.col("experience_id").alias("replacement_id")).withColumn("__there", F.lit(True))
+    content = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("experience_id", "kind", "replacement_id", "reason")]), 256)
+    r = delivered(requests.withColumn("content", content), receipts, ["request_key"], "content").join(has, "experience_id", "left").join(there, "replacement_id", "left")
+    superseded = F.col("kind") == "superseded"
+    valid = F.col("kind").isin(*ASSESSMENTS) & (F.trim(F.coalesce("reason", F.lit(""))) != "") & (superseded == F.col("replacement_id").isNotNull()) & ~F.col("replacement_id").eqNullSafe(F.col("experience_id"))
+    missing = F.col("__has").isNull() | (F.col("replacement_id").isNotNull() & F.col("__there").isNull())
+    result = F.when(F.col("result") != "new", F.col("result")).when(~F.coalesce(valid, F.lit(False)), "invalid").when(missing, "not_found").otherwise("applied")
+    return r.withColumn("result", result).drop("__has", "__there", "content")
+
+
 # --- episodes ---------------------------------------------------------------------------
 
 

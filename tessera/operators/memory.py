@@ -101,6 +101,32 @@ def reviewed(memories: DataFrame, reviews: DataFrame) -> DataFrame:
     return kinds.join(steps, "memory_id", "left").select("memory_id", end.alias("end")).select("memory_id", "end.trust", "end.reviews")
 
 
+KINDS = ("fact", "decision", "preference", "summary", "note", "user", "assistant", "system", "tool")
+
+
+def recorded(records: DataFrame, sessions: DataFrame, most_bytes: int = 1 << 16) -> DataFrame:
+    """``records`` to be stored with what becomes of each: recorded, invalid (no content, too
+    much of it, or an unknown kind), or unknown_session."""
+    known = sessions.select("session_id").distinct().withColumn("__known", F.lit(True))
+    ok = (F.trim(F.coalesce("content", F.lit(""))) != "") & (F.octet_length("content") <= most_bytes) & F.col("kind").isin(*KINDS)
+    result = F.when(~F.coalesce(ok, F.lit(False)), "invalid").when(F.col("session_id").isNotNull() & F.col("__known").isNull(), "unknown_session").otherwise("recorded")
+    return records.join(known, "session_id", "left").withColumn("result", result).drop("__known")
+
+
+def checkpoints_created(checkpoints: DataFrame, decisions: DataFrame, memories: DataFrame) -> DataFrame:
+    """``checkpoints`` with ``result``: created, or missing_decision where one of its
+    ``decisions`` (checkpoint_id, memory_id) is no trusted decision memory."""
+    good = memories.filter((F.col("kind") == "decision") & (F.col("trust") == "trusted")).select("memory_id").distinct()
+    bad = decisions.join(good, "memory_id", "left_anti").select("checkpoint_id").distinct().withColumn("__bad", F.lit(True))
+    return checkpoints.join(bad, "checkpoint_id", "left").withColumn("result", F.when(F.col("__bad"), "missing_decision").otherwise("created")).drop("__bad")
+
+
+def latest_checkpoint(checkpoints: DataFrame, *scope: str) -> DataFrame:
+    """The latest checkpoint of each workspace, session or task, as ``scope`` names them."""
+    known = checkpoints.filter(" AND ".join(f"{c} IS NOT NULL" for c in scope))
+    return known.groupBy(*scope).agg(F.max_by("checkpoint_id", F.struct("created_at", "checkpoint_id")).alias("checkpoint_id"))
+
+
 # --- the working set --------------------------------------------------------------------
 
 

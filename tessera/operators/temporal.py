@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.columns import freshness_priority, recency
-from tessera.operators.intervals import containing
+from tessera.operators.intervals import containing, smallest_enclosing
 
 
 def sessions(events: DataFrame, gap: str, owner: str = "owner") -> DataFrame:
@@ -97,6 +97,29 @@ def siblings(chunks: DataFrame, parent: list[str], *order: str, key: str = "chun
     return chunks.withColumn("previous_id", F.lag(key).over(w)).withColumn("next_id", F.lead(key).over(w)).withColumn("ordinal", (F.row_number().over(w) - 1).cast("long"))
 
 
+def expanded(chunks: DataFrame, limit: int = 4, document: str = "document_id") -> DataFrame:
+    """(chunk_id, relation, related_id, place) around each chunk, at most ``limit``: its
+    container (that of its ``parent_key``, or else the narrowest chunk around it), the chunks
+    before and behind it under the same parent, and its first child, or else the first
+    sibling that is not among these. Chunks have stable_key, parent_key, start and end."""
+    parents = chunks.select(document, F.col("stable_key").alias("parent_key"), F.col("chunk_id").alias("__p"), F.col("start").alias("__s"), F.col("end").alias("__e"))
+    holds = (F.col("__s") <= F.col("start")) & (F.col("__e") >= F.col("end"))
+    named = chunks.join(parents, [document, "parent_key"]).groupBy("chunk_id").agg(F.min_by("__p", F.struct(~holds, F.col("__e") - F.col("__s"), "__s", "__p")).alias("__named"))
+    around = smallest_enclosing(chunks, document).withColumnRenamed("enclosing_id", "__around")
+    first = chunks.filter("parent_key IS NOT NULL").groupBy(document, F.col("parent_key").alias("stable_key")).agg(F.min_by("chunk_id", F.struct("start", "chunk_id")).alias("__child"))
+    group = Window.partitionBy(document, "parent_key").orderBy("start", "chunk_id")
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # five siblings are enough: itself, the two beside it, its container, and one more
+    firsts = F.array(*[F.nth_value("chunk_id", i).over(whole) for i in range(1, 6)])
+    r = chunks.withColumn("__before", F.lag("chunk_id").over(group)).withColumn("__next", F.lead("chunk_id").over(group)).withColumn("__firsts", firsts)
+    r = r.join(named, "chunk_id", "left").join(around, "chunk_id", "left").join(first, [document, "stable_key"], "left").withColumn("__container", F.coalesce("__named", "__around"))
+    other = F.get(F.filter("__firsts", lambda x: x.isNotNull() & (x != F.col("chunk_id")) & ~x.eqNullSafe(F.col("__before")) & ~x.eqNullSafe(F.col("__next")) & ~x.eqNullSafe(F.col("__container"))), F.lit(0))
+    one = lambda relation, c: F.struct(F.lit(relation).alias("relation"), c.alias("related_id"))
+    every = F.array(one("container", F.col("__container")), one("neighbor", F.col("__before")), one("neighbor", F.col("__next")), one("related", F.coalesce(F.col("__child"), other)))
+    some = F.slice(F.filter(every, lambda x: x["related_id"].isNotNull()), 1, limit)
+    return r.select("chunk_id", F.posexplode(some).alias("place", "x")).select("chunk_id", "x.relation", "x.related_id", "place")
+
+
 def rank_score(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """(count - index) / count of each row within its keys: 1 for the first."""
     w = Window.partitionBy(*keys)

@@ -6,18 +6,22 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.config import DEFAULTS, Settings
-from tessera.functions.columns import path_score
+from tessera.functions.columns import path_in_scope, path_score
 from tessera.functions.storage import kept
 from tessera.operators import context as K
 from tessera.operators import graph as G
 from tessera.operators import ingest as N
 from tessera.operators import intervals as I
+from tessera.operators.filters import normalized_scopes
+from tessera.sources import sinks
+from tessera.streaming import changes
 
 #: How a query's intent walks the graph: direction, edge types, depth.
 WALKS = {
@@ -52,6 +56,84 @@ def structural_retrieval(nodes: DataFrame, edges: DataFrame, chunks: DataFrame,
     return first.groupBy("chunk_id").agg(F.max("score").alias("score"), F.max_by("node_id", "score").alias("node_id"))
 
 
+#: Of each arm of a pool: the score that it gives, its value if it is fixed, and the reason.
+ARMS = {
+    "temporal": (None, None, "recent_activity"), "semantic": ("semantic", None, "semantic_match"), "lexical": ("lexical", None, "lexical_match"), "memories": ("lexical", None, "memory_match"),
+    "working_set": ("working_set", None, "active_working_set"), "pins": ("working_set", 1.0, "pinned"), "task": ("task", 1.0, "active_task_reference"), "session": ("task", 0.8, "resume_state"), "structural": (None, None, None),
+}
+
+
+def candidate_pool(arms: dict[str, DataFrame], key: str, paths: list[str] | None = None, languages: list[str] | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+    """The bounded, ranked pool of each request from its arms, named as in ``ARMS``.
+
+    An arm has ``key``, source_type, source_id, content, path, language, freshness and
+    recency, its score where the arm gives one, and the structural arm its own ``reason``.
+    Sources of several arms are merged, those outside the scope of paths and languages go.
+    """
+    parts = []
+    for name, df in arms.items():
+        score, fixed, reason = ARMS[name]
+        scores = [(F.lit(fixed).cast("double") if fixed is not None else F.col("score").cast("double") if s == score else F.lit(None).cast("double")).alias(s) if s == score else F.lit(None).cast("double").alias(s) for s in ("semantic", "lexical", "task", "working_set")]
+        why = F.col("reason") if reason is None else F.lit(reason)
+        parts.append(df.select(key, "source_type", "source_id", "content", "path", "language", "freshness", F.col("recency").cast("double").alias("recency"), *scores, F.array(why).alias("reasons"), F.lit(name == "structural").alias("structural_evidence")))
+    every = reduce(DataFrame.unionByName, parts)
+    free = ~F.col("source_type").isin("code", "document")
+    if paths:
+        every = every.filter(free | path_in_scope("path", normalized_scopes(paths)))
+    if languages:
+        every = every.filter(free | F.lower("language").isin(*sorted({x.lower() for x in languages})))
+    return K.bounded(K.ranked(K.merged(every.drop("language"), key)), key, limit=settings.candidate_pool)
+
+
+def resume_context(sessions: DataFrame, tasks: DataFrame, checkpoints: DataFrame, memories: DataFrame, events: DataFrame, key: str, most: tuple[int, int, int] = (32, 128, 50)) -> DataFrame:
+    """(``key``, part, id, rank) of what a workspace would resume with: its newest memories;
+    the newest events of the evidence session, that of the checkpoint or else the session
+    itself; and the paths that those events touched, the last ones first."""
+    base = K.resumed(sessions, tasks, checkpoints, key)
+    at = base.join(checkpoints.select(key, "checkpoint_id", F.col("session_id").alias("__s")), [key, "checkpoint_id"], "left").select(key, F.coalesce("__s", "session_id").alias("session_id"))
+
+    def top(df: DataFrame, name: str, part: str, n: int, *order: Column) -> DataFrame:
+        ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long")).filter(F.col("rank") <= n)
+        return ranked.select(key, F.lit(part).alias("part"), F.col(name).cast("string").alias("id"), "rank")
+
+    seen = events.join(at, [key, "session_id"])
+    w = Window.partitionBy(key).orderBy(F.desc("created_at"), "event_id")
+    recent = seen.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= most[1])
+    touched = recent.filter("path IS NOT NULL").groupBy(key, "path").agg(F.max("created_at").alias("last_at"))
+    return (
+        top(memories.join(at.select(key), key, "left_semi"), "memory_id", "memory", most[0], F.desc("created_at"), F.asc("memory_id"))
+        .unionByName(recent.select(key, F.lit("event").alias("part"), F.col("event_id").cast("string").alias("id"), F.col("__n").cast("long").alias("rank")))
+        .unionByName(top(touched, "path", "path", most[2], F.desc("last_at"), F.asc("path")))
+    )
+
+
+def reindexed(spark: SparkSession, store: str, scanned: DataFrame, seen: DataFrame, work: Callable[[dict], dict], schema: str, expected: int) -> tuple[dict, DataFrame]:
+    """Brings the ``documents`` of a store to what a scan found, and publishes that.
+
+    ``scanned``: path, content and content_hash. Texts whose hash is stored need no work;
+    ``work`` (a function of one row's dict, giving the columns of ``schema``) runs on each
+    of the others alone, and one that fails keeps what is stored of it. Documents that
+    ``seen``, a second look at the paths, no longer has are removed. Returns the manifest
+    and (path, action, error): added, modified, unchanged, failed or removed.
+    """
+    state = sinks.manifest(spark, store)
+    old = sinks.read(spark, state, "documents") if "documents" in state["tables"] else None
+    known = scanned.limit(0).select("path", F.col("content_hash").alias("__old")) if old is None else old.select("path", F.col("content_hash").alias("__old"))
+    both = scanned.join(known, "path", "left")
+    same = F.col("__old").eqNullSafe(F.col("content_hash"))
+    todo = both.filter(~same).select("path", "content", "content_hash")
+    done = kept(changes.isolated(todo, lambda row: {"path": row["path"], "content_hash": row["content_hash"], **work(row)}, f"path string, content_hash string, {schema}"), "reindexed")
+    # a failed row has no columns of its own, so failures are what is not done
+    good = done.filter("status = 'done'").drop("status", "error")
+    failed = kept(todo.select("path").join(good.select("path"), "path", "left_anti"), "reindex-failed")
+    gone = N.removed(known.select("path"), seen, failed)
+    actions = both.select("path", F.when(same, "unchanged").when(F.col("__old").isNull(), "added").otherwise("modified").alias("action"))
+    actions = actions.join(failed.withColumn("__failed", F.lit(True)), "path", "left").select("path", F.when(F.col("__failed"), "failed").otherwise(F.col("action")).alias("action"))
+    actions = kept(actions.unionByName(gone.select("path", F.lit("removed").alias("action"))), "reindex-actions")
+    new = good if old is None else sinks.upserted(old, good.select(*old.columns), ["path"], drop=gone)
+    return sinks.publish(spark, store, {"documents": new}, expected), actions
+
+
 def assembled(candidates: DataFrame, key: str, token_budget: int, experiences: DataFrame | None = None, members: DataFrame | None = None, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame | None]:
     """Packets of all requests from their raw candidates, and the history that fits behind
     them. Where there is history its room is kept free first."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import context as K
 from tessera.operators import ingest as N
 from tessera.sources import tables as T
+from tessera.sources import workspace as W
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -109,10 +110,12 @@ def disambiguated_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def language_filter_hash(spark: SparkSession, d: str) -> DataFrame:
-    """Texts that a scan would take: without NUL in the first 8 KiB, of at most 1 MiB."""
-    t = T.table(spark, d, "documents")
-    ok = (F.octet_length("text") <= 1 << 20) & (F.instr(F.substring("text", 1, 8192), "\x00") == 0)
-    return t.filter(ok).select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    """Documents as files of a workspace: those that its patterns take, by language."""
+    ext = F.element_at(F.array(*map(F.lit, ("rs", "py", "md", "TS", "go", "jsx", "cs"))), (F.col("doc_id") % 7 + 1).cast("int"))
+    path = F.concat(F.lit("src/"), "source", F.lit("/f"), F.col("doc_id"), F.lit("."), ext)
+    t = T.table(spark, d, "documents").withColumn("path", path)
+    t = t.filter((F.octet_length("text") <= W.MOST_BYTES) & W.selected(F.col("path"), ["*.rs", "*.py", "*.md", "*.TS", "src/*/*.go"], ["src3/", "!src/src3/*.py"]))
+    return t.select("doc_id", W.language_of(F.col("path"), ("rust", "python", "typescript")).alias("language"), F.sha2("text", 256).alias("content_hash"))
 
 
 _CAND = """c AS (SELECT l_orderkey AS request, ['code', 'document', 'memory', 'event', 'task_state'][l_suppkey % 5 + 1] AS source_type, l_partkey % 4 AS source_id, CASE WHEN l_linenumber % 2 = 0 THEN l_discount * 10 END AS semantic, CASE WHEN l_linenumber % 3 = 0 THEN l_tax * 10 END AS lexical, l_tax * 5 AS task, l_quantity / 50 AS recency,
@@ -144,8 +147,14 @@ a AS (SELECT h.*, sum(tokens) OVER (PARTITION BY request ORDER BY id ROWS UNBOUN
     "incremental_diff": "SELECT doc_id AS stable_key, CASE doc_id % 10 WHEN 0 THEN 'added' WHEN 1 THEN 'removed' WHEN 2 THEN 'modified' ELSE 'unchanged' END AS status, doc_id % 10 IN (0, 2) AS embed FROM documents",
     "removed_documents": "SELECT source || '/' || doc_id AS path FROM documents WHERE doc_id % 4 = 0 AND doc_id % 8 <> 0",
     "noop_documents": "SELECT source || '/' || doc_id AS path FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND doc_id % 6 <> 0",
+    "embedding_batches": """WITH RECURSIVE r AS (SELECT source, doc_id, strlen(text) AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+f(source, doc_id, n, batch, items, used, own) AS (SELECT source, doc_id, n, 0, (t <= 20000)::INT, CASE WHEN t <= 20000 THEN t ELSE 0 END, CASE WHEN t > 20000 THEN -1 ELSE 0 END FROM r WHERE n = 1
+UNION ALL SELECT r.source, r.doc_id, r.n, CASE WHEN t <= 20000 AND items > 0 AND (items = 16 OR used + t > 20000) THEN batch + 1 ELSE batch END, CASE WHEN t > 20000 THEN items WHEN items > 0 AND (items = 16 OR used + t > 20000) THEN 1 ELSE items + 1 END,
+CASE WHEN t > 20000 THEN used WHEN items > 0 AND (items = 16 OR used + t > 20000) THEN t ELSE used + t END, CASE WHEN t > 20000 THEN -1 WHEN items > 0 AND (items = 16 OR used + t > 20000) THEN batch + 1 ELSE batch END FROM f JOIN r ON r.source = f.source AND r.n = f.n + 1)
+SELECT doc_id, own::BIGINT AS batch FROM f""",
     "vector_violations": "SELECT vec_id AS chunk_id, CASE vec_id % 10 WHEN 0 THEN 'dimension' WHEN 1 THEN 'empty' ELSE 'not_finite' END AS problem FROM embeddings WHERE vec_id % 10 <= 2",
     "disambiguated_keys": """WITH c AS (SELECT source, doc_id, lang, sha256(text)[1:10] AS h FROM documents), n AS (SELECT *, count(*) OVER (PARTITION BY source, lang) AS n, row_number() OVER (PARTITION BY source, lang, h ORDER BY doc_id) AS m FROM c)
 SELECT doc_id AS start, CASE WHEN n = 1 THEN lang ELSE lang || '#' || h || CASE WHEN m > 1 THEN '~' || m ELSE '' END END AS stable_key FROM n""",
-    "language_filter_hash": "SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE strlen(text) <= 1048576",
+    "language_filter_hash": """SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'rust' WHEN 1 THEN 'python' WHEN 3 THEN 'typescript' ELSE 'generic' END AS language, sha256(text) AS content_hash FROM documents
+WHERE strlen(text) <= 1048576 AND ((doc_id % 7 <= 4 AND source <> 'src3') OR (doc_id % 7 = 1 AND source = 'src3'))""",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
+from tessera.functions.storage import kept
 from tessera.operators import graph as G
 from tessera.sources import tables as T
 
@@ -14,6 +15,11 @@ def _start(spark: SparkSession, *ids: str) -> DataFrame:
     return spark.createDataFrame([(i,) for i in ids], "node_id string")
 
 
+def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Edges and nodes as a store keeps them: written, not derived anew at each level."""
+    return kept(T.graph_edges(spark, d), "edges"), kept(T.graph_nodes(spark, d), "nodes")
+
+
 def graph_find(spark: SparkSession, d: str) -> DataFrame:
     return G.find(T.graph_nodes(spark, d), ["ASIA", "small ring", "part:3", "red widget"], 20).select("node_id", "tier", "truncated")
 
@@ -49,17 +55,17 @@ def graph_neighbors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_bfs(spark: SparkSession, d: str) -> DataFrame:
-    found = G.traverse(T.graph_edges(spark, d), T.graph_nodes(spark, d), _start(spark, "r1"), "out", ("contains", "calls"), 1000, 5000, 3)
+    found = G.traverse(*_graph(spark, d), _start(spark, "r1"), "out", ("contains", "calls"), 1000, 5000, 3)
     return found.select("node_id", F.col("depth").cast("long").alias("depth"), F.array_join("path", ">").alias("path"), F.round("confidence", 6).alias("confidence"))
 
 
 def graph_impact(spark: SparkSession, d: str) -> DataFrame:
-    found = G.impact(T.graph_edges(spark, d), T.graph_nodes(spark, d), _start(spark, "p7"), 1000, 5000, 2)
+    found = G.impact(*_graph(spark, d), _start(spark, "p7"), 1000, 5000, 2)
     return found.select("node_id", F.col("depth").cast("long").alias("depth"), F.round("confidence", 6).alias("confidence"))
 
 
 def path_score(spark: SparkSession, d: str) -> DataFrame:
-    found = G.traverse(T.graph_edges(spark, d), T.graph_nodes(spark, d), _start(spark, "n1", "n2"), "out", ("contains", "calls"), 1000, 5000, 2)
+    found = G.traverse(*_graph(spark, d), _start(spark, "n1", "n2"), "out", ("contains", "calls"), 1000, 5000, 2)
     return found.select("node_id", F.round(C.path_score("edge_types", "confidence"), 6).alias("score"))
 
 

@@ -280,5 +280,10 @@ CASE WHEN doc_id * 3 IN (SELECT p_partkey FROM part) THEN 'current' ELSE 'missin
     "dispute_frontier": "SELECT o_orderkey AS experience_id, count(*) AS events FROM orders JOIN lineitem ON o_orderkey = l_orderkey LEFT JOIN events ON l_partkey = event_id WHERE o_orderkey % 9 <> 0 GROUP BY 1 HAVING count(*) = count(*) FILTER (event_id > o_custkey * 3)",
     "record_violations": f"""SELECT o_orderkey AS experience_id, unnest(list_filter([CASE WHEN o_orderkey % 50 = 0 THEN 'outcome' END, CASE WHEN o_orderkey % 40 = 0 THEN 'summary' END, CASE WHEN o_orderkey % 30 = 0 THEN 'proposal_hash' END, CASE WHEN o_orderkey % 20 = 0 THEN 'attempts' END], lambda x: x IS NOT NULL)) AS rule FROM orders""",
     "failure_summaries": "WITH c AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations) SELECT conv_id, turn, (SELECT max(left(t, n)) FROM range(0, 121) r(n) WHERE strlen(left(t, n)) <= 120) AS summary FROM c",
+    "working_set_fold": """WITH RECURSIVE e AS (SELECT user_id, event_type, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+f(user_id, event_type, n, ts, score) AS (SELECT user_id, event_type, n, ts, 0.35::DOUBLE FROM e WHERE n = 1
+UNION ALL SELECT e.user_id, e.event_type, e.n, e.ts, least(1.0, f.score * pow(0.5, (epoch_us(e.ts) - epoch_us(f.ts)) / 6e7 / 90) + 0.35) FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.n = f.n + 1)
+SELECT user_id AS session_id, event_type AS source_id, round(arg_max(score, n), 6) AS score FROM f GROUP BY ALL""",
+    "scope_fingerprints": "SELECT l_orderkey AS run, sha256('tessera.scope' || chr(0) || string_agg(DISTINCT l_suppkey || '::' || l_returnflag, chr(10) ORDER BY l_suppkey || '::' || l_returnflag)) AS fingerprint FROM lineitem GROUP BY 1",
     "content_dedup_hash": "SELECT sha256(text) AS content_hash, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1",
 }

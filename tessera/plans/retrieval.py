@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import MARKED, PLAIN, terms
+from tessera.functions.storage import kept
 from tessera.operators import retrieval as R
+from tessera.plans import assembly as A
 from tessera.sources import lexical_index as L
 from tessera.sources import tables as T
 
@@ -64,9 +66,19 @@ def hybrid_missing_arm(spark: SparkSession, d: str) -> DataFrame:
     return out.select("chunk_id", *[F.round(c, 6).alias(c) for c in ("semantic", "lexical", "hybrid")])
 
 
+def structural_arm(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes and documents are laid out over twenty files."""
+    number = F.substring("node_id", 2, 20).cast("long")
+    nodes = T.graph_nodes(spark, d).select("node_id", "node_type", "name", (number % 20).alias("document_id"), (number * 7 % 50 * 10).alias("start"), (number * 7 % 50 * 10 + 30).alias("end"))
+    chunks = T.chunks(spark, d).select((F.col("chunk_id") % 20).alias("document_id"), "chunk_id", (F.floor(F.col("chunk_id") / 20) * 12).alias("start"), (F.floor(F.col("chunk_id") / 20) * 12 + 20).alias("end"))
+    edges = kept(T.graph_edges(spark, d), "edges")
+    found = A.structural_retrieval(nodes, edges, chunks, nodes.filter("node_id = 'p7'").select("node_id"), "callers", [])
+    return found.select("chunk_id", F.round("score", 6).alias("score"), "node_id")
+
+
 def hybrid_structural(spark: SparkSession, d: str) -> DataFrame:
-    """A structural arm over chunks far down the list: one takes the last place."""
-    arm = T.chunks(spark, d).filter("chunk_id % 97 = 13").select("chunk_id", F.lit(0.01).alias("score"))
+    """The structural arm brings chunks beside the callers of a part: one takes the last place."""
+    arm = structural_arm(spark, d).select("chunk_id", "score")
     out = R.hybrid_search(_index(spark, d), T.vectors(spark, d), _query_vector(spark, d), QUERY, 8, arm)
     return out.select("chunk_id", *[F.round(c, 6).alias(c) for c in ("semantic", "lexical", "structural", "hybrid")])
 
@@ -115,9 +127,15 @@ f AS (SELECT *, (coalesce(semantic, 0) * 0.55 + coalesce(lexical, 0) * 0.25{extr
 
 
 _ROUNDED = "round(semantic, 6) AS semantic, round(lexical, 6) AS lexical, round(hybrid, 6) AS hybrid"
-_ARM = "SELECT doc_id AS chunk_id, 0.01 AS structural FROM documents WHERE doc_id % 97 = 13"
-
-QUERIES = {f.__name__: f for f in (semantic_topk, lexical_bm25, lexical_scan, lexical_match_and, lexical_token_counts, lexical_queries, memory_search_rank, hybrid_fusion, hybrid_missing_arm, hybrid_structural, score_minmax, get_item)}
+_ARM0 = """ec AS (SELECT 's' || l_suppkey AS f, 'calls|s' || l_suppkey || '|p7' AS id, 0.9 - max(l_discount) AS w, l_suppkey AS k FROM lineitem WHERE l_partkey = 7 GROUP BY l_suppkey),
+en AS (SELECT *, row_number() OVER (ORDER BY id) AS ord FROM ec QUALIFY ord <= 15),
+ch AS (SELECT doc_id AS chunk_id, doc_id % 20 AS d, doc_id // 20 * 12 AS s, doc_id // 20 * 12 + 20 AS e FROM documents),
+nn AS (SELECT f, ord, w, chunk_id, row_number() OVER (PARTITION BY f ORDER BY (k * 7 % 50 * 10 < e AND s < k * 7 % 50 * 10 + 30) DESC, abs(s - k * 7 % 50 * 10), e - s, s, chunk_id) AS rank FROM en JOIN ch ON k % 20 = d QUALIFY rank <= 4),
+n2 AS (SELECT * FROM nn ORDER BY ord, rank LIMIT 32),
+arm AS (SELECT chunk_id, round(max(w), 6)::DOUBLE AS score, arg_max(f, w) AS node_id FROM n2 GROUP BY chunk_id)"""
+_ARM = f"WITH {_ARM0} SELECT chunk_id, score AS structural FROM arm"
+
+QUERIES = {f.__name__: f for f in (semantic_topk, lexical_bm25, lexical_scan, lexical_match_and, lexical_token_counts, lexical_queries, memory_search_rank, hybrid_fusion, hybrid_missing_arm, structural_arm, hybrid_structural, score_minmax, get_item)}
 SQL = {
     "semantic_topk": f"WITH {_SEM} SELECT chunk_id, round(score, 4) AS score FROM sem ORDER BY sem.score DESC, chunk_id LIMIT 10",
     "lexical_bm25": f"WITH {_lexical(_DOCS, 'chunk_id', QUERY)} SELECT chunk_id, round(score, 6) AS score FROM lex ORDER BY lex.score DESC, chunk_id LIMIT 20",
@@ -140,6 +158,7 @@ SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM k WHERE rank <= 5
     "hybrid_structural": f"""{_hybrid(_lexical(_DOCS, "chunk_id", QUERY), _ARM)},
 k AS (SELECT *, row_number() OVER (ORDER BY hybrid DESC, chunk_id) AS r FROM f), e AS (SELECT min(r) AS best FROM k WHERE structural IS NOT NULL)
 SELECT chunk_id, {_ROUNDED}, structural::DOUBLE AS structural FROM k, e WHERE CASE WHEN best > 8 THEN r < 8 OR r = best ELSE r <= 8 END""",
+    "structural_arm": f"WITH {_ARM0} SELECT * FROM arm",
     "score_minmax": "SELECT c_custkey, round((c_acctbal - min(c_acctbal) OVER ()) / (max(c_acctbal) OVER () - min(c_acctbal) OVER ()), 6) AS norm FROM customer",
     "get_item": "SELECT doc_id AS chunk_id, source || '/' || doc_id AS path, lang AS language, text AS content FROM documents WHERE doc_id = 7",
 }

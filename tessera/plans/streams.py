@@ -59,8 +59,7 @@ def deregistration_counts(spark: SparkSession, d: str) -> DataFrame:
     """Rows that would go with a workspace: here, with a source of documents."""
     docs = T.table(spark, d, "documents").select("doc_id", F.col("source").alias("workspace_id"))
     labels = T.table(spark, d, "labels").join(docs, "doc_id")
-    counts, _ = S.deregistration({"documents": docs, "labels": labels}, "src1")
-    return spark.createDataFrame(list(counts.items()), "name string, rows long")
+    return S.workspace_counts({"documents": docs, "labels": labels}, "src1")
 
 
 _FIRST = "SELECT *, first_value(event_id % 2) OVER (PARTITION BY user_id ORDER BY event_id) AS f, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events"

@@ -7,8 +7,11 @@ import math
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 class Provider(Protocol):
@@ -99,3 +102,29 @@ def embedded(chunks: DataFrame, make: Callable[[], Provider], key: str = "chunk_
             yield pd.DataFrame({key: pdf[key], "model": p.model, "dimension": p.dimension, "vector": vectors})
 
     return chunks.select(key, text).mapInPandas(run, f"{key} {kind}, model string, dimension int, vector array<float>")
+
+
+def packed_vectors(column: Column) -> Column:
+    """Vectors as bytes, four little-endian ones a number; null for null."""
+
+    @F.arrow_udf("binary")
+    def pack(vectors: pa.Array) -> pa.Array:
+        return pa.array([None if v.as_py() is None else np.array(v.as_py(), "<f4").tobytes() for v in vectors], pa.binary())
+
+    return pack(column)
+
+
+def unpacked_vectors(column: Column) -> Column:
+    """The vectors of ``packed_vectors``; raises for bytes that are none, or hold no finite numbers."""
+
+    @F.arrow_udf("array<float>")
+    def unpack(data: pa.Array) -> pa.Array:
+        out = []
+        for x in data:
+            v = None if x.as_py() is None else np.frombuffer(x.as_py(), "<f4")
+            if v is not None and not np.isfinite(v).all():
+                raise ValueError("a stored vector holds no finite numbers")
+            out.append(v)
+        return pa.array(out, pa.list_(pa.float32()))
+
+    return unpack(column)

@@ -13,7 +13,7 @@ one document; an index of no documents matches nothing.
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,14 +34,18 @@ class LexicalIndex:
     spark: SparkSession
     folder: str
     key: str
+    key_type: str
     n: int
     avgdl: float
 
     def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/postings")
+        return self.spark.read.schema(f"key {self.key_type}, term string, tf long, dl long, part int").parquet(f"{self.folder}/postings")
 
     def terms(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/terms")
+        return self.spark.read.schema("term string, df long, part int").parquet(f"{self.folder}/terms")
+
+    def lengths(self) -> DataFrame:
+        return self.spark.read.schema(f"key {self.key_type}, dl long").parquet(f"{self.folder}/lengths")
 
     def df(self, wanted: list[str]) -> dict[str, int]:
         """In how many documents each wanted term is; at most as many rows as terms."""
@@ -65,10 +69,10 @@ def _write(spark: SparkSession, postings: DataFrame, lengths: DataFrame, folder:
     dealt = dealt.repartition("part", F.pmod(F.xxhash64("key"), F.lit(SPREAD))).sortWithinPartitions("part", "term", "key")
     dealt.write.partitionBy("part").parquet(f"{folder}/postings")
     lengths.write.parquet(f"{folder}/lengths")
-    kept_postings = spark.read.schema(dealt.schema).parquet(f"{folder}/postings")
-    kept_postings.groupBy("part", "term").agg(F.count("*").alias("df")).repartition("part").sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{folder}/terms")
-    stats = spark.read.schema(lengths.schema).parquet(f"{folder}/lengths").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    return LexicalIndex(spark, folder, key, stats["n"], float(stats["avgdl"] or 1.0))
+    index = LexicalIndex(spark, folder, key, lengths.schema["key"].dataType.simpleString(), 0, 1.0)
+    index.postings().groupBy("part", "term").agg(F.count("*").alias("df")).repartition("part").sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{folder}/terms")
+    stats = index.lengths().agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    return replace(index, n=stats["n"], avgdl=float(stats["avgdl"] or 1.0))
 
 
 def build(docs: DataFrame, key: str, *columns: str, folder: str | None = None) -> LexicalIndex:
@@ -90,7 +94,7 @@ def refreshed(index: LexicalIndex, changed: DataFrame, removed: DataFrame, *colu
     lengths = tokens.groupBy("key").agg(F.sum("dl").alias("dl"))
     fresh = tokens.select("key", F.explode("t").alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf")).join(lengths, "key")
     stay = index.postings().join(gone, "key", "left_anti").select("key", "term", "tf", "dl")
-    every = spark.read.parquet(f"{index.folder}/lengths").join(gone, "key", "left_anti").unionByName(lengths)
+    every = index.lengths().join(gone, "key", "left_anti").unionByName(lengths)
     return _write(spark, stay.unionByName(fresh.select("key", "term", "tf", "dl")), kept(every, "index-lengths"), folder or shared_path(spark, "index"), index.key)
 
 

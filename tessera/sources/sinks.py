@@ -8,8 +8,11 @@ which revision it started from and fails if that is no longer the current one.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,12 +109,45 @@ def imported(runs: DataFrame, receipts: DataFrame, known: DataFrame) -> DataFram
     return d.join(seen, ids, "left").withColumn("result", F.when((F.col("result") == "new") & F.col("__seen"), "conflict").otherwise(F.col("result"))).drop("__seen")
 
 
-def deregistration(tables: dict[str, DataFrame], workspace: str) -> tuple[dict[str, int], str]:
-    """Rows of a workspace in each table, and a hash of that state for the plan to expire by."""
-    counts = {n: df.filter(F.col("workspace_id") == workspace).count() for n, df in sorted(tables.items())}
-    import hashlib
+PLAN_SECONDS = 300
 
-    return counts, hashlib.sha256(json.dumps([workspace, counts], sort_keys=True).encode()).hexdigest()
+
+def workspace_counts(tables: dict[str, DataFrame], workspace: str) -> DataFrame:
+    """(name, rows): rows of a workspace in each table, all in one job."""
+    names = tables.values()
+    spark = next(iter(names)).sparkSession
+    every = reduce(DataFrame.unionByName, [df.filter(F.col("workspace_id") == workspace).select(F.lit(n).alias("name")) for n, df in sorted(tables.items())])
+    return spark.createDataFrame([(n,) for n in sorted(tables)], "name string").join(every.groupBy("name").agg(F.count("*").alias("rows")), "name", "left").select("name", F.coalesce("rows", F.lit(0)).cast("long").alias("rows"))
+
+
+def deregistration(tables: dict[str, DataFrame], workspace: str, now: float = 0.0) -> dict:
+    """What a deregistration would remove: counts, a hash of that state, and until when the
+    plan holds."""
+    counts = {r["name"]: r["rows"] for r in workspace_counts(tables, workspace).collect()}  # a row a table
+    state = hashlib.sha256(json.dumps([workspace, counts], sort_keys=True).encode()).hexdigest()
+    return {"workspace": workspace, "counts": counts, "state": state, "expires_at": now + PLAN_SECONDS, "consumed": False}
+
+
+def stale_reason(plan: dict, tables: dict[str, DataFrame], workspace: str, now: float) -> str | None:
+    """Why a plan can't be carried out any more: another workspace's, used, too old, or the
+    workspace has changed since; None if it can."""
+    if plan["workspace"] != workspace:
+        return "workspace_mismatch"
+    if plan["consumed"]:
+        return "already_consumed"
+    if now >= plan["expires_at"]:
+        return "expired"
+    return None if deregistration(tables, workspace)["state"] == plan["state"] else "state_changed"
+
+
+def consistently(spark: SparkSession, store: str, work: Callable[[dict], object], attempts: int = 3) -> object:
+    """``work`` on the current manifest, again if another one was published meanwhile."""
+    for _ in range(attempts):
+        state = manifest(spark, store)
+        out = work(state)
+        if manifest(spark, store)["revision"] == state["revision"]:
+            return out
+    raise RuntimeError(f"the store changed {attempts} times while it was read")
 
 
 def without_workspace(tables: dict[str, DataFrame], workspace: str) -> dict[str, DataFrame]:

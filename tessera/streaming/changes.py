@@ -97,6 +97,18 @@ def run_available(stream: DataFrame, sink, checkpoint: str, mode: str = "append"
     stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def armed(stream: DataFrame, sink, checkpoint: str, scan, mode: str = "append") -> object:  # noqa: ANN001
+    """Starts to listen, then scans, then takes what came meanwhile: no change between the
+    scan and the subscription is lost. Returns what ``scan`` (a function) gives."""
+    query = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).start()
+    try:
+        found = scan()
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return found
+
+
 def by_batch(path: str):  # noqa: ANN201
     """A sink that writes each batch to a folder of its own: written again, it is replaced."""
 
