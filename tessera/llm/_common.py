@@ -105,7 +105,7 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
     """Arrow batches in slices of at most ``rows`` rows and, but for single rows, ``size``
     bytes of strings, so that a worker holds few texts as Python objects; at the end the
     worker gives back what Arrow kept."""

@@ -63,7 +63,7 @@ BITS = 128
 #: for one with a probability of about one in a million.
 TOKEN_BYTES = 5
 #: Tokens that are unpacked together to count common ones.
-AT_ONCE = 2_000_000
+AT_ONCE = 1_000_000
 
 _MIX1, _MIX2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
