@@ -21,9 +21,10 @@ def _named(values: dict[str, str], column: str):
     return out
 
 
-def module_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Cases of bundles that list modules, as a JavaScript reporter writes them."""
-    m = spark.read.schema(MODULES).json(path, multiLine=True).select("runner", F.explode("completed_run.modules").alias("m"))
+def module_cases(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
+    """Cases of bundles that list modules, as a JavaScript reporter writes them: one a file,
+    or one a line, which files of many bundles can be split by."""
+    m = spark.read.schema(MODULES).json(path, multiLine=not by_line).select("runner", F.explode("completed_run.modules").alias("m"))
     c = m.select(F.col("runner.id").alias("runner"), F.col("m.relative_module_id").alias("file"), F.explode("m.cases").alias("c")).select("runner", "file", "c.*")
     return c.withColumn("identity", F.concat_ws("::", "namespace", "name")).withColumn("status", _named(STATES, "state")).select(COLUMNS)
 
