@@ -185,6 +185,13 @@ def test_near_copies(spark, write, monkeypatch, limits):
     assert sorted(kept) == sorted({c for c, _, _ in got.values()})
 
 
+def test_all_links_of_the_tables(spark, sf):
+    """Recall 1 against brute force, and the number of links of every document."""
+    texts = [(r["doc_id"], r["text"]) for r in documents_of(spark, sf).collect()]
+    got = {r["doc_id"]: (r["class_id"], r["copy_id"], r["n_links"]) for r in chosen_path.op3_chosen_path(spark, sf).collect()}
+    assert got == near_pairs(texts)
+
+
 ONE_ID = [(1, "A"), (5, "A end"), (5, "B q"), (9, "B"), (5, "C"), (None, "A x"), (None, "D"), (None, "D"), (1, "A")]
 
 
