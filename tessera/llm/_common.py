@@ -123,6 +123,34 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 1 <<
     pa.default_memory_pool().release_unused()
 
 
+def runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[bool, str, pa.RecordBatch]]:
+    """The rows of equal ``column``, which come together: whether they are the first of their
+    key, the key, and as many of its rows as a batch holds."""
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b[column]
+        cuts = (np.flatnonzero(pc.not_equal(keys.slice(1), keys.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)) + 1).tolist()
+        for at, to in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+            key = keys[at].as_py()
+            yield key != last, key, b.slice(at, to - at)
+            last = key
+
+
+def batched(rows: Iterator[tuple], schema: pa.Schema, most: int = 4096, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """``rows`` in batches of at most ``most`` rows and, but for single rows, ``size`` characters."""
+    held, wide = [], 0
+    for row in rows:
+        held.append(row)
+        wide += sum(len(v) for v in row if isinstance(v, str))
+        if len(held) >= most or wide >= size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, wide = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, cells: int = 1024) -> DataFrame:
     """Adds ``name``: a gapless rank from 0 of each row within its ``keys``.
 

@@ -11,7 +11,8 @@ from tessera.llm.registry import QUERIES, SQL
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for t in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = con.sql(SQL[name]).df()
     got = QUERIES[name](spark, sf).toPandas()
     assert sorted(got.columns) == sorted(want.columns)
