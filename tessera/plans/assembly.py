@@ -21,6 +21,7 @@ from tessera.operators import ingest as N
 from tessera.operators import intervals as I
 from tessera.operators.filters import normalized_scopes
 from tessera.sources import sinks
+from tessera.sources import store as stores
 from tessera.streaming import changes
 
 #: How a query's intent walks the graph: direction, edge types, depth.
@@ -130,8 +131,8 @@ def reindexed(spark: SparkSession, store: str, scanned: DataFrame, seen: DataFra
     actions = both.select("path", F.when(same, "unchanged").when(F.col("__old").isNull(), "added").otherwise("modified").alias("action"))
     actions = actions.join(failed.withColumn("__failed", F.lit(True)), "path", "left").select("path", F.when(F.col("__failed"), "failed").otherwise(F.col("action")).alias("action"))
     actions = kept(actions.unionByName(gone.select("path", F.lit("removed").alias("action"))), "reindex-actions")
-    new = good if old is None else sinks.upserted(old, good.select(*old.columns), ["path"], drop=gone)
-    return sinks.publish(spark, store, {"documents": new}, expected), actions
+    new = good if old is None else good.select(*old.columns)
+    return stores.commit(spark, store, expected, {"documents": stores.Change(new, gone)}, {"documents": stores.Keyed("path")})[0], actions
 
 
 def assembled(candidates: DataFrame, key: str, token_budget: int, experiences: DataFrame | None = None, members: DataFrame | None = None, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame | None]:

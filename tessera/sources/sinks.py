@@ -1,16 +1,13 @@
-"""Sinks: snapshots with a manifest, appends in ingress order, idempotent delivery.
+"""Sinks: snapshots, appends in ingress order, idempotent delivery, deregistration.
 
-A snapshot is a folder of Parquet tables. Writers stage the next one in a folder of its
-own and publish it by writing the manifest, which names it; readers follow the manifest,
-so they see one snapshot throughout. There is one writer at a time; a publication states
-which revision it started from and fails if that is no longer the current one.
+Snapshots are revisions of a store (``sources.store``): readers follow one manifest, so they
+see one snapshot throughout, and a publication states which revision it started from.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -18,45 +15,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.storage import kept
+from tessera.sources import store
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def manifest(spark: SparkSession, store: str) -> dict:
-    """The current manifest: revision and folder of each table; revision 0 for a new store."""
-    fs, p = _fs(spark, f"{store}/manifest")
-    if not fs.exists(p):
-        return {"revision": 0, "tables": {}}
-    rows = spark.read.text(f"{store}/manifest").collect()
-    return max((json.loads(r["value"]) for r in rows), key=lambda m: m["revision"])
-
-
-def publish(spark: SparkSession, store: str, tables: dict[str, DataFrame], expected: int) -> dict:
-    """Writes ``tables`` as the next revision; the other tables stay. Raises if the current
-    revision is not ``expected``, before writing, or if another writer publishes that revision
-    first: its manifest is a file of its own, which only one of them can create."""
-    now = manifest(spark, store)
-    if now["revision"] != expected:
-        raise RuntimeError(f"revision is {now['revision']}, not {expected}")
-    new = dict(now["tables"])
-    for name, df in tables.items():
-        new[name] = f"{store}/{name}/{uuid.uuid4().hex}"
-        df.write.parquet(new[name])
-    out = {"revision": expected + 1, "tables": new}
-    fs, p = _fs(spark, f"{store}/manifest/{expected + 1:012}")
-    try:
-        stream = fs.create(p, False)  # fails where the file exists: of two writers one wins
-    except Exception as e:
-        raise RuntimeError("another writer published first") from e
-    stream.writeBytes(json.dumps(out))
-    stream.close()
-    return out
+
+def manifest(spark: SparkSession, folder: str) -> dict:
+    """The current state; revision 0 for a new store."""
+    return store.state(spark, folder)
+
+
+def publish(spark: SparkSession, folder: str, tables: dict[str, DataFrame], expected: int) -> dict:
+    """Writes ``tables`` whole as the next revision; the other tables stay. Raises if the
+    current revision is not ``expected``, before writing, or if another writer publishes that
+    revision first."""
+    return store.commit(spark, folder, expected, tables)[0]
 
 
 def read(spark: SparkSession, state: dict, name: str) -> DataFrame:
-    return spark.read.parquet(state["tables"][name])
+    return store.read(spark, state, name)
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], drop: DataFrame | None = None) -> DataFrame:
@@ -81,8 +57,6 @@ def sequenced(events: DataFrame, start: int, *order: str) -> DataFrame:
     Ranges of ``order`` are counted first, so no task sees more than its own range.
     """
     ranged = events.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    from tessera.functions.storage import kept
-
     ranged = kept(ranged, "append")
     w = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     starts = ranged.groupBy("__p").agg(F.count("*").alias("__n")).withColumn("__from", F.coalesce(F.sum("__n").over(w), F.lit(0)))
@@ -140,12 +114,12 @@ def stale_reason(plan: dict, tables: dict[str, DataFrame], workspace: str, now:
     return None if deregistration(tables, workspace)["state"] == plan["state"] else "state_changed"
 
 
-def consistently(spark: SparkSession, store: str, work: Callable[[dict], object], attempts: int = 3) -> object:
+def consistently(spark: SparkSession, folder: str, work: Callable[[dict], object], attempts: int = 3) -> object:
     """``work`` on the current manifest, again if another one was published meanwhile."""
     for _ in range(attempts):
-        state = manifest(spark, store)
+        state = manifest(spark, folder)
         out = work(state)
-        if manifest(spark, store)["revision"] == state["revision"]:
+        if manifest(spark, folder)["revision"] == state["revision"]:
             return out
     raise RuntimeError(f"the store changed {attempts} times while it was read")
 
