@@ -14,6 +14,7 @@ from tessera.operators import retrieval as R
 from tessera.sources import analyzers as Y
 from tessera.sources import captures as Q
 from tessera.sources import embedding as E
+from tessera.sources import files as L
 from tessera.sources import tables as T
 from tessera.sources import workspace as W
 
@@ -21,9 +22,27 @@ from tessera.sources import workspace as W
 def workspace_scan(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark items as files of a workspace: those whose number begins with 1 are left out."""
     root = shared_path(spark, "workspace")
-    T.table(spark, d, "benchmark").select("item_id", "text").write.partitionBy("item_id").option("lineSep", "\n").text(root)
-    found = W.scan(spark, root, exclude=["item_id=1*/"])
-    return found.select(F.regexp_extract("path", r"item_id=([0-9]+)/", 1).cast("long").alias("item_id"), "size_bytes", "content_hash")
+    items = T.table(spark, d, "benchmark").select(F.concat(F.lit("items/i"), "item_id", F.lit(".txt")).alias("path"), F.concat("text", F.lit("\n")).alias("text"))
+    L.written(items, root).count()
+    found = W.scan(spark, root, exclude=["items/i1*.txt"])
+    return found.select(F.regexp_extract("path", r"i([0-9]+)\.", 1).cast("long").alias("item_id"), "size_bytes", "content_hash")
+
+
+#: Ignore files of ``workspace_tree``, by folder.
+IGNORES = {
+    "": (".gitignore", "# sources that begin with 1, but not 11\nsrc1*/\n!src11/\n*.md\n/en/src2/a*.txt\n"), "en": (".gitignore", "!.d*4.md\n"), "de": (".ignore", "src3/\n!.d*.md\n"), "de/src4": (".gitignore", ".d*.md\n*7.txt\n"), "fr/src3": (".gitignore", "*\n!a*3.txt\n"),
+    "es": (".ignore", "**/src5/**\n[a-c]*[13579].txt\n"),
+}
+
+
+def workspace_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files lang/source/name, every seventh hidden, scanned under ignore files
+    at several depths."""
+    root = shared_path(spark, "tree")
+    docs = T.table(spark, d, "documents").select(F.concat_ws("/", "lang", "source", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit(".d"), "doc_id", F.lit(".md"))).otherwise(F.concat(F.lit("a"), "doc_id", F.lit(".txt")))).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    rules = spark.createDataFrame([(f"{folder}/{name}".lstrip("/"), text) for folder, (name, text) in IGNORES.items()], "path string, text string")
+    L.written(docs.unionByName(rules), root).count()
+    return W.scan(spark, root).filter(~F.col("path").rlike(r"(^|/)\.(git)?ignore$")).select("path", "size_bytes", "content_hash")
 
 
 def test_captures(spark: SparkSession, d: str) -> DataFrame:
@@ -84,10 +103,16 @@ def selector_rules(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, taken string")
 
 
-QUERIES = {f.__name__: f for f in (workspace_scan, test_captures, embedded_chunks, code_symbols, code_facts, module_paths, selector_rules)}
+QUERIES = {f.__name__: f for f in (workspace_scan, workspace_tree, test_captures, embedded_chunks, code_symbols, code_facts, module_paths, selector_rules)}
 _CASES = "SELECT l_orderkey, 'suite::s' || l_suppkey || '::p' || l_partkey AS identity, ['passed', 'assertion_failed', 'skipped', 'todo', 'errored'][l_partkey % 5 + 1] AS status FROM lineitem"
 SQL = {
     "workspace_scan": "SELECT item_id, strlen(text) + 1 AS size_bytes, sha256(text || chr(10)) AS content_hash FROM benchmark WHERE NOT starts_with(item_id::VARCHAR, '1')",
+    "workspace_tree": """WITH f AS (SELECT lang, source, CASE WHEN doc_id % 7 = 0 THEN '.d' || doc_id || '.md' ELSE 'a' || doc_id || '.txt' END AS name, doc_id % 7 = 0 AS md, coalesce(text, '') AS text FROM documents),
+s AS (SELECT *, lang || '/' || source || '/' || name AS path, source LIKE 'src1%' AND source <> 'src11' AS closed FROM f),
+t AS (SELECT *, CASE WHEN closed THEN true WHEN lang = 'de' AND source = 'src3' THEN true WHEN lang = 'de' AND md THEN false WHEN lang = 'de' AND source = 'src4' AND name LIKE '%7.txt' THEN true
+WHEN lang = 'es' AND source = 'src5' THEN true WHEN lang = 'es' AND regexp_matches(name, '^a.*[13579]\.txt$') THEN true WHEN lang = 'fr' AND source = 'src3' THEN NOT regexp_matches(name, '^a.*3\.txt$')
+WHEN lang = 'en' AND regexp_matches(name, '^\.d.*4\.md$') THEN false WHEN md THEN true WHEN lang = 'en' AND source = 'src2' AND NOT md THEN true ELSE false END AS ignored FROM s)
+SELECT path, strlen(text) AS size_bytes, sha256(text) AS content_hash FROM t WHERE NOT ignored AND strlen(text) <= 1048576 AND NOT contains(left(text, 8192), chr(0))""",
     "test_captures": f"SELECT status, count(*) AS cases, count(DISTINCT l_orderkey) AS files, count(DISTINCT identity) AS identities FROM ({_CASES}) GROUP BY 1",
     "embedded_chunks": "SELECT doc_id AS chunk_id, 64::BIGINT AS dimension, true AS finite, CASE WHEN regexp_matches(coalesce(text, ''), '\\S') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents",
     "code_symbols": "SELECT 'src/m' || p_partkey || '.py' AS path, unnest(['C' || p_partkey, 'C' || p_partkey || '.run', 'test_' || p_partkey]) AS qualified_name, unnest(['class', 'method', 'function']) AS kind, unnest([false, false, true]) AS is_test FROM part",

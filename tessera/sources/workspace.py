@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import fnmatch
+import json
 import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MOST_BYTES, PROBE = 1 << 20, 8192
+from tessera.sources.files import WorkspaceFiles, glob_regex
+
+MOST_BYTES = 1 << 20
 
 
 def pattern_regex(pattern: str) -> str:
@@ -38,23 +41,27 @@ def selected(path: Column, include: list[str], exclude: list[str]) -> Column:
     return ok
 
 
-def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, most_bytes: int = MOST_BYTES, glob: str | None = None) -> DataFrame:
+def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, most_bytes: int = MOST_BYTES, glob: str | None = None, subtrees: int = 256) -> DataFrame:
     """path (relative), size_bytes, modified_at, content_hash and content of text files.
 
-    Files that are too large, hold a NUL in their first 8 KiB or are no UTF-8 are left out;
-    sizes and paths are tested before contents. Spark's file listing passes over names
-    that begin with . or _, so hidden files are not seen.
+    Hidden files are seen and ignore files are followed, as ``sources.files`` says. Files that
+    are too large, hold a NUL in their first 8 KiB or are no UTF-8 are left out; ``glob`` tests
+    names besides.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    good = _files(spark, root, include, exclude, most_bytes, subtrees).filter("error IS NULL")
     if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    base = re.sub(r"^file:/*", "/", root.rstrip("/"))
-    path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), f"^{re.escape(base)}/", "")
-    files = reader.load(root).filter(F.col("length") <= most_bytes).withColumn("path", path)
-    files = files.filter(~F.rlike("path", F.lit(r"(^|/)\.git(/|$)")) & selected(F.col("path"), include or [], exclude or []))
-    text = ~F.rlike(F.hex(F.substring("content", 1, PROBE)), F.lit("^(?:(?!00)..)*+00"))
-    good = files.filter(text).withColumn("text", F.try_validate_utf8(F.col("content").cast("string"))).filter("text IS NOT NULL")
-    return good.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), F.sha2("content", 256).alias("content_hash"), F.col("text").alias("content"))
+        good = good.filter(F.rlike("path", F.lit(f"(?:^|/){glob_regex(glob)}$")))
+    return good.select("path", "size_bytes", "modified_at", F.sha2("content", 256).alias("content_hash"), "content")
+
+
+def failed(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(path, error) of what can't be read: not to be taken for removed."""
+    return _files(spark, root, include, exclude, most_bytes, 256).filter("error IS NOT NULL").select("path", "error")
+
+
+def _files(spark: SparkSession, root: str, include: list[str] | None, exclude: list[str] | None, most_bytes: int, subtrees: int) -> DataFrame:
+    spark.dataSource.register(WorkspaceFiles)
+    return spark.read.format("workspace_files").option("include", json.dumps(include or [])).option("exclude", json.dumps(exclude or [])).option("mostBytes", most_bytes).option("subtrees", subtrees).load(root)
 
 
 def language_of(path: Column, enabled: tuple[str, ...] | None = None) -> Column:
