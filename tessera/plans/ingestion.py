@@ -107,7 +107,7 @@ QUERIES = {f.__name__: f for f in (workspace_scan, workspace_tree, test_captures
 _CASES = "SELECT l_orderkey, 'suite::s' || l_suppkey || '::p' || l_partkey AS identity, ['passed', 'assertion_failed', 'skipped', 'todo', 'errored'][l_partkey % 5 + 1] AS status FROM lineitem"
 SQL = {
     "workspace_scan": "SELECT item_id, strlen(text) + 1 AS size_bytes, sha256(text || chr(10)) AS content_hash FROM benchmark WHERE NOT starts_with(item_id::VARCHAR, '1')",
-    "workspace_tree": """WITH f AS (SELECT lang, source, CASE WHEN doc_id % 7 = 0 THEN '.d' || doc_id || '.md' ELSE 'a' || doc_id || '.txt' END AS name, doc_id % 7 = 0 AS md, coalesce(text, '') AS text FROM documents),
+    "workspace_tree": r"""WITH f AS (SELECT lang, source, CASE WHEN doc_id % 7 = 0 THEN '.d' || doc_id || '.md' ELSE 'a' || doc_id || '.txt' END AS name, doc_id % 7 = 0 AS md, coalesce(text, '') AS text FROM documents),
 s AS (SELECT *, lang || '/' || source || '/' || name AS path, source LIKE 'src1%' AND source <> 'src11' AS closed FROM f),
 t AS (SELECT *, CASE WHEN closed THEN true WHEN lang = 'de' AND source = 'src3' THEN true WHEN lang = 'de' AND md THEN false WHEN lang = 'de' AND source = 'src4' AND name LIKE '%7.txt' THEN true
 WHEN lang = 'es' AND source = 'src5' THEN true WHEN lang = 'es' AND regexp_matches(name, '^a.*[13579]\.txt$') THEN true WHEN lang = 'fr' AND source = 'src3' THEN NOT regexp_matches(name, '^a.*3\.txt$')
