@@ -33,6 +33,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,16 +48,26 @@ SCALE, PRIOR = 1_000_000_000, 2
 MIN_DOCS, TOP = 10, 10
 
 
+COUNTED = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
+
+
 def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, n, docs) of texts, summed a batch."""
+    """(lang, source, term, n, docs) of texts, summed a slice: terms and groups are numbered
+    once, so that all sums are over integers."""
     for b in sliced(batches, rows=1 << 16, size=1 << 24):
-        parts = pc.split_pattern_regex(pc.ascii_lower(pc.cast(b["text"], pa.large_string())), BETWEEN)
-        t = pa.table({"doc": pc.list_parent_indices(parts), "term": pc.list_flatten(parts)})
-        t = t.filter(pc.not_equal(t["term"], "")).group_by(["doc", "term"]).aggregate([([], "count_all")])
-        t = pa.table({"lang": b["lang"].take(t["doc"]), "source": b["source"].take(t["doc"]), "term": t["term"], "n": t["count_all"]})
-        t = t.group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ([], "count_all")])
-        for out in t.rename_columns(["lang", "source", "term", "n", "docs"]).cast(pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])).to_batches():
-            yield out
+        parts = pc.split_pattern_regex(pc.ascii_lower(b["text"]), BETWEEN)
+        terms = pc.dictionary_encode(pc.list_flatten(parts))
+        group = pa.table({"lang": b["lang"], "source": b["source"], "row": np.arange(b.num_rows, dtype=np.int32)}).group_by(["lang", "source"], use_threads=False).aggregate([("row", "list")])
+        of_row = np.empty(b.num_rows, np.int32)
+        lists = group["row_list"].combine_chunks()
+        of_row[lists.flatten().to_numpy()] = np.repeat(np.arange(group.num_rows, dtype=np.int32), lists.value_lengths().to_numpy())
+        t = pa.table({"row": pc.list_parent_indices(parts).cast(pa.int32()), "term": terms.indices})
+        blank = pc.index(terms.dictionary, "").as_py()
+        t = t.filter(pc.not_equal(t["term"], blank)) if blank >= 0 else t
+        t = t.group_by(["row", "term"], use_threads=False).aggregate([([], "count_all")])
+        t = pa.table({"group": of_row[t["row"].to_numpy()], "term": t["term"], "n": t["count_all"]}).group_by(["group", "term"], use_threads=False).aggregate([("n", "sum"), ([], "count_all")])
+        out = pa.table([group["lang"].take(t["group"]), group["source"].take(t["group"]), terms.dictionary.take(t["term"]), t["n_sum"], t["count_all"]], schema=COUNTED)
+        yield from out.combine_chunks().to_batches(max_chunksize=1 << 16)
 
 
 def share(count: Column | str, total: Column | str, terms: Column | str) -> Column:
@@ -79,10 +90,12 @@ def postings(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, Data
     (lang, source) with V and p0."""
     read = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     counted = read.mapInArrow(count_terms, "lang string, source string, term string, n long, docs long")
-    by_source = stored(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "audit-terms")
-    kept = by_source.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).drop("docs")
-    kept = stored(by_source.drop("docs").join(kept, ["lang", "term"]), "audit-kept")
-    langs = kept.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.countDistinct("term").alias("terms"))
+    # one shuffle, by term, does for both sums: of a source, and of the language
+    by_source = counted.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    by_term = by_source.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("by"))
+    terms = stored(by_term.filter(F.col("docs") >= min_docs).drop("docs"), "audit-kept")
+    kept = terms.select("lang", "term", "lang_n", F.inline("by"))
+    langs = terms.groupBy("lang").agg(F.sum("lang_n").alias("lang_total"), F.count("*").alias("terms"))
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = read.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
     groups = groups.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("lang_total", F.lit(0)).alias("lang_total"), F.coalesce("terms", F.lit(0)).alias("terms"))
