@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm._common import cleanup, documents, named_folders, stored
+from tessera.llm._common import documents, folders, stored
 from tessera.llm.chosen_path import one_of_each
 from tessera.llm.exact_dedup import dedup
 from tessera.llm.packing import pack_documents
@@ -65,9 +65,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``. What a stage wrote for itself, and its
-    input, go when its result is written."""
-    docs, start = documents(spark, sf_dir), named_folders()
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        cleanup(spark, start, but=docs)
-    return docs
+    input, go when its result is written; the last result stays."""
+    with folders(spark) as all_stages:
+        docs = documents(spark, sf_dir)
+        for name, stage in STAGES:
+            with folders(spark) as own:
+                done = own.keep(stored(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+            all_stages.release(docs)
+            docs = done
+        return all_stages.keep(docs)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from contextlib import suppress
+from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,58 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Folders that ``stored`` and ``shared_dir`` named in this process, oldest first.
-_named: list[str] = []
+class Folders:
+    """The folders that calls within a ``folders`` block name."""
+
+    def __init__(self, spark: SparkSession, outer: Folders | None) -> None:
+        self.spark, self.outer, self.named, self.kept = spark, outer, [], set()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df``, whose folders outlive the block: they are the block's around it, if any."""
+        self.kept |= self._read_by(df)
+        return df
+
+    def release(self, df: DataFrame) -> None:
+        """Deletes the folders that ``df`` reads, if they are this block's."""
+        for path in self._read_by(df):
+            self._delete(path)
+            self.named.remove(path)
+
+    def _read_by(self, df: DataFrame) -> set[str]:
+        read = df.inputFiles()
+        return {p for p in self.named if any(f"/{p.rsplit('/', 1)[1]}/" in f for f in read)}
+
+    def _delete(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    def close(self) -> None:
+        for path in self.named:
+            if path not in self.kept:
+                self._delete(path)
+            elif self.outer is not None:
+                self.outer.named.append(path)
+
+
+#: The innermost block of this thread: calls in other threads have blocks of their own.
+_within: ContextVar[Folders | None] = ContextVar("folders", default=None)
+
+
+@contextmanager
+def folders(spark: SparkSession) -> Iterator[Folders]:
+    """A block at whose end the folders that calls within it named are deleted, and no others;
+    what is kept passes to the block around. If the block fails nothing is kept. A DataFrame
+    that reads a folder must be written, or kept, before its block ends."""
+    own = Folders(spark, _within.get())
+    token = _within.set(own)
+    try:
+        yield own
+    except BaseException:
+        own.kept.clear()
+        raise
+    finally:
+        _within.reset(token)
+        own.close()
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
@@ -37,8 +88,10 @@ def shared_dir(spark: SparkSession, what: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file:///tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(root)
-    _named.append(f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}")
-    return _named[-1]
+    path = f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    if (block := _within.get()) is not None:
+        block.named.append(path)
+    return path
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
@@ -64,27 +117,6 @@ def places(docs: DataFrame) -> dict[str, Column]:
     return {"__tessera_file": hidden["file_path"], "__tessera_row": hidden["row_index"]}
 
 
-def named_folders() -> int:
-    """How many folders were named so far; a mark for ``cleanup``."""
-    return len(_named)
-
-
-def cleanup(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> None:
-    """Deletes the folders named after the mark ``since``, but not those ``but`` reads.
-
-    No DataFrame that reads them may be used afterwards; files that are gone already do
-    not matter.
-    """
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    read = but.inputFiles() if but is not None else []
-    for path in _named[since:]:
-        if any(path.rsplit("/", 1)[1] in f for f in read):
-            continue
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
-        _named.remove(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import cleanup, documents, named_folders, on_files, places, shared_dir, sliced, stored
+from tessera.llm._common import documents, folders, on_files, places, shared_dir, sliced, stored
 from tessera.llm.components import components
 
 WORDS = 5
@@ -429,29 +429,25 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     """One row for each row of ``docs``: doc_id; copy_id, the least id with equal words;
     class_id and class_key, the least id and key of all that links connect; n_links, its
     text's links to different texts."""
-    spark, mark = docs.sparkSession, named_folders()
-    signs = stored(signed(docs.select("text", "doc_id"), runs_for(recall, similarity), similarity), "join-signs")
-    found = _classes(docs, signs, similarity)
-    out = stored(signs.select("doc_id", "key").join(found, "key").select("doc_id", "class_id", "copy_id", "n_links", F.lower(F.hex("class_key")).alias("class_key")), "join-rows")
-    cleanup(spark, mark, but=out)
-    return out
+    with folders(docs.sparkSession) as own:
+        signs = stored(signed(docs.select("text", "doc_id"), runs_for(recall, similarity), similarity), "join-signs")
+        found = _classes(docs, signs, similarity)
+        return own.keep(stored(signs.select("doc_id", "key").join(found, "key").select("doc_id", "class_id", "copy_id", "n_links", F.lower(F.hex("class_key")).alias("class_key")), "join-rows"))
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """``docs`` with one row of each class of near copies: that of the least id, null ids
     last, then the first by file and row. Which rows go is decided by their places in files
     alone; so ``docs`` is written first unless it is a plain read of files."""
-    spark = docs.sparkSession
     docs = on_files(docs, "join-input")
-    mark = named_folders()
     place, names = places(docs), docs.columns
     file, row = place
-    signs = stored(signed(docs.select("text", "doc_id", *[c.alias(k) for k, c in place.items()]), runs_for(recall, similarity), similarity), "join-signs")
-    found = _classes(docs, signs, similarity)
-    rows = signs.join(found.select("key", "class_key"), "key").select("class_key", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(file), F.col(row)).alias("at"))
-    stays = rows.groupBy("class_key").agg(F.min("at").alias("first"), F.count("*").alias("many")).filter("many > 1")
-    gone = stored(rows.join(stays, "class_key").filter("at <> first").select(F.col(f"at.{file}").alias(file), F.col(f"at.{row}").alias(row)), "join-gone")
-    cleanup(spark, mark, but=gone)
+    with folders(docs.sparkSession) as own:
+        signs = stored(signed(docs.select("text", "doc_id", *[c.alias(k) for k, c in place.items()]), runs_for(recall, similarity), similarity), "join-signs")
+        found = _classes(docs, signs, similarity)
+        rows = signs.join(found.select("key", "class_key"), "key").select("class_key", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(file), F.col(row)).alias("at"))
+        stays = rows.groupBy("class_key").agg(F.min("at").alias("first"), F.count("*").alias("many")).filter("many > 1")
+        gone = own.keep(stored(rows.join(stays, "class_key").filter("at <> first").select(F.col(f"at.{file}").alias(file), F.col(f"at.{row}").alias(row)), "join-gone"))
     return docs.withColumns(place).join(gone, [file, row], "left_anti").select(*names)
 
 
