@@ -3,7 +3,8 @@
 A text is brought to a canonical form: lower case; copyright lines removed, those behind
 comment marks too; every run of characters that are neither letters, marks nor digits of any
 script made one space, so that quotes, dashes, spaces and comment marks of all kinds are
-equal; equivalent spellings made one. The SHA-256 of the form is joined to the digests of known
+equal; links and the marks of lists left out; equivalent spellings made one; whoever is named as
+holder, between the fixed words around, made one word. The SHA-256 of the form is joined to the digests of known
 licences, with each title that a licence is known to go by and without one. The whole text
 must be the licence: a document that only contains or mentions one doesn't match.
 
@@ -28,12 +29,24 @@ from tessera.llm.license_texts import AFTER_COPYRIGHT, LICENSES, SPELLINGS, STEM
 COPYRIGHT_WORD = r"copyright(ed|able|s?[^\p{L}\p{N}]+(?:" + "|".join(AFTER_COPYRIGHT) + r")(?:[^\p{L}\p{N}]|$))"
 COPYRIGHT_LINE = r"(^|\n)[^\p{L}\p{N}\n(©]*(copyright|\(c\)[^\p{L}\p{N}\n]*(copyright|[0-9]{4}|year|yyyy)|©|all[^\p{L}\p{N}\n]+rights[^\p{L}\p{N}\n]+reserved)[^\n]*"
 BETWEEN_WORDS = r"[^\p{L}\p{M}\p{N}]+"
+#: Links, and marks of lists such as ``1.``, ``(a)`` or ``b)``: printings differ in both.
+LINK = r"https?://[^\s\p{Z}<>()\[\]]+"
+LIST_MARK = r"(^|[\s\p{Z}])\(?([0-9]{1,2}|[a-z])[.)]([\s\p{Z}]|$)"
+#: Whom a licence names where its template says "the copyright holder", between fixed words.
+HOLDERS = (
+    (r"neither the names? of ([^ ]+ ){1,16}?nor the names? of (its |any |other |their )*contributors", "neither the name of holder nor the names of contributors"),
+    (r"provided by ([^ ]+ ){1,16}?as is", "provided by holder as is"),
+    (r"in no event shall ([^ ]+ ){1,16}?be liable", "in no event shall holder be liable"),
+    (r"in no event will ([^ ]+ ){1,16}?be held liable", "in no event will holder be held liable"),
+)
 
 
 def canonical(text: Column) -> Column:
     low = F.lower(text)
     marked = F.contains(low, F.lit("copyright")) | F.contains(low, F.lit("(c)")) | F.contains(low, F.lit("©")) | F.contains(low, F.lit("reserved"))
     kept = F.when(marked, F.regexp_replace(F.regexp_replace(low, COPYRIGHT_WORD, "copy right$1"), COPYRIGHT_LINE, "$1")).otherwise(low)
+    for pattern, by in ((LINK, " "), (LIST_MARK, "$1$3")):
+        kept = F.regexp_replace(kept, pattern, by)
     words = F.trim(F.regexp_replace(kept, BETWEEN_WORDS, " "))
     for a, b in STEMS:
         words = F.replace(words, F.lit(a), F.lit(b))
@@ -41,12 +54,15 @@ def canonical(text: Column) -> Column:
     words = F.concat(F.lit(" "), F.replace(words, F.lit(" "), F.lit("  ")), F.lit(" "))
     for a, b in SPELLINGS:
         words = F.replace(words, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(F.replace(words, F.lit("  "), F.lit(" ")))
+    words = F.trim(F.replace(words, F.lit("  "), F.lit(" ")))
+    for pattern, by in HOLDERS:
+        words = F.regexp_replace(words, pattern, by)
+    return words
 
 
 def printings(texts: dict[str, str]) -> list[tuple[str, str]]:
-    """(name, text) of each text, by itself and under each of its other titles."""
-    return [*texts.items(), *((name, f"{title}\n\n{body}") for name, (body, titles) in TITLED.items() if name in texts for title in titles)]
+    """(name, text) of each text, by itself, without its title, and under each of its others."""
+    return [*texts.items(), *((name, f"{title}\n\n{body}" if title else body) for name, (body, titles) in TITLED.items() if name in texts for title in ("", *titles))]
 
 
 def known_licenses(spark: SparkSession, texts: dict[str, str] = LICENSES) -> DataFrame:
@@ -70,13 +86,17 @@ def op7_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql_form(text: str) -> str:
     kept = rf"regexp_replace(regexp_replace(lower({text}), '{COPYRIGHT_WORD}', 'copy right\1', 'g'), '{COPYRIGHT_LINE}', '\1', 'g')"
+    kept = rf"regexp_replace(regexp_replace({kept}, '{LINK}', ' ', 'g'), '{LIST_MARK}', '\1\3', 'g')"
     words = f"trim(regexp_replace({kept}, '{BETWEEN_WORDS}', ' ', 'g'))"
     for a, b in STEMS:
         words = f"replace({words}, '{a}', '{b}')"
     words = f"' ' || replace({words}, ' ', '  ') || ' '"
     for a, b in SPELLINGS:
         words = f"replace({words}, ' {a} ', ' {b} ')"
-    return f"sha256(trim(replace({words}, '  ', ' ')))"
+    words = f"trim(replace({words}, '  ', ' '))"
+    for pattern, by in HOLDERS:
+        words = f"regexp_replace({words}, '{pattern}', '{by}', 'g')"
+    return f"sha256({words})"
 
 
 _ROWS = ", ".join("('{}', '{}')".format(k.replace("'", "''"), v.replace("'", "''")) for k, v in printings(LICENSES))
