@@ -219,6 +219,58 @@ def assessed(requests: DataFrame, experiences: DataFrame, receipts: DataFrame) -
     return r.withColumn("result", result).drop("__has", "__there", "content")
 
 
+# --- acceptance -------------------------------------------------------------------------
+
+
+def fingerprinted(events: DataFrame, most: int = MOST_EVENTS) -> DataFrame:
+    """(episode_id, fingerprint, events) of what an episode's ordered events say, by which a
+    later commit can tell that nothing has changed. Over ``most`` events there is none."""
+    # rows beyond the first ones past the limit tell nothing more, so that no episode is gathered whole
+    near = events.filter(F.col("ordinal") <= most)
+    said = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(events.columns) if c != "episode_id"]), 256)
+    one = near.groupBy("episode_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", said.alias("said")))), lambda x: x["said"]), "|"), 256).alias("fingerprint"))
+    many = events.groupBy("episode_id").agg(F.count("*").alias("events"))
+    return many.join(one, "episode_id", "left").select("episode_id", F.when(F.col("events") <= most, F.col("fingerprint")).alias("fingerprint"), "events")
+
+
+def proposed(folded: DataFrame, fingerprints: DataFrame, episodes: DataFrame) -> DataFrame:
+    """What acceptance compares, a row an episode: version and status of ``episodes``, the
+    result of its fold, the fingerprint of its input, and a hash of the material proposal.
+    Whatever asks for a review isn't taken automatically."""
+    material = ("outcome", "verification", "strength", "attempts", "supporting")
+    said = F.sha2(F.concat_ws("|", "fingerprint", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in material]), 256)
+    r = episodes.select("episode_id", "version", "status").join(folded, "episode_id", "left").join(fingerprints.select("episode_id", "fingerprint"), "episode_id", "left")
+    return r.withColumn("proposal_hash", said).withColumn("result", F.coalesce("result", F.lit("episode_empty"))).withColumn("automatic", F.coalesce("reviews", F.lit("")) == "")
+
+
+def acceptances(requests: DataFrame, proposals: DataFrame, records: DataFrame) -> DataFrame:
+    """What becomes of each request (seq, episode_id, expected_version, expected_fingerprint,
+    expected_proposal_hash), in order of seq: accepted, by which a record comes about; replayed,
+    if the very proposal is one already; or why not.
+
+    ``records`` (episode_id, experience_id, fingerprint, proposal_hash) are those that exist: an
+    episode has one. Of a batch the first request that could be accepted makes it, so requests
+    of an episode need no fold: those before it fail for their own reason, those behind it meet
+    the record.
+    """
+    have = records.select("episode_id", F.col("experience_id").alias("__id"), F.col("fingerprint").alias("__fp"), F.col("proposal_hash").alias("__hash"))
+    r = requests.join(proposals.select("episode_id", "version", "status", "result", "automatic", "fingerprint", "proposal_hash"), "episode_id", "left").join(have, "episode_id", "left")
+    asks = lambda fp, h: F.col("expected_fingerprint").eqNullSafe(F.col(fp)) & F.col("expected_proposal_hash").eqNullSafe(F.col(h))
+    own = (
+        F.when(F.col("status").isNull(), "episode_not_found").when(~F.col("expected_version").eqNullSafe(F.col("version")), "stale_episode_version").when(~F.col("status").isin("closed", "abandoned"), "episode_not_closed")
+        .when(F.col("result") != "proposal", F.col("result")).when(~F.col("automatic"), "review_required").when(~F.col("expected_fingerprint").eqNullSafe(F.col("fingerprint")), "fingerprint_mismatch")
+        .when(~F.col("expected_proposal_hash").eqNullSafe(F.col("proposal_hash")), "proposal_hash_mismatch").otherwise("accepted")
+    )
+    met = lambda fp, h: F.when(asks(fp, h), "replayed").otherwise("already_consolidated")
+    r = r.withColumn("own", own)
+    first = r.filter("own = 'accepted' AND __id IS NULL").groupBy("episode_id").agg(F.min("seq").alias("__first"))
+    r = r.join(first, "episode_id", "left")
+    outcome = F.when(F.col("__id").isNotNull(), met("__fp", "__hash")).when(F.col("__first").isNull() | (F.col("seq") <= F.col("__first")), F.col("own")).otherwise(met("fingerprint", "proposal_hash"))
+    fresh = F.left(F.sha2(F.concat_ws("|", F.col("episode_id").cast("string"), "fingerprint"), 256), F.lit(32))
+    known = F.when(F.col("outcome").isin("accepted", "replayed"), F.coalesce("__id", fresh))
+    return r.withColumn("outcome", outcome).withColumn("experience_id", known).select("seq", "episode_id", "outcome", "experience_id", "fingerprint", "proposal_hash")
+
+
 # --- episodes ---------------------------------------------------------------------------
 
 

@@ -16,6 +16,7 @@ from tessera.config import DEFAULTS, Settings
 from tessera.functions.columns import path_in_scope, path_score
 from tessera.functions.storage import kept
 from tessera.operators import context as K
+from tessera.operators import experience as X
 from tessera.operators import graph as G
 from tessera.operators import ingest as N
 from tessera.operators import intervals as I
@@ -135,6 +136,36 @@ def reindexed(spark: SparkSession, store: str, scanned: DataFrame, seen: DataFra
     return stores.commit(spark, store, expected, {"documents": stores.Change(new, gone)}, {"documents": stores.Keyed("path")})[0], actions
 
 
+def accepted(spark: SparkSession, folder: str, requests: DataFrame, proposals: Callable[[], DataFrame], evidence: DataFrame, attempts: int = 5) -> DataFrame:
+    """Decides on requests for acceptance and stores the records that come about, sealed, with
+    their evidence (episode_id, event_id, ordinal). Returns what became of each request.
+
+    Proposals are read, and compared with what requests expect, against the very revision
+    that the records are published behind: whoever publishes first wins, and the other
+    decides again, on what is stored then. So retries and restarts give the same record.
+    """
+    for left in reversed(range(attempts)):
+        state = stores.state(spark, folder)
+        records = stores.read(spark, state, "experiences") if "experiences" in state["tables"] else spark.createDataFrame([], f"experience_id string, episode_id {requests.schema['episode_id'].dataType.simpleString()}, fingerprint string, proposal_hash string")
+        decided = kept(X.acceptances(requests, proposals(), records), "acceptances")
+        new = decided.filter("outcome = 'accepted'").select("experience_id", "episode_id", "fingerprint", "proposal_hash").distinct()  # of one seq, several
+        if new.isEmpty():
+            return decided
+
+        def work(now: dict, at: int = state["revision"], new: DataFrame = new) -> tuple[DataFrame, dict[str, DataFrame]]:
+            if now["revision"] != at:
+                raise stores.Conflict("decided on another revision")
+            return new, {"experience_evidence": evidence.join(new.select("episode_id", "experience_id"), "episode_id").select("experience_id", "ordinal", "event_id")}
+
+        try:
+            sinks.sealed(spark, folder, "experiences", "experience_id", work)
+            return decided
+        except stores.Conflict:
+            if not left:
+                raise
+    raise AssertionError
+
+
 def assembled(candidates: DataFrame, key: str, token_budget: int, experiences: DataFrame | None = None, members: DataFrame | None = None, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame | None]:
     """Packets of all requests from their raw candidates, and the history that fits behind
     them. Where there is history its room is kept free first."""

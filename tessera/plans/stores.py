@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.storage import shared_path
+from tessera.plans import assembly as A
 from tessera.sources import store as S
 from tessera.sources import tables as T
 
@@ -49,6 +50,31 @@ def node_registry(spark: SparkSession, d: str) -> DataFrame:
     return columns(first, "first", F.col("holder")).unionByName(columns(second, "second", F.col("holder"))).unionByName(columns(S.read(spark, at, "nodes"), "stored", F.lit(None).cast("long")))
 
 
+def experience_accept(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of orders as requests to accept what their orders propose, in two batches over one
+    store: of each request its outcome, and at last the sealed records with their evidence."""
+    folder = shared_path(spark, "experiences")
+    o, l = T.table(spark, d, "orders"), T.table(spark, d, "lineitem")
+    mark = lambda c: F.sha2(F.concat(F.lit(c), F.col("o_orderkey").cast("string")), 256)
+    status = F.when(F.col("o_orderstatus") == "F", "closed").when(F.col("o_orderstatus") == "O", F.when(F.col("o_orderkey") % 2 == 0, "closed").otherwise("open")).otherwise("abandoned")
+    p = o.select(F.col("o_orderkey").alias("episode_id"), (F.col("o_orderkey") % 3).alias("version"), status.alias("status"), F.when(F.col("o_orderkey") % 11 == 0, "no_supported_failure").otherwise("proposal").alias("result"), (F.col("o_orderkey") % 13 != 0).alias("automatic"), mark("f").alias("fingerprint"), mark("h").alias("proposal_hash"))
+    k, n = F.col("l_orderkey").cast("string"), F.col("l_linenumber")
+    asked = l.select(
+        (F.col("l_orderkey") * 8 + n).alias("seq"), F.when(F.col("l_partkey") % 17 == 0, -F.col("l_orderkey")).otherwise(F.col("l_orderkey")).alias("episode_id"), (F.col("l_orderkey") % 3 + F.when(F.col("l_partkey") % 5 == 0, 1).otherwise(0)).alias("expected_version"),
+        F.sha2(F.concat(F.when(F.col("l_partkey") % 7 == 0, "x").otherwise("f"), k), 256).alias("expected_fingerprint"), F.sha2(F.concat(F.when(F.col("l_suppkey") % 6 == 0, "x").otherwise("h"), k), 256).alias("expected_proposal_hash"), (n % 2).alias("batch"),
+    )
+    evidence = l.select(F.col("l_orderkey").alias("episode_id"), F.col("l_linenumber").cast("long").alias("ordinal"), F.col("l_partkey").alias("event_id"))
+    parts = []
+    for batch in (1, 0):
+        decided = A.accepted(spark, folder, asked.filter(F.col("batch") == batch).drop("batch"), lambda: p, evidence)
+        parts.append(decided.select(F.lit(f"batch {batch}").alias("part"), "seq", "outcome", F.col("episode_id").alias("episode")))
+    at = S.state(spark, folder)
+    sealed = S.read(spark, at, "experiences").join(S.read(spark, at, "experiences_seals"), "experience_id").join(S.read(spark, at, "experience_evidence").groupBy("experience_id").agg(F.count("*").alias("n")), "experience_id", "left")
+    orders = sealed.agg(F.count("*").alias("n"), F.countDistinct("acceptance_order").alias("d"), F.max("acceptance_order").alias("m")).select(F.lit("orders").alias("part"), F.col("n").alias("seq"), F.when((F.col("n") == F.col("d")) & (F.col("n") == F.col("m")), "gapless").otherwise("gaps").alias("outcome"), F.lit(None).cast("long").alias("episode"))
+    parts += [sealed.select(F.lit("sealed").alias("part"), F.col("n").alias("seq"), F.lit("record").alias("outcome"), F.col("episode_id").alias("episode")), orders]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _rounds(n: int) -> str:
     """Documents whose rivals were refused in the round before."""
     out = ""
@@ -67,7 +93,11 @@ b AS (SELECT d, unnest(['file:' || d, 'symbol:' || p_brand || '.' || (p_size + 1
 c0 AS (SELECT b.k, b.d, coalesce(o.d, m.d) AS h FROM b JOIN (SELECT k, min(d) AS d FROM b GROUP BY k) m USING (k) LEFT JOIN (SELECT k, min(d) AS d FROM s1 WHERE d % 3 <> 0 GROUP BY k) o USING (k) WHERE b.d <> coalesce(o.d, m.d)),
 r0 AS (SELECT DISTINCT d FROM c0){_rounds(9)}"""
 
-QUERIES = {f.__name__: f for f in (store_transactions, node_registry)}
+_ACCEPT = """p AS (SELECT o_orderkey AS e, o_orderkey % 3 AS v, CASE WHEN o_orderstatus = 'F' THEN 'closed' WHEN o_orderstatus = 'O' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'closed' ELSE 'open' END ELSE 'abandoned' END AS s, o_orderkey % 11 = 0 AS none, o_orderkey % 13 = 0 AS review FROM orders),
+q AS (SELECT l_orderkey * 8 + l_linenumber AS seq, CASE WHEN l_partkey % 17 = 0 THEN -l_orderkey ELSE l_orderkey END AS e, l_orderkey % 3 + CASE WHEN l_partkey % 5 = 0 THEN 1 ELSE 0 END AS ev, l_partkey % 7 = 0 AS xf, l_suppkey % 6 = 0 AS xh, 1 - l_linenumber % 2 AS b FROM lineitem),
+r AS (SELECT q.*, CASE WHEN s IS NULL THEN 'episode_not_found' WHEN ev <> v THEN 'stale_episode_version' WHEN s = 'open' THEN 'episode_not_closed' WHEN none THEN 'no_supported_failure' WHEN review THEN 'review_required' WHEN xf THEN 'fingerprint_mismatch' WHEN xh THEN 'proposal_hash_mismatch' ELSE 'accepted' END AS own FROM q LEFT JOIN p USING (e)),
+w AS (SELECT e, min((b, seq)) AS first FROM r WHERE own = 'accepted' GROUP BY e)"""
+QUERIES = {f.__name__: f for f in (store_transactions, node_registry, experience_accept)}
 SQL = {
     "store_transactions": """WITH d AS (SELECT doc_id, lang, sha256(text) AS text_hash FROM documents), l AS (SELECT 'labels' AS name, doc_id, quality::VARCHAR AS lang, NULL::VARCHAR AS text_hash FROM labels),
 e AS (SELECT 'documents' AS name, doc_id, CASE WHEN doc_id % 40 = 7 THEN 'changed' ELSE lang END AS lang, text_hash FROM d WHERE doc_id % 40 <> 9)
@@ -75,4 +105,7 @@ SELECT 'documents' AS name, doc_id, lang, text_hash, 1::BIGINT AS revision FROM
     "node_registry": f"""WITH {_REGISTRY}
 SELECT 'first' AS part, k AS stable_key, d AS document_id, h AS holder FROM first UNION ALL {" UNION ALL ".join(f"SELECT 'second', k, d, h FROM c{i}" for i in range(9))}
 UNION ALL SELECT 'stored', k, d, NULL FROM s1 WHERE d % 3 <> 0 OR d IN (SELECT d FROM r8) UNION ALL SELECT 'stored', k, d, NULL FROM b WHERE d NOT IN (SELECT d FROM r8)""",
+    "experience_accept": f"""WITH {_ACCEPT}
+SELECT CASE b WHEN 0 THEN 'batch 1' ELSE 'batch 0' END AS part, seq, CASE WHEN first IS NULL OR (b, seq) <= first THEN own WHEN xf OR xh THEN 'already_consolidated' ELSE 'replayed' END AS outcome, e AS episode FROM r LEFT JOIN w USING (e)
+UNION ALL SELECT 'sealed', (SELECT count(*) FROM lineitem WHERE l_orderkey = e), 'record', e FROM w UNION ALL SELECT 'orders', (SELECT count(*) FROM w), 'gapless', NULL""",
 }

@@ -64,6 +64,33 @@ def sequenced(events: DataFrame, start: int, *order: str) -> DataFrame:
     return inside.join(starts, "__p").withColumn("ingress_seq", F.col("__from") + F.col("__i") + start).drop("__p", "__i", "__n", "__from")
 
 
+def sealed(spark: SparkSession, folder: str, name: str, key: str, work: Callable[[dict], tuple[DataFrame, dict[str, DataFrame]]], buckets: int = 64) -> dict:
+    """Appends headers with their children and the seals that make them count, as one
+    transaction over all these tables: ``name``, those of the children, and ``name``_seals.
+
+    ``work`` makes of a state the headers and, by table, the children; it is asked again if
+    another writer was first. Headers whose key is sealed already are left alone, with their
+    children; a child without a header in the append goes nowhere. A seal has the order in
+    which its header was accepted, without gaps over all appends. A run that dies at any step
+    shows nothing of its own, and ``store.vacuum`` sweeps what it staged.
+    """
+    seals = f"{name}_seals"
+
+    def changes(state: dict) -> dict[str, store.Change]:
+        headers, children = work(state)
+        done = store.read(spark, state, seals) if seals in state["tables"] else None
+        headers = kept(headers if done is None else headers.join(done.select(key), key, "left_anti"), "sealed")
+        last = 0 if done is None else done.agg(F.max("acceptance_order")).first()[0] or 0
+        order = sequenced(headers.select(key).distinct(), last, key).select(key, F.col("ingress_seq").alias("acceptance_order"))
+        parts = {child: rows.join(headers.select(key).distinct(), key, "left_semi") for child, rows in children.items()}
+        return {name: store.Change(headers), seals: store.Change(order), **{c: store.Change(rows) for c, rows in parts.items()}}
+
+    keyed = store.Keyed(key, buckets)
+    state = store.state(spark, folder)
+    names = [name, seals, *work(state)[1]]
+    return store.transact(spark, folder, changes, dict.fromkeys(names, keyed))[0]
+
+
 def delivered(requests: DataFrame, receipts: DataFrame, keys: list[str], content: str) -> DataFrame:
     """``requests`` with what becomes of each: new, replayed (same content under a known
     key, or earlier in this batch), or conflict (another content under it)."""
