@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.storage import shared_path
 from tessera.plans import assembly as A
+from tessera.plans import resolution as R
 from tessera.sources import store as S
 from tessera.sources import tables as T
 
@@ -75,6 +76,23 @@ def experience_accept(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def incremental_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as documents of a node and a fact each: all of them, then some renamed, some gone,
+    and outcomes that follow, those of untouched documents among them."""
+    folder, p = shared_path(spark, "resolution"), T.table(spark, d, "part")
+    k = F.col("p_partkey").cast("string")
+
+    def nodes(parts: DataFrame, name: str) -> DataFrame:
+        return parts.select(F.concat(F.lit("n"), k).alias("node_id"), F.concat(F.lit("part:"), k).alias("stable_key"), F.concat(F.lit("pkg."), F.expr(name), F.lit("."), k).alias("qualified_name"), F.expr(name).alias("name"), F.col("p_partkey").alias("document_id"))
+
+    target = F.expr("CASE p_partkey % 4 WHEN 0 THEN concat('part:', p_partkey + 1) WHEN 1 THEN concat(p_brand, p_size) WHEN 2 THEN concat('pkg.', p_brand, p_size, '.', p_partkey - 1) ELSE concat('new', p_size) END")
+    facts = p.select(F.concat(F.lit("f"), k).alias("fact_id"), target.alias("target"), F.col("p_partkey").alias("document_id"), F.lit("x").alias("container"))
+    R.update(spark, folder, p.select(F.col("p_partkey").alias("document_id")), nodes(p, "concat(p_brand, p_size)"), facts, 16)
+    changed = p.filter("p_partkey % 40 IN (3, 5, 9)")
+    at = R.update(spark, folder, changed.select(F.col("p_partkey").alias("document_id")), nodes(changed.filter("p_partkey % 40 <> 9"), "concat('new', p_size)"), facts.filter("document_id % 40 IN (3, 5)"), 16)
+    return S.read(spark, at, "outcomes").select("fact_id", "state", "basis", "node_id", "candidates")
+
+
 def _rounds(n: int) -> str:
     """Documents whose rivals were refused in the round before."""
     out = ""
@@ -97,7 +115,7 @@ _ACCEPT = """p AS (SELECT o_orderkey AS e, o_orderkey % 3 AS v, CASE WHEN o_orde
 q AS (SELECT l_orderkey * 8 + l_linenumber AS seq, CASE WHEN l_partkey % 17 = 0 THEN -l_orderkey ELSE l_orderkey END AS e, l_orderkey % 3 + CASE WHEN l_partkey % 5 = 0 THEN 1 ELSE 0 END AS ev, l_partkey % 7 = 0 AS xf, l_suppkey % 6 = 0 AS xh, 1 - l_linenumber % 2 AS b FROM lineitem),
 r AS (SELECT q.*, CASE WHEN s IS NULL THEN 'episode_not_found' WHEN ev <> v THEN 'stale_episode_version' WHEN s = 'open' THEN 'episode_not_closed' WHEN none THEN 'no_supported_failure' WHEN review THEN 'review_required' WHEN xf THEN 'fingerprint_mismatch' WHEN xh THEN 'proposal_hash_mismatch' ELSE 'accepted' END AS own FROM q LEFT JOIN p USING (e)),
 w AS (SELECT e, min((b, seq)) AS first FROM r WHERE own = 'accepted' GROUP BY e)"""
-QUERIES = {f.__name__: f for f in (store_transactions, node_registry, experience_accept)}
+QUERIES = {f.__name__: f for f in (store_transactions, node_registry, experience_accept, incremental_resolution)}
 SQL = {
     "store_transactions": """WITH d AS (SELECT doc_id, lang, sha256(text) AS text_hash FROM documents), l AS (SELECT 'labels' AS name, doc_id, quality::VARCHAR AS lang, NULL::VARCHAR AS text_hash FROM labels),
 e AS (SELECT 'documents' AS name, doc_id, CASE WHEN doc_id % 40 = 7 THEN 'changed' ELSE lang END AS lang, text_hash FROM d WHERE doc_id % 40 <> 9)
@@ -108,4 +126,9 @@ UNION ALL SELECT 'stored', k, d, NULL FROM s1 WHERE d % 3 <> 0 OR d IN (SELECT d
     "experience_accept": f"""WITH {_ACCEPT}
 SELECT CASE b WHEN 0 THEN 'batch 1' ELSE 'batch 0' END AS part, seq, CASE WHEN first IS NULL OR (b, seq) <= first THEN own WHEN xf OR xh THEN 'already_consolidated' ELSE 'replayed' END AS outcome, e AS episode FROM r LEFT JOIN w USING (e)
 UNION ALL SELECT 'sealed', (SELECT count(*) FROM lineitem WHERE l_orderkey = e), 'record', e FROM w UNION ALL SELECT 'orders', (SELECT count(*) FROM w), 'gapless', NULL""",
+    "incremental_resolution": """WITH n AS (SELECT 'n' || p_partkey AS id, p_partkey AS d, 'part:' || p_partkey AS key, CASE WHEN p_partkey % 40 IN (3, 5) THEN 'new' || p_size ELSE p_brand || p_size END AS name FROM part WHERE p_partkey % 40 <> 9),
+f AS (SELECT p_partkey AS d, CASE p_partkey % 4 WHEN 0 THEN 'part:' || (p_partkey + 1) WHEN 1 THEN p_brand || p_size WHEN 2 THEN 'pkg.' || p_brand || p_size || '.' || (p_partkey - 1) ELSE 'new' || p_size END AS t FROM part WHERE p_partkey % 40 <> 9),
+c AS (SELECT f.d, 0 AS tier, id FROM f JOIN n ON t = key UNION ALL SELECT f.d, 3, id FROM f JOIN n ON t = 'pkg.' || name || '.' || n.d UNION ALL SELECT f.d, CASE WHEN f.d = n.d THEN 4 ELSE 5 END, id FROM f JOIN n ON t = name WHERE NOT contains(t, '.') AND NOT contains(t, '::')),
+b AS (SELECT d, min(tier) AS tier FROM c GROUP BY d), g AS (SELECT d, tier, count(*) AS n, min(id) AS id FROM c JOIN b USING (d, tier) GROUP BY ALL)
+SELECT 'f' || d AS fact_id, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS state, ['stable_key', 'alias', 'container', 'qualified_name', 'source_document', 'workspace_name'][tier + 1] AS basis, CASE WHEN n = 1 THEN id END AS node_id, coalesce(n, 0) AS candidates FROM f LEFT JOIN g USING (d)""",
 }
