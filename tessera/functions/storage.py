@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
@@ -20,6 +21,13 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def counted(df: DataFrame, what: str) -> tuple[DataFrame, int]:
+    """``kept``, and how many rows that wrote, by the same job."""
+    seen = Observation()
+    out = kept(df.observe(seen, F.count(F.lit(1)).alias("rows")), what)
+    return out, seen.get["rows"]
+
+
 def kept(df: DataFrame, what: str) -> DataFrame:
     """``df`` written once and read again, so that loops don't grow their lineage."""
     path = shared_path(df.sparkSession, what)

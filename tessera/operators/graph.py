@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.storage import kept
+from tessera.functions.storage import counted, kept
 
 MOST_NODES, MOST_EDGES, MOST_DEPTH = 1000, 5000, 8
 IMPACT_EDGES = ("calls", "references", "uses_type", "constructs", "implements", "extends", "overrides", "tests", "imports", "depends_on")
@@ -82,12 +82,19 @@ def one_hop(edges: DataFrame, nodes: DataFrame, start: DataFrame, hop: str, limi
 
 
 def traverse(edges: DataFrame, nodes: DataFrame, start: DataFrame, direction: str, types: tuple[str, ...] | None, max_nodes: int = 50, max_edges: int = 100, max_depth: int = 2, contains_from_files: bool = False) -> DataFrame:
-    """Breadth-first: node_id, depth, ord, path, edge_types, confidence of each node found.
+    """``traversed`` without its flag."""
+    return traversed(edges, nodes, start, direction, types, max_nodes, max_edges, max_depth, contains_from_files)[0]
+
+
+def traversed(edges: DataFrame, nodes: DataFrame, start: DataFrame, direction: str, types: tuple[str, ...] | None, max_nodes: int = 50, max_edges: int = 100, max_depth: int = 2, contains_from_files: bool = False) -> tuple[DataFrame, bool]:
+    """Breadth-first: node_id, depth, ord, path, edge_types, confidence of each node found; and
+    whether a bound on nodes or edges may have cut the answer short (the depth cuts nothing: it
+    is what was asked for).
 
     A node belongs to its first discovery, in order of the parent's discovery, edge type
     and edge id; dangling ends are visited but not returned. Edges are taken in the same
-    order up to ``max_edges`` in all. With ``contains_from_files`` files also lead on to
-    what they contain in the first step.
+    order up to ``max_edges`` in all; a level asks for one more than it may take. With
+    ``contains_from_files`` files also lead on to what they contain in the first step.
     """
     max_nodes, max_edges, max_depth = bounds(max_nodes, max_edges, max_depth)
     step = directed(edges, direction, types)
@@ -97,30 +104,36 @@ def traverse(edges: DataFrame, nodes: DataFrame, start: DataFrame, direction: st
     ).limit(max_nodes)
     visited = frontier.select("at")
     found = frontier
-    used, edges_used = frontier.count(), 0
+    used, edges_used, truncated = frontier.count(), 0, False
     for depth in range(1, max_depth + 1):
         reach = frontier.join(step, "at")
         if depth == 1 and contains_from_files:
             files = nodes.filter("node_type = 'file'").select(F.col("node_id").alias("at"))
             reach = reach.unionByName(frontier.join(files, "at").join(directed(edges, "out", ("contains",)), "at"))
         # the edges are read once a level; what follows works on ``max_edges`` rows at most
-        reach = kept(reach.withColumn("order", F.struct("ord", "edge_type", "edge_id")).orderBy("order").limit(max_edges - edges_used), "reach")
-        edges_used += reach.count()
+        left = max_edges - edges_used
+        reach, n = counted(reach.withColumn("order", F.struct("ord", "edge_type", "edge_id")).orderBy("order").limit(left + 1), "reach")
+        if n > left:
+            reach, n, truncated = reach.orderBy("order").limit(left), left, True
+        edges_used += n
         new = reach.join(visited.withColumnRenamed("at", "next"), "next", "left_anti")
         first = new.groupBy("next").agg(F.min_by(F.struct("path", "types", "conf", "edge_type", "confidence", "order"), "order").alias("b"))
         rows = first.select("next", "b.*").select(
             F.col("next").alias("at"), F.lit(depth).alias("depth"), "order",
             F.concat("path", F.array("next")).alias("path"), F.concat("types", F.array("edge_type")).alias("types"), F.least(F.lit(1.0), F.col("conf") * F.col("confidence")).alias("conf"),
         )
-        known = rows.join(exists.withColumnRenamed("next", "at"), "at", "left_semi").orderBy("order").limit(max_nodes - used)
-        frontier = kept(known.withColumn("ord", F.row_number().over(Window.orderBy("order")).cast("int")).select("at", "depth", "ord", "path", "types", "conf"), "frontier")
-        n = frontier.count()
+        known = rows.join(exists.withColumnRenamed("next", "at"), "at", "left_semi").orderBy("order").limit(max_nodes - used + 1)
+        frontier, n = counted(known.withColumn("ord", F.row_number().over(Window.orderBy("order")).cast("int")).select("at", "depth", "ord", "path", "types", "conf"), "frontier")
+        if n > max_nodes - used:
+            n, truncated = max_nodes - used, True
+            frontier = frontier.filter(F.col("ord") <= n)
         visited = visited.union(rows.select("at"))
         found = found.unionByName(frontier)
         used += n
         if not n or used >= max_nodes or edges_used >= max_edges:
+            truncated = truncated or bool(n) and depth < max_depth  # what was found last might have led on
             break
-    return found.select(F.col("at").alias("node_id"), "depth", "ord", "path", F.col("types").alias("edge_types"), F.col("conf").alias("confidence"))
+    return found.select(F.col("at").alias("node_id"), "depth", "ord", "path", F.col("types").alias("edge_types"), F.col("conf").alias("confidence")), truncated
 
 
 def impact(edges: DataFrame, nodes: DataFrame, start: DataFrame, max_nodes: int = 50, max_edges: int = 100, max_depth: int = 2) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from tessera.config import DEFAULTS, Settings
 from tessera.functions.columns import path_in_scope, path_score
+from tessera.functions.metrics import Counters
 from tessera.functions.storage import kept
 from tessera.operators import context as K
 from tessera.operators import experience as X
@@ -109,30 +110,35 @@ def resume_context(sessions: DataFrame, tasks: DataFrame, checkpoints: DataFrame
     )
 
 
-def reindexed(spark: SparkSession, store: str, scanned: DataFrame, seen: DataFrame, work: Callable[[dict], dict], schema: str, expected: int) -> tuple[dict, DataFrame]:
+def reindexed(spark: SparkSession, store: str, scanned: DataFrame, seen: DataFrame, work: Callable[[dict], dict], schema: str, expected: int, counters: Counters | None = None) -> tuple[dict, DataFrame]:
     """Brings the ``documents`` of a store to what a scan found, and publishes that.
 
     ``scanned``: path, content and content_hash. Texts whose hash is stored need no work;
     ``work`` (a function of one row's dict, giving the columns of ``schema``) runs on each
     of the others alone, and one that fails keeps what is stored of it. Documents that
     ``seen``, a second look at the paths, no longer has are removed. Returns the manifest
-    and (path, action, error): added, modified, unchanged, failed or removed.
+    and (path, action, error): added, modified, unchanged, failed or removed. ``counters`` take
+    what was worked on, what failed, what was written, and how many of each action.
     """
+    watch = counters.watch if counters else lambda df, stage, **metrics: df
     state = sinks.manifest(spark, store)
     old = sinks.read(spark, state, "documents") if "documents" in state["tables"] else None
     known = scanned.limit(0).select("path", F.col("content_hash").alias("__old")) if old is None else old.select("path", F.col("content_hash").alias("__old"))
     both = scanned.join(known, "path", "left")
     same = F.col("__old").eqNullSafe(F.col("content_hash"))
     todo = both.filter(~same).select("path", "content", "content_hash")
-    done = kept(changes.isolated(todo, lambda row: {"path": row["path"], "content_hash": row["content_hash"], **work(row)}, f"path string, content_hash string, {schema}"), "reindexed")
+    worked = changes.isolated(todo, lambda row: {"path": row["path"], "content_hash": row["content_hash"], **work(row)}, f"path string, content_hash string, {schema}")
+    one = lambda c: F.count(F.when(c, 1))
+    done = kept(watch(worked, "work", read=F.count(F.lit(1)), failed=one(F.col("status") == "failed"), done=one(F.col("status") == "done")), "reindexed")
     # a failed row has no columns of its own, so failures are what is not done
     good = done.filter("status = 'done'").drop("status", "error")
     failed = kept(todo.select("path").join(good.select("path"), "path", "left_anti"), "reindex-failed")
     gone = N.removed(known.select("path"), seen, failed)
     actions = both.select("path", F.when(same, "unchanged").when(F.col("__old").isNull(), "added").otherwise("modified").alias("action"))
     actions = actions.join(failed.withColumn("__failed", F.lit(True)), "path", "left").select("path", F.when(F.col("__failed"), "failed").otherwise(F.col("action")).alias("action"))
-    actions = kept(actions.unionByName(gone.select("path", F.lit("removed").alias("action"))), "reindex-actions")
-    new = good if old is None else good.select(*old.columns)
+    names = ("added", "modified", "unchanged", "failed", "removed")
+    actions = kept(watch(actions.unionByName(gone.select("path", F.lit("removed").alias("action"))), "actions", **{a: one(F.col("action") == a) for a in names}), "reindex-actions")
+    new = watch(good if old is None else good.select(*old.columns), "store", written=F.count(F.lit(1)))
     return stores.commit(spark, store, expected, {"documents": stores.Change(new, gone)}, {"documents": stores.Keyed("path")})[0], actions
 
 

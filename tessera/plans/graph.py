@@ -59,6 +59,15 @@ def graph_bfs(spark: SparkSession, d: str) -> DataFrame:
     return found.select("node_id", F.col("depth").cast("long").alias("depth"), F.array_join("path", ">").alias("path"), F.round("confidence", 6).alias("confidence"))
 
 
+def graph_truncation(spark: SparkSession, d: str) -> DataFrame:
+    """Whether answers under several bounds are whole, and how many nodes they have."""
+    rows = []
+    for seed, nodes, edges, depth in (("r1", 1000, 5000, 1), ("r1", 3, 5000, 1), ("r1", 1000, 2, 1), ("r1", 6, 5000, 1), ("n1", 1000, 5000, 1), ("n1", 2, 5000, 2), ("p1", 1, 1, 8)):
+        found, truncated = G.traversed(*_graph(spark, d), _start(spark, seed), "out", ("contains", "calls"), nodes, edges, depth)
+        rows.append((seed, nodes, edges, depth, found.count(), truncated))
+    return spark.createDataFrame(rows, "seed string, max_nodes long, max_edges long, max_depth long, nodes long, truncated boolean")
+
+
 def graph_impact(spark: SparkSession, d: str) -> DataFrame:
     found = G.impact(*_graph(spark, d), _start(spark, "p7"), 1000, 5000, 2)
     return found.select("node_id", F.col("depth").cast("long").alias("depth"), F.round("confidence", 6).alias("confidence"))
@@ -145,7 +154,7 @@ l{d}o AS (SELECT *, row_number() OVER (ORDER BY o) AS ord FROM l{d}), v{d} AS (S
 QUERIES = {
     f.__name__: f
     for f in (
-        graph_find, graph_seeds, graph_callers, graph_callees, graph_dependencies, graph_dependents, graph_neighbors, graph_bfs, graph_impact, path_score, intent_classes,
+        graph_find, graph_seeds, graph_callers, graph_callees, graph_dependencies, graph_dependents, graph_neighbors, graph_bfs, graph_truncation, graph_impact, path_score, intent_classes,
         supersession_chain, supersession_cycles, resolve_tiers, affected_set, projection_counts, edge_projection, repair_plan,
     )
 }
@@ -162,6 +171,9 @@ SELECT query_id::BIGINT AS query_id, node_id, row_number() OVER (PARTITION BY qu
     "graph_bfs": f"""WITH {_EDGES}, l0o AS (SELECT 'r1' AS node, 0 AS depth, 'r1' AS path, 1.0::DOUBLE AS c, 1::BIGINT AS ord), v0 AS (SELECT 'r1' AS node), {", ".join(_LEVEL.format(d=d, p=d - 1) for d in (1, 2, 3))},
 u AS (SELECT node, depth, path, c, ord FROM l0o UNION ALL SELECT node, depth, path, c, ord FROM l1o UNION ALL SELECT node, depth, path, c, ord FROM l2o UNION ALL SELECT node, depth, path, c, ord FROM l3o)
 SELECT node AS node_id, depth::BIGINT AS depth, path, round(c, 6) AS confidence FROM u QUALIFY row_number() OVER (ORDER BY u.depth, ord) <= 1000""",
+    "graph_truncation": """WITH c AS (SELECT (SELECT count(*) FROM nation WHERE n_regionkey = 1) AS n, (SELECT count(*) FROM supplier WHERE s_nationkey = 1) AS s)
+SELECT unnest(['r1', 'r1', 'r1', 'r1', 'n1', 'n1', 'p1']) AS seed, unnest([1000, 3, 1000, 6, 1000, 2, 1])::BIGINT AS max_nodes, unnest([5000, 5000, 2, 5000, 5000, 5000, 1])::BIGINT AS max_edges, unnest([1, 1, 1, 1, 1, 2, 8])::BIGINT AS max_depth,
+unnest([n + 1, least(n, 2) + 1, least(n, 2) + 1, least(n, 5) + 1, s + 1, least(s, 1) + 1, 1]) AS nodes, unnest([false, n > 2, n > 2, n > 5, false, s > 0, false]) AS truncated FROM c""",
     "graph_impact": f"""WITH {_EDGES}, a AS (SELECT f AS node, 1 AS depth, max(w) AS c FROM edges WHERE t = 'p7' AND k = 'calls' GROUP BY f), b AS (SELECT e.f AS node, 2 AS depth, arg_min(least(1, c * w), (a.node, e.id)) AS c FROM a JOIN edges e ON e.t = a.node WHERE e.k IN ('calls', 'depends_on') AND e.f NOT IN (SELECT node FROM a) GROUP BY e.f)
 SELECT node AS node_id, depth::BIGINT AS depth, round(c, 6) AS confidence FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""",
     "path_score": f"""WITH {_EDGES}, l0o AS (SELECT node, 0 AS depth, node AS path, 1.0::DOUBLE AS c, ord FROM (VALUES ('n1', 1::BIGINT), ('n2', 2)) AS t(node, ord)), v0 AS (SELECT node FROM l0o), {", ".join(_LEVEL.format(d=d, p=d - 1) for d in (1, 2))},

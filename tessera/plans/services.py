@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import columns as C
+from tessera.functions.metrics import Counters
 from tessera.functions.storage import kept, shared_path
 from tessera.operators import experience as X
 from tessera.operators import filters as P
@@ -25,6 +26,19 @@ from tessera.streaming import changes as H
 
 def reindex_flow(spark: SparkSession, d: str) -> DataFrame:
     """A second scan of a store: some files are new, changed, unreadable or gone."""
+    state, actions = _reindexed(spark, d)
+    now = S.read(spark, state, "documents").select("path", F.col("content_hash").alias("stored_hash"), "size")
+    return actions.join(now, "path", "left").select("path", "action", "stored_hash", "size")
+
+
+def process_counters(spark: SparkSession, d: str) -> DataFrame:
+    """What both scans of ``reindex_flow`` counted as they ran."""
+    counters = Counters()
+    _reindexed(spark, d, counters)
+    return counters.table(spark)
+
+
+def _reindexed(spark: SparkSession, d: str, counters: Counters | None = None) -> tuple[dict, DataFrame]:
     store, docs = shared_path(spark, "store"), T.table(spark, d, "documents").withColumn("path", F.concat_ws("/", "source", "doc_id"))
     hashed = docs.select("path", F.col("text").alias("content"), F.sha2("text", 256).alias("content_hash"), "doc_id")
     work = lambda row: {"size": len(row["content"])}
@@ -35,11 +49,9 @@ def reindex_flow(spark: SparkSession, d: str) -> DataFrame:
         return work(row)
 
     first = hashed.filter("doc_id % 10 <> 0").withColumn("content_hash", F.when(F.col("doc_id") % 7 == 0, "old").otherwise(F.col("content_hash")))
-    A.reindexed(spark, store, first, first.select("path"), work, "size long", 0)
+    A.reindexed(spark, store, first, first.select("path"), work, "size long", 0, counters)
     second = hashed.filter("doc_id % 13 <> 5")
-    state, actions = A.reindexed(spark, store, second, second.select("path"), failing, "size long", 1)
-    now = S.read(spark, state, "documents").select("path", F.col("content_hash").alias("stored_hash"), "size")
-    return actions.join(now, "path", "left").select("path", "action", "stored_hash", "size")
+    return A.reindexed(spark, store, second, second.select("path"), failing, "size long", 1, counters)
 
 
 def _arms(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -314,15 +326,18 @@ z AS (SELECT id, list_filter([{'r': 'container', 'o': box}, {'r': 'neighbor', 'o
 QUERIES = {
     f.__name__: f
     for f in (
-        reindex_flow, candidate_pool, assembled_context, resume_context, structural_expansion, assessment_review, memory_record, checkpoints_created, checkpoint_latest, pins, trust_reviews, episode_requests, newline_counts, truncated_texts, json_flags,
+        reindex_flow, process_counters, candidate_pool, assembled_context, resume_context, structural_expansion, assessment_review, memory_record, checkpoints_created, checkpoint_latest, pins, trust_reviews, episode_requests, newline_counts, truncated_texts, json_flags,
         normalized_paths, structural_token_lists, graph_freshness, replaced_documents, imported_evidence, snapshot_publish, scope_rules, task_filter, trusted_memories, recent_window, exists_probe, session_scope, overflow_batches, isolated_rows,
         activation_updates, vector_codec, segmentation_names, adaptive_segments, workspace_totals,
     )
 }
+_REINDEX = """b AS (SELECT doc_id, source || '/' || doc_id AS path, sha256(text) AS h, length(text) AS n, doc_id % 10 <> 0 AS was, doc_id % 13 <> 5 AS now, doc_id % 7 = 0 AS old, doc_id % 11 = 3 AS bad FROM documents),
+a AS (SELECT *, CASE WHEN NOT now THEN 'removed' WHEN was AND NOT old THEN 'unchanged' WHEN bad THEN 'failed' WHEN was THEN 'modified' ELSE 'added' END AS action FROM b WHERE now OR was)"""
 SQL = {
-    "reindex_flow": """WITH b AS (SELECT doc_id, source || '/' || doc_id AS path, sha256(text) AS h, length(text) AS n, doc_id % 10 <> 0 AS was, doc_id % 13 <> 5 AS now, doc_id % 7 = 0 AS old, doc_id % 11 = 3 AS bad FROM documents),
-a AS (SELECT *, CASE WHEN NOT now THEN 'removed' WHEN was AND NOT old THEN 'unchanged' WHEN bad THEN 'failed' WHEN was THEN 'modified' ELSE 'added' END AS action FROM b WHERE now OR was)
-SELECT path, action, CASE WHEN action = 'removed' OR (action = 'failed' AND NOT was) THEN NULL WHEN action = 'failed' THEN 'old' ELSE h END AS stored_hash, CASE WHEN action = 'removed' OR (action = 'failed' AND NOT was) THEN NULL ELSE n END AS size FROM a""",
+    "reindex_flow": f"""WITH {_REINDEX} SELECT path, action, CASE WHEN action = 'removed' OR (action = 'failed' AND NOT was) THEN NULL WHEN action = 'failed' THEN 'old' ELSE h END AS stored_hash, CASE WHEN action = 'removed' OR (action = 'failed' AND NOT was) THEN NULL ELSE n END AS size FROM a""",
+    "process_counters": f"""WITH {_REINDEX}, n AS (SELECT count(*) FILTER (was) AS w, count(*) FILTER (action IN ('added', 'modified', 'failed')) AS r, count(*) FILTER (action = 'failed') AS f, count(*) FILTER (action = 'added') AS a, count(*) FILTER (action = 'modified') AS m,
+count(*) FILTER (action = 'unchanged') AS u, count(*) FILTER (action = 'removed') AS x FROM (SELECT * FROM b LEFT JOIN (SELECT doc_id, action FROM a) USING (doc_id)))
+SELECT unnest(['work', 'work', 'work', 'store', 'actions', 'actions', 'actions', 'actions', 'actions']) AS stage, unnest(['read', 'failed', 'done', 'written', 'added', 'modified', 'unchanged', 'failed', 'removed']) AS metric, unnest([w + r, f, w + r - f, w + r - f, w + a, m, u, f, x]) AS value FROM n""",
     "candidate_pool": f"WITH {_POOL} SELECT request, source_type, source_id, array_to_string(reasons, ',') AS reasons, ['historical', 'recent', 'current'][fp] AS freshness, round(final, 6) AS final FROM n JOIN w USING (request) WHERE CASE WHEN NOT has AND spare IS NOT NULL AND last IS NOT NULL THEN (n <= 50 AND n <> last) OR n = spare ELSE n <= 50 END",
     "assembled_context": "SELECT DISTINCT o_custkey AS request, true AS within, true AS filled FROM orders",
     "resume_context": f"WITH {_RESUME} SELECT owner, 'memory' AS part, id::VARCHAR AS id, rank FROM mm WHERE rank <= 2 UNION ALL SELECT owner, 'event', event_id::VARCHAR, rank FROM ev UNION ALL SELECT owner, 'path', path, rank FROM pa WHERE rank <= 2",

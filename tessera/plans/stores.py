@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.storage import shared_path
 from tessera.plans import assembly as A
 from tessera.plans import resolution as R
+from tessera.sources import sinks as N
 from tessera.sources import store as S
 from tessera.sources import tables as T
 
@@ -93,6 +94,24 @@ def incremental_resolution(spark: SparkSession, d: str) -> DataFrame:
     return S.read(spark, at, "outcomes").select("fact_id", "state", "basis", "node_id", "candidates")
 
 
+def workspace_deregistered(spark: SparkSession, d: str) -> DataFrame:
+    """A source of documents as a workspace that is planned to go, and goes: rows of each table
+    and source that are left, and what became of each try."""
+    folder = shared_path(spark, "deregistered")
+    docs = T.table(spark, d, "documents").select("doc_id", F.col("source").alias("workspace_id"), F.length("text").alias("chars"))
+    labels, vectors = T.table(spark, d, "labels"), T.table(spark, d, "embeddings").select("vec_id", "label")
+    S.commit(spark, folder, 0, {"documents": S.Change(docs), "labels": S.Change(labels), "vectors": vectors}, {"documents": S.Keyed("doc_id", 16), "labels": S.Keyed("doc_id", 16)})
+    members = {"documents": N.Member(), "labels": N.Member("doc_id", "documents", "doc_id"), "vectors": N.Member("vec_id", "documents", "doc_id")}
+    stale, plan = (N.plan_deregistration(spark, folder, members, w, 1000.0) for w in ("src3", "src2"))
+    S.transact(spark, folder, lambda at: {"documents": S.Change(docs.filter("workspace_id = 'src3'").withColumn("chars", F.col("chars") + 1))})
+    tries = [(plan, "src1", 1000.0), (plan, "src2", 1300.0), ("other", "src2", 1000.0), (stale, "src3", 1000.0), (plan, "src2", 1299.0), (plan, "src2", 1000.0)]
+    said = [(f"try {i}", N.deregister(spark, folder, members, p, w, now), 0) for i, (p, w, now) in enumerate(tries)]
+    at = S.state(spark, folder)
+    source = docs.select(F.col("doc_id").alias("id"), "workspace_id")
+    parts = [S.read(spark, at, n).select(F.col(c).alias("id")).join(source, "id", "left").groupBy(F.lit(n).alias("name"), F.coalesce("workspace_id", F.lit("none")).alias("said")).agg(F.count("*").alias("rows")) for n, c in (("documents", "doc_id"), ("labels", "doc_id"), ("vectors", "vec_id"))]
+    return reduce(DataFrame.unionByName, [spark.createDataFrame(said, "name string, said string, rows long"), *parts])
+
+
 def _rounds(n: int) -> str:
     """Documents whose rivals were refused in the round before."""
     out = ""
@@ -115,7 +134,7 @@ _ACCEPT = """p AS (SELECT o_orderkey AS e, o_orderkey % 3 AS v, CASE WHEN o_orde
 q AS (SELECT l_orderkey * 8 + l_linenumber AS seq, CASE WHEN l_partkey % 17 = 0 THEN -l_orderkey ELSE l_orderkey END AS e, l_orderkey % 3 + CASE WHEN l_partkey % 5 = 0 THEN 1 ELSE 0 END AS ev, l_partkey % 7 = 0 AS xf, l_suppkey % 6 = 0 AS xh, 1 - l_linenumber % 2 AS b FROM lineitem),
 r AS (SELECT q.*, CASE WHEN s IS NULL THEN 'episode_not_found' WHEN ev <> v THEN 'stale_episode_version' WHEN s = 'open' THEN 'episode_not_closed' WHEN none THEN 'no_supported_failure' WHEN review THEN 'review_required' WHEN xf THEN 'fingerprint_mismatch' WHEN xh THEN 'proposal_hash_mismatch' ELSE 'accepted' END AS own FROM q LEFT JOIN p USING (e)),
 w AS (SELECT e, min((b, seq)) AS first FROM r WHERE own = 'accepted' GROUP BY e)"""
-QUERIES = {f.__name__: f for f in (store_transactions, node_registry, experience_accept, incremental_resolution)}
+QUERIES = {f.__name__: f for f in (store_transactions, node_registry, experience_accept, incremental_resolution, workspace_deregistered)}
 SQL = {
     "store_transactions": """WITH d AS (SELECT doc_id, lang, sha256(text) AS text_hash FROM documents), l AS (SELECT 'labels' AS name, doc_id, quality::VARCHAR AS lang, NULL::VARCHAR AS text_hash FROM labels),
 e AS (SELECT 'documents' AS name, doc_id, CASE WHEN doc_id % 40 = 7 THEN 'changed' ELSE lang END AS lang, text_hash FROM d WHERE doc_id % 40 <> 9)
@@ -131,4 +150,7 @@ f AS (SELECT p_partkey AS d, CASE p_partkey % 4 WHEN 0 THEN 'part:' || (p_partke
 c AS (SELECT f.d, 0 AS tier, id FROM f JOIN n ON t = key UNION ALL SELECT f.d, 3, id FROM f JOIN n ON t = 'pkg.' || name || '.' || n.d UNION ALL SELECT f.d, CASE WHEN f.d = n.d THEN 4 ELSE 5 END, id FROM f JOIN n ON t = name WHERE NOT contains(t, '.') AND NOT contains(t, '::')),
 b AS (SELECT d, min(tier) AS tier FROM c GROUP BY d), g AS (SELECT d, tier, count(*) AS n, min(id) AS id FROM c JOIN b USING (d, tier) GROUP BY ALL)
 SELECT 'f' || d AS fact_id, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS state, ['stable_key', 'alias', 'container', 'qualified_name', 'source_document', 'workspace_name'][tier + 1] AS basis, CASE WHEN n = 1 THEN id END AS node_id, coalesce(n, 0) AS candidates FROM f LEFT JOIN g USING (d)""",
+    "workspace_deregistered": """WITH s AS (SELECT doc_id AS id, source FROM documents), u AS (SELECT 'documents' AS name, doc_id AS id FROM documents UNION ALL SELECT 'labels', doc_id FROM labels UNION ALL SELECT 'vectors', vec_id FROM embeddings)
+SELECT name, coalesce(source, 'none') AS said, count(*) AS rows FROM u LEFT JOIN s USING (id) WHERE source IS DISTINCT FROM 'src2' GROUP BY ALL
+UNION ALL SELECT 'try ' || i, ['workspace_mismatch', 'expired', 'unknown_plan', 'state_changed', 'done', 'already_consumed'][i + 1], 0 FROM range(6) r(i)""",
 }

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -141,6 +142,86 @@ def stale_reason(plan: dict, tables: dict[str, DataFrame], workspace: str, now:
     return None if deregistration(tables, workspace)["state"] == plan["state"] else "state_changed"
 
 
+# --- deregistration that runs -------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Member:
+    """How a table's rows belong to a workspace: by a column of their own, or by that of the
+    parent's row that ``column`` names in ``parent_column``."""
+
+    column: str = "workspace_id"
+    parent: str | None = None
+    parent_column: str | None = None
+
+
+def belonging(spark: SparkSession, at: dict, members: dict[str, Member], workspace: str) -> dict[str, DataFrame]:
+    """The rows of a workspace in each table; parents are named before their children."""
+    out: dict[str, DataFrame] = {}
+    for name, m in members.items():
+        rows = store.read(spark, at, name)
+        if m.parent is None:
+            out[name] = rows.filter(F.col(m.column) == F.lit(workspace))
+        else:
+            ids = out[m.parent].select(F.col(m.parent_column).alias(m.column)).distinct()
+            out[name] = rows.join(ids, m.column, "left_semi")
+    return out
+
+
+def _counts(rows: dict[str, DataFrame]) -> tuple[dict[str, int], str]:
+    """Rows of each table, and a hash of them that any change of a row changes."""
+    parts = [df.agg(F.count("*").alias("rows"), F.sum(F.pmod(F.xxhash64(*sorted(df.columns)), F.lit(1 << 40))).alias("mark")).withColumn("name", F.lit(n)) for n, df in rows.items()]
+    found = sorted((r["name"], r["rows"], r["mark"]) for r in reduce(DataFrame.unionByName, parts).collect())  # a row a table
+    return {n: k for n, k, _ in found}, hashlib.sha256(json.dumps(found).encode()).hexdigest()
+
+
+PLANS = "plan_id string, workspace_id string, counts string, state string, expires_at double, consumed boolean"
+
+
+def plan_deregistration(spark: SparkSession, folder: str, members: dict[str, Member], workspace: str, now: float) -> str:
+    """Stores a plan to remove a workspace, and returns its id."""
+    at = store.state(spark, folder)
+    counts, mark = _counts(belonging(spark, at, members, workspace))
+    plan = hashlib.sha256(f"{workspace}|{mark}|{now}".encode()).hexdigest()[:32]
+    row = spark.createDataFrame([(plan, workspace, json.dumps(counts, sort_keys=True), mark, now + PLAN_SECONDS, False)], PLANS)
+    store.transact(spark, folder, lambda _: {"deregistrations": store.Change(row)}, {"deregistrations": store.Keyed("plan_id", 1)})
+    return plan
+
+
+def deregister(spark: SparkSession, folder: str, members: dict[str, Member], plan_id: str, workspace: str, now: float) -> str:
+    """Carries a plan out, or says why not: unknown_plan, workspace_mismatch, already_consumed,
+    expired, state_changed. Rows go from all tables, and the plan is used up, in one
+    transaction: a run that dies has removed nothing, and a plan removes once."""
+    said = ["unknown_plan"]
+
+    def work(at: dict) -> dict[str, store.Change]:
+        plans = store.read(spark, at, "deregistrations").filter(F.col("plan_id") == plan_id).collect() if "deregistrations" in at["tables"] else []
+        rows = belonging(spark, at, members, workspace)
+        said[0] = "unknown_plan" if not plans else "workspace_mismatch" if plans[0]["workspace_id"] != workspace else "already_consumed" if plans[0]["consumed"] else "expired" if now >= plans[0]["expires_at"] else "done"
+        if said[0] == "done" and _counts(rows)[1] != plans[0]["state"]:
+            said[0] = "state_changed"
+        if said[0] != "done":
+            raise _Refused
+        used = spark.createDataFrame([tuple(plans[0])[:-1] + (True,)], PLANS)
+        changes: dict[str, store.Change | DataFrame] = {"deregistrations": store.Change(used)}
+        for name, df in rows.items():
+            key = at["tables"][name]["key"]
+            columns = df.columns
+            # rows of one key may belong to several workspaces, so they are told apart by all columns
+            changes[name] = store.read(spark, at, name).exceptAll(df) if key is None else store.Change(row_keys=[key, *[c for c in columns if c != key]], remove=kept(df, "removed"))
+        return changes
+
+    try:
+        store.transact(spark, folder, work)
+    except _Refused:
+        pass
+    return said[0]
+
+
+class _Refused(Exception):
+    pass
+
+
 def consistently(spark: SparkSession, folder: str, work: Callable[[dict], object], attempts: int = 3) -> object:
     """``work`` on the current manifest, again if another one was published meanwhile."""
     for _ in range(attempts):

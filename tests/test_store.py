@@ -9,7 +9,10 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions.metrics import Counters
+from tessera.operators import graph
 from tessera.operators.registry import admitted, collisions
+from tessera.sources import sinks
 from tessera.sources import store as S
 
 DOCS = S.Keyed("doc", buckets=8)
@@ -203,3 +206,62 @@ def test_publication_refuses_collisions_in_every_table(spark, folder):
     assert rows(spark, folder) == {(1, "n1"), (2, "a2"), (3, "n3"), (4, "n4")}
     at, clashes = S.commit(spark, folder, 2, {"nodes": S.Change(node((5, "b")), drop=node((1, "")).select("doc"))})
     assert clashes.isEmpty() and S.read(spark, at, "nodes").filter(F.col("stable_key") == "b").first()["doc"] == 5
+
+
+MEMBERS = {"docs": sinks.Member("source"), "notes": sinks.Member("doc", "docs", "doc"), "whole": sinks.Member("doc", "docs", "doc")}
+
+
+@pytest.fixture
+def workspaces(spark, folder):
+    """Documents of two workspaces, one of which both have, with notes and a plain table."""
+    docs_ = spark.createDataFrame([(1, "w"), (2, "w"), (2, "v"), (3, "v")], "doc long, source string")
+    notes = spark.createDataFrame([(1, "a"), (2, "b"), (2, None), (3, "c"), (9, "d")], "doc long, note string")
+    S.commit(spark, folder, 0, {"docs": S.Change(docs_), "notes": S.Change(notes), "whole": notes}, {"docs": DOCS, "notes": DOCS})
+    return folder
+
+
+def contents(spark, folder):
+    at = S.state(spark, folder)
+    return {n: sorted(map(str, S.read(spark, at, n).collect())) for n in MEMBERS}
+
+
+def test_deregistration_goes_through_all_tables_once(spark, workspaces):
+    plan = sinks.plan_deregistration(spark, workspaces, MEMBERS, "w", 0.0)
+    assert sinks.deregister(spark, workspaces, MEMBERS, plan, "w", 1.0) == "done"
+    left = contents(spark, workspaces)
+    assert [len(left[n]) for n in MEMBERS] == [2, 2, 2] and "source='w'" not in str(left)
+    assert sinks.deregister(spark, workspaces, MEMBERS, plan, "w", 1.0) == "already_consumed" and contents(spark, workspaces) == left
+
+
+def test_a_deregistration_that_dies_removes_nothing(spark, workspaces, monkeypatch):
+    before, plan = contents(spark, workspaces), sinks.plan_deregistration(spark, workspaces, MEMBERS, "w", 0.0)
+    with monkeypatch.context() as m:
+        m.setattr(S, "put", lambda *a: (_ for _ in ()).throw(Killed()))
+        with pytest.raises(Killed):
+            sinks.deregister(spark, workspaces, MEMBERS, plan, "w", 1.0)
+    assert contents(spark, workspaces) == before
+    S.commit(spark, workspaces, S.state(spark, workspaces)["revision"], {"notes": S.Change(spark.createDataFrame([(1, "edited")], "doc long, note string"))})
+    assert sinks.deregister(spark, workspaces, MEMBERS, plan, "w", 1.0) == "state_changed"
+
+
+def test_counters_are_taken_beside_the_work(spark, tmp_path):
+    counters = Counters()
+    for n in (5, 7):
+        df = counters.watch(spark.range(n), "scan", rows=F.count(F.lit(1)), even=F.count(F.when(F.col("id") % 2 == 0, 1)))
+        df.write.mode("overwrite").parquet(f"{tmp_path}/out")
+    assert counters.totals() == {("scan", "rows"): 12, ("scan", "even"): 7}
+    assert [tuple(r) for r in counters.table(spark).collect()] == [("scan", "even", 7), ("scan", "rows", 12)]
+
+
+def test_a_cut_answer_says_so(spark):
+    n = spark.createDataFrame([(f"n{i}", "function") for i in range(6)], "node_id string, node_type string")
+    e = spark.createDataFrame([(f"e{a}{b}", f"n{a}", f"n{b}", "calls", 1.0) for a, b in ((0, 1), (0, 2), (1, 3), (2, 3), (3, 0), (4, 9))], "edge_id string, from_node string, to_node string, edge_type string, confidence double")
+
+    def cut(seed, nodes, edges, depth):
+        found, truncated = graph.traversed(e, n, n.filter(F.col("node_id") == seed), "out", None, nodes, edges, depth)
+        return found.count(), truncated
+
+    assert cut("n0", 50, 100, 2) == (4, False) and cut("n0", 50, 100, 1) == (3, False)
+    assert cut("n0", 2, 100, 2) == (2, True) and cut("n0", 3, 100, 2) == (3, True)
+    assert cut("n0", 50, 1, 2) == (2, True) and cut("n0", 50, 2, 2) == (3, True) and cut("n0", 50, 2, 1) == (3, False)
+    assert cut("n4", 50, 100, 2) == (1, False) and cut("n5", 50, 100, 2) == (1, False)
