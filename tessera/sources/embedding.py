@@ -10,6 +10,7 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,12 +105,34 @@ def embedded(chunks: DataFrame, make: Callable[[], Provider], key: str = "chunk_
     return chunks.select(key, text).mapInPandas(run, f"{key} {kind}, model string, dimension int, vector array<float>")
 
 
+def pack_vectors(vectors: pa.Array) -> pa.Array:
+    """The numbers of all vectors as one run of bytes, and where each vector's begin."""
+    flat = vectors.cast(pa.list_(pa.float32()))
+    ends = flat.offsets.to_numpy().astype(np.int64)
+    numbers = flat.values.to_numpy(zero_copy_only=False).astype("<f4")
+    packed = pa.Array.from_buffers(pa.large_binary(), len(flat), [None, pa.py_buffer(ends * 4), pa.py_buffer(numbers.tobytes())])
+    return pc.if_else(flat.is_valid(), packed, pa.scalar(None, pa.large_binary())).cast(pa.binary())
+
+
+def unpack_vectors(data: pa.Array) -> pa.Array:
+    lengths = pc.fill_null(pc.binary_length(data), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if (lengths % 4).any():
+        raise ValueError("a stored vector isn't made of four-byte numbers")
+    whole = pa.LargeListArray.from_arrays(pa.array([0, len(data)], pa.int64()), pc.fill_null(data, b"").cast(pa.large_binary()))
+    numbers = np.frombuffer(pc.binary_join(whole, pa.scalar(b"", pa.large_binary()))[0].as_buffer(), "<f4")
+    if not np.isfinite(numbers).all():
+        raise ValueError("a stored vector holds no finite numbers")
+    offsets = np.concatenate([[0], np.cumsum(lengths // 4)]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(numbers, pa.float32()))
+    return pc.if_else(data.is_valid(), lists, pa.scalar(None, lists.type))
+
+
 def packed_vectors(column: Column) -> Column:
     """Vectors as bytes, four little-endian ones a number; null for null."""
 
     @F.arrow_udf("binary")
     def pack(vectors: pa.Array) -> pa.Array:
-        return pa.array([None if v.as_py() is None else np.array(v.as_py(), "<f4").tobytes() for v in vectors], pa.binary())
+        return pack_vectors(vectors)
 
     return pack(column)
 
@@ -119,12 +142,6 @@ def unpacked_vectors(column: Column) -> Column:
 
     @F.arrow_udf("array<float>")
     def unpack(data: pa.Array) -> pa.Array:
-        out = []
-        for x in data:
-            v = None if x.as_py() is None else np.frombuffer(x.as_py(), "<f4")
-            if v is not None and not np.isfinite(v).all():
-                raise ValueError("a stored vector holds no finite numbers")
-            out.append(v)
-        return pa.array(out, pa.list_(pa.float32()))
+        return unpack_vectors(data)
 
     return unpack(column)

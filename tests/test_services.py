@@ -139,3 +139,20 @@ def test_reindex_keeps_what_fails(spark, tmp_path):
     state, actions = A.reindexed(spark, store, second, second.select("path"), work, "size long", 1)
     assert sorted(map(tuple, actions.collect())) == [("a", "failed"), ("b", "removed"), ("d", "added")]
     assert sorted((r["path"], r["size"]) for r in S.read(spark, state, "documents").collect()) == [("a", 1), ("d", 2)]
+
+
+def test_vectors_are_packed_without_a_loop():
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.sources.embedding import pack_vectors, unpack_vectors
+
+    v = pa.array([[1.5, 2.0], None, [], [3.25, -1.0, 0.0]], pa.list_(pa.float64()))
+    for x in (v, v.slice(1), v.slice(2, 1), v.slice(0, 0), v.slice(3)):
+        packed = pack_vectors(x)
+        assert packed.to_pylist() == [None if a is None else np.array(a, "<f4").tobytes() for a in x.to_pylist()]
+        assert unpack_vectors(packed).to_pylist() == x.to_pylist()
+        assert unpack_vectors(packed.slice(1)).to_pylist() == x.to_pylist()[1:]
+    for bad in (b"abc", np.array([np.nan], "<f4").tobytes()):
+        with pytest.raises(ValueError):
+            unpack_vectors(pa.array([b"", bad]))
