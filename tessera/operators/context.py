@@ -169,18 +169,47 @@ def explained(packet: DataFrame, pool: DataFrame, key: str) -> DataFrame:
     return packet.drop("content").join(pool.select(key, "source_type", "source_id", "reasons", "final", "structural"), [key, "source_type", "source_id"])
 
 
-def with_experiences(packet: DataFrame, hits: DataFrame, members: DataFrame, key: str, room: int = 768) -> DataFrame:
-    """History that fits behind a packet: active, verified, strong or moderate; no event is
-    told twice (the better rank keeps it), and all within ``room`` tokens."""
-    ok = hits.filter(F.col("lifecycle").isin("active") & F.col("verification").isin("verified_passed", "verified_failed") & F.col("strength").isin("strong", "moderate"))
+def _eligible(hits: DataFrame) -> DataFrame:
+    return hits.filter(F.col("lifecycle").isin("active") & F.col("verification").isin("verified_passed", "verified_failed") & F.col("strength").isin("strong", "moderate"))
+
+
+def _told_once(ok: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """Those of eligible hits all of whose events no better one tells."""
     first = members.join(ok.select(key, "experience_id", "rank"), "experience_id").groupBy(key, "event_id").agg(F.min("rank").alias("rank"))
     told = first.groupBy(key, "rank").agg(F.count("*").alias("own"))
     size = members.groupBy("experience_id").agg(F.count("*").alias("events"))
-    alone = ok.join(told, [key, "rank"]).join(size, "experience_id").filter("own = events")
+    return ok.join(told, [key, "rank"]).join(size, "experience_id").filter("own = events")
+
+
+def _within(alone: DataFrame, key: str, room: int) -> DataFrame:
     w = Window.partitionBy(key).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     return alone.withColumn("tokens", F.octet_length("summary")).withColumn("__sum", F.sum("tokens").over(w)).filter(F.col("__sum") <= room).select(key, "experience_id", "rank", "tokens")
 
 
+def with_experiences(packet: DataFrame, hits: DataFrame, members: DataFrame, key: str, room: int = 768) -> DataFrame:
+    """History that fits behind a packet: active, verified, strong or moderate; no event is
+    told twice (the better rank keeps it), and all within ``room`` tokens."""
+    return _within(_told_once(_eligible(hits), members, key), key, room)
+
+
+def history_explained(requests: DataFrame, hits: DataFrame, members: DataFrame, key: str, room: int = 768) -> DataFrame:
+    """How the history of each request (``key``, requested, enabled, available) came out:
+    candidates, selected, deduplicated, over_budget, and by which code, if any, it is less than
+    was asked for: not_requested, disabled, search_unavailable, no_eligible_result, deduplicated
+    or budget_exhausted. Hits of requests without a search count for nothing."""
+    asked = requests.filter("requested AND enabled AND available").select(key)
+    ok = _eligible(hits).join(asked, key, "left_semi")
+    alone = _told_once(ok, members, key)
+    stages = [(0, ok), (1, alone), (2, _within(alone, key, room))]
+    counts = reduce(DataFrame.unionByName, [df.select(key, F.lit(i).alias("stage")) for i, df in stages]).groupBy(key).agg(*[F.count(F.when(F.col("stage") == i, 1)).alias(f"__{i}") for i, _ in stages])
+    n = [F.coalesce(F.col(f"__{i}"), F.lit(0)) for i in range(3)]
+    code = (
+        F.when(~F.col("requested"), "not_requested").when(~F.col("enabled"), "disabled").when(~F.col("available"), "search_unavailable").when(n[0] == 0, "no_eligible_result")
+        .when(n[2] > 0, None).when(n[0] > n[1], "deduplicated").otherwise("budget_exhausted")
+    )
+    return requests.join(counts, key, "left").select(key, n[0].alias("candidates"), n[2].alias("selected"), (n[0] - n[1]).alias("deduplicated"), (n[1] - n[2]).alias("over_budget"), code.alias("degradation"))
+
+
 def resumed(sessions: DataFrame, tasks: DataFrame, checkpoints: DataFrame, key: str) -> DataFrame:
     """Where each workspace would go on: session, task and checkpoint, and by which rule.
 
@@ -206,3 +235,18 @@ def hydrated(packet: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     w = wanted.join(inside, [key, "source_type", "source_id"], "left").withColumn("in_packet", F.coalesce("__in", F.lit(False))).drop("__in")
     has = F.coalesce(F.trim("reason"), F.lit("")) != ""
     return w.withColumn("allowed", F.col("in_packet") | has).withColumn("audit", ~F.col("in_packet") & has)
+
+
+def preparable(requests: DataFrame, sessions: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Whether a context can be prepared for each request (request, workspace_id, session_id,
+    task_id, query, token_budget): ``prepared``, or why not. Session and task must be of the
+    request's workspace, the task the session's if it has one, and both must be going on."""
+    s = sessions.select("session_id", F.col("workspace_id").alias("__sw"), F.col("ended_at").isNotNull().alias("__ended"))
+    t = tasks.select("task_id", F.col("workspace_id").alias("__tw"), F.col("session_id").alias("__ts"), "status")
+    r = requests.join(s, "session_id", "left").join(t, "task_id", "left")
+    ours = (F.col("__sw") == F.col("workspace_id")) & (F.col("__tw") == F.col("workspace_id")) & (F.col("__ts").isNull() | (F.col("__ts") == F.col("session_id")))
+    outcome = (
+        F.when(F.trim(F.coalesce("query", F.lit(""))) == "", "empty_query").when(F.coalesce("token_budget", F.lit(0)) <= 0, "no_budget").when(F.col("__sw").isNull(), "session_not_found").when(F.col("__tw").isNull(), "task_not_found")
+        .when(~ours, "provenance_mismatch").when(F.col("__ended"), "session_ended").when(F.col("status") != "active", "task_not_active").otherwise("prepared")
+    )
+    return r.select("request", outcome.alias("outcome"))

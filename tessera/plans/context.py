@@ -65,6 +65,31 @@ def experience_append(spark: SparkSession, d: str) -> DataFrame:
     return K.with_experiences(hits, hits, members, "request").select("request", "experience_id", "tokens")
 
 
+def experience_degradation(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as requests, some without history, and their orders as hits whose events, lines
+    by part, several orders tell."""
+    c, o = T.table(spark, d, "customer"), T.table(spark, d, "orders")
+    k = F.col("c_custkey")
+    requests = c.select(k.alias("request"), (k % 10 != 1).alias("requested"), (k % 10 != 2).alias("enabled"), (k % 10 != 3).alias("available"))
+    hits = o.select(F.col("o_custkey").alias("request"), F.col("o_orderkey").alias("experience_id"), F.col("o_orderkey").alias("rank"), F.when(F.col("o_orderkey") % 4 == 0, "refuted").otherwise("active").alias("lifecycle"), F.lit("verified_passed").alias("verification"), F.lit("strong").alias("strength"), F.repeat("o_orderpriority", (F.col("o_custkey") % 9).cast("int")).alias("summary"))
+    members = T.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("experience_id"), (F.col("l_partkey") % 3).alias("event_id")).distinct()
+    return K.history_explained(requests, hits, members, "request", 60)
+
+
+def context_preparation(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as requests that name customers as sessions and orders as tasks."""
+    c, o, l = (T.table(spark, d, n) for n in ("customer", "orders", "lineitem"))
+    sessions = c.filter("c_custkey % 9 <> 0").select(F.col("c_custkey").alias("session_id"), (F.col("c_custkey") % 3).alias("workspace_id"), F.when(F.col("c_custkey") % 5 == 0, "2024").alias("ended_at"))
+    status = F.when(F.col("o_orderstatus") == "O", "active").otherwise("completed")
+    tasks = o.filter("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("task_id"), (F.col("o_custkey") % 3).alias("workspace_id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).alias("session_id"), status.alias("status"))
+    session = F.when(F.col("l_linenumber") == 4, F.col("o_custkey") + 3).otherwise(F.col("o_custkey"))
+    r = l.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("request"), (F.col("o_custkey") % 3 + F.when(F.col("l_linenumber") == 5, 1).otherwise(0)).alias("workspace_id"), session.alias("session_id"), F.col("l_orderkey").alias("task_id"),
+        F.when(F.col("l_linenumber") == 2, " ").otherwise(F.col("l_returnflag")).alias("query"), F.when(F.col("l_linenumber") == 3, 0).otherwise(100).alias("token_budget"),
+    )
+    return K.preparable(r, sessions, tasks)
+
+
 def incremental_diff(spark: SparkSession, d: str) -> DataFrame:
     docs = T.table(spark, d, "documents")
     row = lambda df, h: df.select(F.col("source").alias("document_id"), F.col("doc_id").alias("stable_key"), F.col("doc_id").alias("chunk_id"), h.alias("content_hash"))
@@ -127,7 +152,7 @@ r AS (SELECT *, (0.24 * least(coalesce(semantic, 0), 1) + 0.16 * least(coalesce(
 QUERIES = {
     f.__name__: f
     for f in (
-        candidate_merge_rank, required_reservation, packet_greedy, packet_explanation, resume_selection, hydration_audit, experience_append, incremental_diff, removed_documents, noop_documents,
+        candidate_merge_rank, required_reservation, packet_greedy, packet_explanation, resume_selection, hydration_audit, experience_append, experience_degradation, context_preparation, incremental_diff, removed_documents, noop_documents,
         chunk_generic, segment_chunks, embedding_batches, vector_violations, disambiguated_keys, language_filter_hash,
     )
 }
@@ -144,6 +169,13 @@ SELECT b.owner, CASE WHEN act THEN 'latest_active' ELSE 'latest_ended' END AS se
     "experience_append": """WITH h AS (SELECT o_custkey % 100 AS request, o_orderkey AS id, 10 * length(o_orderpriority) AS tokens FROM orders WHERE o_orderstatus IN ('F', 'O')), m AS (SELECT DISTINCT l_orderkey AS id, l_partkey % 400 AS e FROM lineitem),
 f AS (SELECT request, e, min(id) AS id FROM h JOIN m USING (id) GROUP BY ALL), own AS (SELECT request, id, count(*) AS k FROM f GROUP BY ALL), z AS (SELECT id, count(*) AS k FROM m GROUP BY 1),
 a AS (SELECT h.*, sum(tokens) OVER (PARTITION BY request ORDER BY id ROWS UNBOUNDED PRECEDING) AS total FROM h JOIN own USING (request, id) JOIN z USING (id) WHERE own.k = z.k) SELECT request, id AS experience_id, tokens FROM a WHERE total <= 768""",
+    "experience_degradation": """WITH r AS (SELECT c_custkey AS request, c_custkey % 10 AS x FROM customer), h AS (SELECT o_custkey AS request, o_orderkey AS id, length(o_orderpriority) * (o_custkey % 9) AS tokens FROM orders JOIN r ON o_custkey = request WHERE o_orderkey % 4 <> 0 AND x NOT IN (1, 2, 3)),
+m AS (SELECT DISTINCT l_orderkey AS id, l_partkey % 3 AS e FROM lineitem), f AS (SELECT request, e, min(id) AS id FROM h JOIN m USING (id) GROUP BY ALL), own AS (SELECT request, id, count(*) AS k FROM f GROUP BY ALL), z AS (SELECT id, count(*) AS k FROM m GROUP BY 1),
+a AS (SELECT h.*, sum(tokens) OVER (PARTITION BY request ORDER BY id ROWS UNBOUNDED PRECEDING) AS total FROM h JOIN own USING (request, id) JOIN z USING (id) WHERE own.k = z.k),
+n AS (SELECT request, x, (SELECT count(*) FROM h WHERE h.request = r.request) AS c, (SELECT count(*) FROM a WHERE a.request = r.request) AS u, (SELECT count(*) FROM a WHERE a.request = r.request AND total <= 60) AS s FROM r)
+SELECT request, c AS candidates, s AS selected, c - u AS deduplicated, u - s AS over_budget, CASE WHEN x = 1 THEN 'not_requested' WHEN x = 2 THEN 'disabled' WHEN x = 3 THEN 'search_unavailable' WHEN c = 0 THEN 'no_eligible_result' WHEN s > 0 THEN NULL WHEN c > u THEN 'deduplicated' ELSE 'budget_exhausted' END AS degradation FROM n""",
+    "context_preparation": """WITH q AS (SELECT l_orderkey * 8 + l_linenumber AS request, l_linenumber AS n, o_custkey AS cu, CASE WHEN l_linenumber = 4 THEN o_custkey + 3 ELSE o_custkey END AS s, l_orderkey AS t, o_orderstatus = 'O' AS active FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT request, CASE WHEN n = 2 THEN 'empty_query' WHEN n = 3 THEN 'no_budget' WHEN s % 9 = 0 OR s NOT IN (SELECT c_custkey FROM customer) THEN 'session_not_found' WHEN t % 7 = 0 THEN 'task_not_found' WHEN n = 5 OR (t % 2 = 0 AND s <> cu) THEN 'provenance_mismatch' WHEN s % 5 = 0 THEN 'session_ended' WHEN NOT active THEN 'task_not_active' ELSE 'prepared' END AS outcome FROM q""",
     "incremental_diff": "SELECT doc_id AS stable_key, CASE doc_id % 10 WHEN 0 THEN 'added' WHEN 1 THEN 'removed' WHEN 2 THEN 'modified' ELSE 'unchanged' END AS status, doc_id % 10 IN (0, 2) AS embed FROM documents",
     "removed_documents": "SELECT source || '/' || doc_id AS path FROM documents WHERE doc_id % 4 = 0 AND doc_id % 8 <> 0",
     "noop_documents": "SELECT source || '/' || doc_id AS path FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND doc_id % 6 <> 0",
