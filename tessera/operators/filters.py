@@ -63,6 +63,13 @@ def normalized_scopes(scopes: list[str]) -> list[str]:
     return sorted(out)
 
 
+def normalized_scope(scope: Column) -> Column:
+    """A scope as ``normalized_scopes`` takes it; null for what is no relative path."""
+    s = F.rtrim(F.regexp_replace(scope, r"^\s+|\s+$", ""), F.lit("/"))
+    bad = (s == "") | (F.octet_length(s) > MOST_SCOPE_BYTES) | F.contains(s, F.lit("\\")) | F.rlike(s, F.lit(r"(^|/)\.{0,2}(/|$)"))
+    return F.when(~bad, s)
+
+
 def same_task(df: DataFrame, task_id: object | None) -> DataFrame:
     return df.filter(F.col("task_id").eqNullSafe(F.lit(task_id)))
 

@@ -62,6 +62,11 @@ def seeds(nodes: DataFrame, tokens: DataFrame, limit: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
+def within_bounds(max_nodes: Column, max_edges: Column, max_depth: Column) -> Column:
+    """Whether ``bounds`` takes these."""
+    return max_nodes.between(1, MOST_NODES) & max_edges.between(1, MOST_EDGES) & max_depth.between(1, MOST_DEPTH)
+
+
 def directed(edges: DataFrame, direction: str, types: tuple[str, ...] | None = None) -> DataFrame:
     """Edges as (at, next, ...): outgoing, incoming, or both; a loop counts once."""
     if types is not None:

@@ -10,7 +10,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.config import DEFAULTS
@@ -111,6 +111,11 @@ def segmentation_id(budget: int | None, overlap: int, version: int = 1) -> str:
     return f"{version}:{hashlib.sha256(f'{budget}|{overlap}'.encode()).hexdigest()[:16]}"
 
 
+def segmentation_names(budget: Column, overlap: Column, version: int = 1) -> Column:
+    """``segmentation_id`` of columns."""
+    return F.concat(F.lit(f"{version}:"), F.left(F.sha2(F.concat_ws("|", F.coalesce(budget.cast("string"), F.lit("None")), overlap.cast("string")), 256), F.lit(16)))
+
+
 def batch_plan(sizes: list[int], most_items: int, most_tokens: int | None) -> list[list[int]]:
     """Indexes in batches, in order, none over either limit; raises for an item over it."""
     out: list[list[int]] = []

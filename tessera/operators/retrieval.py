@@ -159,6 +159,11 @@ def item(chunks: DataFrame, chunk_id: object) -> DataFrame:
     return chunks.filter(F.col("chunk_id") == F.lit(chunk_id))
 
 
+def fitting(query: Column, input_tokens: int, batch_tokens: int | None = None) -> Column:
+    """Whether ``query_fits`` takes a query."""
+    return F.octet_length(query) <= min(x for x in (input_tokens, batch_tokens) if x is not None)
+
+
 def query_fits(query: str, input_tokens: int, batch_tokens: int | None = None) -> None:
     """Raises if a query's tokens (bytes) exceed what one embedding call may take."""
     n = len(query.encode())

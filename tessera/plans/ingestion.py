@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import is_finite_vector
@@ -81,26 +81,37 @@ def code_facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def module_paths(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(t, l, s) for t, l, s in (("a.b", "python", "x/y.py"), ("..c", "python", "x/y/z.py"), ("./u", "javascript", "web/main.js"), ("crate::m::n", "rust", "src/lib.rs"))]
-    return spark.createDataFrame([(t, "|".join(Y.module_candidates(t, l, s))) for t, l, s in rows], "target string, paths string")
-
-
-def _outcome(work: Callable[[], object]) -> str:
-    try:
-        return str(work())
-    except Exception as e:  # noqa: BLE001 - which error it is, is the result
-        return type(e).__name__
+    """Imports of five languages, by number of the part."""
+    k, n = F.col("p_partkey") % 6, F.col("p_size").cast("string")
+    text = lambda *parts: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in parts])
+    pick = lambda *options: reduce(lambda rest, i: F.when(k == i, options[i]).otherwise(rest), range(len(options)), F.lit(None).cast("string"))
+    target = pick(text("a.b", n), text("..c", n), text("./u", n), text("../lib/./t", n), text("crate::m::n", n), text("fmt/p", n))
+    language = pick(*map(F.lit, ("python", "python", "javascript", "typescript", "rust", "go")))
+    source = pick(*map(F.lit, ("x/y.py", "x/y/z.py", "web/main.js", "web/app/v/main.ts", "src/lib.rs", "main.go")))
+    return T.table(spark, d, "part").select("p_partkey", F.array_join(Y.module_paths(target, language, source), "|").alias("paths"))
 
 
 def selector_rules(spark: SparkSession, d: str) -> DataFrame:
-    """What selectors, bounds and query sizes are taken as."""
-    w = [{"id": "1", "name": "Main", "root": "/w"}, {"id": "2", "name": "main", "root": "/w/sub"}, {"id": "3", "name": "Other", "root": "/o"}]
-    named = lambda s: W.resolve_workspace(w, s)["id"]
-    rows = [(f"workspace {s}", _outcome(lambda s=s: named(s))) for s in ("2", "Main", "MAIN", "other", "file:///w/sub/a.py", "/w/x", "/nowhere")]
-    rows += [(f"bounds {b}", _outcome(lambda b=b: G.bounds(*b)[0])) for b in ((50, 100, 2), (1001, 100, 2), (50, 0, 2), (50, 100, 9))]
-    rows += [(f"query {q}", _outcome(lambda q=q: R.query_fits(q, 4, 3))) for q in ("abc", "abcd", "éé")]
-    rows += [(f"status {s} {b}", E.classified(s, b)) for s, b in ((413, ""), (400, "Maximum tokens exceeded"), (504, ""), (429, ""), (400, "odd"))]
-    return spark.createDataFrame(rows, "name string, taken string")
+    """What selectors, bounds, query sizes and failures are taken as: suppliers are workspaces
+    and orders select them; lines are bounds; texts are queries; events are failures."""
+    s, o = T.table(spark, d, "supplier"), T.table(spark, d, "orders")
+    key = F.col("s_suppkey")
+    nation = F.concat(F.lit("/ws/"), F.col("s_nationkey").cast("string"))
+    w = s.select(F.concat(F.lit("w"), key.cast("string")).alias("workspace_id"), F.when(key % 2 == 0, F.concat(F.lit("Shop"), (key % 50).cast("string"))).otherwise(F.concat(F.lit("SHOP"), key.cast("string"))).alias("name"), F.when(key % 3 == 0, nation).otherwise(F.concat(nation, F.lit("/s"), key.cast("string"), F.lit("/"))).alias("root"))
+    c = F.col("o_custkey") % 20
+    at = F.concat(F.lit("/ws/"), (F.col("o_orderkey") % 25).cast("string"), F.lit("/s"), c.cast("string"))
+    k = F.col("o_orderkey") % 6
+    selector = F.when(k == 0, F.concat(F.lit("w"), c.cast("string"))).when(k == 1, F.concat(F.lit("Shop"), (F.col("o_custkey") % 60).cast("string"))).when(k == 2, F.concat(F.lit("shoP"), c.cast("string"))).when(k == 3, F.concat(at, F.lit("/src/a.py"))).when(k == 4, F.concat(F.lit("file://"), at)).otherwise("/nowhere")
+    found = W.resolved(o.select(F.col("o_orderkey").alias("request"), selector.alias("selector")), w)
+    parts = [found.select(F.lit("workspace").alias("kind"), F.col("request").cast("long").alias("id"), F.coalesce("workspace_id", "outcome").alias("taken"))]
+    refused = lambda ok: F.when(ok, "taken").otherwise("refused")
+    parts.append(T.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_partkey").alias("n"), F.max("l_suppkey").alias("e"), F.max("l_linenumber").alias("p")).select(F.lit("bounds"), F.col("l_orderkey"), refused(G.within_bounds(F.col("n") - 500, F.col("e") * 100, F.col("p") * 2))))
+    parts.append(T.table(spark, d, "documents").select(F.lit("query"), "doc_id", refused(R.fitting(F.coalesce("text", F.lit("")), 900, 700))))
+    e = F.col("event_id") % 6
+    status = F.when(e == 0, 413).when(e == 1, 400).when(e == 2, 504).when(e == 3, 429).otherwise(400)
+    body = F.concat(F.when(e == 1, "Maximum tokens exceeded").when(e == 4, "The BATCH is too large").otherwise("odd"), F.lit(" "), "event_type")
+    parts.append(T.table(spark, d, "events").select(F.lit("status"), "event_id", E.failure_class(status, body)))
+    return reduce(DataFrame.union, parts)
 
 
 QUERIES = {f.__name__: f for f in (workspace_scan, workspace_tree, test_captures, embedded_chunks, code_symbols, code_facts, module_paths, selector_rules)}
@@ -118,8 +129,15 @@ SELECT path, strlen(text) AS size_bytes, sha256(text) AS content_hash FROM t WHE
     "code_symbols": "SELECT 'src/m' || p_partkey || '.py' AS path, unnest(['C' || p_partkey, 'C' || p_partkey || '.run', 'test_' || p_partkey]) AS qualified_name, unnest(['class', 'method', 'function']) AS kind, unnest([false, false, true]) AS is_test FROM part",
     "code_facts": """WITH f AS (SELECT 'src/m' || p_partkey || '.py' AS path, unnest([{'e': 'imports', 't': 'os'}, {'e': 'depends_on', 't': 'os'}, {'e': 'contains', 't': 'python:C' || p_partkey}, {'e': 'contains', 't': 'python:C' || p_partkey || '.run'}, {'e': 'contains', 't': 'python:test_' || p_partkey},
 {'e': 'extends', 't': 'Base'}, {'e': 'calls', 't': 'helper'}, {'e': 'calls', 't': 'make'}, {'e': 'tests', 't': 'make'}]) AS f FROM part) SELECT path, f.e AS edge_type, count(*) AS n, string_agg(DISTINCT f.t, ',' ORDER BY f.t) AS targets FROM f GROUP BY ALL""",
-    "module_paths": "SELECT * FROM (VALUES ('a.b', 'a/b.py|a/b/__init__.py'), ('..c', 'x/c.py|x/c/__init__.py'), ('./u', 'web/u.js|web/u.jsx|web/u.mjs|web/u/index.js'), ('crate::m::n', 'src/m/n.rs|src/m/n/mod.rs')) AS t(target, paths)",
-    "selector_rules": """SELECT * FROM (VALUES ('workspace 2', '2'), ('workspace Main', '1'), ('workspace MAIN', 'ValueError'), ('workspace other', '3'), ('workspace file:///w/sub/a.py', '2'), ('workspace /w/x', '1'), ('workspace /nowhere', 'KeyError'),
-('bounds (50, 100, 2)', '50'), ('bounds (1001, 100, 2)', 'ValueError'), ('bounds (50, 0, 2)', 'ValueError'), ('bounds (50, 100, 9)', 'ValueError'), ('query abc', 'None'), ('query abcd', 'ValueError'), ('query éé', 'ValueError'),
-('status 413 ', 'batch_too_large'), ('status 400 Maximum tokens exceeded', 'input_too_large'), ('status 504 ', 'timeout'), ('status 429 ', 'unavailable'), ('status 400 odd', 'unknown')) AS t(name, taken)""",
+    "module_paths": """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'a/b' || p_size || '.py|a/b' || p_size || '/__init__.py' WHEN 1 THEN 'x/c' || p_size || '.py|x/c' || p_size || '/__init__.py'
+WHEN 2 THEN 'web/u' || p_size || '.js|web/u' || p_size || '.jsx|web/u' || p_size || '.mjs|web/u' || p_size || '/index.js' WHEN 3 THEN 'web/app/lib/t' || p_size || '.ts|web/app/lib/t' || p_size || '.tsx|web/app/lib/t' || p_size || '/index.ts|web/app/lib/t' || p_size || '.d.ts'
+WHEN 4 THEN 'src/m/n' || p_size || '.rs|src/m/n' || p_size || '/mod.rs' ELSE 'fmt/p' || p_size || '.go' END AS paths FROM part""",
+    "selector_rules": """WITH w AS (SELECT 'w' || s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'Shop' || (s_suppkey % 50) ELSE 'SHOP' || s_suppkey END AS name, '/ws/' || s_nationkey || CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE '/s' || s_suppkey END AS root FROM supplier),
+q AS (SELECT o_orderkey AS r, CASE o_orderkey % 6 WHEN 0 THEN 'w' || (o_custkey % 20) WHEN 1 THEN 'Shop' || (o_custkey % 60) WHEN 2 THEN 'shoP' || (o_custkey % 20) WHEN 5 THEN '/nowhere' ELSE '/ws/' || (o_orderkey % 25) || '/s' || (o_custkey % 20) || CASE WHEN o_orderkey % 6 = 3 THEN '/src/a.py' ELSE '' END END AS s FROM orders),
+c AS (SELECT r, 0 AS t, 0 AS deep, id FROM q JOIN w ON s = id UNION ALL SELECT r, 1, 0, id FROM q JOIN w ON s = name UNION ALL SELECT r, 2, 0, id FROM q JOIN w ON lower(s) = lower(name) UNION ALL SELECT r, 3, -length(root), min(id) FROM q JOIN w ON s = root OR starts_with(s, root || '/') GROUP BY r, root),
+b AS (SELECT r, min((t, deep)) AS m FROM c GROUP BY r), g AS (SELECT r, count(*) AS n, min(id) AS id FROM c JOIN b USING (r) WHERE (t, deep) = m GROUP BY r)
+SELECT 'workspace' AS kind, r::BIGINT AS id, CASE WHEN n = 1 THEN g.id WHEN n > 1 THEN 'ambiguous' ELSE 'not_found' END AS taken FROM q LEFT JOIN g USING (r)
+UNION ALL SELECT 'bounds', l_orderkey, CASE WHEN max(l_partkey) - 500 BETWEEN 1 AND 1000 AND max(l_suppkey) * 100 BETWEEN 1 AND 5000 AND max(l_linenumber) * 2 BETWEEN 1 AND 8 THEN 'taken' ELSE 'refused' END FROM lineitem GROUP BY l_orderkey
+UNION ALL SELECT 'query', doc_id, CASE WHEN strlen(coalesce(text, '')) <= 700 THEN 'taken' ELSE 'refused' END FROM documents
+UNION ALL SELECT 'status', event_id, CASE event_id % 6 WHEN 0 THEN 'batch_too_large' WHEN 1 THEN 'input_too_large' WHEN 2 THEN 'timeout' WHEN 3 THEN 'unavailable' WHEN 4 THEN 'batch_too_large' ELSE 'unknown' END FROM events""",
 }

@@ -212,14 +212,13 @@ def snapshot_publish(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scope_rules(spark: SparkSession, d: str) -> DataFrame:
-    """Which scopes are taken, and as what."""
-    def taken(s: str) -> str:
-        try:
-            return P.normalized_scopes([s])[0]
-        except ValueError:
-            return "refused"
-
-    return spark.createDataFrame([(s, taken(s)) for s in (" src/a/ ", "src", "/abs", "a/../b", "a//b", "", "a\\b", "x" * 513)], "scope string, taken string")
+    """Sources and languages of documents, written as scopes of eight kinds: as what each is taken."""
+    k, src, lang = F.col("doc_id") % 8, F.col("source"), F.col("lang")
+    scope = (
+        F.when(k == 0, F.concat(F.lit(" "), src, F.lit("/"), lang, F.lit("/ "))).when(k == 1, src).when(k == 2, F.concat(F.lit("/"), src)).when(k == 3, F.concat(src, F.lit("/../"), lang))
+        .when(k == 4, F.concat(src, F.lit("//"), lang)).when(k == 5, "").when(k == 6, F.concat(src, F.lit("\\"), lang)).otherwise(F.repeat(src, 200))
+    )
+    return T.table(spark, d, "documents").select("doc_id", F.coalesce(P.normalized_scope(scope), F.lit("refused")).alias("taken"))
 
 
 def task_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -279,7 +278,8 @@ def vector_codec(spark: SparkSession, d: str) -> DataFrame:
 
 
 def segmentation_names(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(b, o, N.segmentation_id(b, o)) for b, o in ((1000, 100), (1000, 0), (500, 100))], "budget long, overlap long, id string")
+    """Sizes and numbers of parts as limits of policies."""
+    return T.table(spark, d, "part").select("p_partkey", N.segmentation_names(F.col("p_size") * 10, F.col("p_partkey") % 7).alias("id"))
 
 
 def adaptive_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -366,7 +366,7 @@ SELECT p_partkey, array_to_string(list_sort(list_distinct(list_transform(list_fi
 SELECT l_orderkey, count(*) AS n, sum(l_partkey)::BIGINT AS parts FROM u GROUP BY 1""",
     "imported_evidence": "WITH f AS (SELECT *, first_value(event_type) OVER w AS first, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT event_id AS seq, CASE WHEN event_type <> first THEN 'conflict' WHEN n > 1 THEN 'replayed' WHEN event_id % 4 = 0 THEN 'conflict' ELSE 'new' END AS result FROM f",
     "snapshot_publish": "SELECT 'documents' AS name, 2::BIGINT AS revision, count(*) AS rows FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'labels', 2, count(*) FROM labels",
-    "scope_rules": "SELECT * FROM (VALUES (' src/a/ ', 'src/a'), ('src', 'src'), ('/abs', 'refused'), ('a/../b', 'refused'), ('a//b', 'refused'), ('', 'refused'), ('a\\b', 'refused'), (repeat('x', 513), 'refused')) AS t(scope, taken)",
+    "scope_rules": "SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN source || '/' || lang WHEN 1 THEN source ELSE 'refused' END AS taken FROM documents",
     "task_filter": "SELECT o_orderkey FROM orders WHERE o_custkey % 2 <> 0 OR o_custkey = 8",
     "trusted_memories": "WITH tr AS (SELECT doc_id, max(quality) AS q, max(toxic) AS t FROM labels GROUP BY doc_id) SELECT conv_id * 1000 + turn AS memory_id FROM conversations JOIN tr ON conv_id = doc_id WHERE q = 1 AND t IS DISTINCT FROM 1",
     "recent_window": "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-27 12:00:00'",
@@ -375,7 +375,7 @@ SELECT l_orderkey, count(*) AS n, sum(l_partkey)::BIGINT AS parts FROM u GROUP B
     "overflow_batches": "SELECT date_trunc('hour', ts) AS started_at, count(*) AS signals, count(*) > 15 AS rescan FROM events GROUP BY 1",
     "isolated_rows": "SELECT CASE WHEN c_custkey % 10 <> 0 THEN c_custkey * 2 END AS twice, CASE WHEN c_custkey % 10 = 0 THEN 'failed' ELSE 'done' END AS status, CASE WHEN c_custkey % 10 = 0 THEN 'bad ' || c_custkey END AS error FROM customer",
     "vector_codec": "SELECT vec_id AS chunk_id, 4 * len(embedding) AS bytes, true AS same FROM embeddings",
-    "segmentation_names": "SELECT budget::BIGINT AS budget, overlap::BIGINT AS overlap, '1:' || left(sha256(budget || '|' || overlap), 16) AS id FROM (VALUES (1000, 100), (1000, 0), (500, 100)) AS t(budget, overlap)",
+    "segmentation_names": "SELECT p_partkey, '1:' || left(sha256((p_size * 10) || '|' || (p_partkey % 7)), 16) AS id FROM part",
     "adaptive_segments": "SELECT doc_id, strlen(text) AS covered, 0::BIGINT AS first, true AS fits FROM documents",
     "workspace_totals": """SELECT 'documents' AS name, count(*) AS rows FROM documents WHERE source = 'src2' UNION ALL SELECT 'labels', count(*) FROM labels JOIN documents USING (doc_id) WHERE source = 'src2' UNION ALL SELECT 'embeddings', count(*) FROM embeddings JOIN documents ON vec_id = doc_id WHERE source = 'src2'
 UNION ALL SELECT 'none', 0 UNION ALL SELECT * FROM (VALUES ('0:holds', 0), ('1:expired', 0), ('2:workspace_mismatch', 0)) AS t(name, rows) UNION ALL SELECT CASE WHEN EXISTS (SELECT 1 FROM labels JOIN documents USING (doc_id) WHERE source = 'src2') THEN '3:state_changed' ELSE '3:holds' END, 0""",

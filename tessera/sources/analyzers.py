@@ -12,7 +12,8 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Declarations: kind by pattern, in each language; group 1 is the name.
 PATTERNS = {
@@ -157,10 +158,31 @@ def facts(files: DataFrame) -> DataFrame:
     return _run(files, 1, FACT)
 
 
+#: How a module's path may end, by language; likeliest first.
+ENDS = {"python": (".py", "/__init__.py"), "javascript": (".js", ".jsx", ".mjs", "/index.js"), "typescript": (".ts", ".tsx", "/index.ts", ".d.ts"), "rust": (".rs", "/mod.rs"), "csharp": (".cs",), "go": (".go",)}
+
+
+def module_paths(target: Column, language: Column, source_path: Column) -> Column:
+    """Paths that an import may mean, relative to the workspace, likeliest first."""
+    folder = F.filter(F.split(F.regexp_extract(source_path, "^(.*)/[^/]*$", 1), "/"), lambda p: p != "")
+    bare = F.ltrim(target, F.lit("."))
+    dots = F.length(target) - F.length(bare)
+    above = F.slice(folder, F.lit(1), F.greatest(F.size(folder) - dots + 1, F.lit(0)))
+    path = lambda parts: F.array_join(F.filter(parts, lambda p: p != ""), "/")
+    python = path(F.concat(F.when(dots > 0, above).otherwise(F.array().cast("array<string>")), F.split(bare, r"\.")))
+    rust = F.concat(F.lit("src/"), path(F.filter(F.split(target, "::"), lambda p: ~p.isin("crate", "self", "super"))))
+    walked = F.aggregate(F.split(target, "/"), folder, lambda at, p: F.when(p == "..", F.slice(at, F.lit(1), F.greatest(F.size(at) - 1, F.lit(0)))).when(p.isin(".", ""), at).otherwise(F.array_append(at, p)))
+    base = F.when(language == "python", python).when(language == "rust", rust).when(F.startswith(target, F.lit(".")), path(walked)).otherwise(target)
+    ends = F.array(F.lit(""))
+    for name, values in ENDS.items():
+        ends = F.when(language == name, F.array(*map(F.lit, values))).otherwise(ends)
+    return F.transform(ends, lambda e: F.concat(base, e))
+
+
 def module_candidates(target: str, language: str, source_path: str) -> list[str]:
     """Paths that an import may mean, relative to the workspace, likeliest first."""
     folder = source_path.rsplit("/", 1)[0] if "/" in source_path else ""
-    ends = {"python": [".py", "/__init__.py"], "javascript": [".js", ".jsx", ".mjs", "/index.js"], "typescript": [".ts", ".tsx", "/index.ts", ".d.ts"], "rust": [".rs", "/mod.rs"], "csharp": [".cs"], "go": [".go"]}.get(language, [""])
+    ends = ENDS.get(language, ("",))
     if language == "python":
         dots = len(target) - len(target.lstrip("."))
         base = target.lstrip(".").replace(".", "/")

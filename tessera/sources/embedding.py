@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
@@ -44,6 +45,15 @@ def classified(status: int | None, body: str) -> str:
     return "unknown"
 
 
+def failure_class(status: Column, body: Column) -> Column:
+    """``classified`` for recorded failures."""
+    has = lambda *words: reduce(lambda a, b: a | b, [F.contains(F.lower(body), F.lit(w)) for w in words])
+    return (
+        F.when((status == 413) | (has("batch") & has("large", "exceed")), "batch_too_large").when(has("token") & has("exceed", "maximum", "too long") | has("context length"), "input_too_large")
+        .when(status.isin(408, 504) | has("timeout", "timed out"), "timeout").when(status.isin(429, 502, 503) | has("unavailable", "overloaded"), "unavailable").otherwise("unknown")
+    )
+
+
 class HashedWords:
     """A deterministic provider without a network: hashed words, normalised."""
 

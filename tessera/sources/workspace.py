@@ -91,6 +91,27 @@ def resolve_workspace(workspaces: list[dict], selector: str, path: str | None =
     return max(inside, key=lambda w: len(w["root"]))
 
 
+def resolved(requests: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """(request, outcome, workspace_id): which of ``workspaces`` (workspace_id, name, root) the
+    selector of each request means. An id comes first, then an exact name, then a name without
+    regard to case; several of a kind are ambiguous. Else a file URI or path lies in the deepest
+    root above it: paths meet roots by their ancestors, so nothing is compared with all roots."""
+    w = workspaces.select("workspace_id", "name", F.rtrim("root", F.lit("/")).alias("root"))
+    r = requests.select("request", "selector")
+    named = [(0, "workspace_id", F.col("selector")), (1, "name", F.col("selector")), (2, "low", F.lower("selector"))]
+    w = w.withColumn("low", F.lower("name"))
+    arms = [r.select("request", by.alias(column)).join(w.groupBy(column).agg(F.count("*").alias("n"), F.min(F.col("workspace_id")).alias("found")), column).select("request", F.lit(tier).alias("tier"), F.lit(0).alias("deep"), "n", "found") for tier, column, by in named if column != "workspace_id"]
+    ids = r.join(w.select(F.col("workspace_id").alias("found")), F.col("selector") == F.col("found")).select("request", F.lit(0).alias("tier"), F.lit(0).alias("deep"), F.lit(1).cast("long").alias("n"), "found")
+    where = F.rtrim(F.replace(F.regexp_replace("selector", "^file://(localhost)?", ""), F.lit("\\"), F.lit("/")), F.lit("/"))
+    parts = F.split(where, "/")
+    above = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    roots = w.groupBy("root").agg(F.min("workspace_id").alias("found"))
+    paths = r.filter(F.startswith(where, F.lit("/"))).select("request", F.explode(F.array_distinct(above)).alias("root")).join(roots, "root").select("request", F.lit(3).alias("tier"), (-F.length("root")).alias("deep"), F.lit(1).cast("long").alias("n"), "found")
+    best = reduce(DataFrame.unionByName, [*arms, ids, paths]).groupBy("request").agg(F.min(F.struct("tier", "deep", "n", "found")).alias("b")).select("request", "b.*")
+    outcome = F.when(F.col("n").isNull(), "not_found").when(F.col("n") > 1, "ambiguous").otherwise("resolved")
+    return r.select("request").join(best, "request", "left").select("request", outcome.alias("outcome"), F.when(F.col("n") == 1, F.col("found")).alias("workspace_id"))
+
+
 def matches(pattern: str, path: str) -> bool:
     """``pattern_regex`` in plain Python, for callers without a session."""
     return re.match(pattern_regex(pattern), path) is not None or fnmatch.fnmatch(path, pattern)
