@@ -123,6 +123,15 @@ def scope_fingerprint(cases: DataFrame, *keys: str) -> DataFrame:
     return cases.groupBy(*keys).agg(domain_hash("scope", F.array_join(F.array_sort(F.collect_set("identity")), "\n")).alias("fingerprint"))
 
 
+def stable(value: Column) -> Column:
+    """Whether a text can stand for the same thing in any report: short, of few characters."""
+    return F.coalesce(F.rlike(value, F.lit(r"\A[A-Za-z0-9_.:<>, &-]{1,512}\z")), F.lit(False))
+
+
+def relative(path: Column) -> Column:
+    return F.rlike(path, F.lit(r"\A[A-Za-z0-9_./-]{1,512}\z")) & ~F.rlike(path, F.lit(r"(^|/)(\.\.)?(/|\z)"))
+
+
 def compiler_failure(reports: DataFrame) -> DataFrame:
     """Signature of a compiler report with exactly one error: report_id, status, components,
     key. Only a type mismatch with both types is an exact identity."""
@@ -132,18 +141,24 @@ def compiler_failure(reports: DataFrame) -> DataFrame:
     typed = one["expected_type"].isNotNull() & one["actual_type"].isNotNull()
     status = (
         F.when(F.col("exit_code") == 0, "not_a_failure").when(F.size(errors) != 1, "ambiguous_compiler_diagnostics").when(~F.rlike(F.coalesce(code, F.lit("")), F.lit("^E[0-9]{4}$")), "missing_structured_diagnostic_code")
-        .when(one["path"].isNull(), "missing_failure_scope_path").when(F.rlike(one["path"], F.lit(r"^/|\\|(^|/)\.\.(/|$)")), "unsafe_diagnostic_path")
-        .when((code == "E0308") & ~typed, "missing_type_distinction").when(code == "E0308", "exact").otherwise("compatible_only")
+        .when(~stable(F.col("subject.value")), "invalid_verification_subject")
+        .when(one["path"].isNull(), "missing_failure_scope_path").when(~relative(one["path"]), "unsafe_diagnostic_path")
+        .when((code == "E0308") & ~typed, "missing_type_distinction").when((code == "E0308") & ~(stable(one["expected_type"]) & stable(one["actual_type"])), "unsafe_type_distinction").when(code == "E0308", "exact").otherwise("compatible_only")
     )
     pairs = {"diagnostic_code": code, "subject_kind": F.col("subject.kind"), "subject_value": F.col("subject.value"), "expected_type": F.when(code == "E0308", one["expected_type"]), "actual_type": F.when(code == "E0308", one["actual_type"])}
     return _signed(reports, status, pairs, {"domain": F.lit("compiler"), "path": one["path"]})
 
 
 def test_failure(reports: DataFrame) -> DataFrame:
-    """Signature of a test report with exactly one failure; never an exact identity."""
+    """Signature of a test report with exactly one failure; never an exact identity. Names and
+    classes that aren't stable texts identify nothing and are left out."""
     one = F.get("failures", F.lit(0))
-    status = F.when(F.col("exit_code") == 0, "not_a_failure").when(F.size("failures") != 1, "ambiguous_test_failures").when(one["test_name"].isNull() & one["assertion_class"].isNull(), "missing_test_identity").otherwise("compatible_only")
-    pairs = {"subject_kind": F.col("subject.kind"), "subject_value": F.col("subject.value"), "test_name": one["test_name"], "assertion_class": one["assertion_class"]}
+    name, kind = (F.when(stable(one[c]), one[c]) for c in ("test_name", "assertion_class"))
+    status = (
+        F.when(F.col("exit_code") == 0, "not_a_failure").when(F.size("failures") != 1, "ambiguous_test_failures").when(~stable(F.col("subject.value")), "invalid_verification_subject")
+        .when(name.isNull() & kind.isNull(), "missing_test_identity").otherwise("compatible_only")
+    )
+    pairs = {"subject_kind": F.col("subject.kind"), "subject_value": F.col("subject.value"), "test_name": name, "assertion_class": kind}
     return _signed(reports, status, pairs, {"domain": F.lit("test"), "path": F.lit("")})
 
 
@@ -174,11 +189,10 @@ def registered_tool_failure(reports: DataFrame, rules: DataFrame) -> DataFrame:
     r = reports.join(rules, ["verifier_id", "verifier_version"], "left")
     same = F.col("tool").eqNullSafe(F.col("required_tool")) & F.col("operation").eqNullSafe(F.col("required_operation"))
     failed = F.coalesce((F.col("process_outcome") == "exited_nonzero") & (F.col("reported_result") == "failed"), F.lit(False))
-    stable = F.coalesce(F.rlike(F.col("subject.value"), F.lit(r"\A[A-Za-z0-9_.:<>, &-]{1,512}\z")), F.lit(False))
     allowed = F.coalesce(F.array_contains("allowed_subject_kinds", F.col("subject.kind")), F.lit(False))
     status = (
         F.when(~failed, "not_a_failure").when(F.col("rule_id").isNull(), "unregistered_verifier_rule").when(~same, "verifier_rule_mismatch")
-        .when(~stable, "invalid_verification_subject").when(~allowed, "verifier_subject_not_allowed").otherwise("compatible_only")
+        .when(~stable(F.col("subject.value")), "invalid_verification_subject").when(~allowed, "verifier_subject_not_allowed").otherwise("compatible_only")
     )
     pairs = {"rule_id": F.col("rule_id"), "rule_version": F.col("rule_version"), "subject_kind": F.col("subject.kind"), "subject_value": F.col("subject.value"), "exit_class": F.lit("nonzero")}
     return _signed(r, status, pairs, {"domain": F.lit("registered_tool"), "path": F.lit("")})

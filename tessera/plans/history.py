@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,11 +145,37 @@ def scope_fingerprints(spark: SparkSession, d: str) -> DataFrame:
 
 def compiler_signatures(spark: SparkSession, d: str) -> DataFrame:
     p = T.table(spark, d, "part")
-    one = F.struct(F.when(F.col("p_partkey") % 3 == 0, "warning").otherwise("error").alias("level"), F.when(F.col("p_partkey") % 5 == 0, "E0308").when(F.col("p_partkey") % 5 == 1, "oops").otherwise("E0425").alias("code"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).alias("expected_type"), F.lit("i32").alias("actual_type"), F.when(F.col("p_partkey") % 7 == 0, "../x.rs").otherwise("src/x.rs").alias("path"))
+    one = F.struct(F.when(F.col("p_partkey") % 3 == 0, "warning").otherwise("error").alias("level"), F.when(F.col("p_partkey") % 5 == 0, "E0308").when(F.col("p_partkey") % 5 == 1, "oops").otherwise("E0425").alias("code"), F.when(F.col("p_partkey") % 2 == 0, F.replace("p_brand", F.lit("#"), F.lit("."))).alias("expected_type"), F.lit("i32").alias("actual_type"), F.when(F.col("p_partkey") % 7 == 0, "../x.rs").otherwise("src/x.rs").alias("path"))
     rows = p.select(F.col("p_partkey").alias("report_id"), (F.col("p_partkey") % 11).alias("exit_code"), F.struct(F.lit("package").alias("kind"), F.lit("core").alias("value")).alias("subject"), F.array(one).alias("diagnostics"))
     return V.compiler_failure(rows).select("report_id", "status", F.coalesce(F.get(F.map_keys("components"), F.lit(0)), F.lit("")).alias("first_component"))
 
 
+def failure_signatures(spark: SparkSession, d: str) -> DataFrame:
+    """Reports of tests, runs and registered tools, from orders: why each has no signature, or
+    what it is made of; and how many keys there are for as many different makings."""
+    o = T.table(spark, d, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    subject = F.struct(F.when(k % 17 == 0, "file").otherwise("package").alias("kind"), F.when(k % 13 == 0, "a/b").otherwise("core").alias("value"))
+    name = F.when(c % 3 == 0, F.concat(F.lit("tests::t"), (c % 50).cast("string"))).when(c % 3 == 1, "bad name!")
+    failure = F.struct(name.alias("test_name"), F.when(k % 2 == 0, "assert_eq").alias("assertion_class"))
+    failures = F.when(k % 4 == 0, F.array().cast("array<struct<test_name:string,assertion_class:string>>")).when(k % 4 == 3, F.array(failure, failure)).otherwise(F.array(failure))
+    tests = V.test_failure(o.select(k.alias("report_id"), (k % 5).alias("exit_code"), subject.alias("subject"), failures.alias("failures")))
+    case = lambda status, i: F.struct(status.alias("status"), F.array(F.lit("suite"), F.concat(F.lit("s"), (c % 7).cast("string"))).alias("namespace"), F.lit(f"case{i}").alias("name"), F.lit("AssertionError").alias("error_class"))
+    failed = lambda ok: F.when(ok, "assertion_failed").otherwise("passed")
+    plain = {"profile_id": "p", "profile_version": "1", "runner_id": "r", "runner_version": "1", "project_root": "", "import_root": "", "selection_kind": "file", "selection_value": "x", "test_file": "t.py"}
+    runs = V.test_run_failure(o.select(k.alias("run_id"), F.when(k % 3 == 0, "eligible_passed").otherwise("eligible_failed").alias("status"), F.array(case(failed(k % 5 < 3), 0), case(failed(k % 5 == 2), 1)).alias("cases"), *[F.lit(v).alias(n) for n, v in plain.items()]))
+    rules = spark.createDataFrame([("lint", "1", f"v{i}", "1", "lint", "check", ["package"]) for i in range(2)], "rule_id string, rule_version string, verifier_id string, verifier_version string, required_tool string, required_operation string, allowed_subject_kinds array<string>")
+    tools = V.registered_tool_failure(
+        o.select(k.alias("report_id"), F.concat(F.lit("v"), (c % 3).cast("string")).alias("verifier_id"), F.lit("1").alias("verifier_version"), F.when(k % 7 == 0, "other").otherwise("lint").alias("tool"), F.lit("check").alias("operation"), F.when(k % 5 == 0, "exited_zero").otherwise("exited_nonzero").alias("process_outcome"), F.lit("failed").alias("reported_result"), subject.alias("subject")),
+        rules,
+    )
+    made = F.array_join(F.transform(F.array_sort(F.map_entries("components")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    every = [df.select(F.lit(n).alias("kind"), "report_id", "status", made.alias("made"), "key") for n, df in (("test", tests), ("run", runs), ("tool", tools))]
+    every = reduce(DataFrame.unionByName, every)
+    keys = every.filter("key IS NOT NULL").groupBy(F.concat(F.lit("keys of "), "kind").alias("kind")).agg(F.countDistinct("key").alias("report_id"), F.when(F.countDistinct("key") == F.countDistinct("made"), "one each").otherwise("not one each").alias("status"), F.lit(None).cast("string").alias("made"))
+    return every.drop("key").unionByName(keys)
+
+
 def episode_fold(spark: SparkSession, d: str) -> DataFrame:
     """Sessions as episodes: errors fail, purchases pass, clicks are changes."""
     e = T.events(spark, d)
@@ -232,11 +260,20 @@ QUERIES = {
     for f in (
         instrumentation_counts, chunks_by_language, embedding_compat, language_totals, readiness_rollup, verification_outcome, test_count_rollup, latency_summary, latency_percentiles, eval_recall_mrr, packet_evaluation,
         implementation_coverage, superseded_flag, token_overlap_pairs, consolidation_proposals, claim_contradictions, trust_states, working_set_decay, working_set_fold, evidence_decode, eligibility_issues, scope_fingerprints,
-        compiler_signatures, episode_fold, lifecycle_fold, experience_score, experience_components, experience_recent, historical_references, dispute_frontier, record_violations, failure_summaries, content_dedup_hash,
+        compiler_signatures, failure_signatures, episode_fold, lifecycle_fold, experience_score, experience_components, experience_recent, historical_references, dispute_frontier, record_violations, failure_summaries, content_dedup_hash,
     )
 }
 _V = "CASE o_orderstatus WHEN 'F' THEN 'verified_passed' WHEN 'O' THEN 'verified_failed' ELSE 'conflicting' END"
 SQL = {
+    "failure_signatures": """WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, CASE WHEN o_orderkey % 17 = 0 THEN 'file' ELSE 'package' END AS sk, o_orderkey % 13 = 0 AS bad, CASE WHEN o_custkey % 3 = 0 THEN 'tests::t' || (o_custkey % 50) END AS tn FROM orders),
+t AS (SELECT 'test' AS kind, k AS report_id, CASE WHEN k % 5 = 0 THEN 'not_a_failure' WHEN k % 4 IN (0, 3) THEN 'ambiguous_test_failures' WHEN bad THEN 'invalid_verification_subject' WHEN tn IS NULL AND k % 2 <> 0 THEN 'missing_test_identity' ELSE 'compatible_only' END AS status,
+CASE WHEN k % 2 = 0 THEN 'assertion_class=assert_eq;' ELSE '' END || 'subject_kind=' || sk || ';subject_value=core' || coalesce(';test_name=' || tn, '') AS made FROM o),
+u AS (SELECT 'run' AS kind, k AS report_id, CASE WHEN k % 3 = 0 THEN 'ineligible_test_run_failure' WHEN k % 5 IN (0, 1) THEN 'compatible_only' ELSE 'ambiguous_test_run_failure' END AS status,
+'case_name=case0;case_namespace=2:5:suite2:s' || (c % 7) || ';error_class=AssertionError;import_root=;profile_id=p;profile_version=1;project_root=;runner_id=r;runner_version=1;selection_kind=file;selection_value=x' AS made FROM o),
+v AS (SELECT 'tool' AS kind, k AS report_id, CASE WHEN k % 5 = 0 THEN 'not_a_failure' WHEN c % 3 = 2 THEN 'unregistered_verifier_rule' WHEN k % 7 = 0 THEN 'verifier_rule_mismatch' WHEN bad THEN 'invalid_verification_subject' WHEN sk = 'file' THEN 'verifier_subject_not_allowed' ELSE 'compatible_only' END AS status,
+'exit_class=nonzero;rule_id=lint;rule_version=1;subject_kind=package;subject_value=core' AS made FROM o),
+w AS (SELECT * FROM t UNION ALL SELECT * FROM u UNION ALL SELECT * FROM v), x AS (SELECT kind, report_id, status, CASE WHEN status = 'compatible_only' THEN made END AS made FROM w)
+SELECT * FROM x UNION ALL SELECT 'keys of ' || kind, count(DISTINCT made), 'one each', NULL FROM x WHERE made IS NOT NULL GROUP BY kind""",
     "instrumentation_counts": " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS rows FROM {n}" for n in ("documents", "embeddings", "conversations", "events", "orders", "labels", "pages")),
     "chunks_by_language": "SELECT lang AS language, source, count(*) AS rows FROM documents GROUP BY ALL",
     "embedding_compat": "SELECT count(*) AS chunks, count(vec_id) AS embedded, count(*) FILTER (len(embedding) = 64) AS compatible, count(DISTINCT len(embedding)) AS spaces, max(len(embedding)) AS largest FROM documents LEFT JOIN embeddings ON doc_id = vec_id",
