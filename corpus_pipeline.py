@@ -14,7 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm._common import documents, folders, stored
+from tessera.functions.storage import folders
+from tessera.llm._common import documents, stored
 from tessera.llm.chosen_path import one_of_each
 from tessera.llm.exact_dedup import dedup
 from tessera.llm.packing import pack_documents

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager, suppress
-from contextvars import ContextVar
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -15,90 +13,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 from pyspark.sql.window import Window
 
+from tessera.functions.storage import kept
+
 #: The white space that all operators of this subpackage know: space and \t \n \v \f \r.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: A word, for Java's and DuckDB's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-class Folders:
-    """The folders that calls within a ``folders`` block name."""
-
-    def __init__(self, spark: SparkSession, outer: Folders | None) -> None:
-        self.spark, self.outer, self.named, self.kept = spark, outer, [], set()
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        """``df``, whose folders outlive the block: they are the block's around it, if any."""
-        self.kept |= self._read_by(df)
-        return df
-
-    def release(self, df: DataFrame) -> None:
-        """Deletes the folders that ``df`` reads, if they are this block's."""
-        for path in self._read_by(df):
-            self._delete(path)
-            self.named.remove(path)
-
-    def _read_by(self, df: DataFrame) -> set[str]:
-        read = df.inputFiles()
-        return {p for p in self.named if any(f"/{p.rsplit('/', 1)[1]}/" in f for f in read)}
-
-    def _delete(self, path: str) -> None:
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-    def close(self) -> None:
-        for path in self.named:
-            if path not in self.kept:
-                self._delete(path)
-            elif self.outer is not None:
-                self.outer.named.append(path)
-
-
-#: The innermost block of this thread: calls in other threads have blocks of their own.
-_within: ContextVar[Folders | None] = ContextVar("folders", default=None)
-
-
-@contextmanager
-def folders(spark: SparkSession) -> Iterator[Folders]:
-    """A block at whose end the folders that calls within it named are deleted, and no others;
-    what is kept passes to the block around. If the block fails nothing is kept. A DataFrame
-    that reads a folder must be written, or kept, before its block ends."""
-    own = Folders(spark, _within.get())
-    token = _within.set(own)
-    try:
-        yield own
-    except BaseException:
-        own.kept.clear()
-        raise
-    finally:
-        _within.reset(token)
-        own.close()
-
-
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A fresh folder path that the driver and all executors can see.
-
-    It lies under ``spark.checkpoint.dir``. Where that setting is absent a local session,
-    as in tests, uses a folder under /tmp/checkpoints; on a cluster that is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = "file:///tmp/checkpoints"
-        spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    if (block := _within.get()) is not None:
-        block.named.append(path)
-    return path
-
-
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: lineage ends here."""
-    path = shared_dir(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return kept(df, what)
 
 
 def on_files(docs: DataFrame, what: str) -> DataFrame:

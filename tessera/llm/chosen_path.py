@@ -48,7 +48,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import documents, folders, on_files, places, shared_dir, sliced, stored
+from tessera.functions.storage import folders, shared_path
+from tessera.llm._common import documents, on_files, places, sliced, stored
 from tessera.llm.components import components
 
 WORDS = 5
@@ -196,7 +197,7 @@ def sets_by_key(docs: DataFrame) -> Iterator[DataFrame]:
     and later joins on their keys bring only the other side to them."""
     spark, name = docs.sparkSession, f"tessera_sets_{uuid.uuid4().hex}"
     sets = token_sets(docs).groupBy("key").agg(F.first("tokens").alias("tokens"))
-    sets.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").option("path", shared_dir(spark, "join-sets")).saveAsTable(name)
+    sets.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").option("path", shared_path(spark, "join-sets")).saveAsTable(name)
     try:
         yield spark.table(name)
     finally:

@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from tessera.llm._common import shared_dir, squeezed, stored, text_or_empty
+from tessera.functions.storage import shared_path
+from tessera.llm._common import squeezed, stored, text_or_empty
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_CONF = {
@@ -73,7 +74,7 @@ def digest_state(spark: SparkSession, path: str, checkpoint: str | None = None)
     ``checkpoint`` names the state to go on with: rows of files that came since the
     last call are added, nothing is read twice. By default the state is new.
     """
-    checkpoint = checkpoint or shared_dir(spark, "dedup-state")
+    checkpoint = checkpoint or shared_path(spark, "dedup-state")
     before = {k: spark.conf.get(k, None) for k in STATE_CONF}
     try:
         for k, v in STATE_CONF.items():
@@ -133,7 +134,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     The rows are first written to the shared folder, where the stream reads them.
     """
     spark = docs.sparkSession
-    path = shared_dir(spark, "dedup-rows")
+    path = shared_path(spark, "dedup-rows")
     docs.write.parquet(path)
     kept = exact_groups(spark, path).filter("kept").select(F.col("file").alias("__file"), F.col("row").alias("__row"))
     rows = spark.read.schema(docs.schema).parquet(path).withColumns({"__f": F.col("_metadata.file_path"), "__r": F.col("_metadata.row_index")})
