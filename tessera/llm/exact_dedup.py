@@ -9,7 +9,8 @@ folder. A digest that more than one row has is a hit; hits are compared by their
 normalised bytes, so that texts whose digests collide stay apart.
 
 All of it is DataFrame operations: partial aggregation before the only shuffle of the
-stream, then one join of the texts with the hit digests.
+stream, then one join of the texts with the hit digests, which a bitmap of hashed hit digests,
+of fixed size, keeps most other texts out of.
 
 Edge cases: a null text is an empty one, and all empty or blank texts are one group.
 Of a group the row with the most code points stays, then the smallest ``doc_id`` (null
@@ -20,6 +21,9 @@ Columns beside ``doc_id`` and ``text`` are not looked at; an empty table gives n
 from __future__ import annotations
 
 import re
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +43,10 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
 
+#: Bits of the filter of hit digests: 8 MiB, at any size of the input.
+BITS = 1 << 26
+_one_at_a_time = threading.Lock()
+
 
 def _rows(df: DataFrame) -> DataFrame:
     """doc_id, normalised text, its digest, and what orders the rows of a group."""
@@ -68,27 +76,50 @@ def as_pattern(path: str) -> str:
     return path if re.search(r"[*?\[{]", path) else f"{path[:-1]}[{path[-1]}]"
 
 
+@contextmanager
+def _settings(spark: SparkSession) -> Iterator[None]:
+    """The session with the settings of the state store, for one call at a time."""
+    with _one_at_a_time:
+        before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+        try:
+            for k, v in STATE_CONF.items():
+                spark.conf.set(k, v)
+            yield
+        finally:
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def digest_state(spark: SparkSession, path: str, checkpoint: str | None = None) -> DataFrame:
     """Streams the Parquet table at ``path`` into keyed state: digest, n, best place.
 
     ``checkpoint`` names the state to go on with: rows of files that came since the
-    last call are added, nothing is read twice. By default the state is new.
+    last call are added, nothing is read twice. By default the state is new. It is read
+    once, under the same bound of memory as the stream, and written as a table.
     """
     checkpoint = checkpoint or shared_path(spark, "dedup-state")
-    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
-    try:
-        for k, v in STATE_CONF.items():
-            spark.conf.set(k, v)
-        stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(as_pattern(path))
-        seen = _rows(stream).groupBy("digest").agg(F.count("*").alias("n"), F.min("place").alias("best"))
-        query = seen.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    state = spark.read.format("statestore").load(checkpoint)
-    n, best = state.schema["value"].dataType.names[:2]
-    return state.select("key.digest", F.col("value")[n].alias("n"), F.col("value")[best].alias("best"))
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(as_pattern(path))
+    seen = _rows(stream).groupBy("digest").agg(F.count("*").alias("n"), F.min("place").alias("best"))
+    writer = seen.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    with _settings(spark):  # a query takes the settings of its session as it starts
+        query = writer.start()
+    query.awaitTermination()
+    with _settings(spark):
+        state = spark.read.format("statestore").load(checkpoint)
+        n, best = state.schema["value"].dataType.names[:2]
+        return stored(state.select("key.digest", F.col("value")[n].alias("n"), F.col("value")[best].alias("best")), "dedup-digests")
+
+
+def maybe(rows: DataFrame, hit: DataFrame, bits: int = BITS) -> DataFrame:
+    """``rows`` without most of those whose digest is not in ``hit``, before anything moves: a
+    filter of ``bits`` bits, which is the size of what is broadcast, however many hits there
+    are. It never loses a hit; the more of its bits are set, the less it holds back."""
+    bit = F.pmod(F.xxhash64("digest"), F.lit(bits)) + 1
+    there = hit.groupBy(F.bitmap_bucket_number(bit).alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("__bits"))
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("__part", F.bitmap_bucket_number(bit)).join(F.broadcast(there), "__part")  # bits / 32,768 rows of 4 KiB
+    return found.filter(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(1) == 1).select(*rows.columns)
 
 
 def exact_groups(spark: SparkSession, path: str, checkpoint: str | None = None) -> DataFrame:
@@ -103,18 +134,19 @@ def exact_groups(spark: SparkSession, path: str, checkpoint: str | None = None)
         # a table without rows leaves no state to read
         if not spark.read.parquet(path).limit(1).isEmpty():
             raise e
-        empty = "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string, file string, row long"
-        return spark.createDataFrame([], empty)
+        kind = spark.read.parquet(path).schema["doc_id"].dataType.simpleString()
+        return spark.createDataFrame([], f"doc_id {kind}, keep_id {kind}, group_size long, kept boolean, text_sha256 string, file string, row long")
     alone = state.filter("n = 1").select(
         F.col("best.doc_id").alias("doc_id"), F.col("best.doc_id").alias("keep_id"), F.col("n").cast("long").alias("group_size"),
         F.lit(True).alias("kept"), _bare(F.col("digest")).alias("text_sha256"), F.col("best.file").alias("file"), F.col("best.row").alias("row"),
     )
-    hit = state.filter("n > 1").select("digest")
-    # The texts move once, to their digests; those that are hit are written, and all
-    # that follows reads no other. Grouping by the text itself compares full bytes; it
+    hit = stored(state.filter("n > 1").select("digest"), "dedup-hit-digests")
+    # Texts that the filter lets through move once, to their digests; those that are hit
+    # are written, and all that follows reads no other. Grouping by the text itself compares full bytes; it
     # has an exchange of its own, so that equal rows of a task merge before they move, and
     # its result is written, so that a hot digest may be split in the joins before and after.
-    rows = stored(_rows(spark.read.parquet(path)).join(hit, "digest", "left_semi"), "dedup-hits")
+    # an inner join, as digests of hits differ: a semi-join would be pushed below the filter
+    rows = stored(maybe(_rows(spark.read.parquet(path)), hit).join(hit, "digest"), "dedup-hits")
     texts = rows.groupBy("norm").agg(F.first("digest").alias("digest"), F.count("*").alias("size"), F.min("place").alias("best"))
     texts = stored(texts.groupBy("digest").agg(F.count("*").alias("texts"), F.collect_list(F.struct("size", "best", "norm")).alias("all")), "dedup-texts")
     one = texts.filter("texts = 1").select("digest", F.col("all")[0]["size"].alias("size"), F.col("all")[0]["best"].alias("best"))

@@ -1,4 +1,4 @@
-"""Intermediate folders belong to the call that named them."""
+"""Intermediate folders belong to the call that named them; the filter of hit digests."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ import threading
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tessera.llm import exact_dedup
 from tessera.functions.storage import folders
 from tessera.llm._common import stored
 from tessera.llm.chosen_path import op3_chosen_path
@@ -73,3 +75,17 @@ def test_two_pipelines_and_two_joins_at_once(spark, write):
     assert sorted(k for k, _ in found) == ["join", "join", "pipeline", "pipeline"]
     assert all(rows == alone[k] for k, rows in found)
     assert shared(spark) == before
+
+
+def test_the_filter_loses_no_hit_and_most_others(spark):
+    rows = spark.range(4000).select("id", F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"))
+    hit = rows.filter("id % 40 = 7").select("digest")
+    left = {r["id"] for r in exact_dedup.maybe(rows, hit, 1 << 16).select("id").collect()}
+    assert {i for i in range(4000) if i % 40 == 7} <= left and len(left) < 130
+    assert exact_dedup.maybe(rows, hit.limit(0)).isEmpty()
+
+
+def test_no_rows_with_ids_of_other_kinds(spark, tmp_path):
+    spark.createDataFrame([], "doc_id string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = exact_dedup.op4_exact_dedup(spark, str(tmp_path))
+    assert out.collect() == [] and dict(out.dtypes)["keep_id"] == "string"
