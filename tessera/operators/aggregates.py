@@ -94,9 +94,18 @@ def packet_metrics(items: DataFrame, packets: DataFrame) -> DataFrame:
 
 def implementation_coverage(expected: DataFrame, changes: DataFrame) -> DataFrame:
     """Per case: expected (path, symbol) pairs that a change implements, and those that
-    its text only mentions."""
-    c = changes.select("case_id", "path", "symbol", "text")
-    exact = c.select("case_id", "path", "symbol").distinct().withColumn("__exact", F.lit(True))
-    said = expected.join(c.select("case_id", "text"), "case_id").filter(F.contains("text", F.col("symbol"))).select("case_id", "path", "symbol").distinct().withColumn("__said", F.lit(True))
-    on = ["case_id", "path", "symbol"]
-    return expected.distinct().join(exact, on, "left").join(said, on, "left").groupBy("case_id").agg(F.count("*").alias("expected"), F.count("__exact").alias("implemented"), F.count(F.when(F.col("__exact").isNull() & F.col("__said"), 1)).alias("mentioned_only"))
+    its text only mentions.
+
+    Texts don't meet symbols pair by pair: each different text of a case gives its substrings
+    of the lengths that the case's symbols have, and these meet the symbols by equality.
+    """
+    wanted = expected.select("case_id", "path", "symbol").distinct()
+    exact = changes.select("case_id", "path", "symbol").distinct().withColumn("__exact", F.lit(True))
+    symbols = wanted.select("case_id", "symbol").filter("symbol IS NOT NULL").distinct()
+    lengths = symbols.groupBy("case_id").agg(F.collect_set(F.char_length("symbol")).alias("__lengths"))
+    at = changes.select("case_id", "text").filter("text IS NOT NULL").distinct().join(lengths, "case_id")
+    at = at.select("case_id", "text", F.explode("__lengths").alias("__n")).filter(F.col("__n") <= F.char_length("text"))
+    parts = at.select("case_id", "text", "__n", F.explode(F.sequence(F.lit(1), F.char_length("text") - F.col("__n") + 1)).alias("__at"))
+    held = parts.select("case_id", F.substring("text", F.col("__at"), F.col("__n")).alias("symbol")).distinct()
+    said = symbols.join(held, ["case_id", "symbol"]).withColumn("__said", F.lit(True))
+    return wanted.join(exact, ["case_id", "path", "symbol"], "left").join(said, ["case_id", "symbol"], "left").groupBy("case_id").agg(F.count("*").alias("expected"), F.count("__exact").alias("implemented"), F.count(F.when(F.col("__exact").isNull() & F.col("__said"), 1)).alias("mentioned_only"))
