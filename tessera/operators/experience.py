@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -280,29 +281,43 @@ def mutated(episodes: DataFrame, requests: DataFrame) -> DataFrame:
 
     A request applies only to the version that it expects, closed episodes take none, an
     event joins once, and the same key with the same content is answered again. Requests
-    of an episode depend on each other, so each episode is folded in order.
+    of an episode depend on each other, so each episode is folded in order, one row after
+    the other over whole Arrow batches.
     """
 
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        version, status, members, seen, out = int(pdf["version"].iloc[0]), pdf["status"].iloc[0], [], {}, []
-        for r in pdf.dropna(subset=["request_key"]).sort_values("seq").itertuples():
-            content = (r.action, r.expected_version, tuple(r.event_ids if r.event_ids is not None else ()))
-            if r.request_key in seen:
-                out.append((key[0], r.request_key, "replayed" if seen[r.request_key] == content else "conflict", version, status, len(members)))
-                continue
-            new = [e for e in content[2] if e not in members]
-            if r.expected_version != version or status != "open":
-                result = "conflict"
-            elif r.action == "add" and (len(new) != len(content[2]) or len(members) + len(new) > MOST_EVENTS):
-                result = "invalid"
-            else:
-                result, version = "applied", version + 1
-                members += new if r.action == "add" else []
-                status = {"close": "closed", "abandon": "abandoned"}.get(r.action, status)
-                seen[r.request_key] = content
-            out.append((key[0], r.request_key, result, version, status, len(members)))
-        return pd.DataFrame(out, columns=["episode_id", "request_key", "result", "version", "status", "members"])
-
+    asked = ["request_key", "action", "expected_version", "event_ids", "seq"]
     kind = episodes.schema["episode_id"].dataType.simpleString()
-    rows = episodes.select("episode_id", "version", "status").join(requests, "episode_id")
-    return rows.groupBy("episode_id").applyInPandas(fold, f"episode_id {kind}, request_key string, result string, version long, status string, members long")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, version, status, members, seen = None, 0, "", set(), {}
+        for batch in batches:
+            out = []
+            for episode, asks, first, state, request, action, expected, events in zip(*(batch.column(c).to_pylist() for c in ("episode_id", "asks", "version", "status", *asked[:4])), strict=True):
+                if not asks:
+                    if episode != now:  # of several rows of an episode the first counts
+                        now, version, status, members, seen, n = episode, first, state, set(), {}, 0
+                    continue
+                if episode != now:  # there is no such episode
+                    continue
+                content = (action, expected, tuple(events or ()))
+                if request in seen:
+                    out.append((episode, request, "replayed" if seen[request] == content else "conflict", version, status, n))
+                    continue
+                new = [e for e in content[2] if e not in members]
+                if expected != version or status != "open":
+                    result = "conflict"
+                elif action == "add" and (len(new) != len(content[2]) or n + len(new) > MOST_EVENTS):
+                    result = "invalid"
+                else:
+                    result, version = "applied", version + 1
+                    if action == "add":
+                        members, n = members.union(new), n + len(new)
+                    status = {"close": "closed", "abandon": "abandoned"}.get(action, status)
+                    seen[request] = content
+                out.append((episode, request, result, version, status, n))
+            kinds = {"episode_id": batch.schema.field("episode_id").type, "request_key": pa.string(), "result": pa.string(), "version": pa.int64(), "status": pa.string(), "members": pa.int64()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds.values())], names=list(kinds))
+
+    every = episodes.select("episode_id", F.lit(False).alias("asks"), "version", "status").unionByName(requests.filter("request_key IS NOT NULL").select("episode_id", F.lit(True).alias("asks"), *asked), allowMissingColumns=True)
+    ordered = every.filter("episode_id IS NOT NULL").repartition("episode_id").sortWithinPartitions("episode_id", "asks", "seq")
+    return ordered.mapInArrow(fold, f"episode_id {kind}, request_key string, result string, version long, status string, members long")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from tessera.operators import aggregates
+from tessera.operators import aggregates, experience
 
 
 def test_coverage_meets_symbols_by_equality(spark):
@@ -22,3 +22,22 @@ def test_coverage_meets_symbols_by_equality(spark):
         n, i, m = want.get(case, (0, 0, 0))
         want[case] = (n + 1, i + exact, m + (said and not exact))
     assert got == want
+
+
+def test_requests_are_not_folded_a_group_at_a_time(spark):
+    rng = random.Random(6)
+    rows, want = [], {}
+    for e in range(400):
+        version, n = 0, 0
+        for i in range(rng.randint(1, 4)):
+            seq = e * 10 + i
+            ok = rng.random() < 0.7
+            rows.append((f"k{seq}", e, "add", version if ok else None, [seq], seq))
+            version, n = version + ok, n + ok
+            if e % 7:
+                want[f"k{seq}"] = ("applied" if ok else "conflict", version, n)
+    episodes = spark.createDataFrame([(e, 0, "open") for e in range(400) if e % 7], "episode_id long, version long, status string")
+    requests = spark.createDataFrame(rows, "request_key string, episode_id long, action string, expected_version long, event_ids array<long>, seq long").repartition(5)
+    out = experience.mutated(episodes, requests)
+    assert {r["request_key"]: (r["result"], r["version"], r["members"]) for r in out.collect()} == want
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
