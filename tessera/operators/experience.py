@@ -319,5 +319,6 @@ def mutated(episodes: DataFrame, requests: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds.values())], names=list(kinds))
 
     every = episodes.select("episode_id", F.lit(False).alias("asks"), "version", "status").unionByName(requests.filter("request_key IS NOT NULL").select("episode_id", F.lit(True).alias("asks"), *asked), allowMissingColumns=True)
-    ordered = every.filter("episode_id IS NOT NULL").repartition("episode_id").sortWithinPartitions("episode_id", "asks", "seq")
+    # by a hash: a repartition by the column itself is dropped where both parts are dealt by it, though their partitions are merged apart
+    ordered = every.filter("episode_id IS NOT NULL").repartition(F.xxhash64("episode_id")).sortWithinPartitions("episode_id", "asks", "seq")
     return ordered.mapInArrow(fold, f"episode_id {kind}, request_key string, result string, version long, status string, members long")
