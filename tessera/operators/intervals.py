@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
+from collections.abc import Callable, Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,37 +62,124 @@ def nearest(pairs: DataFrame, most: int = 4) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
 
 
+def _swept(rows: DataFrame, columns: list[str], order: list[Column], sweep: Callable[[Iterator[tuple]], Iterator[tuple]], out: dict[str, str]) -> DataFrame:
+    """What ``sweep`` makes of the rows (their ``columns``; a key first) in ``order`` within each
+    key. A column of the result has the type of the one that ``out`` names for it. They
+    are dealt by a hash of the key: Spark drops a repartition by the key itself above a union
+    whose parts are dealt by it, and then merges the partitions of each part by itself."""
+    key = columns[0]
+    ordered = rows.filter(F.col(key).isNotNull() & F.col("start").isNotNull() & F.col("end").isNotNull()).select(columns).repartition(F.xxhash64(key)).sortWithinPartitions(key, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds: dict[str, pa.DataType] = {}
+
+        def every() -> Iterator[tuple]:
+            for b in batches:
+                kinds.update({f.name: f.type for f in b.schema})
+                yield from zip(*(b.column(c).to_pylist() for c in columns), strict=True)
+
+        found = sweep(every())
+        while part := list(islice(found, 8192)):
+            yield pa.RecordBatch.from_arrays([pa.array(v, kinds[c]) for v, c in zip(zip(*part, strict=True), out.values(), strict=True)], names=list(out))
+
+    return ordered.mapInArrow(run, ", ".join(f"{name} {ordered.schema[c].dataType.simpleString()}" for name, c in out.items()))
+
+
 def nearest_chunks(nodes: DataFrame, chunks: DataFrame, most: int = 4, document: str = "document_id") -> DataFrame:
     """``nearest`` of all chunks of each node's document, without pairing them all.
 
-    Beside the chunks that overlap only those can be among the first ``most`` that begin at
-    one of the ``most`` places before or behind the node's start where any chunk begins;
-    of each place the narrowest count. Places are numbered once in each document.
+    Nodes and chunks of a document are swept once, by start. Of the chunks that begin no later
+    than a node those count that come last, and the last ones that overlap; for those behind it
+    a node waits until ``most`` of them overlap, or as many have begun and it has ended. Ranges
+    without a start or an end are left out.
     """
-    n = nodes.select(document, "node_id", F.col("start").alias("node_start"), F.col("end").alias("node_end"))
-    c = chunks.select(document, "chunk_id", "start", "end")
-    over = overlaps(nodes, chunks, document).select(document, "node_id", "node_start", "node_end", "chunk_id", "start", "end")
-    narrow = F.slice(F.array_sort(F.collect_list(F.struct((F.col("end") - F.col("start")).alias("width"), "chunk_id"))), 1, most).alias("at_place")
-    places = c.groupBy(document, "start").agg(narrow)
-    order = Window.partitionBy(document).orderBy("at", "node_id")
-    both = places.select(document, F.col("start").alias("at"), F.lit(None).cast(n.schema["node_id"].dataType).alias("node_id"), F.lit(None).cast("long").alias("node_end"), "at_place").unionByName(
-        n.select(document, F.col("node_start").alias("at"), "node_id", "node_end", F.lit(None).cast(places.schema["at_place"].dataType).alias("at_place"))
-    )  # nulls first: a place comes before the nodes that begin there
-    numbered = both.withColumn("__n", F.sum(F.col("at_place").isNotNull().cast("long")).over(order))
-    where = numbered.filter("at_place IS NOT NULL").select(document, "__n", F.col("at").alias("start"), "at_place")
-    wanted = numbered.filter("at_place IS NULL").select(document, "node_id", F.col("at").alias("node_start"), "node_end", F.explode(F.sequence(F.col("__n") - most + 1, F.col("__n") + most)).alias("__n"))
-    near = wanted.join(where, [document, "__n"]).select(document, "node_id", "node_start", "node_end", "start", F.inline("at_place"))
-    near = near.select(document, "node_id", "node_start", "node_end", "chunk_id", "start", (F.col("start") + F.col("width")).alias("end"))
-    return nearest(over.unionByName(near).distinct(), most)
+
+    def rank(x: int, e: int, chunk: tuple) -> tuple:
+        start, end, i = chunk
+        return not (x < end and start < e), abs(start - x), end - start, start, i
+
+    def done(document_: object, node: list) -> Iterator[tuple]:
+        i, x, e, some = node[:4]
+        for start, end, chunk in sorted(set(some), key=lambda c: rank(x, e, c))[:most]:
+            yield document_, i, x, e, chunk, start, end
+
+    def sweep(rows: Iterator[tuple]) -> Iterator[tuple]:
+        now, before, active, last, waiting = None, None, [], deque(maxlen=most), []
+        for row in rows:
+            if row == before:
+                continue
+            before = row
+            document_, is_node, node_id, chunk_id, start, end = row
+            if document_ != now:
+                for w in waiting:
+                    yield from done(now, w)
+                now, active, waiting = document_, [], []
+                last.clear()
+            if is_node:
+                over, seen = [], 0
+                for c in reversed(active):
+                    seen += 1
+                    if start < c[1] and c[0] < end:
+                        over.append(c)
+                        if len(over) == most:
+                            break
+                if seen > 4 * most + 16:
+                    active = [c for c in active if c[1] > start]  # later nodes begin no earlier
+                waiting.append([node_id, start, end, [*last, *over], 0, 0, start])
+                continue
+            chunk, still = (start, end, chunk_id), []
+            for w in waiting:
+                _, x, e, some, overlapping, behind, at = w
+                # the widest of a place comes first, so a place is over where the next begins
+                if start != at and (overlapping >= most or (start >= e and behind >= most)):
+                    yield from done(now, w)
+                    continue
+                some.append(chunk)
+                if len(some) > 8 * most + 64:
+                    some[:] = sorted(some, key=lambda c, x=x, e=e: rank(x, e, c))[:most]
+                w[4:] = overlapping + (x < end and start < e), behind + 1, start
+                still.append(w)
+            waiting = still
+            active.append(chunk)
+            last.append(chunk)
+        for w in waiting:
+            yield from done(now, w)
+
+    def part(df: DataFrame, *ids: str) -> DataFrame:
+        return df.select(document, F.lit("node_id" in ids).alias("node"), *ids, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+    every = part(nodes, "node_id").unionByName(part(chunks, "chunk_id"), allowMissingColumns=True)
+    order = [F.col("start"), F.col("node"), F.desc("end"), F.desc("chunk_id"), F.col("node_id")]
+    pairs = _swept(every, [document, "node", "node_id", "chunk_id", "start", "end"], order, sweep, {document: document, "node_id": "node_id", "node_start": "start", "node_end": "end", "chunk_id": "chunk_id", "start": "start", "end": "end"})
+    return nearest(pairs, most)
 
 
 def smallest_enclosing(chunks: DataFrame, document: str = "document_id") -> DataFrame:
-    """(chunk_id, enclosing_id): the narrowest other chunk of the document that holds it."""
-    inner = chunks.select(document, "chunk_id", "start", "end")
-    outer = chunks.select(document, F.col("chunk_id").alias("enclosing_id"), F.col("start").alias("s"), F.col("end").alias("e"))
-    wider = (F.col("e") >= F.col("end")) & (F.col("e") - F.col("s") > F.col("end") - F.col("start"))
-    around = containing(inner, F.col("start"), outer, F.col("s"), F.greatest(F.col("e"), F.col("s")), [document]).filter(wider)
-    return around.groupBy("chunk_id").agg(F.min_by("enclosing_id", F.struct(F.col("e") - F.col("s"), "s", "enclosing_id")).alias("enclosing_id"))
+    """(chunk_id, enclosing_id): the narrowest other chunk of the document that holds it.
+
+    The chunks of a document are swept once, by start; those that may still hold a later one
+    are kept by width, so that the first wide enough that reaches the end is the narrowest.
+    """
+
+    def sweep(rows: Iterator[tuple]) -> Iterator[tuple]:
+        now, open_, limit = None, [], 64
+        for document_, chunk_id, start, end in rows:
+            if document_ != now:
+                now, open_, limit = document_, [], 64
+            width = end - start
+            for i in range(bisect_left(open_, (width + 1,)), len(open_)):
+                w, s, enclosing = open_[i]
+                if s + w >= max(start, end):
+                    yield chunk_id, w, s, enclosing
+                    break
+            insort(open_, (width, start, chunk_id))
+            if len(open_) > limit:  # later chunks begin no earlier
+                open_ = [x for x in open_ if x[0] + x[1] >= start]
+                limit = 2 * len(open_) + 64
+
+    rows = chunks.select(document, "chunk_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    found = _swept(rows, [document, "chunk_id", "start", "end"], [F.col("start"), F.desc("end")], sweep, {"chunk_id": "chunk_id", "width": "start", "s": "start", "enclosing_id": "chunk_id"})
+    return found.groupBy("chunk_id").agg(F.min_by("enclosing_id", F.struct("width", "s", "enclosing_id")).alias("enclosing_id"))
 
 
 def covered(segments: DataFrame, *keys: str) -> DataFrame:
