@@ -115,25 +115,31 @@ def memory_rank_score(spark: SparkSession, d: str) -> DataFrame:
     return O.rank_score(T.memories(spark, d), ["conv_id"], F.desc("turn")).select("memory_id", F.round("score", 6).alias("score"))
 
 
-def _spans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of orders as ranges, equal ones more than once."""
     l = T.table(spark, d, "lineitem")
     start = (F.col("l_partkey") % 500) * 10
-    spans = l.select(F.col("l_orderkey").alias("document_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), start.alias("start"), (start + F.col("l_quantity").cast("long") * 20 + 1).alias("end"), "l_linenumber").distinct()
+    return l.select(F.col("l_orderkey").alias("document_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), start.alias("start"), (start + F.col("l_quantity").cast("long") * 20 + 1).alias("end"), "l_linenumber")
+
+
+def _parted(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     return spans.filter("l_linenumber <= 2").withColumnRenamed("id", "node_id"), spans.filter("l_linenumber > 2").withColumnRenamed("id", "chunk_id")
 
 
+def _spans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return _parted(_lines(spark, d).distinct())
+
+
 def interval_overlap_join(spark: SparkSession, d: str) -> DataFrame:
     return I.overlaps(*_spans(spark, d), width=512).select("document_id", "node_id", "chunk_id")
 
 
 def nearest_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return I.nearest_chunks(*_spans(spark, d), 2).select("node_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
+    return I.nearest_chunks(*_parted(_lines(spark, d)), 2).select("node_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 
 def nearest_enclosing(spark: SparkSession, d: str) -> DataFrame:
-    n, c = _spans(spark, d)
-    every = n.withColumnRenamed("node_id", "chunk_id").unionByName(c)
-    return I.smallest_enclosing(every.select("document_id", "chunk_id", "start", "end"))
+    return I.smallest_enclosing(_lines(spark, d).select("document_id", F.col("id").alias("chunk_id"), "start", "end"))
 
 
 def interval_union(spark: SparkSession, d: str) -> DataFrame:

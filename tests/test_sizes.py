@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from tessera.operators import aggregates, experience
+from pyspark.sql import functions as F
+
+from tessera.operators import aggregates, experience, intervals
 
 
 def test_coverage_meets_symbols_by_equality(spark):
@@ -41,3 +43,56 @@ def test_requests_are_not_folded_a_group_at_a_time(spark):
     out = experience.mutated(episodes, requests)
     assert {r["request_key"]: (r["result"], r["version"], r["members"]) for r in out.collect()} == want
     assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+
+
+def _random_spans(spark, rng, n, name, wide):
+    rows = [(rng.randint(0, 3), f"{name}{rng.randint(0, 3 * n)}", s := rng.randint(0, 60), s + rng.choice(wide)) for _ in range(n)]
+    rows += rows[:5]
+    return rows, spark.createDataFrame(rows, f"document_id long, {name}_id string, start long, end long")
+
+
+def _exchanges(df):
+    """Shuffles in the plan that runs."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange ")
+
+
+def test_nearest_chunks_moves_each_range_once(spark):
+    for seed, most in ((1, 1), (2, 2), (3, 4)):
+        rng = random.Random(seed)
+        _, n = _random_spans(spark, rng, 150, "node", (-2, 0, 1, 9, 40))
+        _, c = _random_spans(spark, rng, 120, "chunk", (-2, 0, 1, 5, 30, 60))
+        got = {(r["node_id"], r["rank"]): r["chunk_id"] for r in intervals.nearest_chunks(n, c, most).collect()}
+        pairs = n.distinct().withColumnsRenamed({"start": "node_start", "end": "node_end"}).join(c.distinct(), "document_id")
+        assert got == {(r["node_id"], r["rank"]): r["chunk_id"] for r in intervals.nearest(pairs, most).collect()}
+    assert _exchanges(intervals.nearest_chunks(n, c, 2)) <= 2
+
+
+def test_smallest_enclosing_moves_each_range_once(spark):
+    rows, c = _random_spans(spark, random.Random(4), 400, "chunk", (0, 0, 1, 5, 30, 60))
+    want = {}
+    for d, i, s, e in rows:
+        for d2, j, s2, e2 in rows:
+            if d == d2 and s2 <= s and e2 >= e and e2 - s2 > e - s:
+                want[i] = min(want.get(i, (10**9,)), (e2 - s2, s2, j))
+    assert {r["chunk_id"]: r["enclosing_id"] for r in intervals.smallest_enclosing(c).collect()} == {i: w[2] for i, w in want.items()}
+    assert _exchanges(intervals.smallest_enclosing(c)) <= 2
+
+
+def test_parts_that_are_dealt_by_key_meet(spark):
+    own = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1000", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.shuffle.partitions": "24"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        n = 300
+        few = spark.createDataFrame([(i, f"a{i}", 0, 9) for i in range(n)], "document_id long, chunk_id string, start long, end long").repartition("document_id")
+        many = spark.createDataFrame([(i, f"b{i}-{'x' * 90}", 1, 5) for i in range(n)], few.schema).repartition("document_id")
+        assert intervals.smallest_enclosing(few.unionByName(many)).count() == n
+        assert intervals.nearest_chunks(few.withColumnRenamed("chunk_id", "node_id"), many, 1).count() == n
+        e = few.select(F.col("document_id").alias("episode_id"), F.lit(0).cast("long").alias("version"), F.lit("open").alias("status"))
+        r = many.select(F.col("document_id").alias("episode_id"), F.col("chunk_id").alias("request_key"), F.lit("add").alias("action"), F.lit(0).cast("long").alias("expected_version"), F.array("start").alias("event_ids"), F.col("start").alias("seq"))
+        assert experience.mutated(e, r).filter("result = 'applied'").count() == n
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
