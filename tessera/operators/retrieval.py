@@ -97,8 +97,9 @@ def indexed_many(index: LexicalIndex, queries: DataFrame, limit: int) -> DataFra
     postings = index.postings()
     candidates = postings.join(rarest.select("query_id", "r.term", "r.part"), ["part", "term"]).select("query_id", "key")
     asked = candidates.join(wanted, "query_id")
-    part = _idf(F.lit(index.n), F.col("df")) * _bm25(F.col("tf"), F.col("dl"), F.lit(index.avgdl))
-    scored = postings.join(asked, ["part", "term", "key"]).groupBy("query_id", "key").agg(F.sum(part).alias("score"), F.count("*").alias("matched"), F.first("n_terms").alias("n_terms")).filter("matched = n_terms")
+    # summed as decimals, which no order of additions changes: texts that are equal tie
+    part = (_idf(F.lit(index.n), F.col("df")) * _bm25(F.col("tf"), F.col("dl"), F.lit(index.avgdl))).cast("decimal(28,17)")
+    scored = postings.join(asked, ["part", "term", "key"]).groupBy("query_id", "key").agg(F.sum(part).cast("double").alias("score"), F.count("*").alias("matched"), F.first("n_terms").alias("n_terms")).filter("matched = n_terms")
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "key")
     ranked = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= clamped(limit))
     return ranked.select("query_id", F.col("key").alias(index.key), "score", "rank")

@@ -6,8 +6,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from tessera.operators import aggregates, experience, intervals
-from tessera.sources import embedding
+from tessera.operators import aggregates, experience, intervals, retrieval
+from tessera.sources import embedding, lexical_index
 
 
 def test_coverage_meets_symbols_by_equality(spark):
@@ -105,3 +105,12 @@ def test_words_that_cancel_out_have_a_direction():
     for text in [f"{a} {b}" for a in words for b in words] + ["\u00a0", "\x0b", "\x1c \u3000"]:
         assert abs(sum(x * x for x in embed([text])[0]) - 1) < 1e-9
     assert embed(["", " \t\r\n\f"]) == [[0.0, 0.0]] * 2
+
+
+def test_equal_texts_tie(spark):
+    words = [f"w{i}{'abcdefg'[i % 7]}" for i in range(40)]
+    rows = [(i, " ".join(words)) for i in range(30)] + [(100 + i, " ".join(words[: i % 37]) + " z" * i) for i in range(200)]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(7)
+    queries = spark.createDataFrame([(i, " ".join(words[i:])) for i in range(30)], "query_id long, text string")
+    equal = retrieval.indexed_many(lexical_index.build(docs, "id", "text"), queries, 30).filter("id < 30").groupBy("query_id").agg(F.countDistinct("score").alias("scores"))
+    assert {r["scores"] for r in equal.collect()} == {1}
