@@ -17,6 +17,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions.columns import terms
 from tessera.functions.storage import kept, shared_path
@@ -78,11 +79,13 @@ def _write(spark: SparkSession, postings: DataFrame, lengths: DataFrame, folder:
 def build(docs: DataFrame, key: str, *columns: str, folder: str | None = None) -> LexicalIndex:
     """Indexes all rows of ``docs``; the corpus is tokenised once."""
     spark = docs.sparkSession
-    tokens = _counted(docs, key, columns)
-    postings = tokens.select("key", F.explode("t").alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
-    # read once more for the lengths, which need no shuffle when keys are unique
-    lengths = kept(tokens.groupBy("key").agg(F.sum("dl").alias("dl")), "index-lengths")
-    return _write(spark, postings.join(lengths, "key"), lengths, folder or shared_path(spark, "index"), key)
+    # texts are dealt by key once, so that terms are counted where they are
+    dealt = _counted(docs.select(key, *columns).repartition(key), key, columns)
+    counts = dealt.filter("key IS NOT NULL").select("key", F.explode("t").alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
+    postings = counts.withColumn("dl", F.sum("tf").over(Window.partitionBy("key")))
+    # read once more for the lengths, of which a row a text moves
+    lengths = kept(_counted(docs, key, columns).groupBy("key").agg(F.sum("dl").alias("dl")), "index-lengths")
+    return _write(spark, postings, lengths, folder or shared_path(spark, "index"), key)
 
 
 def refreshed(index: LexicalIndex, changed: DataFrame, removed: DataFrame, *columns: str, folder: str | None = None) -> LexicalIndex:
