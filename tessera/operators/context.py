@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -134,38 +135,45 @@ def fill(pool: list, token_budget: int, shares: Budget = DEFAULTS.budget) -> lis
     return out
 
 
-def packets(pool: DataFrame, key: str, token_budget: int, shares: Budget = DEFAULTS.budget) -> DataFrame:
-    """The packet of each request from its bounded, ranked pool: one row an item, with rank."""
+def packets(pool: DataFrame, key: str, token_budget: int, shares: Budget = DEFAULTS.budget, beside: tuple[str, ...] = ()) -> DataFrame:
+    """The packet of each request from its bounded, ranked pool: one row an item, with rank, and
+    with those columns of the pool that stand ``beside`` it, outside its budget."""
     w = Window.partitionBy(key).orderBy(*candidate_order())
-    rows = pool.select(key, "source_type", "source_id", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("path", F.lit("")).alias("path"), F.col("final"), F.coalesce("semantic", F.lit(0.0)).alias("semantic"), F.coalesce("lexical", F.lit(0.0)).alias("lexical"), "structural_evidence", required().alias("required"), F.row_number().over(w).alias("place"))
-    cols = [key, "rank", "source_type", "source_id", "tokens", "truncated", "content"]
+    extra = [f"__beside_{c}" for c in beside]
+    rows = pool.select(key, "source_type", "source_id", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("path", F.lit("")).alias("path"), F.col("final"), F.coalesce("semantic", F.lit(0.0)).alias("semantic"), F.coalesce("lexical", F.lit(0.0)).alias("lexical"), "structural_evidence", required().alias("required"), F.row_number().over(w).alias("place"), *[F.col(c).alias(x) for c, x in zip(beside, extra)])
+    cols = [key, "rank", "source_type", "source_id", "tokens", "truncated", "content", *beside]
+    fixed = rows.columns[: len(rows.columns) - len(extra)]
 
     def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, held = None, []
 
         def done() -> list[tuple]:
-            return [(now, i, *x) for i, x in enumerate(fill(held, token_budget, shares), 1)]
+            more = {(r.source_type, r.source_id): x for r, x in held}
+            return [(now, i, *item, *more[item[:2]]) for i, item in enumerate(fill([r for r, _ in held], token_budget, shares), 1)]
 
         for pdf in batches:
             out = []
-            for r in pdf.itertuples(index=False):
+            more = zip(*[pdf[x] for x in extra]) if extra else repeat(())
+            for r, x in zip(pdf[fixed].itertuples(index=False), more):
                 k = getattr(r, key)
                 if held and k != now:
                     out += done()
                     held = []
                 now = k
-                held.append(r)
+                held.append((r, x))
             yield pd.DataFrame(out, columns=cols)
         if held:
             yield pd.DataFrame(done(), columns=cols)
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    ordered = rows.repartition(key).sortWithinPartitions(key, "place")
-    return ordered.mapInPandas(assemble, f"{key} {kinds[key]}, rank long, source_type string, source_id {kinds['source_id']}, tokens long, truncated boolean, content string")
+    kinds = {f.name: f.dataType.simpleString() for f in pool.schema}
+    # the window behind ``place`` has each request in one task already
+    ordered = rows.sortWithinPartitions(key, "place")
+    return ordered.mapInPandas(assemble, ", ".join([f"{key} {kinds[key]}, rank long, source_type string, source_id {kinds['source_id']}, tokens long, truncated boolean, content string", *[f"{c} {kinds[c]}" for c in beside]]))
 
 
 def explained(packet: DataFrame, pool: DataFrame, key: str) -> DataFrame:
-    """Each item's reasons and scores, beside the packet and outside its budget."""
+    """Each item's reasons and scores, beside the packet and outside its budget: for packets that
+    were made without. ``packets`` puts them beside items without a join."""
     return packet.drop("content").join(pool.select(key, "source_type", "source_id", "reasons", "final", "structural"), [key, "source_type", "source_id"])
 
 

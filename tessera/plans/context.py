@@ -12,8 +12,9 @@ from tessera.sources import workspace as W
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Line items as candidates: an order is a request, a part is a source."""
-    l = T.table(spark, d, "lineitem")
+    """Line items as candidates: an order is a request, a part is a source. Lines are dealt by
+    request as they are read, which is what merging, ranking and filling need as well."""
+    l = T.table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_partkey", "l_discount", "l_tax", "l_quantity").repartition("l_orderkey")
     kind = F.element_at(F.array(*map(F.lit, ("code", "document", "memory", "event", "task_state"))), (F.col("l_suppkey") % 5 + 1).cast("int"))
     fresh = F.element_at(F.array(*map(F.lit, ("current", "recent", "historical"))), (F.col("l_linenumber") % 3 + 1).cast("int"))
     reason = F.element_at(F.array(*map(F.lit, ("caller", "neighbor", "pinned", "semantic_match", "active_task_reference", "lexical_match"))), (F.col("l_partkey") % 6 + 1).cast("int"))
@@ -40,7 +41,7 @@ def packet_greedy(spark: SparkSession, d: str) -> DataFrame:
 
 def packet_explanation(spark: SparkSession, d: str) -> DataFrame:
     pool = K.bounded(K.ranked(K.merged(_candidates(spark, d), "request")), "request", limit=50)
-    return K.explained(K.packets(pool, "request", 100), pool, "request").select("request", "rank", "source_type", "source_id", F.array_join("reasons", ",").alias("reasons"), F.round("final", 6).alias("final"))
+    return K.packets(pool, "request", 100, beside=("reasons", "final")).select("request", "rank", "source_type", "source_id", F.array_join("reasons", ",").alias("reasons"), F.round("final", 6).alias("final"))
 
 
 def resume_selection(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from tessera.operators import aggregates, experience, intervals, retrieval
+from tessera.operators import aggregates, context, experience, intervals, retrieval
+from tessera.plans import context as plans
 from tessera.sources import embedding, lexical_index
 
 
@@ -114,3 +115,24 @@ def test_equal_texts_tie(spark):
     queries = spark.createDataFrame([(i, " ".join(words[i:])) for i in range(30)], "query_id long, text string")
     equal = retrieval.indexed_many(lexical_index.build(docs, "id", "text"), queries, 30).filter("id < 30").groupBy("query_id").agg(F.countDistinct("score").alias("scores"))
     assert {r["scores"] for r in equal.collect()} == {1}
+
+
+def test_explained_packets_move_lines_once(spark, sf):
+    out = plans.packet_explanation(spark, sf)
+    pool = context.bounded(context.ranked(context.merged(plans._candidates(spark, sf), "request")), "request", limit=50)
+    joined = context.explained(context.packets(pool, "request", 100), pool, "request").select("request", "rank", "source_type", "source_id", F.array_join("reasons", ",").alias("reasons"), F.round("final", 6).alias("final"))
+    want = sorted(map(tuple, joined.collect()))
+    assert want and sorted(map(tuple, out.collect())) == want
+    assert _exchanges(out) == 1
+
+
+def test_what_stands_beside_a_packet_leaves_it_alone(spark):
+    rng = random.Random(7)
+    kinds = "request long, source_type string, source_id string, semantic double, lexical double, task double, working_set double, recency double, reasons array<string>, structural_evidence boolean, freshness string, content string, path string"
+    rows = [(rng.choice([None, *range(6)]), rng.choice(["code", "memory"]), f"s{i}", rng.choice([None, 0.5]), None, 0.1, 0.2, rng.random(), rng.choice([[], ["pinned"], ["caller", "é"]]), i % 5 == 0, "recent", rng.choice([None, "", "éx" * rng.randint(1, 9)]), rng.choice([None, "p"])) for i in range(80)]
+    pool = context.bounded(context.ranked(context.merged(spark.createDataFrame(rows, kinds).repartition(7), "request")), "request", limit=9)
+    plain, more = context.packets(pool, "request", 40), context.packets(pool, "request", 40, beside=("reasons", "path"))
+    assert more.columns == [*plain.columns, "reasons", "path"]
+    assert {tuple(r) for r in more.drop("reasons", "path").collect()} == {tuple(r) for r in plain.collect()}
+    held = {r[2]: (r[8], r[12]) for r in rows}
+    assert {r["source_id"]: (sorted(r["reasons"]), r["path"]) for r in more.collect()} == {r["source_id"]: (sorted(held[r["source_id"]][0]), held[r["source_id"]][1]) for r in more.collect()}
