@@ -115,6 +115,20 @@ def path_score(edge_types: Column | str, confidence: Column | str, s: Structural
 # --- text -----------------------------------------------------------------------------
 
 
+def packed(text: Column | str) -> Column:
+    """``text`` as bytes that differ for different texts: half as many for lower-case
+    hexadecimal digits, as hashes are written, and one more for others."""
+    c = _c(text)
+    digits = c.rlike(r"\A[0-9a-f]+\z") & (F.length(c) % 2 == 0)
+    return F.when(digits, F.concat(F.lit(bytearray(b"\0")), F.unhex(c))).otherwise(F.concat(F.lit(bytearray(b"\1")), c.cast("binary")))
+
+
+def unpacked(data: Column | str) -> Column:
+    """The text that was ``packed``."""
+    rest = F.substring(_c(data), 2, 2**31 - 1)
+    return F.when(F.substring(_c(data), 1, 1) == F.lit(bytearray(b"\0")), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
+
+
 def folded(text: Column | str) -> Column:
     return F.translate(F.lower(_c(text)), MARKED, PLAIN)
 

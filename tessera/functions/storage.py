@@ -88,8 +88,9 @@ def counted(df: DataFrame, what: str) -> tuple[DataFrame, int]:
     return out, seen.get["rows"]
 
 
-def kept(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written once and read again, so that loops don't grow their lineage."""
+def kept(df: DataFrame, what: str, **options: str) -> DataFrame:
+    """``df`` written once, with ``options`` of the writer, and read again, so that loops don't
+    grow their lineage."""
     path = shared_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,6 +9,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tessera.functions.columns import packed, unpacked
 
 ARM, MOST_EVENTS = 200, 100
 #: Lifecycles by weight: the heaviest assessment decides, and confirmation has none.
@@ -252,10 +255,14 @@ def acceptances(requests: DataFrame, proposals: DataFrame, records: DataFrame) -
     ``records`` (episode_id, experience_id, fingerprint, proposal_hash) are those that exist: an
     episode has one. Of a batch the first request that could be accepted makes it, so requests
     of an episode need no fold: those before it fail for their own reason, those behind it meet
-    the record.
+    the record. ``made`` is true in one row of each record that comes about.
+
+    Each side moves once, by episode, with its hashes packed; requests of an episode meet in one task.
     """
-    have = records.select("episode_id", F.col("experience_id").alias("__id"), F.col("fingerprint").alias("__fp"), F.col("proposal_hash").alias("__hash"))
-    r = requests.join(proposals.select("episode_id", "version", "status", "result", "automatic", "fingerprint", "proposal_hash"), "episode_id", "left").join(have, "episode_id", "left")
+    have = records.select("episode_id", F.col("experience_id").alias("__id"), packed("fingerprint").alias("__fp"), packed("proposal_hash").alias("__hash"))
+    asked = requests.select("seq", "episode_id", "expected_version", *[packed(c).alias(c) for c in ("expected_fingerprint", "expected_proposal_hash")])
+    said = proposals.select("episode_id", "version", "status", "result", "automatic", *[packed(c).alias(c) for c in ("fingerprint", "proposal_hash")])
+    r = asked.join(said, "episode_id", "left").join(have, "episode_id", "left")
     asks = lambda fp, h: F.col("expected_fingerprint").eqNullSafe(F.col(fp)) & F.col("expected_proposal_hash").eqNullSafe(F.col(h))
     own = (
         F.when(F.col("status").isNull(), "episode_not_found").when(~F.col("expected_version").eqNullSafe(F.col("version")), "stale_episode_version").when(~F.col("status").isin("closed", "abandoned"), "episode_not_closed")
@@ -263,13 +270,14 @@ def acceptances(requests: DataFrame, proposals: DataFrame, records: DataFrame) -
         .when(~F.col("expected_proposal_hash").eqNullSafe(F.col("proposal_hash")), "proposal_hash_mismatch").otherwise("accepted")
     )
     met = lambda fp, h: F.when(asks(fp, h), "replayed").otherwise("already_consolidated")
-    r = r.withColumn("own", own)
-    first = r.filter("own = 'accepted' AND __id IS NULL").groupBy("episode_id").agg(F.min("seq").alias("__first"))
-    r = r.join(first, "episode_id", "left")
+    can = (F.col("own") == "accepted") & F.col("__id").isNull()
+    w = Window.partitionBy("episode_id").orderBy(F.when(can, 0).otherwise(1), F.asc_nulls_last("seq"))
+    first = F.struct(F.when(can, F.col("seq")).alias("seq"))  # of the rows in order the first, null or not
+    r = r.withColumn("own", own).withColumn("__first", F.first(first).over(w)["seq"]).withColumn("made", can & (F.row_number().over(w) == 1))
     outcome = F.when(F.col("__id").isNotNull(), met("__fp", "__hash")).when(F.col("__first").isNull() | (F.col("seq") <= F.col("__first")), F.col("own")).otherwise(met("fingerprint", "proposal_hash"))
-    fresh = F.left(F.sha2(F.concat_ws("|", F.col("episode_id").cast("string"), "fingerprint"), 256), F.lit(32))
+    fresh = F.left(F.sha2(F.concat_ws("|", F.col("episode_id").cast("string"), unpacked("fingerprint")), 256), F.lit(32))
     known = F.when(F.col("outcome").isin("accepted", "replayed"), F.coalesce("__id", fresh))
-    return r.withColumn("outcome", outcome).withColumn("experience_id", known).select("seq", "episode_id", "outcome", "experience_id", "fingerprint", "proposal_hash")
+    return r.withColumn("outcome", outcome).withColumn("experience_id", known).select("seq", "episode_id", "outcome", "experience_id", *[unpacked(c).alias(c) for c in ("fingerprint", "proposal_hash")], "made")
 
 
 # --- episodes ---------------------------------------------------------------------------

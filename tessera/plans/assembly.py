@@ -144,7 +144,8 @@ def reindexed(spark: SparkSession, store: str, scanned: DataFrame, seen: DataFra
 
 def accepted(spark: SparkSession, folder: str, requests: DataFrame, proposals: Callable[[], DataFrame], evidence: DataFrame, attempts: int = 5) -> DataFrame:
     """Decides on requests for acceptance and stores the records that come about, sealed, with
-    their evidence (episode_id, event_id, ordinal). Returns what became of each request.
+    their evidence (episode_id, event_id, ordinal). Returns what became of each request; those
+    by which records come about (``made``) have the fingerprint and proposal_hash of theirs.
 
     Proposals are read, and compared with what requests expect, against the very revision
     that the records are published behind: whoever publishes first wins, and the other
@@ -153,15 +154,19 @@ def accepted(spark: SparkSession, folder: str, requests: DataFrame, proposals: C
     for left in reversed(range(attempts)):
         state = stores.state(spark, folder)
         records = stores.read(spark, state, "experiences") if "experiences" in state["tables"] else spark.createDataFrame([], f"experience_id string, episode_id {requests.schema['episode_id'].dataType.simpleString()}, fingerprint string, proposal_hash string")
-        decided = kept(X.acceptances(requests, proposals(), records), "acceptances")
-        new = decided.filter("outcome = 'accepted'").select("experience_id", "episode_id", "fingerprint", "proposal_hash").distinct()  # of one seq, several
+        decided = X.acceptances(requests, proposals(), records)
+        decided = kept(decided.withColumns({c: F.when(F.col("made"), F.col(c)) for c in ("fingerprint", "proposal_hash")}), "acceptances", compression="zstd")
+        new = decided.filter("made").select("experience_id", "episode_id", "fingerprint", "proposal_hash")
         if new.isEmpty():
             return decided
 
-        def work(now: dict, at: int = state["revision"], new: DataFrame = new) -> tuple[DataFrame, dict[str, DataFrame]]:
+        def told(headers: DataFrame) -> DataFrame:
+            return evidence.join(headers.select("episode_id", "experience_id"), "episode_id").select("experience_id", "ordinal", "event_id")
+
+        def work(now: dict, at: int = state["revision"], new: DataFrame = new) -> tuple[DataFrame, dict[str, Callable]]:
             if now["revision"] != at:
                 raise stores.Conflict("decided on another revision")
-            return new, {"experience_evidence": evidence.join(new.select("episode_id", "experience_id"), "episode_id").select("experience_id", "ordinal", "event_id")}
+            return new, {"experience_evidence": told}
 
         try:
             sinks.sealed(spark, folder, "experiences", "experience_id", work)

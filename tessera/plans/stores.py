@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.storage import shared_path
+from tessera.functions.storage import kept, shared_path
 from tessera.plans import assembly as A
 from tessera.plans import resolution as R
 from tessera.sources import sinks as N
@@ -54,15 +54,17 @@ def node_registry(spark: SparkSession, d: str) -> DataFrame:
 
 def experience_accept(spark: SparkSession, d: str) -> DataFrame:
     """Lines of orders as requests to accept what their orders propose, in two batches over one
-    store: of each request its outcome, and at last the sealed records with their evidence."""
+    store: of each request its outcome, and at last the sealed records with their evidence.
+    Orders and lines are dealt by episode before they get their hashes, which are long."""
     folder = shared_path(spark, "experiences")
-    o, l = T.table(spark, d, "orders"), T.table(spark, d, "lineitem")
+    o, l = T.table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), T.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     mark = lambda c: F.sha2(F.concat(F.lit(c), F.col("o_orderkey").cast("string")), 256)
     status = F.when(F.col("o_orderstatus") == "F", "closed").when(F.col("o_orderstatus") == "O", F.when(F.col("o_orderkey") % 2 == 0, "closed").otherwise("open")).otherwise("abandoned")
-    p = o.select(F.col("o_orderkey").alias("episode_id"), (F.col("o_orderkey") % 3).alias("version"), status.alias("status"), F.when(F.col("o_orderkey") % 11 == 0, "no_supported_failure").otherwise("proposal").alias("result"), (F.col("o_orderkey") % 13 != 0).alias("automatic"), mark("f").alias("fingerprint"), mark("h").alias("proposal_hash"))
+    p = o.repartition("o_orderkey").select(F.col("o_orderkey").alias("episode_id"), (F.col("o_orderkey") % 3).alias("version"), status.alias("status"), F.when(F.col("o_orderkey") % 11 == 0, "no_supported_failure").otherwise("proposal").alias("result"), (F.col("o_orderkey") % 13 != 0).alias("automatic"), mark("f").alias("fingerprint"), mark("h").alias("proposal_hash"))
     k, n = F.col("l_orderkey").cast("string"), F.col("l_linenumber")
-    asked = l.select(
-        (F.col("l_orderkey") * 8 + n).alias("seq"), F.when(F.col("l_partkey") % 17 == 0, -F.col("l_orderkey")).otherwise(F.col("l_orderkey")).alias("episode_id"), (F.col("l_orderkey") % 3 + F.when(F.col("l_partkey") % 5 == 0, 1).otherwise(0)).alias("expected_version"),
+    episode = F.when(F.col("l_partkey") % 17 == 0, -F.col("l_orderkey")).otherwise(F.col("l_orderkey"))
+    asked = l.withColumn("episode_id", episode).repartition("episode_id").select(
+        (F.col("l_orderkey") * 8 + n).alias("seq"), "episode_id", (F.col("l_orderkey") % 3 + F.when(F.col("l_partkey") % 5 == 0, 1).otherwise(0)).alias("expected_version"),
         F.sha2(F.concat(F.when(F.col("l_partkey") % 7 == 0, "x").otherwise("f"), k), 256).alias("expected_fingerprint"), F.sha2(F.concat(F.when(F.col("l_suppkey") % 6 == 0, "x").otherwise("h"), k), 256).alias("expected_proposal_hash"), (n % 2).alias("batch"),
     )
     evidence = l.select(F.col("l_orderkey").alias("episode_id"), F.col("l_linenumber").cast("long").alias("ordinal"), F.col("l_partkey").alias("event_id"))
@@ -72,6 +74,7 @@ def experience_accept(spark: SparkSession, d: str) -> DataFrame:
         parts.append(decided.select(F.lit(f"batch {batch}").alias("part"), "seq", "outcome", F.col("episode_id").alias("episode")))
     at = S.state(spark, folder)
     sealed = S.read(spark, at, "experiences").join(S.read(spark, at, "experiences_seals"), "experience_id").join(S.read(spark, at, "experience_evidence").groupBy("experience_id").agg(F.count("*").alias("n")), "experience_id", "left")
+    sealed = kept(sealed.select("episode_id", "acceptance_order", "n"), "sealed-records")
     orders = sealed.agg(F.count("*").alias("n"), F.countDistinct("acceptance_order").alias("d"), F.max("acceptance_order").alias("m")).select(F.lit("orders").alias("part"), F.col("n").alias("seq"), F.when((F.col("n") == F.col("d")) & (F.col("n") == F.col("m")), "gapless").otherwise("gaps").alias("outcome"), F.lit(None).cast("long").alias("episode"))
     parts += [sealed.select(F.lit("sealed").alias("part"), F.col("n").alias("seq"), F.lit("record").alias("outcome"), F.col("episode_id").alias("episode")), orders]
     return reduce(DataFrame.unionByName, parts)

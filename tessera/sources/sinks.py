@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.storage import kept
+from tessera.functions.storage import folders, kept
 from tessera.sources import store
 
 
@@ -55,22 +55,23 @@ def replaced(old: DataFrame, new: DataFrame, document: str) -> DataFrame:
 def sequenced(events: DataFrame, start: int, *order: str) -> DataFrame:
     """``events`` of one append with their ingress order behind ``start``, without gaps.
 
-    Ranges of ``order`` are counted first, so no task sees more than its own range.
+    Ranges of ``order`` are counted first, so no task sees more than its own range; within a
+    range rows are numbered as they are written.
     """
-    ranged = events.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    ranged = kept(ranged, "append")
+    ranged = events.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    ranged = kept(ranged, "append").withColumn("__p", F.shiftright("__id", 33)).withColumn("__i", F.col("__id").bitwiseAND((1 << 33) - 1) + 1)
     w = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     starts = ranged.groupBy("__p").agg(F.count("*").alias("__n")).withColumn("__from", F.coalesce(F.sum("__n").over(w), F.lit(0)))
-    inside = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
-    return inside.join(starts, "__p").withColumn("ingress_seq", F.col("__from") + F.col("__i") + start).drop("__p", "__i", "__n", "__from")
+    return ranged.join(F.broadcast(starts), "__p").withColumn("ingress_seq", F.col("__from") + F.col("__i") + start).drop("__p", "__id", "__i", "__n", "__from")
 
 
-def sealed(spark: SparkSession, folder: str, name: str, key: str, work: Callable[[dict], tuple[DataFrame, dict[str, DataFrame]]], buckets: int = 64) -> dict:
+def sealed(spark: SparkSession, folder: str, name: str, key: str, work: Callable[[dict], tuple[DataFrame, dict[str, DataFrame | Callable[[DataFrame], DataFrame]]]], buckets: int = 64) -> dict:
     """Appends headers with their children and the seals that make them count, as one
     transaction over all these tables: ``name``, those of the children, and ``name``_seals.
 
-    ``work`` makes of a state the headers and, by table, the children; it is asked again if
-    another writer was first. Headers whose key is sealed already are left alone, with their
+    ``work`` makes of a state the headers and, by table, the children, or what makes them of the
+    headers that are appended; it is asked again if another writer was first, and folders that it
+    names go when the append is over. Headers whose key is sealed already are left alone, with their
     children; a child without a header in the append goes nowhere. A seal has the order in
     which its header was accepted, without gaps over all appends. A run that dies at any step
     shows nothing of its own, and ``store.vacuum`` sweeps what it staged.
@@ -80,16 +81,18 @@ def sealed(spark: SparkSession, folder: str, name: str, key: str, work: Callable
     def changes(state: dict) -> dict[str, store.Change]:
         headers, children = work(state)
         done = store.read(spark, state, seals) if seals in state["tables"] else None
-        headers = kept(headers if done is None else headers.join(done.select(key), key, "left_anti"), "sealed")
+        headers = kept(headers if done is None else headers.join(done.select(key), key, "left_anti"), "sealed", compression="zstd")
         last = 0 if done is None else done.agg(F.max("acceptance_order")).first()[0] or 0
         order = sequenced(headers.select(key).distinct(), last, key).select(key, F.col("ingress_seq").alias("acceptance_order"))
-        parts = {child: rows.join(headers.select(key).distinct(), key, "left_semi") for child, rows in children.items()}
-        return {name: store.Change(headers), seals: store.Change(order), **{c: store.Change(rows) for c, rows in parts.items()}}
+        parts = {child: rows(headers) if callable(rows) else rows.join(headers.select(key).distinct(), key, "left_semi") for child, rows in children.items()}
+        # none of these keys is stored, so no bucket need be read or written anew
+        return {n: store.Change(rows, append=True) for n, rows in {name: headers, seals: order, **parts}.items()}
 
     keyed = store.Keyed(key, buckets)
     state = store.state(spark, folder)
     names = [name, seals, *work(state)[1]]
-    return store.transact(spark, folder, changes, dict.fromkeys(names, keyed))[0]
+    with folders(spark):
+        return store.transact(spark, folder, changes, dict.fromkeys(names, keyed))[0]
 
 
 def delivered(requests: DataFrame, receipts: DataFrame, keys: list[str], content: str) -> DataFrame:

@@ -6,9 +6,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import packed, unpacked
 from tessera.operators import aggregates, context, experience, intervals, retrieval
 from tessera.plans import context as plans
-from tessera.sources import embedding, lexical_index
+from tessera.sources import embedding, lexical_index, sinks, store
 
 
 def test_coverage_meets_symbols_by_equality(spark):
@@ -136,3 +137,53 @@ def test_what_stands_beside_a_packet_leaves_it_alone(spark):
     assert {tuple(r) for r in more.drop("reasons", "path").collect()} == {tuple(r) for r in plain.collect()}
     held = {r[2]: (r[8], r[12]) for r in rows}
     assert {r["source_id"]: (sorted(r["reasons"]), r["path"]) for r in more.collect()} == {r["source_id"]: (sorted(held[r["source_id"]][0]), held[r["source_id"]][1]) for r in more.collect()}
+
+
+def test_packed_texts_differ_as_texts_do(spark):
+    texts = [None, "", "a", "ab", "AB", "0a", "ab\n", "é", "0" * 64, "f" * 63, "\0", "\x01ab", "ag", " ab"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", packed("t").alias("p"), unpacked(packed("t")).alias("back")).collect()
+    assert [r["back"] for r in rows] == texts
+    assert len({r["p"] and bytes(r["p"]) for r in rows}) == len(texts)
+    assert max(len(r["p"]) for r in rows if r["t"] == "0" * 64) == 33
+
+
+def test_acceptances_move_each_side_once(spark):
+    requests = [(s, e, 1, "ab" if f else "x", "cd") for s, e, f in [(1, 1, 0), (2, 1, 1), (2, 1, 1), (3, 1, 1), (4, 1, 0), (1, 2, 1), (1, None, 1), (9, 3, 1), (8, 3, 0)]]
+    asked = spark.createDataFrame(requests, "seq long, episode_id long, expected_version long, expected_fingerprint string, expected_proposal_hash string").repartition(3)
+    proposals = spark.createDataFrame([(e, 1, "closed", "proposal", True, "ab", "cd") for e in (1, 3)], "episode_id long, version long, status string, result string, automatic boolean, fingerprint string, proposal_hash string")
+    records = spark.createDataFrame([(3, "r3", "ab", "cd")], "episode_id long, experience_id string, fingerprint string, proposal_hash string")
+    with_joins = {"spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in with_joins}
+    [spark.conf.set(k, v) for k, v in with_joins.items()]
+    try:
+        out = experience.acceptances(asked, proposals, records)
+        got = sorted((r["episode_id"] or 0, r["seq"], r["outcome"]) for r in out.collect())
+        assert _exchanges(out) <= 4  # three by episode, and that of the test's own repartition
+    finally:
+        [spark.conf.set(k, v) for k, v in old.items()]
+    assert got == [(0, 1, "episode_not_found"), (1, 1, "fingerprint_mismatch"), (1, 2, "accepted"), (1, 2, "accepted"), (1, 3, "replayed"), (1, 4, "already_consolidated"), (2, 1, "episode_not_found"), (3, 8, "already_consolidated"), (3, 9, "replayed")]
+    assert [(r["episode_id"], r["fingerprint"], r["proposal_hash"]) for r in out.filter("made").collect()] == [(1, "ab", "cd")]
+
+
+def test_appends_leave_what_is_stored_where_it_is(spark, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}/appended"
+
+    def append(*ids):
+        return sinks.sealed(spark, folder, "h", "id", lambda at: (spark.createDataFrame([(i, "x") for i in ids], "id long, v string"), {"c": lambda new: new.select("id", "v")}), buckets=2)
+
+    first = append(*range(20))
+    second = append(*range(15, 40))
+    for name in ("h", "c", "h_seals"):
+        kept = second["tables"][name]["files"]
+        assert first["tables"][name]["files"].items() <= kept.items() and len(kept) == 4
+        assert {r["id"] for r in store.read(spark, second, name).collect()} == set(range(40)) and store.read(spark, second, name).count() == 40
+    held = store.holding(spark.createDataFrame([(i,) for i in range(40)], "id long"), second, "h")
+    assert len(held) == 4 and store.read(spark, second, "h", held).count() == 40
+    third = store.commit(spark, folder, 2, {"h": store.Change(spark.createDataFrame([(3, "y"), (30, "z")], "id long, v string"), spark.createDataFrame([(i,) for i in range(4, 15)], "id long"))})[0]
+    assert {tuple(r) for r in store.read(spark, third, "h").collect()} == {(i, {3: "y", 30: "z"}.get(i, "x")) for i in range(40) if not 4 <= i < 15}
+    monkeypatch.setattr(store, "APPENDS", 2)
+    fourth = append(*range(40, 60))  # c has two folders a bucket by now, which become one
+    assert len(fourth["tables"]["c"]["files"]) == 2 and len(fourth["tables"]["h"]["files"]) == 4
+    store.vacuum(spark, folder, older_than_ms=-10_000)
+    assert sorted(r["id"] for r in store.read(spark, fourth, "c").collect()) == list(range(60))
+    assert sorted(r["acceptance_order"] for r in store.read(spark, fourth, "h_seals").collect()) == list(range(1, 61))
